@@ -1,32 +1,56 @@
-"""The corpus pipeline: near-duplicates go, then every text is encoded."""
+"""The corpus pipeline: bad and unidentified texts go, then near-duplicates; sources are mixed and every text is encoded."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm.common import set_batch_rows
+from sparkloom.llm.common import SharedTable, read, set_batch_rows
+from sparkloom.llm.langid import keep_identified
+from sparkloom.llm.mixing import mixed
+from sparkloom.llm.quality import keep_good
 from sparkloom.llm.queries import tokenizer_path
 from sparkloom.llm.simhash import keep_one
 from sparkloom.llm.tokens import encode_documents
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    set_batch_rows(spark)
+    return keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with enough certainty."""
+    set_batch_rows(spark)
+    return keep_identified(docs)
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
     set_batch_rows(spark)
     return keep_one(docs)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order that mixes sources to their weights."""
+    return mixed(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with the ids of their texts."""
     set_batch_rows(spark)
     return encode_documents(docs, tokenizer_path())
 
 
-STAGES = [("simhash near-dedup", dedup), ("bpe encoding", encode)]
+STAGES = [("quality", quality), ("language", language), ("near-duplicates", dedup), ("mixing", mix), ("encoding", encode)]
 
+#: Training and components can't be put into SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages on the documents, each stage's rows written to the shared folder for the next one."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = SharedTable(stage(spark, docs, sf_dir), name).df
+    return STAGES[-1][1](spark, docs, sf_dir)

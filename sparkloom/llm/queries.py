@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read, set_batch_rows
+from .html import extract_pages
+from .langid import language_scores
+from .licenses import license_scan
+from .mixing import mixing_order
+from .quality import quality_scores
 from .simhash import near_duplicates
 from .tokens import token_digests
+from .topk import top_k
+from .urls import judge_urls, verdict_sql
+from .vectors import near_vectors
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -17,16 +25,56 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    set_batch_rows(spark)
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    set_batch_rows(spark)
+    return language_scores(read(spark, sf_dir, "documents"))
+
+
+def op3_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    set_batch_rows(spark)
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
+def op4_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"))
+
+
+def op5_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     set_batch_rows(spark)
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_order(read(spark, sf_dir, "documents"))
+
+
 def op8_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     set_batch_rows(spark)
     return token_digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_simhash_near_dedup, op8_bpe_chunk_reuse)}
+def op9_subspace_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_pu_quality, op2_subword_language, op3_template_extraction, op4_url_vocabulary, op5_norm_sorted_topk,
+    op6_simhash_near_dedup, op7_pfair_mixing, op8_bpe_chunk_reuse, op9_subspace_near_dedup, op10_license_rules,
+)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_url_vocabulary": verdict_sql()}

@@ -241,7 +241,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, block: int = BLOCK) ->
                 rows, keys = fingerprint_keys(fps := all_fps[k : k + 4096])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), _signed(fps[rows])], ["key", "fp"])
 
-    def between(key, table: pa.Table) -> pa.Table:
+    def between(key, table):
         fps, side = table.column("fp").to_numpy().view(np.uint64), table.column("side").to_numpy()
         i, j = key[1].as_py(), key[2].as_py()
         edges = forest(fps, radius) if i == j else forest_between(fps[side == 0], fps[side == 1], radius)
