@@ -5,7 +5,297 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import sqlite
+from ..functions.digest import ordered_digest
+from ..functions.text import KEYWORDS, keyword_hits
+from ..operators import bounds, evidence, pairs, pareto, sets
+from ..sources.archives import within_budget
+from ..streaming.replay import windowed_counts
+from .surface import SURFACE
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _array(spark, sf_dir, table, idx, value):
+    return pairs.indexed(read(spark, sf_dir, table), idx, value)
+
+
+def _customers(spark, d):
+    return _array(spark, d, "customer", "c_custkey", "c_nationkey")
+
+
+def _suppliers(spark, d):
+    return _array(spark, d, "supplier", "s_suppkey", "s_nationkey")
+
+
+def _nations(spark, d):
+    return _array(spark, d, "nation", "n_nationkey", "n_regionkey")
+
+
+def _regions(spark, d):
+    return _array(spark, d, "region", "r_regionkey", "r_regionkey")
+
+
+PAIRS = "SELECT s_nationkey + n_regionkey AS key, s_suppkey AS \"left\", n_nationkey AS \"right\" FROM supplier CROSS JOIN nation"
+
+
+@query(PAIRS)
+def pair_sums(spark, d):
+    return pairs.pair_sums(_suppliers(spark, d), _nations(spark, d))
+
+
+@query(f"SELECT * FROM ({PAIRS}) ORDER BY 1, 2, 3 LIMIT 50")
+def pair_topk(spark, d):
+    """The report of the first 50 pairs, from the whole enumeration."""
+    return pairs.ordered(pairs.pair_sums(_suppliers(spark, d), _nations(spark, d))).limit(50)
+
+
+@query(f"SELECT * FROM ({PAIRS}) ORDER BY 1, 2, 3 LIMIT 50")
+def pair_topk_pruned(spark, d):
+    return pairs.pair_prefix(_suppliers(spark, d), _nations(spark, d), 50)
+
+
+@query(f"SELECT * FROM ({PAIRS}) ORDER BY 1, 2, 3 LIMIT 1")
+def pair_peek(spark, d):
+    return pairs.peek(pairs.pair_sums(_suppliers(spark, d), _nations(spark, d)))
+
+
+RESIDUE = f"SELECT * FROM ({PAIRS}) WHERE ((key % 7) + 7) % 7 = 3"
+
+
+@query(RESIDUE)
+def residue_filter(spark, d):
+    return pairs.pairs_by_filter(_suppliers(spark, d), _nations(spark, d), 7, 3)
+
+
+@query(RESIDUE)
+def residue_bucketed(spark, d):
+    return pairs.pairs_by_residue(_suppliers(spark, d), _nations(spark, d), 7, 3)
+
+
+@query(f"SELECT count(*)::BIGINT AS matches FROM ({RESIDUE})")
+def residue_count(spark, d):
+    return pairs.residue_count(_suppliers(spark, d), _nations(spark, d), 7, 3).select(F.col("matches").cast("long"))
+
+
+def _keys(spark, d):
+    """Arrays whose values are the keys themselves, so sums spread widely."""
+    return (
+        _array(spark, d, "supplier", "s_suppkey", "s_suppkey"),
+        _array(spark, d, "nation", "n_nationkey", "n_nationkey"),
+        _array(spark, d, "customer", "c_custkey", "c_custkey"),
+        _array(spark, d, "region", "r_regionkey", "r_regionkey"),
+    )
+
+
+EQUAL = """
+SELECT l.key, l.a AS l_left, l.b AS l_right, r.a AS r_left, r.b AS r_right
+FROM (SELECT s_suppkey + n_nationkey AS key, s_suppkey AS a, n_nationkey AS b FROM supplier CROSS JOIN nation) l
+JOIN (SELECT c_custkey + r_regionkey AS key, c_custkey AS a, r_regionkey AS b FROM customer CROSS JOIN region) r USING (key)"""
+
+
+@query(EQUAL)
+def equal_sum_join(spark, d):
+    return pairs.equal_sum_join(*_keys(spark, d))
+
+
+@query(EQUAL)
+def equal_sum_merge(spark, d):
+    return pairs.equal_sum_join(*_keys(spark, d), hint="merge")
+
+
+@query(f"SELECT (SELECT count(*) FROM ({EQUAL}))::BIGINT AS matches, (SELECT max(n) FROM (SELECT count(*) AS n FROM customer CROSS JOIN region GROUP BY c_custkey + r_regionkey))::BIGINT AS largest_tie")
+def equal_sum_count(spark, d):
+    return pairs.equal_sum_count(*_keys(spark, d)).select(F.col("matches").cast("long"), F.col("largest_tie").cast("long"))
+
+
+@query(f"SELECT count(*)::BIGINT AS items, sha256(string_agg(concat_ws(',', key, \"left\", \"right\"), chr(10) ORDER BY key, \"left\", \"right\")) AS digest FROM ({PAIRS})")
+def pair_digest(spark, d):
+    return ordered_digest(pairs.pair_sums(_suppliers(spark, d), _nations(spark, d)), most=10_000_000)
+
+
+def _ledger(spark, d):
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"), (F.col("p_size") != 13).alias("feasible"))
+
+
+TWO = {"price": "minimize", "size": "maximize"}
+SKYLINE = """
+WITH l AS (SELECT p_partkey AS id, p_retailprice AS price, p_size::DOUBLE AS size, p_size <> 13 AS feasible FROM part)
+SELECT * FROM l r WHERE feasible AND NOT EXISTS (SELECT 1 FROM l o WHERE o.feasible AND o.price <= r.price AND o.size >= r.size AND (o.price < r.price OR o.size > r.size))"""
+
+
+@query(SKYLINE)
+def pareto_two(spark, d):
+    return pareto.skyline(pareto.validated(_ledger(spark, d), TWO), TWO)
+
+
+@query(SKYLINE)
+def pareto_window(spark, d):
+    return pareto.skyline_two(_ledger(spark, d), TWO)
+
+
+THREE = {"price": "minimize", "discount": "maximize", "tax": "minimize"}
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS price, l_discount AS discount, l_tax AS tax, l_quantity > 1 AS feasible FROM lineitem),
+b AS (SELECT discount, tax, min(price) AS price FROM l WHERE feasible GROUP BY ALL)
+SELECT * FROM l r WHERE feasible AND NOT EXISTS (SELECT 1 FROM b o WHERE o.price <= r.price AND o.discount >= r.discount AND o.tax <= r.tax AND (o.price < r.price OR o.discount > r.discount OR o.tax < r.tax))""")
+def pareto_three(spark, d):
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), (F.col("l_quantity") > 1).alias("feasible"))
+    return pareto.skyline(rows, THREE)
+
+
+@query("""
+WITH p AS (SELECT p_partkey, (p_size - 20)::BIGINT AS c0, (p_partkey % 41 - 30)::BIGINT AS c1, (p_partkey % 17)::BIGINT AS c2 FROM part)
+SELECT *, least(2 * c0, 2 * c0 + c1, 2 * (c0 + c1 + c2)) >= 0 AS certified FROM p""")
+def bernstein_quadratic(spark, d):
+    k = F.col("p_partkey")
+    rows = read(spark, d, "part").select(k, (F.col("p_size") - 20).cast("long").alias("c0"), (k % 41 - 30).cast("long").alias("c1"), (k % 17).cast("long").alias("c2"))
+    return bounds.quadratic_bound(rows, "c0", "c1", "c2")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, (p_size - 20)::BIGINT AS c0, (p_partkey % 41 - 30)::BIGINT AS c1, (p_partkey % 17)::BIGINT AS c2 FROM part),
+m AS (SELECT *, CASE WHEN c2 = 0 THEN least(c0, c0 + c1)::DOUBLE WHEN -c1 <= 0 OR -c1 >= 2 * c2 THEN least(c0, c0 + c1 + c2)::DOUBLE ELSE c0 - (c1 * c1)::DOUBLE / (4 * c2) END AS least_value FROM p)
+SELECT p_partkey, CASE WHEN least_value < 0 THEN 'negative' ELSE 'nonnegative' END AS sign FROM m""")
+def certified_quadratic(spark, d):
+    """Sign of the quadratics by certificates of up to 64 splits; any that stay open count by exact minimum in the SQL alone."""
+    k = F.col("p_partkey")
+    rows = read(spark, d, "part").select(k, (F.col("p_size") - 20).alias("c0"), (k % 41 - 30).alias("c1"), (k % 17).alias("c2"))
+    text = lambda *cs: F.array(*[F.col(c).cast("string") for c in cs])
+    top = F.when(F.col("c2") != 0, text("c0", "c1", "c2")).when(F.col("c1") != 0, text("c0", "c1")).otherwise(text("c0"))
+    problem = rows.select("p_partkey", top.alias("numerator"), F.array(F.lit("1")).alias("denominator"), F.array(F.lit("0"), F.lit("1")).alias("domain"), F.lit("0").alias("lower"), F.lit(False).alias("strict"))
+    checked = bounds.verify_rows(bounds.certify_rows(problem, 64))
+    return checked.select("p_partkey", F.when(F.col("verified") == "certified", "nonnegative").when(F.col("verified") == "violated", "negative").otherwise("open").alias("sign"))
+
+
+MEASURED = ", ".join(f"'{s}'" for s in evidence.MEASURED)
+
+
+@query(f"SELECT status, scope, status IN ({MEASURED}) AND scope = 'historicalObservation' AS allowed FROM (VALUES {', '.join(f"('{s}')" for s in evidence.STATUSES)}) s(status), (VALUES {', '.join(f"('{s}')" for s in evidence.SCOPES)}) c(scope)")
+def claim_matrix(spark, d):
+    return evidence.claim_matrix(spark)
+
+
+@query("""
+WITH u AS (SELECT n_nationkey AS id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS cpu, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS memory, n_regionkey AS io FROM nation)
+SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id AND a.cpu + b.cpu <= 120 AND a.memory + b.memory <= 9 AND a.io + b.io <= 5""")
+def composable_pairs(spark, d):
+    customers = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.count("*").alias("cpu"))
+    suppliers = read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("id")).agg(F.count("*").alias("memory"))
+    uses = read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("io")).join(customers, "id", "left").join(suppliers, "id", "left").fillna(0)
+    return evidence.composable_pairs(uses, {"cpu": 120, "memory": 9, "io": 5})
+
+
+@query("SELECT l_orderkey AS key, count(*) AS times FROM lineitem GROUP BY 1 HAVING count(*) <> 1")
+def integrity_exactly_once(spark, d):
+    return evidence.not_once(read(spark, d, "lineitem"), "l_orderkey")
+
+
+@query("SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def integrity_missing(spark, d):
+    return evidence.unknown_keys(read(spark, d, "customer"), "c_custkey", _by_status(spark, d, "F"), "o_custkey")
+
+
+@query("SELECT DISTINCT doc_id AS key FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def integrity_unknown(spark, d):
+    return evidence.unknown_keys(read(spark, d, "labels"), "doc_id", read(spark, d, "documents"), "doc_id")
+
+
+@query("SELECT o_orderkey AS key, o_orderstatus AS left_status, l_linestatus AS right_status FROM orders JOIN (SELECT l_orderkey, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE o_orderstatus IS DISTINCT FROM l_linestatus")
+def integrity_status(spark, d):
+    lines = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("o_orderstatus"))
+    return evidence.status_disagreements(read(spark, d, "orders"), lines, "o_orderkey", "o_orderstatus")
+
+
+@query("SELECT o_orderstatus, count(DISTINCT o_custkey) AS distinct_values FROM orders GROUP BY 1")
+def bitmap_distinct(spark, d):
+    return sets.cardinality(sets.bitmaps(read(spark, d, "orders"), "o_custkey", "o_orderstatus"), "o_orderstatus")
+
+
+def _by_status(spark, d, status):
+    return read(spark, d, "orders").where(F.col("o_orderstatus") == status)
+
+
+@query("SELECT count(*) AS common FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def bitmap_intersection(spark, d):
+    a, b = (sets.bitmaps(_by_status(spark, d, s), "o_custkey") for s in "OF")
+    return sets.cardinality(sets.intersection(a, b)).select(F.coalesce("distinct_values", F.lit(0)).alias("common"))
+
+
+@query("SELECT count(*) AS either FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def bitmap_union(spark, d):
+    a, b = (sets.bitmaps(_by_status(spark, d, s), "o_custkey") for s in "OF")
+    return sets.cardinality(sets.union(a, b)).select(F.coalesce("distinct_values", F.lit(0)).alias("either"))
+
+
+@query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def set_difference(spark, d):
+    return sets.difference(_by_status(spark, d, "O"), _by_status(spark, d, "F"), "o_custkey")
+
+
+@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
+def bitmap_membership(spark, d):
+    return sets.contains(sets.bitmaps(_by_status(spark, d, "O"), "o_custkey"), read(spark, d, "customer"), "c_custkey")
+
+
+#: Besides the performance terms, those of rights notices, which the tables have.
+SCANNED = f"{KEYWORDS}|licen[sc]e|all[- ]rights|public[- ]domain"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS lineno FROM documents),
+m AS (SELECT doc_id, lineno, string_split(text, chr(10))[lineno] AS line FROM l)
+SELECT doc_id AS key, lineno::INTEGER AS lineno, regexp_extract(line, '(?i){SCANNED}') AS match
+FROM m WHERE regexp_matches(line, '(?i){SCANNED}')""")
+def keyword_scan(spark, d):
+    return keyword_hits(read(spark, d, "documents"), "doc_id", "text", SCANNED).select("key", "lineno", "match")
+
+
+@query("SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) <= 50000 AS \"within\" FROM documents")
+def budget_cutoff(spark, d):
+    return within_budget(read(spark, d, "documents").select("source", "doc_id", "n_chars"), ["doc_id"], "n_chars", 50_000, ["source"])
+
+
+@query("""
+SELECT p_partkey, translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, hex(p_size::VARCHAR) AS hexed, 'integer' AS kind, p_partkey // 7 AS seventh, CASE WHEN p_size = 0 THEN NULL ELSE p_partkey // p_size END AS share, substr(p_brand, 1, 2) AS head, greatest(p_size, 9)::BIGINT AS most FROM part""")
+def sqlite_functions(spark, d):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    return read(spark, d, "part").select(k, sqlite.lower(F.col("p_name")).alias("low"), sqlite.hex_text(n).alias("hexed"), sqlite.typeof(n).alias("kind"), sqlite.divide(k, F.lit(7)).alias("seventh"), sqlite.divide(k, n).alias("share"), sqlite.substr(F.col("p_brand"), 0, 3).alias("head"), sqlite.greatest(n.cast("long"), F.lit(9)).cast("long").alias("most"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(20,6))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    return windowed_counts(read(spark, d, "events"))
+
+
+def _surface(spark_sql: str):
+    import string
+
+    tables = sorted({name for _, name, _, _ in string.Formatter().parse(spark_sql) if name})
+    return lambda spark, d: spark.sql(spark_sql, **{t: read(spark, d, t) for t in tables})
+
+
+for _name, (_spark, _duck) in SURFACE.items():
+    QUERIES[_name] = _surface(_spark)
+    ORACLE_SQL[_name] = (_duck or _spark).replace("{", "").replace("}", "")
