@@ -13,9 +13,9 @@ SURFACE: dict[str, tuple[str, str | None]] = {
     "sql_bitwise": ("SELECT p_partkey, p_size & 12 AS low, p_size | 3 AS high, shiftleft(p_size, 2) AS four FROM {part}", "SELECT p_partkey, p_size & 12 AS low, p_size | 3 AS high, (p_size * 4)::INTEGER AS four FROM part"),
     "sql_nocase": ("SELECT n_nationkey FROM {nation} WHERE lower(n_name) > 'f'", None),
     "sql_inner_join": ("SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey", None),
-    "sql_left_join": ("SELECT c_custkey, o_orderkey FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_orderstatus = 'F'", None),
+    "sql_left_join": ("SELECT c_custkey, coalesce(o_orderkey, -1) AS o_orderkey FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_orderstatus = 'F'", None),
     "sql_right_join": ("SELECT s_suppkey, n_name FROM {supplier} RIGHT JOIN {nation} ON s_nationkey = n_nationkey AND s_acctbal > 0", None),
-    "sql_full_join": ("SELECT s_suppkey, c_custkey FROM {supplier} FULL OUTER JOIN {customer} ON s_suppkey = c_custkey", None),
+    "sql_full_join": ("SELECT coalesce(s_suppkey, -1) AS s_suppkey, coalesce(c_custkey, -1) AS c_custkey FROM {supplier} FULL OUTER JOIN {customer} ON s_suppkey = c_custkey", None),
     "sql_cross_join": ("SELECT n_name, r_name FROM {nation} CROSS JOIN {region}", None),
     "sql_theta_join": ("SELECT s.s_suppkey, n.n_nationkey FROM {supplier} s JOIN {nation} n ON s.s_nationkey > n.n_nationkey", None),
     "sql_using": ("SELECT doc_id, lang, quality FROM {documents} JOIN {labels} USING (doc_id)", None),

@@ -26,6 +26,8 @@ BYTES, QUERIES, SQL_BYTES, PARAMS, ROWS, SAMPLES, SECONDS = 32_768, 16, 2_048, 1
 
 # Functions that statements may call.
 FUNCTIONS = frozenset("abs avg coalesce count hex ifnull length lower max min round substr sum trim typeof upper".split())
+#: Operators that the parser writes as functions.
+OPERATORS = frozenset(["between"])
 #: Parser nodes and expressions that statements may contain.
 NODES = frozenset("Project Filter Join Aggregate UnresolvedHaving Sort GlobalLimit LocalLimit Offset Distinct Union Intersect Except SubqueryAlias UnresolvedWith UnresolvedSubqueryColumnAliases UnresolvedRelation OneRowRelation WithWindowDefinition UnresolvedInlineTable".split())
 EXPRESSIONS = frozenset(
@@ -98,7 +100,7 @@ def admit(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> Non
         require(kind in EXPRESSIONS, f"{kind} is not allowed")
         if kind == "UnresolvedFunction":
             parts = seq(e.nameParts())
-            require(len(parts) == 1 and parts[0].lower() in FUNCTIONS, f"function {parts[-1]} is not allowed")
+            require(len(parts) == 1 and parts[0].lower() in FUNCTIONS | OPERATORS, f"function {parts[-1]} is not allowed")
         if kind in ("ScalarSubquery", "Exists", "ListQuery"):
             visit(e.plan(), ctes)
         if kind == "InSubquery":
