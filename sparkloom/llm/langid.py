@@ -21,8 +21,8 @@ from .common import hash_share, held_out
 BUCKETS, WIDTH = 1 << 13, 16
 #: Documented bound of the training sample: expected documents.
 DOCUMENTS = 4_000
-#: Share of the texts kept back that the threshold may reject.
-REJECTED = 0.0005
+#: Share of the texts kept back that the threshold may reject, and the highest threshold.
+REJECTED, HIGHEST = 0.0005, 0.4
 SLICE = 1 << 20
 UNKNOWN = "und"
 
@@ -131,7 +131,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: i
     p /= p.sum(axis=1, keepdims=True)
     right = p.argmax(axis=1) == y[back]
     threshold = float(np.quantile(p.max(axis=1)[right], REJECTED)) if right.any() else 0.0
-    return LanguageModel(names, model.table, bias, temperature, min(threshold, 0.5))
+    return LanguageModel(names, model.table, bias, temperature, min(threshold, HIGHEST))
 
 
 def training_rows(docs: DataFrame, documents: int = DOCUMENTS) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
