@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import sqlite
 from ..functions.digest import ordered_digest
 from ..functions.text import KEYWORDS, keyword_hits
-from ..operators import bounds, evidence, pairs, pareto, sets
+from ..operators import approximate, bounds, evidence, pairs, pareto, sets
+from ..operators.order import with_ordinal
 from ..sources.archives import within_budget
 from ..streaming.replay import windowed_counts
 from .surface import SURFACE
@@ -289,6 +290,42 @@ def event_windows(spark, d):
     return windowed_counts(read(spark, d, "events"))
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS ordinal FROM orders")
+def global_ordinal(spark, d):
+    return with_ordinal(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", F.col("ordinal").cast("long"))
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS \"within\" FROM lineitem GROUP BY 1")
+def approx_distinct(spark, d):
+    return approximate.checked_distinct(read(spark, d, "lineitem"), "l_partkey", "l_returnflag")
+
+
+@query("SELECT event_type, count(*) AS n, true AS \"within\" FROM events GROUP BY 1")
+def approx_quantile(spark, d):
+    return approximate.checked_quantile(read(spark, d, "events"), "value", "event_type")
+
+
+@query(f"SELECT record, status, status IN ({MEASURED}) AS historical FROM (VALUES {', '.join(f"('{r}', '{s}')" for r, s in evidence.FROZEN.items())}) f(record, status)")
+def frozen_records(spark, d):
+    df = spark.createDataFrame(list(evidence.FROZEN.items()), "record string, status string")
+    return df.withColumn("historical", evidence.measured_claim_allowed(F.col("status"), F.lit("historicalObservation")))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 100000 AND o_orderstatus = 'F' THEN o_totalprice ELSE o_totalprice * 2 END AS price FROM orders")
+def invariant_reuse(spark, d):
+    """Reuses a value where its invariant holds and recomputes it elsewhere."""
+    holds = (F.col("o_totalprice") > 100000) & (F.col("o_orderstatus") == "F")
+    return read(spark, d, "orders").select("o_orderkey", evidence.invariant_reuse(holds, F.col("o_totalprice"), F.col("o_totalprice") * 2).alias("price"))
+
+
+@query("SELECT sum(n * k)::BIGINT AS matches FROM (SELECT s_nationkey AS key, count(*) AS n FROM supplier GROUP BY 1) JOIN (SELECT c_nationkey AS key, count(*) AS k FROM customer GROUP BY 1) USING (key)")
+def frequency_join(spark, d):
+    """Number of joined rows from the frequencies of both sides."""
+    a = read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("key")).agg(F.count("*").alias("n"))
+    b = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("key")).agg(F.count("*").alias("k"))
+    return a.join(b, "key").agg(F.sum(F.col("n") * F.col("k")).alias("matches"))
+
+
 def _surface(spark_sql: str):
     import string
 

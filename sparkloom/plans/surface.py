@@ -45,6 +45,9 @@ SURFACE: dict[str, tuple[str, str | None]] = {
     "sql_except_all": ("SELECT c_nationkey FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}", None),
     "sql_distinct": ("SELECT DISTINCT o_orderstatus, o_orderpriority FROM {orders}", None),
     "sql_functions": ("SELECT p_partkey, abs(p_size - 25) AS off, coalesce(nullif(p_size, 1), 0) AS size, length(p_name) AS n, lower(p_brand) AS low, upper(p_type) AS up, substr(p_name, 2, 3) AS part, trim(p_brand) AS trimmed, ifnull(p_size, 0) AS filled, round(p_retailprice, 0) AS price FROM {part}", None),
+    "sql_sha256": ("SELECT c_custkey, sha2(c_name, 256) AS digest FROM {customer}", "SELECT c_custkey, sha256(c_name) AS digest FROM customer"),
+    "sql_lateral": ("SELECT n_nationkey, t.k FROM {nation}, LATERAL (SELECT count(*) AS k FROM {supplier} WHERE s_nationkey = n_nationkey) t", None),
+    "sql_integer_division": ("SELECT p_partkey, p_partkey DIV 7 AS q, p_partkey % 7 AS r FROM {part}", "SELECT p_partkey, p_partkey // 7 AS q, p_partkey % 7 AS r FROM part"),
     "sql_grouping_sets": ("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())", None),
     "session_latest": ("SELECT conv_id, turn, role FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM {conversations}) t WHERE turn > last - 8", None),
     "session_count": ("SELECT conv_id, count(*) AS n FROM {conversations} GROUP BY conv_id", None),

@@ -49,7 +49,9 @@ def connect(path: str):
     import sqlite3
     from urllib.parse import quote
 
-    db = sqlite3.connect(f"file:{quote(path)}?mode=ro&immutable=1", uri=True)
+    from .paths import without_sidecars
+
+    db = sqlite3.connect(f"file:{quote(str(without_sidecars(path)))}?mode=ro&immutable=1", uri=True)
     db.execute("pragma query_only = on")
     db.execute("pragma trusted_schema = off")
     return contextlib.closing(db)
