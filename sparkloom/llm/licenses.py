@@ -9,6 +9,7 @@ higher priority goes.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -159,8 +160,9 @@ def words(text: Column) -> Column:
 
 
 def _rule_table() -> Column:
-    rows = [F.struct(F.lit(f" {r.keyword} ").alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence")) for i, r in enumerate(rules())]
-    return F.array(*rows)
+    """All rules as one array literal; read from JSON, which the optimizer folds, for thousands of literals would slow it down."""
+    rows = [{"keyword": f" {r.keyword} ", "pattern": r.pattern, "priority": r.priority, "rank": i, "label": r.label, "confidence": r.confidence} for i, r in enumerate(rules())]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<keyword:string,pattern:string,priority:int,rank:int,label:string,confidence:double>>")
 
 
 def _places(phrase: str) -> Column:

@@ -14,9 +14,9 @@ from .mixing import mixing_order
 from .quality import quality_scores
 from .simhash import near_duplicates
 from .tokens import token_digests
-from .topk import top_k
+from .topk import top_k, top_k_sql
 from .urls import judge_urls, verdict_sql
-from .vectors import near_vectors
+from .vectors import near_vectors, near_vectors_sql
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -77,4 +77,4 @@ _ALL = (
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {"op4_url_vocabulary": verdict_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_url_vocabulary": verdict_sql(), "op5_norm_sorted_topk": top_k_sql(), "op9_subspace_near_dedup": near_vectors_sql()}
