@@ -158,6 +158,8 @@ PAGE = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=
 def test_extraction():
     assert H.main_text(PAGE % ("article", "article")) == "Head One & two Three"
     assert H.main_text(PAGE % ("div class='post-content'", "div")) == "Head One & two Three"
+    assert H.main_text("<body class='post menu-open'><div class='layout-sidebar'><div id=content><div>Teaser</div><article><p>A</p></article><aside>x</aside></div></div>") == "A"
+    assert H.main_text("<div class=content-wrapper><form>f</form><main><p>B</p><section id=comments><article>c</article></section></main></div>") == "B"
     assert H.main_text(None) == H.main_text("") == H.main_text("<p></p>") == ""
     assert H.main_text("plain   text") == "plain text"
     assert H.main_text("<article>a<p>b<br>c</p><!-- x --><img alt='y'>d &lt;e&gt; &am</article>") == "a b c d <e> &am"
