@@ -113,3 +113,41 @@ def equal_sum_count(a: DataFrame, b: DataFrame, c: DataFrame, d: DataFrame) -> D
     left, right = sum_counts(a, b).withColumnRenamed("pairs", "n"), sum_counts(c, d).withColumnRenamed("pairs", "k")
     ties = right.agg(F.coalesce(F.max("k"), F.lit(0)).alias("largest_tie"))
     return left.join(right, "key").agg(F.coalesce(F.sum(F.col("n") * F.col("k")), F.lit(0)).alias("matches")).crossJoin(ties)
+
+
+def wide_pair_sums(first: DataFrame, second: DataFrame, modulus: int | None = None, residue: int = 0) -> DataFrame:
+    """(key, left, right) of arrays whose values are whole numbers of any length, as strings; keys are canonical strings.
+
+    With a modulus of any size only sums with the residue stay; each side's
+    residues are computed once for each element and joined, not tested pair by
+    pair.  Equal keys are equal strings, so sums join as usual.
+    """
+    require(modulus is None or modulus >= 1, "the modulus is positive")
+    left, right = _sides(first, second)
+
+    @F.pandas_udf("string")
+    def total(a, b):
+        return a.map(int).add(b.map(int)).map(str)
+
+    if modulus is None:
+        return left.crossJoin(right).select(total("a", "b").alias("key"), "left", "right")
+
+    @F.pandas_udf("string")
+    def have(b):
+        return b.map(lambda x: str(int(x) % modulus))
+
+    @F.pandas_udf("string")
+    def want(a):
+        return a.map(lambda x: str((residue - int(x)) % modulus))
+
+    joined = left.withColumn("want", want("a")).join(right.withColumn("have", have("b")), F.col("want") == F.col("have"))
+    return joined.select(total("a", "b").alias("key"), "left", "right")
+
+
+def wide_order(key: str = "key") -> list:
+    """Columns that sort canonical strings of whole numbers by value."""
+    k, negative = F.col(key), F.startswith(F.col(key), F.lit("-"))
+    size = F.when(negative, -F.length(k)).otherwise(F.length(k))
+    # Digits of negative numbers sort the other way round.
+    turned = F.when(negative, F.translate(k, "0123456789", "9876543210")).otherwise(k)
+    return [size, turned]

@@ -91,3 +91,16 @@ def test_residue_plan_is_an_equal_join(spark):
     df = pairs.pairs_by_residue(array(spark, range(50)), array(spark, range(50)), 7, 3)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_numbers_of_any_length(spark):
+    rng = random.Random(20261008)
+    draw = lambda: [rng.choice([10**80, -(10**80), 3, -3, 0]) + rng.randint(-5, 5) for _ in range(6)]
+    a, b = draw(), draw()
+    first, second = (array(spark, list(map(str, x)), "string") for x in (a, b))
+    found = [(int(r[0]), r[1], r[2]) for r in pairs.wide_pair_sums(first, second).orderBy(*pairs.wide_order(), "left", "right").collect()]
+    assert found == brute(a, b)
+    m = 10**81 + 12
+    for residue in (0, sum(brute(a, b)[3][:1]) - 2 * m):
+        got = sorted((int(r[0]), r[1], r[2]) for r in pairs.wide_pair_sums(first, second, m, residue).collect())
+        assert got == [p for p in brute(a, b) if (p[0] - residue) % m == 0]
