@@ -25,6 +25,7 @@ EXACT, NAMED, NOTICE = 1, 2, 3
 @dataclass(frozen=True)
 class Rule:
     label: str
+    #: Whole words with single spaces between them; a space is never just optional (not " ?" but "(?: )?").
     pattern: str
     keyword: str
     priority: int
@@ -40,7 +41,7 @@ def rules() -> tuple[Rule, ...]:
     out: list[Rule] = []
 
     def add(label, pattern, keyword, priority, confidence):
-        out.append(Rule(label, f"(?<= ){pattern}(?= )", keyword, priority, confidence))
+        out.append(Rule(label, pattern, keyword, priority, confidence))
 
     versioned = [
         # label, name pattern, keyword, versions
@@ -98,7 +99,7 @@ def rules() -> tuple[Rule, ...]:
             major, minor = version.split(".")
             number = major if minor == "0" else f"{major} {minor}"
             tail = rf"(?: {minor})?" if minor == "0" else rf" {minor}"
-            add(f"{label}-{number.replace(' ', '.')}", _licensed(rf"(?:{name})(?: version| v| ver)?(?: |(?<=v)|(?: v)){major}{tail}") + r"(?: or (?:\w+ ){0,4}later(?: version)?)?", keyword, EXACT, 0.98)
+            add(f"{label}-{number.replace(' ', '.')}", _licensed(rf"(?:{name})(?:(?: version| v| ver)? | v){major}{tail}") + r"(?: or (?:\w+ ){0,4}later(?: version)?)?", keyword, EXACT, 0.98)
             add(f"{label}-{number.replace(' ', '.')}", _licensed(rf"version {major}{tail} of the (?:{name})"), keyword, EXACT, 0.95)
         add(label, _licensed(name) if " " in name else rf"licensed under (?:the )?(?:{name})", keyword, NAMED, 0.85)
 
@@ -106,7 +107,7 @@ def rules() -> tuple[Rule, ...]:
         for major in majors:
             add(f"{short}-{major}", _licensed(rf"(?:gnu )?{short}v{major}") + r"(?: or (?:\w+ ){0,4}later(?: version)?)?", f"{short}v{major}", EXACT, 0.98)
 
-    attribution = {"by": "attribution", "by-sa": "attribution share ?alike", "by-nc": "attribution non ?commercial", "by-nd": "attribution no ?deriv(?:ative)?s?(?: works)?", "by-nc-sa": "attribution non ?commercial share ?alike", "by-nc-nd": "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"}
+    attribution = {"by": "attribution", "by-sa": "attribution share(?: )?alike", "by-nc": "attribution non(?: )?commercial", "by-nd": "attribution no(?: )?deriv(?:ative)?s?(?: works)?", "by-nc-sa": "attribution non(?: )?commercial share(?: )?alike", "by-nc-nd": "attribution non(?: )?commercial no(?: )?deriv(?:ative)?s?(?: works)?"}
     for kind, words in attribution.items():
         short = f"cc {kind.replace('-', ' ')}"
         for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
@@ -161,7 +162,7 @@ def words(text: Column) -> Column:
 
 def _rule_table() -> Column:
     """All rules as one array literal; read from JSON, which the optimizer folds, for thousands of literals would slow it down."""
-    rows = [{"keyword": f" {r.keyword} ", "pattern": r.pattern, "priority": r.priority, "rank": i, "label": r.label, "confidence": r.confidence} for i, r in enumerate(rules())]
+    rows = [{"keyword": f" {r.keyword} ", "pattern": f"(?<= )(?:{r.pattern})(?= )", "priority": r.priority, "rank": i, "label": r.label, "confidence": r.confidence} for i, r in enumerate(rules())]
     return F.from_json(F.lit(json.dumps(rows)), "array<struct<keyword:string,pattern:string,priority:int,rank:int,label:string,confidence:double>>")
 
 
@@ -226,3 +227,28 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.array_join(F.array_sort(F.array_union("base", F.coalesce("kept.labels", F.array().cast("array<string>")))), ",").alias("labels"),
         F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce("kept.score", F.lit(0.0))).alias("score"),
     )
+
+
+def license_sql() -> str:
+    """DuckDB SQL of license_scan() on the documents.
+
+    Its regular expressions have no look-around: spaces are doubled, so that
+    each match can take one on either side.
+    """
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    double = lambda x: x.replace(" ", "  ")
+    values = ", ".join(f"({i}, {quote(f'  {double(r.keyword)}  ')}, {quote(f' (?:{double(r.pattern)}) ')}, {r.priority}, {quote(r.label)}, {r.confidence}::DOUBLE)" for i, r in enumerate(rules()))
+    places = {label: f"list_filter(range(0, len(words)), lambda i: {' AND '.join(f'words[i + {k}] = {quote(w)}' for k, w in enumerate(phrase.split(), 1))})" for phrase, label in BASE.items()}
+    base = " || ".join(f"CASE WHEN len({p}) > 0 THEN [{quote(label)}] ELSE [] END" for label, p in places.items())
+    return f"""
+WITH rules(rank, keyword, pattern, priority, label, confidence) AS (VALUES {values}),
+d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+p AS (SELECT *, '  ' || array_to_string(words, '  ') || '  ' AS line, {" || ".join(places.values())} AS places, list_sort({base}) AS base FROM d),
+m AS (SELECT n, rank, priority, label, confidence, regexp_extract_all(line, pattern) AS found, regexp_split_to_array(line, pattern) AS gaps FROM p JOIN rules ON contains(line, keyword)),
+k AS (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM m),
+t AS (SELECT n, rank, priority, label, confidence, list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:k-1], lambda x: length(x))), 0) AS a, length(found[k]) AS size FROM k),
+i AS (SELECT n, rank, priority, label, confidence, a, a + size AS z FROM t),
+kept AS (SELECT * FROM i x WHERE NOT EXISTS (SELECT 1 FROM i e WHERE e.n = x.n AND e.z >= x.z AND e.priority <= x.priority AND (e.a < x.a OR e.a = x.a AND (e.z > x.z OR e.z = x.z AND (e.priority < x.priority OR e.priority = x.priority AND e.rank < x.rank))))),
+own AS (SELECT n, list(DISTINCT label) AS labels, max(confidence) AS score FROM kept GROUP BY n)
+SELECT doc_id, len(words)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word, array_to_string(base, ',') AS base_labels,
+array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ',') AS labels, CASE WHEN len(base) > 0 THEN 1.0 ELSE coalesce(score, 0.0) END::DOUBLE AS score FROM p LEFT JOIN own USING (n)"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read, set_batch_rows
 from .html import extract_pages
 from .langid import language_scores
-from .licenses import license_scan
+from .licenses import license_scan, license_sql
 from .mixing import mixing_order
 from .quality import quality_scores
 from .simhash import near_duplicates
@@ -77,4 +77,4 @@ _ALL = (
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {"op4_url_vocabulary": verdict_sql(), "op5_norm_sorted_topk": top_k_sql(), "op9_subspace_near_dedup": near_vectors_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_url_vocabulary": verdict_sql(), "op5_norm_sorted_topk": top_k_sql(), "op9_subspace_near_dedup": near_vectors_sql(), "op10_license_rules": license_sql()}

@@ -224,7 +224,7 @@ def brute_scan(text):
     line, found = " " + " ".join(words) + " ", []
     for rank, r in enumerate(R.rules()):
         if f" {r.keyword} " in line:
-            found += [(m.start(), -m.end(), r.priority, rank, r.label, r.confidence) for m in re.finditer(r.pattern, line)]
+            found += [(m.start(), -m.end(), r.priority, rank, r.label, r.confidence) for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", line)]
     found.sort()
     kept = [d for k, d in enumerate(found) if not any(e[1] <= d[1] and e[2] <= d[2] for e in found[:k])]
     every = [i for p in places.values() for i in p]
