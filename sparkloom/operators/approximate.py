@@ -15,7 +15,7 @@ def checked_distinct(df: DataFrame, value: str, *by: str, error: float = 0.05) -
 def checked_quantile(df: DataFrame, value: str, *by: str, share: float = 0.5, accuracy: int = 1000) -> DataFrame:
     """(by..., n, within): rows, and whether the approximate quantile's rank among non-null values is within two in ``accuracy``."""
     sketch = df.groupBy(*by).agg(F.percentile_approx(value, share, accuracy).alias("_q"))
-    joined = df.join(F.broadcast(sketch), list(by)) if by else df.crossJoin(F.broadcast(sketch))
+    joined = df.join(sketch, list(by)) if by else df.crossJoin(F.broadcast(sketch))
     ranks = joined.groupBy(*by).agg(F.count("*").alias("n"), F.count(value).alias("_m"), F.count_if(F.col(value) < F.col("_q")).alias("_below"), F.count_if(F.col(value) <= F.col("_q")).alias("_up_to"))
     goal, slack = share * F.col("_m"), F.greatest(F.lit(2.0), 2 * F.col("_m") / accuracy)
     return ranks.select(*by, "n", ((F.col("_below") <= goal + slack) & (F.col("_up_to") >= goal - slack)).alias("within"))

@@ -58,13 +58,52 @@ def local_skyline(rows: DataFrame, metrics: Mapping[str, str]) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def skyline(ledger: DataFrame, metrics: Mapping[str, str], feasible: str = "feasible", local: bool = True) -> DataFrame:
+def _matrix(table, metrics: Mapping[str, str]):
+    import numpy as np
+
+    signs = [1 if d == "minimize" else -1 for d in metrics.values()]
+    columns = [table.column(m).to_pylist() if str(table.column(m).type).startswith("decimal") else table.column(m).to_numpy() for m in metrics]
+    return np.column_stack([s * np.asarray(c) for c, s in zip(columns, signs)])
+
+
+def _by_blocks(rows: DataFrame, metrics: Mapping[str, str], n: int) -> DataFrame:
+    """The skyline by meeting every two of ``n`` blocks in a task of their own; a row stays if it does in all of them."""
+    import pyarrow as pa
+
+    names = rows.columns
+    mixed = F.pmod(F.xxhash64(*names), F.lit(n)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    judged = rows.select("*", mixed.alias("_i"), every.alias("_j"), F.lit(True).alias("_judged"))
+    judges = rows.select("*", every.alias("_i"), mixed.alias("_j"), F.lit(False).alias("_judged"))
+
+    def meet(key, group):
+        import numpy as np
+
+        own = group.column("_judged").to_numpy(zero_copy_only=False).astype(bool)
+        x = _matrix(group, metrics)
+        others = x[~own]
+        stays = [not ((others <= r).all(axis=1) & (others < r).any(axis=1)).any() for r in x[own]]
+        return group.filter(pa.array(own)).select(names).append_column("_stays", pa.array(np.array(stays, bool)))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _stays boolean"
+    fates = judged.union(judges).groupBy("_i", "_j").applyInArrow(meet, schema)
+    # Equal rows share their fate, and each has met every block once.
+    kept = fates.groupBy(*names).agg(F.bool_and("_stays").alias("_stays"), (F.count("*") / n).cast("int").alias("_copies")).where("_stays")
+    return kept.select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+
+
+def skyline(ledger: DataFrame, metrics: Mapping[str, str], feasible: str = "feasible", local: bool = True, most: int = 100_000) -> DataFrame:
     """Feasible rows that no feasible row dominates: nowhere worse and somewhere better.  Equal rows all stay.
 
-    Each task first reduces its own rows; what is left is compared pairwise.
+    Each task first reduces its own rows.  What is left is compared pairwise:
+    by a broadcast anti join of at most ``most`` rows, by pairs of blocks of a
+    tenth of that beyond it.
     """
     rows = ledger.where(F.col(feasible))
-    small = local_skyline(rows, metrics) if local else rows
+    small = (local_skyline(rows, metrics) if local else rows).persist()
+    n = small.count()
+    if n > most:
+        return _by_blocks(small, metrics, max(2, -(-10 * n // most)))
     at_most, better = _no_worse("o", "r", metrics)
     return small.alias("r").join(small.alias("o"), at_most & better, "left_anti")
 

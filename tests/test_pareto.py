@@ -29,6 +29,8 @@ def test_random_ledgers(spark, seed):
     df = spark.createDataFrame(rows, "id string, a long, b long, c long, feasible boolean").repartition(5)
     assert sorted(r["id"] for r in pareto.skyline(df, DIRECTIONS).collect()) == brute(rows, DIRECTIONS)
     assert sorted(r["id"] for r in pareto.skyline(df, DIRECTIONS, local=False).collect()) == brute(rows, DIRECTIONS)
+    blocks = pareto.skyline(df.union(df), DIRECTIONS, local=False, most=60)
+    assert sorted(r["id"] for r in blocks.collect()) == sorted(brute(rows, DIRECTIONS) * 2)
     two = {"a": "minimize", "b": "maximize"}
     flat = [(r[0], r[1], r[2], r[-1]) for r in rows]
     for kind in ("long", "double"):
