@@ -29,43 +29,45 @@ def _no_worse(a: str, b: str, metrics: Mapping[str, str]) -> tuple[Column, Colum
     return reduce(Column.__and__, [x <= y for x, y in pairs]), reduce(Column.__or__, [x < y for x, y in pairs])
 
 
+def _matrix(table, metrics: Mapping[str, str]):
+    import numpy as np
+
+    signs = [1 if d == "minimize" else -1 for d in metrics.values()]
+    columns = [table.column(m).to_pylist() if str(table.column(m).type).startswith("decimal") else table.column(m).to_numpy() for m in metrics]
+    return np.column_stack([s * np.asarray(c) for c, s in zip(columns, signs)])
+
+
+def front(x) -> list[int]:
+    """Rows of a matrix (less is better) that no row dominates; whatever is left is compared with one row of the front at a time."""
+    import numpy as np
+
+    order = np.lexsort(x.T[::-1]) if x.dtype != object else np.array(sorted(range(len(x)), key=lambda i: tuple(x[i])), int)
+    out: list[int] = []
+    while len(order):  # what comes first in the order of all columns is dominated by nothing left
+        left, pivot = x[order], x[order[0]]
+        same = (left == pivot).all(axis=1)
+        out += order[same].tolist()
+        order = order[~(left >= pivot).all(axis=1)]
+    return out
+
+
 def local_skyline(rows: DataFrame, metrics: Mapping[str, str]) -> DataFrame:
     """Rows that none of the same task's rows dominates; dominance is transitive, so no row of the skyline goes."""
-    names, signs = list(metrics), [1 if d == "minimize" else -1 for d in metrics.values()]
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        kept, seen = None, None
+        kept = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             kept = table if kept is None else pa.concat_tables([kept, table])
-            x = np.column_stack([s * kept.column(n).to_numpy().astype(object if pa.types.is_decimal(kept.column(n).type) else kept.column(n).to_numpy().dtype) for n, s in zip(names, signs)])
-            order = np.lexsort(x.T[::-1]) if x.dtype != object else np.array(sorted(range(len(x)), key=lambda i: tuple(x[i])), int)
-            front: list[int] = []
-            for i in order:  # whatever dominates a row comes before it
-                if front:
-                    y = x[front]
-                    if ((y <= x[i]).all(axis=1) & (y < x[i]).any(axis=1)).any():
-                        continue
-                front.append(int(i))
-            kept = kept.take(pa.array(front))
-            seen = kept.schema
-        if seen is not None:
+            kept = kept.take(pa.array(front(_matrix(kept, metrics)), pa.int64()))
+        if kept is not None:
             yield from kept.to_batches()
 
     return rows.mapInArrow(run, rows.schema)
 
 
-def _matrix(table, metrics: Mapping[str, str]):
-    import numpy as np
-
-    signs = [1 if d == "minimize" else -1 for d in metrics.values()]
-    columns = [table.column(m).to_pylist() if str(table.column(m).type).startswith("decimal") else table.column(m).to_numpy() for m in metrics]
-    return np.column_stack([s * np.asarray(c) for c, s in zip(columns, signs)])
-
-
 def _by_blocks(rows: DataFrame, metrics: Mapping[str, str], n: int) -> DataFrame:
     """The skyline by meeting every two of ``n`` blocks in a task of their own; a row stays if it does in all of them."""
     import pyarrow as pa
