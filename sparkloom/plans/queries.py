@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqlite
 from ..functions.digest import ordered_digest
-from ..functions.text import KEYWORDS, keyword_hits
+from ..functions.text import KEYWORDS, STEMS, keyword_hits
 from ..operators import approximate, bounds, evidence, pairs, pareto, sets
 from ..operators.order import with_ordinal
 from ..sources.archives import within_budget
@@ -270,7 +270,7 @@ m AS (SELECT doc_id, lineno, string_split(text, chr(10))[lineno] AS line FROM l)
 SELECT doc_id AS key, lineno::INTEGER AS lineno, regexp_extract(line, '(?i){SCANNED}') AS match
 FROM m WHERE regexp_matches(line, '(?i){SCANNED}')""")
 def keyword_scan(spark, d):
-    return keyword_hits(read(spark, d, "documents"), "doc_id", "text", SCANNED).select("key", "lineno", "match")
+    return keyword_hits(read(spark, d, "documents"), "doc_id", "text", SCANNED, stems=(*STEMS, "licen", "rights", "domain")).select("key", "lineno", "match")
 
 
 @query("SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) <= 50000 AS \"within\" FROM documents")
