@@ -9,7 +9,6 @@ higher priority goes.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -161,9 +160,16 @@ def words(text: Column) -> Column:
 
 
 def _rule_table() -> Column:
-    """All rules as one array literal; read from JSON, which the optimizer folds, for thousands of literals would slow it down."""
-    rows = [{"keyword": f" {r.keyword} ", "pattern": f"(?<= )(?:{r.pattern})(?= )", "priority": r.priority, "rank": i, "label": r.label, "confidence": r.confidence} for i, r in enumerate(rules())]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<keyword:string,pattern:string,priority:int,rank:int,label:string,confidence:double>>")
+    """All rules as one struct of arrays, each split from one string: the optimizer folds it into a single literal."""
+    table = rules()
+
+    def column(values, kind="string"):
+        return F.split(F.lit("\n".join(map(str, values))), "\n").cast(f"array<{kind}>")
+
+    return F.struct(
+        column(f" {r.keyword} " for r in table).alias("keyword"), column(f"(?<= )(?:{r.pattern})(?= )" for r in table).alias("pattern"), column((r.priority for r in table), "int").alias("priority"),
+        column(r.label for r in table).alias("label"), column((r.confidence for r in table), "double").alias("confidence"),
+    )
 
 
 def _places(phrase: str) -> Column:
@@ -178,12 +184,12 @@ def _places(phrase: str) -> Column:
 #: Matches of one rule as (begin, end) in the line, from the pieces between them.
 _MATCHES = """
 aggregate(
-  zip_with(regexp_extract_all(line, r.pattern, 0), slice(split(line, r.pattern), 1, size(regexp_extract_all(line, r.pattern, 0))), (m, gap) -> struct(length(gap) as gap, length(m) as size)),
+  zip_with(regexp_extract_all(line, get(rules.pattern, r), 0), slice(split(line, get(rules.pattern, r)), 1, size(regexp_extract_all(line, get(rules.pattern, r), 0))), (m, gap) -> struct(length(gap) as gap, length(m) as size)),
   named_struct('at', 0, 'found', cast(array() as array<struct<begin:int,back:int,priority:int,rank:int,label:string,confidence:double>>)),
-  (acc, x) -> named_struct('at', acc.at + x.gap + x.size, 'found', array_append(acc.found, named_struct('begin', acc.at + x.gap, 'back', -(acc.at + x.gap + x.size), 'priority', r.priority, 'rank', r.rank, 'label', r.label, 'confidence', r.confidence))),
+  (acc, x) -> named_struct('at', acc.at + x.gap + x.size, 'found', array_append(acc.found, named_struct('begin', acc.at + x.gap, 'back', -(acc.at + x.gap + x.size), 'priority', get(rules.priority, r), 'rank', r, 'label', get(rules.label, r), 'confidence', get(rules.confidence, r)))),
   acc -> acc.found)
 """
-_DETECTED = f"array_sort(flatten(transform(filter(rules, r -> contains(line, r.keyword)), r -> {_MATCHES})))"
+_DETECTED = f"array_sort(flatten(transform(filter(sequence(0, size(rules.keyword) - 1), r -> contains(line, get(rules.keyword, r))), r -> {_MATCHES})))"
 #: Detections come by begin, longest first: one is within an earlier one of at most its priority number if it ends by that one's end.
 _KEPT = """
 aggregate(detected,
