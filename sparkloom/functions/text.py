@@ -30,7 +30,8 @@ def keyword_hits(docs: DataFrame, key: str, text: str, keywords: str = KEYWORDS,
     if stems:
         # The four letters beyond ASCII that fold to one in it.
         folded = F.lower(F.translate(F.col(text), "\u017f\u212a\u0130\u0131", "skii"))
-        docs = docs.where(reduce(Column.__or__, [F.contains(folded, F.lit(s)) for s in stems]))
+        # As a lambda's argument the folded text is made once, not for each stem.
+        docs = docs.where(F.exists(F.array(folded), lambda t: reduce(Column.__or__, [F.contains(t, F.lit(s)) for s in stems])))
     rows = docs.select(F.col(key).alias("key"), F.posexplode(lines(F.col(text))).alias("at", "line"))
     pattern = f"(?iu){keywords}"
     found = rows.where(F.rlike("line", F.lit(pattern)))
