@@ -197,15 +197,18 @@ def _scan(batches, radius: int, block: int):
         cuts = np.flatnonzero(np.diff(key)) + 1
         starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
         lengths, edges, runs = ends - starts, [], []
-        small = np.repeat(lengths <= SHORT, lengths)
+        # The last rows of a run that was handed over belong to it, few as they may be.
+        whole = np.ones(len(starts), bool) if spilled is None else key[starts] != spilled
+        short = whole & (lengths <= SHORT)
+        small = np.repeat(short, lengths)
         k, f = key[small], fps[small]
         for lag in range(1, SHORT):
             near = (k[lag:] == k[:-lag]) & (np.bitwise_count(f[lag:] ^ f[:-lag]) <= radius)
             edges += zip(f[:-lag][near].tolist(), f[lag:][near].tolist())
-        for i in np.flatnonzero(lengths > SHORT):
-            own, run = key[starts[i]], fps[starts[i] : ends[i]]
-            if own == spilled or len(run) > block:
-                runs.append((int(own), run))
+        for i in np.flatnonzero(~short):
+            run = fps[starts[i] : ends[i]]
+            if not whole[i] or len(run) > block:
+                runs.append((int(key[starts[i]]), run))
             else:
                 edges += forest(run, radius)
         return _links(edges, runs)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -104,6 +105,20 @@ def test_links_of_dense_groups(spark, block):
     assert groups([found.get(s, s) for s in signed]) == groups(want)
 
 
+@pytest.mark.parametrize("tail", range(1, 10))
+@pytest.mark.parametrize("rows", [3, 16])
+def test_tails_of_long_runs_stay_with_them(tail, rows):
+    """A run that is handed over keeps its last rows, however few share a batch with the next key."""
+    block = 2 * rows
+    first = -(-(block + 1) // rows) * rows  # whole batches, after which the run has been handed over
+    fps = np.arange(first + tail, dtype=np.int64) << 5
+    keys, other = np.full(len(fps), 7), np.array([1, 3, 127 << 40])
+    table = pa.table({"key": np.concatenate([keys, [8] * 3]), "fp": np.concatenate([fps, other])})
+    out = [r for b in S._scan(table.to_batches(max_chunksize=rows), 4, block) if b is not None for r in b.to_pylist()]
+    assert sorted(r["u"] for r in out if r["key"] == 7) == fps.tolist()
+    assert [(r["u"], r["v"]) for r in out if r["key"] is None] == [(1, 3)]
+
+
 def test_near_duplicates_of_the_small_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = docs.collect()
