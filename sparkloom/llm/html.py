@@ -3,10 +3,11 @@
 Tokens are opening tags with their path and runs of text with theirs.  Over
 all pages of a host, tokens with the same occurrence vector (so many times on
 each page) form an equivalence class; classes that are frequent, have several
-tokens and keep their order make up the host's template.  What the template
-leaves are slots.  Main text are the slots of the article; menus, notices,
-comments and the like are told by the elements that hold them, and on pages
-without an article element all slots outside such elements count.
+tokens and keep their order make up the host's template.  Classes
+nest in each other's slots.  What the template leaves is main text or not by
+the elements that hold it: menus, notices, comments and the like go, and of
+article elements, main elements and elements named like them those with the
+most text stay; on pages without any of these all the rest counts.
 """
 
 from __future__ import annotations
@@ -125,15 +126,68 @@ def valid_classes(tokens: list[int], classes: dict[int, int]) -> set[int]:
     return good
 
 
+def nested_template(tokens: list[int], classes: dict[int, int]) -> tuple[set[int], list[tuple[int, int] | None]]:
+    """Tokens of the valid classes that nest, and by token the slot it stands in: a class and how many of its tokens came before.
+
+    An instance of a class reaches from its first token to its last.  Classes
+    nest if each instance stands in one slot of another class, the same for
+    all instances; of two that overlap otherwise, the one with fewer tokens goes.
+    """
+    good = valid_classes(tokens, classes)
+    sizes = Counter(classes[t] for t in good)
+    bad = {0}
+    while bad:
+        stack, parents, slots, bad = [], {}, [], set()
+        for t in tokens:
+            if t not in good:
+                slots.append(tuple(stack[-1]) if stack else None)
+                continue
+            c = classes[t]
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == c), None)
+            if at is None:
+                slots.append(tuple(stack[-1]) if stack else None)
+                if parents.setdefault(c, slots[-1]) != slots[-1]:
+                    bad.add(c)
+                stack.append([c, 0])
+                at = len(stack) - 1
+            else:
+                slots.append(tuple(stack[at]))
+            if at < len(stack) - 1:
+                bad.add(min((x[0] for x in stack[at:]), key=lambda x: (sizes[x], x)))
+                del stack[at + 1 :]
+            stack[at][1] += 1
+            if stack[at][1] == sizes[c]:
+                stack.pop()
+        good = {t for t in good if classes[t] not in bad}
+    return good, slots
+
+
 def main_text(page: str | None, classes: dict[int, int] | None = None) -> str:
-    """Main text of a page, given the classes of its host's frequent tokens."""
+    """Main text of a page, given the classes of its host's frequent tokens.
+
+    The template's own text goes first.  Of the slots that are left, elements
+    tell which hold main text: those of the kind (article, main and, where
+    there is a template, a name like these) with the most text.
+    """
     pieces = parse(page)
-    runs = [p for p in pieces if not isinstance(p, str)]
-    surest = max((r.main for r in runs if not r.outside), default=0)
-    chosen = [r for r in runs if r.main == surest and not r.outside]
-    if not surest:
-        template = valid_classes([token(p) for p in pieces], classes or {})
-        chosen = [r for r in runs if not r.outside and token(r) not in template]
+    runs = [(p, None) for p in pieces if not isinstance(p, str)]
+    if classes:
+        tokens = [token(p) for p in pieces]
+        template, slots = nested_template(tokens, classes)
+        left = [(p, s) for p, t, s in zip(pieces, tokens, slots) if not isinstance(p, str) and t not in template]
+        # A page whose text is all shared is a copy, not a frame.
+        runs = left if any(not p.outside for p, _ in left) else runs
+    runs = [(r, s) for r, s in runs if not r.outside]
+    # A slot is of the kind that most of its text has.
+    held: dict = defaultdict(Counter)
+    for r, s in runs:
+        held[s if classes else r.main][r.main] += len(r.text)
+    kinds: Counter = Counter()
+    for own in held.values():
+        kinds[max(own, key=lambda k: (own[k], k))] += sum(own.values())
+    compete = {3, 2, 1} if classes else {3, 2}
+    surest = max((k for k in kinds if k in compete), key=lambda k: (kinds[k], k), default=max(kinds, default=0))
+    chosen = [r for r, _ in runs if r.main == surest]
     out, last = [], None
     for run in chosen:
         out.append(run.text if run.block == last else f" {run.text}")
@@ -149,25 +203,21 @@ def host_column(url):
 def host_templates(pages: DataFrame, support: float = SUPPORT, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(host, tokens): the frequent tokens of each host with more than one page, each with its class.
 
-    A class is named by its occurrence vector's hash.  A host has at most
+    Pages with the same HTML count once.  A class is named by its occurrence vector's hash.  A host has at most
     1/support times as many frequent tokens as its pages have on average.
     """
 
     def emit(batches):
         for batch in batches:
-            hosts, tokens, marks = [], [], []
-            for host, page, key in zip(*(batch.column(i) for i in range(3))):
-                found = Counter(token(p) for p in parse(page.as_py()))
-                own = str(key.as_py()).encode()
-                for t, n in found.items():
-                    hosts.append(host.as_py())
-                    tokens.append(t)
-                    marks.append(xxhash.xxh64_intdigest(b"%s|%d" % (own, n)) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array(marks, pa.int64())], ["host", "token", "mark"])
-
-    rows = pages.select(host_column(F.col(url)).alias("host"), F.col(html).alias("html"), F.col(page_id).alias("key")).mapInArrow(emit, "host string, token long, mark long")
-    counts = rows.groupBy("host", "token").agg(F.count("*").alias("n"), F.expr("bit_xor(mark)").alias("class")).where("n > 1")
-    hosts = pages.groupBy(host_column(F.col(url)).alias("host")).agg(F.count("*").alias("pages"))
+            found = [Counter(token(p) for p in parse(page.as_py())) for page in batch.column(2)]
+            tokens, times = pa.array([list(f) for f in found], pa.list_(pa.int64())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens, times], ["host", "key", "tokens", "times"])
+
+    rows = pages.select(host_column(F.col(url)).alias("host"), F.xxhash64(html).alias("key"), F.col(html).alias("html")).mapInArrow(emit, "host string, key long, tokens array<long>, times array<int>")
+    # A page is one row until its copies are gone; a row for each token would double what is shuffled.
+    each = rows.dropDuplicates(["host", "key"]).select("host", "key", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("times").alias("n"))))
+    counts = each.groupBy("host", "token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key", "n")).alias("class")).where("n > 1")
+    hosts = pages.groupBy(host_column(F.col(url)).alias("host")).agg(F.count_distinct(F.xxhash64(html)).alias("pages"))
     frequent = counts.join(hosts, "host").where(F.col("n") >= support * F.col("pages"))
     return frequent.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("tokens"))
 

@@ -178,6 +178,38 @@ def test_templates_leave_the_slots(spark):
     assert H.extract_pages(df.limit(0)).count() == 0
 
 
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, "http://h.example/%s" % i, page) for i, page in pages], "page_id long, url string, html string")
+    return [r["text"] for r in H.extract_pages(df).orderBy("page_id").collect()]
+
+
+def test_templates_decide_within_articles(spark):
+    page = "<html><body><nav>Menu</nav><article><h1>Head %d</h1><div class=promise><p>We value your trust</p></div><p>Text %d of its own</p><p>Written by staff</p></article></body></html>"
+    assert extracted(spark, [(i, page % (i, i)) for i in range(5)]) == [f"Head {i} Text {i} of its own" for i in range(5)]
+    assert extracted(spark, [(1, page % (1, 1))] * 2) == ["Head 1 We value your trust Text 1 of its own Written by staff"] * 2
+    assert extracted(spark, [(i, page % (7, 7)) for i in range(2)]) == ["Head 7 We value your trust Text 7 of its own Written by staff"] * 2
+
+
+def test_repeated_pages_keep_their_template(spark):
+    page = "<html><body><div><p>Always here</p><p>Site name</p></div><div><p>Text %d of its own</p></div></body></html>"
+    assert extracted(spark, [(i // 2, page % (i // 2)) for i in range(8)]) == [f"Text {i // 2} of its own" for i in range(8)]
+
+
+@pytest.mark.parametrize("pages", [1, 4])
+def test_teasers_do_not_replace_the_body(spark, pages):
+    page = "<html><body><main><h1>Head %d</h1><p>This body %d is much longer than any of the teasers on the page</p></main><div><article class=card>Tease %d</article><article class=card>More %d</article></div></body></html>"
+    assert extracted(spark, [(i, page % ((i,) * 4)) for i in range(pages)]) == [f"Head {i} This body {i} is much longer than any of the teasers on the page" for i in range(pages)]
+
+
+def test_classes_nest():
+    a, b, c = [1, 2, 3], [10, 11], [20, 21]
+    classes = {t: 100 for t in a} | {t: 200 for t in b} | {t: 300 for t in c}
+    good, slots = H.nested_template([1, 10, 0, 11, 10, 0, 11, 2, 0, 3], classes)
+    assert good == {*a, *b} and slots[2] == slots[5] == (200, 1) and slots[8] == (100, 2)
+    assert H.nested_template([1, 10, 2, 11, 3], classes)[0] == set(a)  # overlap
+    assert H.nested_template([1, 10, 11, 2, 10, 11, 3], classes)[0] == set(a)  # two slots
+
+
 def test_pages_of_the_small_table(spark):
     import html
 
