@@ -37,9 +37,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the ids of their texts."""
+    """All documents with the ids of their texts, in training order.
+
+    Files don't keep the order of the stage before, so it is laid out again; encoding leaves it as it is.
+    """
     set_batch_rows(spark)
-    return encode_documents(docs, tokenizer_path())
+    return encode_documents(mixed(docs), tokenizer_path())
 
 
 STAGES = [("quality", quality), ("language", language), ("near-duplicates", dedup), ("mixing", mix), ("encoding", encode)]

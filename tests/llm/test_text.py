@@ -305,6 +305,30 @@ def test_pipeline_by_stages(spark):
     assert out.select("doc_id").distinct().count() == out.count()
 
 
+def test_last_stage_restores_the_order(spark, tmp_path):
+    """Whatever files the mixed documents were in, the encoded ones come in the order of the schedule."""
+    import corpus_pipeline
+    from sparkloom.llm import mixing as M
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").dropDuplicates(["doc_id"])
+    docs.repartition(7, "text").write.parquet(str(tmp_path / "mixed"))
+    found, (_, slot, place) = M.schedule(docs)
+    want = [r["doc_id"] for r in found.orderBy(slot, place).select("doc_id").collect()]
+    out = corpus_pipeline.encode(spark, spark.read.parquet(str(tmp_path / "mixed")), SMALL)
+    rows = out.select("doc_id", "source").collect()
+    assert [r["doc_id"] for r in rows] == want
+    sizes = {s: sum(r["source"] == s for r in rows) for s in {r["source"] for r in rows}}
+    weights = M.default_weights({f"s:{s}" if s is not None else "null": n for s, n in sizes.items()})
+    blocks = {s: -(-n // M.BLOCK) for s, n in sizes.items()}
+    own = {s: min(weights[f"s:{s}" if s is not None else "null"], blocks[s]) for s in sizes}
+    times, period = min(blocks[s] // own[s] for s in sizes), sum(own.values())
+    starts = [r for i, r in enumerate(found.select("source", slot).distinct().orderBy(slot).collect()) if i < times * period]
+    done = dict.fromkeys(own, 0)
+    for t, r in enumerate(starts, 1):
+        done[r["source"]] += 1
+        assert all(abs(done[s] * period - own[s] * t) < period for s in own)
+
+
 def test_held_out_rows(spark):
     import zlib
 
