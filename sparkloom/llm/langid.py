@@ -3,13 +3,15 @@
 A text is the average of the embeddings of its hashed character n-grams (1 to 3
 letters, word ends included); a linear softmax on that average gives the
 language.  Both are trained by stochastic gradient descent in numpy.  A
-temperature fitted on texts kept back calibrates the score, and a threshold on
-it, set there too, rejects texts that no learned language fits.
+temperature fitted on texts kept back calibrates the score.  The best of few
+languages has a high score whatever the text, so texts that no learned language
+fits are told by their n-grams as well: by how likely these are in the
+language named.  Thresholds of both are set on texts kept back.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ from .common import hash_share, held_out
 BUCKETS, WIDTH = 1 << 13, 16
 #: Documented bound of the training sample: expected documents.
 DOCUMENTS = 4_000
-#: Share of the texts kept back that the threshold may reject, and the highest threshold.
-REJECTED, HIGHEST = 0.0005, 0.4
+#: Share of the texts kept back that a threshold may reject.
+REJECTED = 0.0005
 SLICE = 1 << 20
 UNKNOWN = "und"
 
@@ -71,18 +73,31 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     threshold: float
+    #: Log likelihood of one n-gram of a bucket in each language.
+    logs: np.ndarray | None = None
+    #: By language: mean of a text's log likelihood an n-gram, variance of one n-gram, variance between texts.
+    usual: np.ndarray | None = None
+    least_fit: float = -np.inf
+
+    def fit(self, counts: np.ndarray, at: int) -> float:
+        """How far the n-grams are less likely in a language than those of its texts are, in standard deviations, as a negative number."""
+        if self.logs is None:
+            return 0.0
+        n, (mean, within, between) = max(1, counts.sum()), self.usual[at]
+        return float((counts @ self.logs[:, at] / n - mean) / np.sqrt(within / n + between))
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
         z = (counts @ self.table / max(1, counts.sum()) + self.bias) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """A learned language and its probability; ``und`` and 0 without letters or languages."""
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """A learned language, its probability and whether the text is rejected; ``und`` and 0 without letters or languages."""
         if not self.langs or not has_letter(text):
-            return UNKNOWN, 0.0
-        p = self.probabilities(subwords(text))
-        return self.langs[int(p.argmax())], float(p.max())
+            return UNKNOWN, 0.0, True
+        p = self.probabilities(counts := subwords(text))
+        at = int(p.argmax())
+        return self.langs[at], float(p[at]), bool(p[at] < self.threshold or self.fit(counts, at) < self.least_fit)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 12, rate: float = 0.5, seed: int = 42) -> LanguageModel:
@@ -131,7 +146,31 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: i
     p /= p.sum(axis=1, keepdims=True)
     right = p.argmax(axis=1) == y[back]
     threshold = float(np.quantile(p.max(axis=1)[right], REJECTED)) if right.any() else 0.0
-    return LanguageModel(names, model.table, bias, temperature, min(threshold, HIGHEST))
+    logs, usual = likelihoods([rows[i] for i in own], y[own], len(names))
+    model = LanguageModel(names, model.table, bias, temperature, threshold, logs, usual)
+    fits = [model.fit(np.bincount(rows[i][0], rows[i][1], BUCKETS), y[i]) for i in back[right]]
+    return replace(model, least_fit=float(np.quantile(fits, REJECTED)) if fits else -np.inf)
+
+
+def likelihoods(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log likelihoods of n-grams by bucket and language, and the figures that LanguageModel.usual holds, over training texts."""
+    logs, usual = np.zeros((BUCKETS, k)), np.zeros((k, 3))
+    for c in range(k):
+        own = [r for r, x in zip(rows, y) if x == c]
+        total = np.ones(BUCKETS)
+        for at, n in own:
+            # Long texts count no more than short ones with as many different n-grams.
+            total[at] += n / n.sum() * len(at)
+        logs[:, c] = np.log(total / total.sum())
+        if not own:
+            continue
+        sums = np.array([n.sum() for _, n in own])
+        means = np.array([n @ logs[at, c] / n.sum() for at, n in own])
+        within = np.array([n @ (logs[at, c] - m) ** 2 / n.sum() for (at, n), m in zip(own, means)])
+        mean, inside = np.median(means), within.mean()
+        usual[c] = mean, inside, max(1e-4, np.median((means - mean) ** 2 - inside / sums))
+    usual[:, 1] = np.maximum(usual[:, 1], 1e-4)
+    return logs, usual
 
 
 def training_rows(docs: DataFrame, documents: int = DOCUMENTS) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
@@ -163,13 +202,13 @@ def fit(docs: DataFrame, documents: int = DOCUMENTS) -> LanguageModel:
 
 
 def predict_column(text: Column, model: LanguageModel) -> Column:
-    """Struct of lang_pred and score."""
+    """Struct of lang_pred, score and rejected."""
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(texts):
         import pandas as pd
 
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
     return predict(text)
 
@@ -179,19 +218,16 @@ def language_scores(docs: DataFrame, model: LanguageModel | None = None) -> Data
 
     Texts that are null or have no letter are ``und`` with score 0; the score
     of others is the calibrated probability of the language named.  Rejected
-    are ``und`` and scores below the model's threshold.  Null ids count as not
+    are ``und``, scores below the model's threshold and texts whose n-grams
+    the language named makes less likely than its own texts' are.  Null ids count as not
     held out, repeated rows stay, other columns are ignored.
     """
     model = model or fit(docs)
     found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict_column(F.col("text"), model).alias("found"))
-    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", _rejected(F.col("found"), model).alias("rejected"))
-
-
-def _rejected(found: Column, model: LanguageModel) -> Column:
-    return (found["lang_pred"] == UNKNOWN) | (found["score"] < model.threshold)
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.rejected")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is told with enough certainty, with all their columns."""
     model = fit(docs)
-    return docs.where(~_rejected(predict_column(F.col("text"), model), model))
+    return docs.where(~predict_column(F.col("text"), model)["rejected"])

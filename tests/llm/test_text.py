@@ -120,6 +120,24 @@ def test_held_out_languages(spark):
     assert np.mean([r["rejected"] for r in found]) < 0.01
 
 
+def test_foreign_texts_and_noise_go(spark):
+    docs = spark.read.parquet(f"{TENTH}/documents.parquet")
+    rng = random.Random(5)
+    strange = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах", "Minden emberi lény szabadon születik és egyenlő méltósága és joga van", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar",
+        *(" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(n)) for n in (20, 60, 200, 2000)),
+    ]
+    clean = [" ".join(r["text"].split()[5:20]) for r in docs.where(held_out(docs["doc_id"])).select("text").orderBy("doc_id").limit(600).collect()]
+    for names in (["de", "en", "es", "fr"], ["en", "fr"]):
+        model = L.fit(docs.where(docs["lang"].isin(names)))
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+        assert L.language_scores(rows, model).where("not rejected").collect() == []
+        if len(names) == 4:
+            kept = L.language_scores(spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string"), model).where("not rejected").count()
+            assert kept > 0.97 * len(clean)
+
+
 def test_languages_of_odd_rows(spark, odd):
     found = L.language_scores(odd).collect()
     assert len(found) == len(ODD)
