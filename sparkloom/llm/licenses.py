@@ -44,7 +44,7 @@ def rules() -> tuple[Rule, ...]:
 
     versioned = [
         # label, name pattern, keyword, versions
-        ("gpl", r"(?:gnu )?(?:general public license|gpl)", "gpl", ("1.0", "2.0", "3.0")),
+        ("gpl", r"(?:gnu )?gpl", "gpl", ("1.0", "2.0", "3.0")),
         ("gpl", r"(?:gnu )?general public license", "general public", ("1.0", "2.0", "3.0")),
         ("lgpl", r"(?:gnu )?(?:lesser|library) general public license", "general public", ("2.0", "2.1", "3.0")),
         ("lgpl", r"(?:gnu )?lgpl", "lgpl", ("2.0", "2.1", "3.0")),
@@ -121,7 +121,8 @@ def rules() -> tuple[Rule, ...]:
         add(f"bsd-{count}-clause", _licensed(rf"(?:{count}|{words}) clause bsd(?: license)?"), "bsd", EXACT, 0.95)
         add(f"bsd-{count}-clause", _licensed(rf"bsd (?:{count}|{words}) clause(?: license)?"), "bsd", EXACT, 0.95)
     add("bsd-3-clause", _licensed(r"(?:new|modified|revised) bsd license"), "bsd", EXACT, 0.9)
-    add("bsd-2-clause", _licensed(r"(?:simplified|freebsd) (?:bsd )?license"), "bsd", EXACT, 0.9)
+    for word in ("simplified", "freebsd"):
+        add("bsd-2-clause", _licensed(rf"{word} (?:bsd )?license"), word, EXACT, 0.9)
     named = [
         ("mit", r"(?:mit|expat|x11) license", "license"), ("mit", r"mit licensed", "licensed"), ("bsd", r"(?:bsd|berkeley) (?:style )?license", "license"),
         ("isc", r"isc license", "license"), ("unlicense", r"unlicense", "unlicense"), ("wtfpl", r"wtfpl", "wtfpl"), ("zlib", r"zlib libpng license", "zlib"),

@@ -288,6 +288,46 @@ def test_rules_match_their_keywords():
     assert all(r.keyword == r.keyword.strip() and r.priority in (1, 2, 3) for r in R.rules())
 
 
+def shortest(pattern):
+    """Every text a rule's pattern can match, its repeats at their least: the pattern's tree, branch by branch."""
+    def texts(tree):
+        out = [""]
+        for op, arg in tree:
+            op = str(op)
+            if op == "LITERAL":
+                more = [chr(arg)]
+            elif op == "IN":
+                more = ["7" if any(str(a) == "CATEGORY_DIGIT" for _, a in arg) else "q" if any(str(k) == "CATEGORY" for k, _ in arg) else chr(arg[0][1])]
+            elif op == "SUBPATTERN":
+                more = texts(arg[3])
+            elif op == "BRANCH":
+                more = [t for branch in arg[1] for t in texts(branch)]
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                more = [t * arg[0] for t in texts(arg[2])] if arg[0] else [""]
+            else:
+                raise ValueError(op)
+            out = sorted({a + b for a in out for b in more})
+        return out
+
+    return texts(re._parser.parse(pattern))
+
+
+def test_shortest_matches_hold_their_keywords():
+    wrong = []
+    for r in R.rules():
+        for t in shortest(r.pattern):
+            assert re.fullmatch(r.pattern, t)
+            if f" {r.keyword} " not in f" {t} ":
+                wrong.append((r.label, r.keyword, t))
+    assert wrong == []
+
+
+def test_freebsd_and_simplified_licenses(spark):
+    rows = [(1, "FreeBSD License"), (2, "the Simplified License."), (3, "Simplified BSD License"), (4, "FreeBSD BSD license")]
+    found = R.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found if "bsd-2-clause" in r["labels"].split(",")} == {1, 2, 3, 4}
+
+
 def test_license_scan(spark, odd):
     phrases = ["Licensed under CC BY-NC 4.0.", "cc by", "CC,by cc by", "This work is licensed under the GNU General Public License, version 3 or any later version", "all rights reserved", "All rights are reserved", "Apache License, Version 2.0", "MIT License", "GPLv2", "(c) Copyright 2020, 2021", "creative commons attribution share alike 3.0 unported", "public domain", "é", "İcc by", "words", "no part of this work may be", "3-clause BSD license", "mozilla public license 2.0", "permission is hereby granted free of charge"]
     rng = random.Random(3)
