@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm.common import SharedTable, read, set_batch_rows
+from sparkloom.llm.common import SharedTable, read
 from sparkloom.llm.langid import keep_identified
 from sparkloom.llm.mixing import mixed
 from sparkloom.llm.quality import keep_good
@@ -15,19 +15,16 @@ from sparkloom.llm.tokens import encode_documents
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    set_batch_rows(spark)
     return keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough certainty."""
-    set_batch_rows(spark)
     return keep_identified(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    set_batch_rows(spark)
     return keep_one(docs)
 
 
@@ -41,7 +38,6 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Files don't keep the order of the stage before, so it is laid out again; encoding leaves it as it is.
     """
-    set_batch_rows(spark)
     return encode_documents(mixed(docs), tokenizer_path())
 
 
