@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -10,8 +11,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Python batches hold at most this many rows, so a batch of long texts stays small.
-BATCH_ROWS = 512
+#: Bytes of a batch of rows that goes to Python, about; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +30,11 @@ def hash_share(col: Column, share: float) -> Column:
     return F.pmod(F.xxhash64(col, F.lit("share")), F.lit(2**31)) < F.lit(limit)
 
 
-def set_batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of long texts stay small: lowers the session's bound on bytes, which no result depends on."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def parts(n_rows: int, per_part: int, least: int = 1) -> int:
@@ -44,8 +48,30 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of its own only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The cluster's shared folder.  Where none is named, a single machine takes a temporary folder; a cluster can't share one."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
+
+
+#: Keys that join_unique() broadcasts, at most.
+HOT = 10_000
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str | list[str], total: int, n: str = "n", hot: int = HOT, least: int = 64) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once and in column ``n`` the number of its rows; ``n`` goes.
+
+    ``total`` rows have at most ``hot`` keys of more than ``total / hot`` rows
+    each.  What belongs to these keys is broadcast, so that none of them is
+    gathered in one task; the other rows are shuffled by key as ever.
+    """
+    most = max(least, total // hot)
+    many = F.broadcast(table.where(F.col(n) > most).drop(n))
+    keys = [key] if isinstance(key, str) else key
+    few = rows.join(many.select(*keys), keys, "left_anti").join(table.where(F.col(n) <= most).drop(n), keys)
+    return rows.join(many, keys).unionByName(few)
 
 
 class SharedTable:

@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTable
+from .common import SharedTable, join_unique
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m, n): the smallest v of each u and the number of its rows."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    return join_unique(both, _least(both), "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    other = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(down)
+    other = join_unique(down, least, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return other.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -29,14 +33,16 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has long columns u and v; order, repeats and self-links don't
     matter, rows with nulls are left out.  Alternating large-star and
     small-star steps, each written to the shared folder, end when the edges
-    form stars.
+    form stars.  The smallest neighbours of nodes with very many edges are
+    broadcast (join_unique), so no task gathers a node's edges.
     """
     edges = edges.where("u is not null and v is not null and u <> v")
-    table, seen = SharedTable(_small_star(edges.select("u", "v")), "components"), None
-    while True:
-        row = table.df.agg(F.count("*"), F.sum(F.expr("xxhash64(u, v) % 1099511627776"))).first()
-        if row == seen or not row[0]:
-            return table.df.select(F.col("u").alias("node"), F.col("v").alias("root")).union(table.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen, last = row, table
-        table = SharedTable(_small_star(_large_star(last.df)), "components")
+    count = lambda df: df.agg(F.count("*"), F.sum(F.expr("xxhash64(u, v) % 1099511627776"))).first()
+    first = SharedTable(edges.select("u", "v").distinct(), "edges")
+    last, seen = SharedTable(_small_star(first.df, count(first.df)[0]), "components"), None
+    first.drop()
+    while (row := count(last.df)) != seen and row[0]:
+        seen, table = row, SharedTable(_small_star(_large_star(last.df, row[0]), 2 * row[0]), "components")
         last.drop()
+        last = table
+    return last.df.select(F.col("u").alias("node"), F.col("v").alias("root")).union(last.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -21,10 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import SharedTable, bound_batches, join_unique
+
 #: A class is frequent if at least this share of a host's pages, and two of them, hold it.
 SUPPORT, LEAST_TOKENS = 0.5, 2
-#: A host's pages meet its template in this many places, for one host may have a third of all pages.
-SALTS = 16
+#: Hosts with more than one in so many of all pages have their templates broadcast; there are at most so many of them.
+HOT_HOSTS = 1000
 
 # Elements and the words of class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,7 +49,7 @@ _SPACE = re.compile(r"\s+")
 
 
 class Run:
-    """A run of text: its path, the block it stands in, whether its elements are outside the article, and how surely inside (3 to 0)."""
+    """A run of text: the hash of its path, the block it stands in, whether its elements are outside the article, and how surely inside (3 to 0)."""
 
     __slots__ = ("text", "path", "block", "outside", "main")
 
@@ -56,8 +58,8 @@ class Run:
 
 
 def parse(page: str | None) -> list:
-    """Opening tags (as paths) and runs of text (as Run), in page order."""
-    page, out, stack, at, block = page or "", [], [("", "", False, 0)], 0, 0
+    """Opening tags (as hashes of their paths) and runs of text (as Run), in page order."""
+    page, out, stack, at, block = page or "", [], [("", 0, False, 0)], 0, 0
 
     def text(start, end):
         if start < end and not (raw := page[start:end]).isspace():
@@ -92,7 +94,7 @@ def parse(page: str | None) -> list:
         said = [] if name in ("html", "body") else [w for w in (set(_WORDS.findall(c)) for c in named.split()) if not w & FRAME_WORDS]
         outside = outside or name in OUTSIDE or any(w & OUTSIDE_WORDS for w in said)
         main = max(main, MAIN.get(name, 0), 1 if any(w & MAIN_WORDS for w in said) else 0)
-        path = f"{path}/{own}" if len(stack) < 64 else path
+        path = xxhash.xxh64_intdigest(own.encode("utf-8", "surrogatepass"), path)
         out.append(path)
         if name in VOID or attributes.endswith("/"):
             continue
@@ -107,8 +109,9 @@ def parse(page: str | None) -> list:
 
 def token(piece) -> int:
     """A signed 64-bit token of a tag's path, or of a run's path and text."""
-    name = piece if isinstance(piece, str) else f"{piece.path}|{_SPACE.sub(' ', piece.text).strip()}"
-    return xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass")) - (1 << 63)
+    if isinstance(piece, int):
+        return piece - (1 << 63)
+    return xxhash.xxh64_intdigest(f"|{_SPACE.sub(' ', piece.text).strip()}".encode("utf-8", "surrogatepass"), piece.path) - (1 << 63)
 
 
 def valid_classes(tokens: list[int], classes: dict[int, int]) -> set[int]:
@@ -170,11 +173,11 @@ def main_text(page: str | None, classes: dict[int, int] | None = None) -> str:
     there is a template, a name like these) with the most text.
     """
     pieces = parse(page)
-    runs = [(p, None) for p in pieces if not isinstance(p, str)]
+    runs = [(p, None) for p in pieces if isinstance(p, Run)]
     if classes:
         tokens = [token(p) for p in pieces]
         template, slots = nested_template(tokens, classes)
-        left = [(p, s) for p, t, s in zip(pieces, tokens, slots) if not isinstance(p, str) and t not in template]
+        left = [(p, s) for p, t, s in zip(pieces, tokens, slots) if isinstance(p, Run) and t not in template]
         # A page whose text is all shared is a copy, not a frame.
         runs = left if any(not p.outside for p, _ in left) else runs
     runs = [(r, s) for r, s in runs if not r.outside]
@@ -200,8 +203,8 @@ def host_column(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
 
-def host_templates(pages: DataFrame, support: float = SUPPORT, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(host, tokens): the frequent tokens of each host with more than one page, each with its class.
+def host_templates(pages: DataFrame, support: float = SUPPORT, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, n, tokens) of every host: its rows, and its frequent tokens, each with its class; null where it has one page only.
 
     Pages with the same HTML count once.  A class is named by its occurrence vector's hash.  A host has at most
     1/support times as many frequent tokens as its pages have on average.
@@ -213,13 +216,14 @@ def host_templates(pages: DataFrame, support: float = SUPPORT, page_id: str = "p
             tokens, times = pa.array([list(f) for f in found], pa.list_(pa.int64())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens, times], ["host", "key", "tokens", "times"])
 
-    rows = pages.select(host_column(F.col(url)).alias("host"), F.xxhash64(html).alias("key"), F.col(html).alias("html")).mapInArrow(emit, "host string, key long, tokens array<long>, times array<int>")
+    keyed = pages.select(host_column(F.col(url)).alias("host"), F.xxhash64(html).alias("key"), F.col(html).alias("html"))
+    rows = keyed.mapInArrow(emit, "host string, key long, tokens array<long>, times array<int>")
     # A page is one row until its copies are gone; a row for each token would double what is shuffled.
     each = rows.dropDuplicates(["host", "key"]).select("host", "key", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("times").alias("n"))))
-    counts = each.groupBy("host", "token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key", "n")).alias("class")).where("n > 1")
-    hosts = pages.groupBy(host_column(F.col(url)).alias("host")).agg(F.count_distinct(F.xxhash64(html)).alias("pages"))
-    frequent = counts.join(hosts, "host").where(F.col("n") >= support * F.col("pages"))
-    return frequent.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("tokens"))
+    counts = each.groupBy("host", "token").agg(F.count("*").alias("on"), F.bit_xor(F.xxhash64("key", "n")).alias("class")).where("on > 1")
+    hosts = keyed.groupBy("host", "key").agg(F.count("*").alias("n")).groupBy("host").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
+    frequent = counts.join(hosts.select("host", "pages"), "host").where(F.col("on") >= support * F.col("pages"))
+    return hosts.select("host", "n").join(frequent.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("tokens")), "host", "left")
 
 
 def extract_pages(pages: DataFrame, support: float = SUPPORT, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -227,20 +231,25 @@ def extract_pages(pages: DataFrame, support: float = SUPPORT, page_id: str = "pa
 
     A null page counts as empty and has empty text, as has a page without main
     text.  A null URL's pages form a host of their own; hosts of one page have
-    no template.  Repeated rows stay, other columns are ignored.
+    no template.  Repeated rows stay, other columns are ignored.  Templates are
+    written once; those of large hosts are broadcast to their pages, the pages
+    of other hosts are shuffled to theirs.
     """
-    salt = F.pmod(F.xxhash64(page_id, url), F.lit(SALTS)).cast("int")
-    own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_column(F.col(url)).alias("host"), salt.alias("salt"))
-    salted = host_templates(pages, support, page_id, url, html).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = own.join(salted, ["host", "salt"], "left")
+    bound_batches(pages.sparkSession)
+    own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_column(F.col(url)).alias("host"))
+    templates = SharedTable(host_templates(pages, support, url, html), "templates").df
+    total = templates.agg(F.sum("n")).first()[0] or 0
+    joined = join_unique(own, templates, "host", total, hot=HOT_HOSTS)
 
     def run(batches):
-        last, classes = None, {}
+        known: dict = {}
         for batch in batches:
             texts = []
             for page, tokens, host in zip(batch.column(2), batch.column(3), batch.column(4)):
-                if (host := host.as_py()) != last:
-                    last, classes = host, {t["token"]: t["class"] for t in tokens.as_py() or ()}
+                if (classes := known.get(host := host.as_py())) is None:
+                    if len(known) >= 64:
+                        known.pop(next(iter(known)))
+                    classes = known[host] = {t["token"]: t["class"] for t in tokens.as_py() or ()}
                 texts.append(main_text(page.as_py(), classes))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

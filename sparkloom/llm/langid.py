@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, held_out
+from .common import bound_batches, hash_share, held_out
 
 BUCKETS, WIDTH = 1 << 13, 16
 #: Documented bound of the training sample: expected documents.
@@ -175,6 +175,7 @@ def likelihoods(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int
 
 def training_rows(docs: DataFrame, documents: int = DOCUMENTS) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
     """Counts of sampled texts, each whole and as a short passage of it, without held-out rows, null ids and null languages."""
+    bound_batches(docs.sparkSession)
     own = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     share = documents / max(1, docs.count() * 0.75)
 

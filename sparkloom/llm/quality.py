@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, held_out
+from .common import bound_batches, hash_share, held_out
 
 #: Documented bounds of the training sample: expected rows of each kind.
 POSITIVES, UNLABELLED = 12_000, 12_000
@@ -159,6 +159,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES
     A document is positive if all its non-null labels are 1.  Sampling is by a
     hash of doc_id, about as many rows as stated whatever the input's size.
     """
+    bound_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("least")).where("least = 1")
     n_docs, n_known = docs.count(), known.count()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, set_batch_rows
+from .common import read
 from .html import extract_pages
 from .langid import language_scores
 from .licenses import license_scan, license_sql
@@ -26,17 +26,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    set_batch_rows(spark)
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op2_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    set_batch_rows(spark)
     return language_scores(read(spark, sf_dir, "documents"))
 
 
 def op3_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    set_batch_rows(spark)
     return extract_pages(read(spark, sf_dir, "pages"))
 
 
@@ -49,7 +46,6 @@ def op5_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    set_batch_rows(spark)
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
@@ -58,7 +54,6 @@ def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    set_batch_rows(spark)
     return token_digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 

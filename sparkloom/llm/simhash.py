@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTable
+from .common import SharedTable, bound_batches, join_unique
 from .components import components
 
 CHUNK = 1 << 20
@@ -274,18 +274,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     other.  Repeated rows stay; component_id is the smallest non-null doc_id
     reachable, null only if there is none.  Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     prints = SharedTable(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(docs, text, size).alias("fp")), "fingerprints").df
-    nodes = SharedTable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes").df
+    nodes = SharedTable(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes").df
     roots = components(fingerprint_links(nodes, radius)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    named = SharedTable(_least_ids(nodes, roots, "fp"), "named").df
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(named, "fp").select("doc_id", hexed, "component_id")
+    total = named.agg(F.sum("n")).first()[0] or 0
+    return join_unique(prints, named, "fp", total).select("doc_id", hexed, "component_id")
+
+
+def _least_ids(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """(key, n, component_id) of each node: the smallest id, column ``least``, of its component."""
+    rooted = nodes.join(roots, key, "left").withColumn("root", F.coalesce("root", key))
+    own = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    total = nodes.count()
+    return join_unique(rooted, own, "root", total, n="members").select(key, "n", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
-    """One document of each component: that with the smallest doc_id, and of repeated ids one row; null ids stay."""
+    """One document of each component: that with the smallest doc_id; of rows that share it one, and null ids stay."""
     groups = near_duplicates(docs, size=size, radius=radius)
     keep = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Bytes that the rolling hash sees, and one in how many places it cuts at.
 WINDOW, MEAN_CHUNK = 4, 1024
 SLICE = 1 << 22
@@ -193,6 +195,7 @@ def decode_column(ids: Column, path: str) -> Column:
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and the ids of each text as the last column, ``token_ids`` (with underscores before it if that name is taken)."""
+    bound_batches(docs.sparkSession)
     name = "token_ids"
     while name in docs.columns:
         name = "_" + name
@@ -201,6 +204,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
 
 def token_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; null texts count as empty, repeated rows stay."""
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         own = encoder(path)
