@@ -1,212 +1,247 @@
-"""Exact lower bounds of rational functions: certificates from Bernstein coefficients, and their check.
+"""Exact lower bounds of rational functions: certificates of Bernstein coefficients, and their check.
 
 A problem asks whether numerator / denominator >= lower (or > lower) on a
 closed interval where the denominator must be positive.  Coefficients and
-interval ends are canonical rational strings, lowest degree first.  Problems
-are rows; each is solved by itself, so tasks share nothing.
+interval ends are canonical rationals as strings, lowest degree first.  An
+Arrow-batched function halves the interval and gives each problem's leaves; all
+that follows from them (status, coverage, validity) are column expressions over
+the array of leaves, so neither step shuffles.
+
+Numbers inside are whole: coefficients are kept times a positive scale, which
+changes no sign.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
 from fractions import Fraction
-from math import comb
+from itertools import pairwise
+from math import gcd, lcm
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import require
+from ..contracts import require, require_rows
 
 #: Limits of a problem: degree, bits of a rational, splits and depth of the subdivision.
 DEGREE, BITS, SPLITS, DEPTH = 12, 128, 64, 32
 
 PROBLEM = "numerator array<string>, denominator array<string>, domain array<string>, lower string, strict boolean"
-CERTIFICATE = "problem_sha256 string, max_splits int, status string, leaves array<struct<path:string,residual:array<string>,denominator:array<string>>>, witness struct<x:string,kind:string>"
+FIELDS = ("numerator", "denominator", "domain", "lower", "strict")
+LEAVES = "array<struct<path:string,residual:array<string>,denominator:array<string>>>"
+CERTIFICATE = f"struct<problem_sha256:string,max_splits:int,status:string,leaves:{LEAVES},witness:struct<x:string,kind:string>>"
+#: Canonical rationals, but for common factors.
+NUMBER = r"^(0|-?[1-9][0-9]*(/([2-9]|[1-9][0-9]+))?)$"
+
+
+# --- whole numbers with a scale
+
+
+def number(text: str, bits: int | None = None) -> Fraction:
+    """A canonical rational; ``text`` fits NUMBER."""
+    top, _, bottom = text.partition("/")
+    top, bottom = int(top), int(bottom or 1)
+    require(gcd(top, bottom) == 1, "rationals have no common factor")
+    require(bits is None or max(top.bit_length(), bottom.bit_length()) <= bits, "too many bits")
+    return Fraction(top, bottom)
 
 
-def rational(text: str) -> Fraction:
-    require(isinstance(text, str) and len(text) <= 80, "a rational is a short string")
-    try:
-        value = Fraction(text)
-    except (ValueError, ZeroDivisionError):
-        require(False, "not a rational")
-    require(str(value) == text, "rationals are canonical")
-    require(max(value.numerator.bit_length(), value.denominator.bit_length()) <= BITS, "too many bits")
-    return value
+def scaled(values) -> tuple[list[int], int]:
+    """Whole numbers and the scale that they were multiplied by."""
+    scale = lcm(*(v.denominator for v in values))
+    return [v.numerator * (scale // v.denominator) for v in values], scale
 
 
-def polynomial(texts) -> list[Fraction]:
-    require(texts is not None and 1 <= len(texts) <= DEGREE + 1, "the degree is out of bounds")
-    out = [rational(t) for t in texts]
-    require(len(out) == 1 or out[-1] != 0, "the leading coefficient is not zero")
+def on_interval(powers: list[Fraction], left: Fraction, right: Fraction) -> list[Fraction]:
+    """Bernstein coefficients on an interval, by Horner's rule: times x raises the degree by one, plus c adds c to each."""
+    out = [powers[-1]]
+    for c in powers[-2::-1]:
+        n = len(out)
+        out = [c + ((n - i) * left * (out[i] if i < n else 0) + i * right * (out[i - 1] if i else 0)) / n for i in range(n + 1)]
     return out
 
 
-class Problem:
-    """The parsed problem: residual = numerator - lower * denominator."""
+def halves(b: list[int]) -> tuple[list[int], list[int]]:
+    """De Casteljau's triangle at the middle: coefficients of both halves, times 2 to the degree."""
+    first, last, n = [], [], len(b) - 1
+    for k in range(n + 1):
+        first.append(b[0] << (n - k))
+        last.append(b[-1] << (n - k))
+        b = [x + y for x, y in pairwise(b)]
+    return first, last[::-1]
 
-    def __init__(self, row: dict):
-        require(set(row) == {"numerator", "denominator", "domain", "lower", "strict"}, "the problem has five fields")
-        n, self.denominator, lower = polynomial(row["numerator"]), polynomial(row["denominator"]), rational(row["lower"])
-        require(row["domain"] is not None and len(row["domain"]) == 2 and isinstance(row["strict"], bool), "the domain has two ends and strict is a boolean")
-        self.a, self.b = map(rational, row["domain"])
-        require(self.a < self.b, "the interval is not a point")
-        width = max(len(n), len(self.denominator))
-        pad = lambda p: p + [Fraction(0)] * (width - len(p))
-        self.residual = [x - lower * y for x, y in zip(pad(n), pad(self.denominator))]
-        while len(self.residual) > 1 and self.residual[-1] == 0:
+
+def leaves_of(residual: list[int], denominator: list[int], strict: bool, splits: int) -> tuple[list[tuple[str, list[int], list[int]]], dict[str, Fraction]]:
+    """Leaves from left to right, and by kind the leftmost point seen to break the bound or the domain (as a share of the interval).
+
+    The leftmost unresolved leaf is split next, so leaves are taken from a
+    stack.  Once the bound is seen broken, only the domain is left to prove.
+    """
+    seen: dict[str, Fraction] = {}
+
+    def probe(path, at, r, d):
+        kind = "invalid_domain" if d <= 0 else "violation" if r < 0 or (strict and r == 0) else None
+        if kind:
+            x = (int(path or "0", 2) + at) / Fraction(1 << len(path))
+            seen[kind] = min(x, seen.get(kind, x))
+
+    out, stack, least = [], [("", residual, denominator, halves(residual), halves(denominator))], 1 if strict else 0
+    for at, k in ((Fraction(0), 0), (Fraction(1), -1)):
+        probe("", at, residual[k], denominator[k])
+    probe("", Fraction(1, 2), halves(residual)[1][0], halves(denominator)[1][0])
+    while stack:
+        path, r, d, rs, ds = stack.pop()
+        proved = min(d) > 0 and ("violation" in seen or min(r) >= least)
+        if proved or "invalid_domain" in seen or not splits or len(path) == DEPTH:
+            out.append((path, r, d))
+            continue
+        splits -= 1
+        for side in (1, 0):
+            own = path + "01"[side], rs[side], ds[side], halves(rs[side]), halves(ds[side])
+            probe(own[0], Fraction(1, 2), own[3][1][0], own[4][1][0])
+            stack.append(own)
+    return out, seen
+
+
+class Parsed:
+    """A problem's numbers: residual = numerator - lower * denominator, without leading zeros."""
+
+    def __init__(self, numerator, denominator, domain, lower):
+        n, self.denominator = ([number(t, BITS) for t in p] for p in (numerator, denominator))
+        self.left, self.right = (number(t, BITS) for t in domain)
+        require(self.left < self.right, "the interval has a length")
+        bound, width = number(lower, BITS), max(len(n), len(self.denominator))
+        at = lambda p, k: p[k] if k < len(p) else Fraction(0)
+        self.residual = [at(n, k) - bound * at(self.denominator, k) for k in range(width)]
+        while len(self.residual) > 1 and not self.residual[-1]:
             self.residual.pop()
-        self.strict = row["strict"]
-        plain = {k: list(v) if isinstance(v, (list, tuple)) else v for k, v in row.items()}
-        self.identity = hashlib.sha256(json.dumps(plain, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
-
-    def interval(self, path: str) -> tuple[Fraction, Fraction]:
-        require(isinstance(path, str) and len(path) <= DEPTH and set(path) <= {"0", "1"}, "a path is a string of halves")
-        width = (self.b - self.a) / 2 ** len(path)
-        left = self.a + width * int(path or "0", 2)
-        return left, left + width
-
-    def proves(self, residual: list[Fraction], denominator: list[Fraction]) -> bool:
-        least = min(residual)
-        return min(denominator) > 0 and (least > 0 if self.strict else least >= 0)
-
-    def at(self, x: Fraction) -> str | None:
-        """What the point witnesses, if anything."""
-        if value(self.denominator, x) <= 0:
-            return "invalid_domain"
-        r = value(self.residual, x)
-        return "violation" if r < 0 or (self.strict and r == 0) else None
-
-
-def value(p: list[Fraction], x: Fraction) -> Fraction:
-    out = Fraction(0)
-    for c in reversed(p):
-        out = out * x + c
-    return out
 
 
-def bernstein(p: list[Fraction], left: Fraction, right: Fraction) -> list[Fraction]:
-    """Bernstein coefficients on an interval: blossoms of the polynomial, by de Casteljau's rule on powers."""
-    n, w = len(p) - 1, right - left
-    # Powers of t after x = left + w * t.
-    shifted = [sum(p[k] * comb(k, j) * left ** (k - j) for k in range(j, n + 1)) * w**j for j in range(n + 1)]
-    return [sum(Fraction(comb(i, j), comb(n, j)) * shifted[j] for j in range(i + 1)) for i in range(n + 1)]
-
-
-def matches(p: list[Fraction], left: Fraction, right: Fraction, claimed) -> list[Fraction]:
-    """The claimed coefficients, after a check that their Bernstein sum is the polynomial at degree + 1 points."""
-    require(claimed is not None and len(claimed) == len(p), "a leaf has one coefficient for each power")
-    b = []
-    for text in claimed:
-        require(isinstance(text, str) and len(text) <= 4096, "a coefficient is a bounded string")
-        b.append(Fraction(text))
-        require(str(b[-1]) == text, "coefficients are canonical")
-    n = len(p) - 1
-    for i in range(n + 1):
-        t = Fraction(i, n) if n else Fraction(0)
-        total = sum(comb(n, k) * c * t**k * (1 - t) ** (n - k) for k, c in enumerate(b))
-        require(total == value(p, left + (right - left) * t), "coefficients are not those of the polynomial")
-    return b
-
-
-def certify(row: dict, max_splits: int = 16) -> dict:
-    """A certificate: certified, violated, invalid_domain or inconclusive, with its leaves."""
-    problem = Problem(row)
-    require(isinstance(max_splits, int) and not isinstance(max_splits, bool) and 0 <= max_splits <= SPLITS, "the split budget is out of bounds")
-    found: dict[str, tuple[list[Fraction], list[Fraction], dict[str, Fraction]]] = {}
-
-    def look(path: str):
-        if path not in found:
-            left, right = problem.interval(path)
-            points = {}
-            for x in (left, (left + right) / 2, right):
-                if (kind := problem.at(x)) is not None:
-                    points.setdefault(kind, x)
-            found[path] = bernstein(problem.residual, left, right), bernstein(problem.denominator, left, right), points
-        return found[path]
-
-    paths, witness = [""], None
-    while True:
-        leaves = [(p, *look(p)) for p in paths]
-        first = {kind: next((x[3][kind] for x in leaves if kind in x[3]), None) for kind in ("invalid_domain", "violation")}
-        open_domain = [x[0] for x in leaves if min(x[2]) <= 0]
-        if first["invalid_domain"] is not None:
-            status, witness = "invalid_domain", {"x": str(first["invalid_domain"]), "kind": "invalid_domain"}
-            break
-        if first["violation"] is not None and not open_domain:
-            status, witness = "violated", {"x": str(first["violation"]), "kind": "violation"}
-            break
-        # With a violation seen, only the denominator is still to be proved.
-        todo = open_domain if first["violation"] is not None else [x[0] for x in leaves if not problem.proves(x[1], x[2])]
-        if not todo:
-            status = "certified"
-            break
-        splittable = [p for p in todo if len(p) < DEPTH]
-        if len(paths) > max_splits or not splittable:
-            status = "inconclusive"
-            break
-        at = paths.index(splittable[0])
-        paths[at : at + 1] = [splittable[0] + "0", splittable[0] + "1"]
-    out = [{"path": p, "residual": list(map(str, r)), "denominator": list(map(str, d))} for p, r, d, _ in leaves]
-    return {"problem_sha256": problem.identity, "max_splits": max_splits, "status": status, "leaves": out, "witness": witness}
-
-
-def verify(row: dict, certificate: dict) -> str:
-    """The certificate's status, if an independent check bears it out; else a ContractError."""
-    problem = Problem(row)
-    require(set(certificate) == {"problem_sha256", "max_splits", "status", "leaves", "witness"}, "the certificate has five fields")
-    require(certificate["problem_sha256"] == problem.identity, "the certificate is for another problem")
-    budget, leaves, witness = certificate["max_splits"], certificate["leaves"], certificate["witness"]
-    require(isinstance(budget, int) and not isinstance(budget, bool) and 0 <= budget <= SPLITS, "the split budget is out of bounds")
-    require(bool(leaves) and len(leaves) <= budget + 1, "there are too many leaves or none")
-    end, proved, domain = problem.a, True, True
-    for leaf in leaves:
-        require(set(leaf) == {"path", "residual", "denominator"}, "a leaf has three fields")
-        left, right = problem.interval(leaf["path"])
-        require(left == end, "leaves follow each other without gaps")
-        end = right
-        r, d = matches(problem.residual, left, right, leaf["residual"]), matches(problem.denominator, left, right, leaf["denominator"])
-        proved, domain = proved and problem.proves(r, d), domain and min(d) > 0
-    require(end == problem.b, "leaves cover the interval")
-    if witness is None:
-        status = "certified" if proved else "inconclusive"
-    else:
-        require(set(witness) == {"x", "kind"} and isinstance(witness["x"], str) and len(witness["x"]) <= 200, "the witness is a point and a kind")
-        try:
-            x = Fraction(witness["x"])
-        except (ValueError, ZeroDivisionError):
-            require(False, "the witness is not a rational")
-        require(str(x) == witness["x"] and problem.a <= x <= problem.b, "the witness is outside")
-        require(problem.at(x) == witness["kind"], "the witness does not show what it says")
-        require(witness["kind"] == "invalid_domain" or domain, "a violation needs the denominator proved")
-        status = "invalid_domain" if witness["kind"] == "invalid_domain" else "violated"
-    require(certificate["status"] == status, "the status does not follow")
-    return status
+def _texts(values: list[int], scale: int) -> list[str]:
+    return [str(Fraction(v, scale)) for v in values]
+
+
+# --- columns
+
+
+def checked(problems: DataFrame) -> DataFrame:
+    """``problems``, after a check of their form; nulls break it."""
+    plain = lambda c: F.col(c).rlike(NUMBER) & (F.length(c) <= 80)
+    numbers = lambda c: F.forall(c, lambda t: t.rlike(NUMBER) & (F.length(t) <= 80))
+    polynomial = lambda c: F.size(c).between(1, DEGREE + 1) & numbers(c) & ((F.size(c) == 1) | (F.element_at(c, -1) != "0"))
+    return require_rows(problems, numerator=polynomial("numerator"), denominator=polynomial("denominator"), domain=(F.size("domain") == 2) & numbers("domain"), lower=plain("lower"), strict=F.col("strict").isNotNull())
+
+
+def identity() -> Column:
+    """SHA-256 of a problem's fields as JSON."""
+    return F.sha2(F.to_json(F.struct(*sorted(FIELDS))), 256)
 
 
 def certify_rows(problems: DataFrame, max_splits: int = 16) -> DataFrame:
-    """All columns of ``problems`` (with those of PROBLEM) and ``certificate``; problems are solved in parallel."""
+    """All columns of ``problems`` (with those of PROBLEM) and ``certificate``: certified, violated, invalid_domain or inconclusive, with its leaves."""
+    require(isinstance(max_splits, int) and not isinstance(max_splits, bool) and 0 <= max_splits <= SPLITS, "the split budget is out of bounds")
 
-    @F.udf(CERTIFICATE)
+    @F.pandas_udf(f"leaves {LEAVES}, proved boolean, domain boolean, invalid string, violation string")
     def solve(numerator, denominator, domain, lower, strict):
-        return certify({"numerator": numerator, "denominator": denominator, "domain": domain, "lower": lower, "strict": strict}, max_splits)
-
-    return problems.withColumn("certificate", solve("numerator", "denominator", "domain", "lower", "strict"))
+        import pandas as pd
+
+        rows = []
+        for *fields, is_strict in zip(numerator, denominator, domain, lower, strict):
+            p = Parsed(*fields)
+            width = p.right - p.left
+            (r, r_scale), (d, d_scale) = (scaled(on_interval(x, p.left, p.right)) for x in (p.residual, p.denominator))
+            found, seen = leaves_of(r, d, bool(is_strict), max_splits)
+            leaves = [{"path": path, "residual": _texts(x, r_scale << (len(path) * (len(x) - 1))), "denominator": _texts(y, d_scale << (len(path) * (len(y) - 1)))} for path, x, y in found]
+            proved, domain_ok = all(min(x) >= bool(is_strict) for _, x, _ in found), all(min(y) > 0 for *_, y in found)
+            points = [str(p.left + width * seen[k]) if k in seen else None for k in ("invalid_domain", "violation")]
+            rows.append((leaves, proved and domain_ok, domain_ok, *points))
+        return pd.DataFrame(rows, columns=["leaves", "proved", "domain", "invalid", "violation"])
+
+    found = checked(problems).withColumn("_found", solve(*FIELDS))
+    f = lambda name: F.col(f"_found.{name}")
+    status = F.when(f("invalid").isNotNull(), "invalid_domain").when(f("violation").isNotNull() & f("domain"), "violated").when(f("proved"), "certified").otherwise("inconclusive")
+    point = F.when(status == "invalid_domain", f("invalid")).when(status == "violated", f("violation"))
+    kind = F.when(status == "invalid_domain", "invalid_domain").otherwise("violation")
+    witness = F.when(point.isNotNull(), F.struct(point.alias("x"), kind.alias("kind")))
+    certificate = F.struct(identity().alias("problem_sha256"), F.lit(max_splits).alias("max_splits"), status.alias("status"), f("leaves").alias("leaves"), witness.alias("witness"))
+    return found.withColumn("certificate", certificate).drop("_found")
+
+
+def _same(powers: list[Fraction], left: Fraction, width: Fraction, claimed: list[Fraction]) -> bool:
+    """Whether claimed Bernstein coefficients are those of a polynomial: both agree at degree + 1 points."""
+    if len(claimed) != len(powers):
+        return False
+    for t in range(len(powers)):
+        row = claimed
+        while len(row) > 1:
+            row = [(1 - t) * x + t * y for x, y in pairwise(row)]
+        x, total = left + width * t, Fraction(0)
+        for c in reversed(powers):
+            total = total * x + c
+        if total != row[0]:
+            return False
+    return True
 
 
 def verify_rows(certified: DataFrame) -> DataFrame:
-    """All columns and ``verified``: the status borne out, or null if the certificate is not valid."""
+    """All columns and ``verified``: the certificate's status if an independent check bears it out, else null.
 
-    @F.udf("string")
-    def check(numerator, denominator, domain, lower, strict, certificate):
-        row = {"numerator": numerator, "denominator": denominator, "domain": domain, "lower": lower, "strict": strict}
-        try:
-            return verify(row, certificate.asDict(recursive=True))
-        except ValueError:
-            return None
+    Coefficients and the witness are recomputed; that leaves follow each other
+    and cover the interval, their number, and what status follows are column
+    expressions.
+    """
 
-    return certified.withColumn("verified", check("numerator", "denominator", "domain", "lower", "strict", "certificate"))
+    @F.pandas_udf("ok boolean, proved boolean, domain boolean, shown string")
+    def recompute(numerator, denominator, domain, lower, strict, leaves, x):
+        import pandas as pd
+
+        rows = []
+        for a, b, c, d, is_strict, own, point in zip(numerator, denominator, domain, lower, strict, leaves, x):
+            p = Parsed(a, b, c, d)
+            try:
+                ok, proved, positive = True, True, True
+                for leaf in own:
+                    path = leaf["path"]
+                    width = (p.right - p.left) / (1 << len(path))
+                    left = p.left + width * int(path or "0", 2)
+                    r, y = ([number(t) for t in leaf[k]] for k in ("residual", "denominator"))
+                    ok = ok and _same(p.residual, left, width, r) and _same(p.denominator, left, width, y)
+                    proved, positive = proved and min(r) >= 0 and (not is_strict or min(r) > 0), positive and min(y) > 0
+                shown = None
+                if point is not None:
+                    at = number(point)
+                    r, y = (sum(v * at**k for k, v in enumerate(q)) for q in (p.residual, p.denominator))
+                    inside = p.left <= at <= p.right
+                    shown = None if not inside else "invalid_domain" if y <= 0 else "violation" if r < 0 or (is_strict and r == 0) else None
+            except ValueError:
+                ok, proved, positive, shown = False, False, False, None
+            rows.append((ok, proved and positive, positive, shown))
+        return pd.DataFrame(rows, columns=["ok", "proved", "domain", "shown"])
+
+    c = lambda name: F.col(f"certificate.{name}")
+    numbers = lambda a: (F.size(a) > 0) & F.forall(a, lambda t: t.rlike(NUMBER) & (F.length(t) <= 4096))
+    form = F.size(c("leaves")).between(1, c("max_splits") + 1) & c("max_splits").between(0, SPLITS) & (c("problem_sha256") == identity())
+    form &= F.forall(c("leaves"), lambda leaf: leaf["path"].rlike(f"^[01]{{0,{DEPTH}}}$") & numbers(leaf["residual"]) & numbers(leaf["denominator"]))
+    form &= c("witness").isNull() | (c("witness.x").rlike(NUMBER) & (F.length(c("witness.x")) <= 200) & c("witness.kind").isNotNull())
+    # A leaf ends where the next begins, in units of the smallest leaf; -1 once it doesn't.
+    start = lambda leaf: F.coalesce(F.conv(F.when(leaf["path"] != "", F.rpad(leaf["path"], DEPTH, "0")), 2, 10).cast("long"), F.lit(0))
+    width = lambda leaf: F.expr(f"shiftleft(1L, {DEPTH})") / F.pow(F.lit(2.0), F.length(leaf["path"]))
+    end = F.aggregate(c("leaves"), F.lit(0).cast("long"), lambda at, leaf: F.when(at == start(leaf), at + width(leaf).cast("long")).otherwise(F.lit(-1)).cast("long"))
+    sound = F.coalesce(form & (end == 1 << DEPTH), F.lit(False))
+    rows = checked(certified).withColumn("_sound", sound)
+    safe = lambda col: F.when(F.col("_sound"), col)
+    rows = rows.withColumn("_again", recompute(*FIELDS, F.coalesce(safe(c("leaves")), F.from_json(F.lit("[]"), LEAVES)), safe(c("witness.x"))))
+    again = lambda name: F.col(f"_again.{name}")
+    kind = c("witness.kind")
+    witnessed = F.when(kind == "invalid_domain", "invalid_domain").when((kind == "violation") & again("domain"), "violated")
+    follows = F.when(c("witness").isNull(), F.when(again("proved"), "certified").otherwise("inconclusive")).when(again("shown") == kind, witnessed)
+    return rows.withColumn("verified", F.when(F.col("_sound") & again("ok") & (follows == c("status")), c("status"))).drop("_sound", "_again")
+
+
+def replay(problems: DataFrame, frozen: DataFrame, max_splits: int = 16, key: str = "name") -> DataFrame:
+    """(key, expected, status, verified, agrees) of every problem and every frozen status, by key, also where one of them lacks."""
+    found = verify_rows(certify_rows(problems, max_splits)).select(key, F.col("certificate.status").alias("status"), "verified")
+    both = found.join(frozen.select(key, F.col("status").alias("expected")), key, "full")
+    return both.select(key, "expected", "status", "verified", F.coalesce((F.col("expected") == F.col("status")) & (F.col("status") == F.col("verified")), F.lit(False)).alias("agrees"))
 
 
 def quadratic_bound(df: DataFrame, c0: str, c1: str, c2: str) -> DataFrame:

@@ -190,6 +190,23 @@ def certified_quadratic(spark, d):
     return checked.select("p_partkey", F.when(F.col("verified") == "certified", "nonnegative").when(F.col("verified") == "violated", "negative").otherwise("open").alias("sign"))
 
 
+# Problems with the status that each must get (name, numerator, denominator, lower, strict, status).
+FROZEN_PROBLEMS = (
+    ("direct", "1,1", "1", "0", False, "certified"), ("subdivision", "13/50,-1,1", "1", "1/100", False, "certified"), ("violation", "-1,1", "1", "0", False, "violated"),
+    ("boundary", "0,0,1", "1", "0", False, "certified"), ("boundary-strict", "0,0,1", "1", "0", True, "violated"), ("rational", "1", "1,1", "0", False, "certified"),
+    ("crossing", "1", "-1,2", "0", False, "invalid_domain"), ("zero", "0", "0,1", "0", False, "invalid_domain"), ("near-zero", "1", "1/1000000,1", "0", False, "certified"),
+    ("denominator", "1", "13/50,-1,1", "0", False, "certified"),
+)
+
+
+@query(f"SELECT name, status AS expected, status, status AS verified, true AS agrees FROM (VALUES {', '.join(f"('{p[0]}', '{p[-1]}')" for p in FROZEN_PROBLEMS)}) f(name, status)")
+def certificate_replay(spark, d):
+    """Certificates of the frozen problems, verified and held against their statuses."""
+    rows = spark.createDataFrame(list(FROZEN_PROBLEMS), "name string, n string, d string, lower string, strict boolean, status string")
+    problems = rows.select("name", F.split("n", ",").alias("numerator"), F.split("d", ",").alias("denominator"), F.array(F.lit("0"), F.lit("1")).alias("domain"), "lower", "strict")
+    return bounds.replay(problems, rows)
+
+
 MEASURED = ", ".join(f"'{s}'" for s in evidence.MEASURED)
 
 

@@ -1,6 +1,7 @@
-import copy
+from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.contracts import ContractError
 from sparkloom.operators import bounds
@@ -26,35 +27,64 @@ def problem(case):
     return {"numerator": case[1].split(","), "denominator": case[2].split(","), "domain": ["0", "1"], "lower": case[3], "strict": case[4]}
 
 
-@pytest.mark.parametrize("case", CASES, ids=[c[0] for c in CASES])
-def test_statuses(case):
-    found = bounds.certify(problem(case), case[5])
-    assert (found["status"], len(found["leaves"])) == case[6:]
-    assert bounds.verify(problem(case), found) == case[6]
+def frame(spark, cases):
+    return spark.createDataFrame([(c[0], *problem(c).values()) for c in cases], f"name string, {bounds.PROBLEM}")
 
 
-def test_changed_certificates_are_refused():
-    good = bounds.certify(problem(CASES[2]))
+@pytest.mark.parametrize("splits", [0, 16])
+def test_statuses(spark, splits):
+    cases = [c for c in CASES if c[5] == splits]
+    rows = bounds.verify_rows(bounds.certify_rows(frame(spark, cases), splits)).collect()
+    found = {r["name"]: (r["certificate"]["status"], len(r["certificate"]["leaves"]), r["verified"]) for r in rows}
+    assert found == {c[0]: (c[6], c[7], c[6]) for c in cases}
+
+
+def test_changed_certificates_are_refused(spark):
+    good = bounds.certify_rows(frame(spark, [CASES[2]])).first()["certificate"].asDict(recursive=True)
+    leaf, other = good["leaves"]
+    witness = lambda x, kind: {"witness": {"x": x, "kind": kind}}
     changes = [
-        lambda c: c.update(status="violated"), lambda c: c.update(problem_sha256="0" * 64), lambda c: c.update(max_splits=0), lambda c: c.update(extra=1),
-        lambda c: c["leaves"].pop(), lambda c: c["leaves"].reverse(), lambda c: c["leaves"][0].update(path="1"), lambda c: c["leaves"][0]["residual"].__setitem__(0, "2"),
-        lambda c: c["leaves"][0]["denominator"].append("1"), lambda c: c.update(witness={"x": "1/2", "kind": "violation"}), lambda c: c.update(witness={"x": "2/4", "kind": "violation"}),
-        lambda c: c.update(witness={"x": "3", "kind": "invalid_domain"}), lambda c: c.update(leaves=[]), lambda c: c["leaves"][1].update(path="2"),
+        {"status": "violated"}, {"problem_sha256": "0" * 64}, {"problem_sha256": None}, {"max_splits": 0}, {"max_splits": 65}, {"max_splits": None},
+        {"leaves": [leaf]}, {"leaves": [other, leaf]}, {"leaves": [leaf | {"path": "1"}, other]}, {"leaves": [leaf | {"residual": ["2", *leaf["residual"][1:]]}, other]},
+        {"leaves": [leaf | {"denominator": [*leaf["denominator"], "1"]}, other]}, {"leaves": [leaf | {"residual": None}, other]}, {"leaves": [leaf | {"residual": ["2/4", *leaf["residual"][1:]]}, other]},
+        witness("1/2", "violation"), witness("2/4", "violation"), witness("3", "invalid_domain"), witness("1/2", None), {"leaves": []}, {"leaves": None}, {"leaves": [leaf, other | {"path": "2"}]}, {"leaves": [leaf, leaf, other]},
     ]
-    for change in changes:
-        bad = copy.deepcopy(good)
-        change(bad)
-        with pytest.raises(ValueError):
-            bounds.verify(problem(CASES[2]), bad)
+    rows = [(str(i), *problem(CASES[2]).values(), good | change) for i, change in enumerate([{}, *changes])]
+    certified = spark.createDataFrame(rows, f"name string, {bounds.PROBLEM}, certificate {bounds.CERTIFICATE}")
+    found = {r["name"]: r["verified"] for r in bounds.verify_rows(certified).collect()}
+    assert found == {"0": "certified"} | {str(i): None for i in range(1, len(changes) + 1)}
+
+
+def test_changed_problems_are_refused(spark):
+    certified = bounds.certify_rows(frame(spark, [CASES[2]]))
+    for name, value in (("lower", F.lit("1/50")), ("strict", F.lit(True)), ("domain", F.array(F.lit("0"), F.lit("2"))), ("denominator", F.array(F.lit("2"))), ("numerator", F.array(F.lit("1")))):
+        assert bounds.verify_rows(certified.withColumn(name, value)).first()["verified"] is None
+
+
+def test_refused_problems(spark):
+    for key, value in (("numerator", []), ("numerator", ["1", "0"]), ("numerator", ["2/4"]), ("numerator", ["1", None]), ("numerator", ["3/1"]), ("numerator", ["-0"]), ("domain", ["1", "0"]), ("lower", "x"), ("lower", str(1 << 200)), ("strict", None), ("numerator", ["1"] * 14)):
+        with pytest.raises(Exception) as caught:
+            bounds.certify_rows(spark.createDataFrame([tuple((problem(CASES[0]) | {key: value}).values())], bounds.PROBLEM)).collect()
+        assert "Contract" in caught.typename or "ContractError" in str(caught.value)
+    with pytest.raises(ContractError):
+        bounds.certify_rows(frame(spark, CASES[:1]), 65)
+    assert bounds.verify_rows(bounds.certify_rows(frame(spark, CASES).limit(0))).count() == 0
 
 
-def test_refused_problems():
-    for key, value in (("numerator", []), ("numerator", ["1", "0"]), ("numerator", ["2/4"]), ("domain", ["1", "0"]), ("lower", "x"), ("strict", 1), ("numerator", ["1"] * 14)):
-        with pytest.raises(ContractError):
-            bounds.certify(problem(CASES[0]) | {key: value})
+def test_coefficients():
+    """A quadratic and a cubic on [1, 3]: ends are values, and halves agree with the whole at the middle."""
+    for p in ([5, -2, 1], [0, 1, 0, 7]):
+        p = [Fraction(x) for x in p]
+        at = lambda x, p=p: sum(c * x**k for k, c in enumerate(p))
+        b = bounds.on_interval(p, Fraction(1), Fraction(3))
+        assert (b[0], b[-1]) == (at(1), at(3))
+        whole, scale = bounds.scaled(b)
+        first, last = bounds.halves(whole)
+        assert first[-1] == last[0] == at(2) * scale * 2 ** (len(p) - 1)
+        assert [x / Fraction(scale << (len(p) - 1)) for x in first] == bounds.on_interval(p, Fraction(1), Fraction(2))
 
 
-def test_rows(spark):
-    df = spark.createDataFrame([(c[0], *problem(c).values()) for c in CASES if c[5]], f"name string, {bounds.PROBLEM}")
-    found = {r["name"]: (r["certificate"]["status"], r["verified"]) for r in bounds.verify_rows(bounds.certify_rows(df)).collect()}
-    assert found == {c[0]: (c[6], c[6]) for c in CASES if c[5]}
+def test_replay(spark):
+    frozen = spark.createDataFrame([("direct", "certified"), ("violation", "certified"), ("gone", "violated")], "name string, status string")
+    found = {r["name"]: (r["status"], r["agrees"]) for r in bounds.replay(frame(spark, [CASES[0], CASES[3], CASES[4]]), frozen).collect()}
+    assert found == {"direct": ("certified", True), "violation": ("violated", False), "boundary": ("certified", False), "gone": (None, False)}
