@@ -4,26 +4,31 @@ Documents of a source are dealt into blocks.  A period has as many slots as
 the weights (whole numbers) add up to; block k of a source of weight w gets
 release time floor((k - 1) * period / w) and deadline ceil(k * period / w),
 and earliest-deadline-first fills the slots.  At every slot each source is
-less than one block from its share.  A period repeats until a source can't fill
-its part any more: that source spreads what it has left over one last period
-and leaves, and the others' shares grow in proportion.
+less than one block from its share.  A source of n blocks fills n div w
+periods; what it has left is spread over one period more, and then it leaves
+and the others' shares grow in proportion.  So the weights of each period are
+known beforehand: runs of periods with equal weights (phases) are scheduled by
+themselves, each by one task, and make up a table of slots, whatever the number
+of sources.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import SharedTable
+
 #: Documents of a block; slots of a period that default weights add up to, about.
 BLOCK, PERIOD = 16, 1024
-#: Sources with weights of their own; smaller ones share the weight of their pool.
-SOURCES = 256
+#: Slots of a schedule that may be broadcast (8 bytes or so each); a larger one is joined by block.
+BROADCAST = 1 << 20
 #: Documents that are ranked together, and cells whose counts are added up together.
 CELL, SPAN = 512, 1024
-POOL = "pool"
 
 
 def pfair_slots(weights: list[int]) -> list[list[int]]:
@@ -41,27 +46,46 @@ def pfair_slots(weights: list[int]) -> list[list[int]]:
     return slots
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, int]) -> list[tuple[str, int, int, int, int, list[int]]]:
-    """(source, first block, end block, first slot, period, slots within it) of all runs of equal periods."""
-    left, out, base = {s: n for s, n in sorted(blocks.items()) if n > 0}, [], 0
-    done = dict.fromkeys(left, 0)
-    while left:
-        own = {s: min(weights[s], n) for s, n in left.items()}
-        times = min(n // own[s] for s, n in left.items())
-        period = sum(own.values())
-        for s, slots in zip(own, pfair_slots(list(own.values()))):
-            out.append((s, done[s], done[s] + times * own[s], base, period, slots))
-            done[s] += times * own[s]
-            left[s] -= times * own[s]
-        base += times * period
-        left = {s: n for s, n in left.items() if n}
-    return out
-
+def schedule_table(sources: DataFrame) -> DataFrame:
+    """(key, first, until, base, period, slots): the runs of equal periods of every source.
 
-def default_weights(rows: Mapping[str, int], period: int = PERIOD) -> dict[str, int]:
-    """Weights by the square root of a source's rows: large sources give way to small ones."""
-    total = sum(n**0.5 for n in rows.values())
-    return {s: max(1, round(period * n**0.5 / total)) for s, n in rows.items()}
+    ``sources`` has one row a source: key, blocks (one at least) and weight.
+    Block ``first + j`` of a run gets slot ``base + (j div n) * period +
+    slots[j mod n]`` where n is the number of the run's slots in a period.
+    There are at most as many slots in the table as there are blocks.
+    """
+    own = sources.withColumns({"full": F.expr("blocks div weight"), "rest": F.col("blocks") % F.col("weight")})
+    ends = own.select(F.explode(F.expr("if(rest > 0, array(0L, full, full + 1), array(0L, full))")).alias("start")).distinct()
+    # One row for each time when a source leaves.
+    order = Window.orderBy("start")
+    starts = ends.select("start", (F.row_number().over(order) - 1).alias("phase"), (F.lead("start").over(order) - F.col("start")).alias("times"))
+    last = F.expr("if(rest > 0, phase, phase - 1)")
+    active = own.join(starts.select(F.col("start").alias("full"), "phase"), "full").withColumn("last", last).withColumn("phase", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    runs = active.join(starts, "phase").withColumn("n", F.when(F.col("start") < F.col("full"), F.col("weight")).otherwise(F.col("rest")))
+    lengths = runs.groupBy("phase").agg(F.sum("n").alias("period"), F.first("times").alias("times"))
+    before = Window.orderBy("phase").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = lengths.select("phase", "period", F.coalesce(F.sum(F.col("period") * F.col("times")).over(before), F.lit(0)).alias("base"))
+
+    def fill(rows):
+        rows = rows.sort_values("key")
+        return rows.assign(slots=pfair_slots(rows["n"].tolist()))[["phase", "key", "slots"]]
+
+    filled = runs.select("phase", "key", "n").groupBy("phase").applyInPandas(fill, "phase int, key string, slots array<int>")
+    placed = filled.join(runs.select("phase", "key", "start", "times", "weight"), ["phase", "key"]).join(lengths, "phase")
+    first = F.col("start") * F.col("weight")
+    return placed.select("key", first.alias("first"), (first + F.col("times") * F.size("slots")).alias("until"), "base", "period", "slots")
+
+
+def source_weights(sizes: DataFrame, weights: Mapping[str | None, int] | None, block: int, period: int = PERIOD) -> DataFrame:
+    """(key, blocks, weight) of sources by their rows (key, count): the weights given, or by the square root of rows, so that large sources give way to small ones."""
+    own = sizes.withColumn("blocks", F.ceil(F.col("count") / F.lit(block)).cast("long"))
+    if weights is not None:
+        if weights and min(weights.values()) < 1:
+            raise ValueError("weights are positive whole numbers")
+        given = sizes.sparkSession.createDataFrame([("null" if s is None else f"s:{s}", int(w)) for s, w in weights.items()], "key string, given long")
+        return own.join(given, "key", "left").select("key", "blocks", F.coalesce("given", F.lit(1)).cast("long").alias("weight"))
+    total = sizes.agg(F.sum(F.sqrt("count"))).first()[0] or 1.0
+    return own.select("key", "blocks", F.greatest(F.lit(1), F.round(F.sqrt("count") * period / total)).cast("long").alias("weight"))
 
 
 def _free(name: str, taken) -> str:
@@ -80,51 +104,40 @@ def _starts(counts: DataFrame, key: str, cell: str, first: str) -> DataFrame:
     return own.join(spans, [key, "span"]).select(key, cell, (F.col("own") + F.col("base")).alias(first))
 
 
-def schedule(docs: DataFrame, weights: Mapping[str | None, int] | None = None, block: int = BLOCK, doc_id: str = "doc_id", source: str = "source", prefix: str = "mix_") -> tuple[DataFrame, list[str]]:
+def schedule(docs: DataFrame, weights: Mapping[str | None, int] | None = None, block: int = BLOCK, doc_id: str = "doc_id", source: str = "source", prefix: str = "mix_", broadcast: int = BROADCAST) -> tuple[DataFrame, list[str]]:
     """All rows and columns of ``docs`` with the block's number within its source, its slot and the row's place in the block; and the names of these three.
 
     Within a source documents come by a hash of doc_id.  ``weights`` are
     positive whole numbers by source, 1 for sources not named; None gives
     weights by the square root of rows.  Null sources are a source of their
-    own; nothing is dropped or repeated.  Beyond ``SOURCES`` sources the
-    smallest share a pool that is mixed as one source, with their weights
-    added up.
+    own; nothing is dropped or repeated.  A schedule of at most ``broadcast``
+    slots is broadcast, a longer one is joined by source and block.
     """
     names = [_free(prefix + x, docs.columns) for x in ("key", "cell", "hash", "rank", "first")]
     key, cell, mixed, rank, first = names
     n_block, slot, place = (_free(prefix + x, docs.columns) for x in ("block", "slot", "place"))
     named = F.coalesce(F.concat(F.lit("s:"), F.col(source).cast("string")), F.lit("null"))
     sizes = docs.groupBy(named.alias("key")).count()
-    total = docs.count()
-    largest = sizes.orderBy(F.desc("count"), "key").limit(SOURCES).collect()
-    rows = {r["key"]: r["count"] for r in largest}
-    pooled = total - sum(rows.values())
-    given = None if weights is None else {"null" if s is None else f"s:{s}": int(w) for s, w in weights.items()}
-    if given and min(given.values()) < 1:
-        raise ValueError("weights are positive whole numbers")
-    if pooled:
-        rest = sizes.where(~F.col("key").isin(list(rows)))
-        weight = rest.count() if given is None else rest.agg(F.sum(F.coalesce(F.create_map(*[F.lit(x) for kv in given.items() for x in kv])[F.col("key")], F.lit(1)))).first()[0]
-        rows[POOL] = pooled
-    own = default_weights(rows) if given is None else {s: given.get(s, 1) for s in rows} | ({POOL: int(weight)} if pooled else {})
-    table = phases({s: -(-n // block) for s, n in rows.items()}, own)
-    spark = docs.sparkSession
-    # At most SOURCES + 1 sources, twice as many runs of periods, PERIOD slots or so in each: small enough to broadcast.
-    p_key, p_from, p_to, p_base, p_period, p_slots = run = [_free(prefix + x, docs.columns) for x in ("run", "from", "to", "base", "period", "slots")]
-    kinds = ("string", "long", "long", "long", "long", "array<int>")
-    plan = spark.createDataFrame(table or [("", 0, 0, 0, 1, [0])], ", ".join(map(" ".join, zip(run, kinds))))
+    plan = SharedTable(schedule_table(source_weights(sizes, weights, block)), "schedule").df
+    total, slots = docs.count(), plan.agg(F.sum(F.size("slots"))).first()[0] or 0
 
     cells = max(1, -(-total // CELL))
-    keyed = F.when(named.isin(list(rows)), named).otherwise(F.lit(POOL))
-    dealt = docs.withColumns({key: keyed, mixed: F.xxhash64(F.col(doc_id))}).withColumn(cell, F.pmod(F.col(mixed), F.lit(cells)))
+    dealt = docs.withColumns({key: named, mixed: F.xxhash64(F.col(doc_id))}).withColumn(cell, F.pmod(F.col(mixed), F.lit(cells)))
     starts = _starts(dealt.groupBy(key, cell).count(), key, cell, first)
     ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(key, cell).orderBy(mixed, doc_id)) - 1).join(starts, [key, cell])
     ranked = ranked.withColumn(rank, F.col(rank) + F.col(first)).withColumns({n_block: F.floor(F.col(rank) / block).cast("long"), place: (F.col(rank) % block).cast("int")})
-    here = (F.col(key) == F.col(p_key)) & (F.col(n_block) >= F.col(p_from)) & (F.col(n_block) < F.col(p_to))
-    joined = ranked.join(F.broadcast(plan), here)
-    step, w = F.col(n_block) - F.col(p_from), F.size(p_slots).cast("long")
-    at = F.col(p_base) + F.floor(step / w) * F.col(p_period) + F.get(p_slots, (step % w).cast("int"))
-    return joined.withColumn(slot, at.cast("long")).select(*docs.columns, n_block, slot, place), [n_block, slot, place]
+    step, n = "(k - first)", "size(slots)"
+    at = f"cast(base + ({step} div {n}) * period + slots[cast({step} % {n} as int)] as long)"
+    if slots <= broadcast:
+        p = {c: _free(f"{prefix}run_{c}", docs.columns) for c in plan.columns}
+        here = (F.col(key) == F.col(p["key"])) & (F.col(n_block) >= F.col(p["first"])) & (F.col(n_block) < F.col(p["until"]))
+        joined = ranked.join(F.broadcast(plan.withColumnsRenamed(p)), here)
+        fitted = F.expr(re.sub(r"\b(first|base|period|slots|k)\b", lambda m: f"`{n_block if m[0] == 'k' else p[m[0]]}`", at))
+        joined = joined.withColumn(slot, fitted)
+    else:
+        blocks = plan.withColumn("k", F.explode(F.expr("sequence(first, until - 1)"))).select(F.col("key").alias(key), F.col("k").alias(n_block), F.expr(at).alias(slot))
+        joined = ranked.join(blocks, [key, n_block])
+    return joined.select(*docs.columns, n_block, slot, place), [n_block, slot, place]
 
 
 def mixing_order(docs: DataFrame, weights: Mapping[str | None, int] | None = None, block: int = BLOCK) -> DataFrame:

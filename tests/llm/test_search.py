@@ -244,6 +244,48 @@ def test_mixing(spark):
         assert own == list(range(blocks[s]))
 
 
+def brute_schedule(blocks, weights):
+    """(source, block) by slot, one slot at a time: of the blocks released the one with the earliest deadline, ties by source; period by period."""
+    left, done, out = dict(blocks), dict.fromkeys(blocks, 0), []
+    while any(left.values()):
+        own = {s: min(weights[s], n) for s, n in sorted(left.items()) if n}
+        period, had = sum(own.values()), dict.fromkeys(own, 0)
+        for t in range(period):
+            open_blocks = [(-((had[s] + 1) * period // -w), i, s) for i, (s, w) in enumerate(own.items()) if had[s] < w and had[s] * period // w <= t]
+            s = min(open_blocks)[2]
+            out.append((s, done[s]))
+            had[s], done[s], left[s] = had[s] + 1, done[s] + 1, left[s] - 1
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [M.BROADCAST, 0])
+def test_schedule_is_the_brute_force_one(spark, broadcast):
+    rng = random.Random(9)
+    n = {f"s{i}": rng.choice([1, 2, 3, 7, 20, 41, 60]) for i in range(25)}
+    weights = {s: rng.choice([1, 2, 3, 5]) for s in n}
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, k in n.items() for _ in range(k * 2))], "doc_id long, source string")
+    found, (block, slot, _) = M.schedule(docs, weights, block=2, broadcast=broadcast)
+    rows = {(r[slot], r["source"], r[block]) for r in found.collect()}
+    assert sorted(rows) == [(t, s, k) for t, (s, k) in enumerate(brute_schedule(n, weights))]
+
+
+def test_a_thousand_sources_keep_to_their_weights(spark):
+    """Less than one block from the share at every slot, as long as no source runs short."""
+    rng = random.Random(10)
+    weights = {f"s{i}": rng.choice([1, 1, 2, 3, 40]) for i in range(1000)}
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, w in weights.items() for _ in range(2 * w))], "doc_id long, source string")
+    found, (_, slot, _) = M.schedule(docs, weights, block=1)
+    period, done = sum(weights.values()), dict.fromkeys(weights, 0)
+    rows = sorted((r[slot], r["source"]) for r in found.collect())
+    assert [t for t, _ in rows] == list(range(2 * period))
+    for t, s in rows:
+        # A source's lag is largest just before and just after it is served.
+        assert done[s] * period - weights[s] * t > -period
+        done[s] += 1
+        assert done[s] * period - weights[s] * (t + 1) < period
+    assert done == {s: 2 * w for s, w in weights.items()}
+
+
 def test_mixing_keeps_rows_and_columns(spark):
     from pyspark.sql import functions as F
 
