@@ -166,9 +166,9 @@ def vectors(spark, rows, kind="float"):
     return spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
 
 
-def brute_top(rows, k=5, every=50):
+def brute_top(rows, k=5, every=50, exact=False):
     out = []
-    usable = [(i, [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    usable = [(i, [int(np.floor(256 * np.float64(x if exact else np.float32(x)))) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     for q, a in usable:
         if q % every == 0:
             scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in usable if i != q and len(b) == len(a))[:k]
@@ -182,10 +182,34 @@ def test_top_k(spark):
     rows += [(1000 + i, rows[3][1], 1) for i in range(20)] + [(50_000, rows[3][1], 0), (60_000, [0.0] * 6, 0), (150_000, None, 0), (200_000, [1.0, None, 1.0, 1.0, 1.0, 1.0], 0), (250_000, [float("nan")] * 6, 0), (300_000, [], 0), (None, rows[0][1], 0), (350_000, [1.0, 2.0], 0), (401, [3.0, 1.0], None)]
     for blocks in ({}, {"candidates": 64, "queries": 3}):
         assert sorted(map(tuple, top_k(vectors(spark, rows), **blocks).collect())) == brute_top(rows)
+    assert sorted(map(tuple, top_k(vectors(spark, rows), longest=3).collect())) == brute_top(rows)
     assert top_k(vectors(spark, [])).count() == 0
     assert top_k(vectors(spark, [(0, [1.0], 0)])).count() == 0
 
 
+@pytest.mark.parametrize("size", [3e5, 1e9, 4e9, 1e20, 1e307])
+def test_top_k_of_large_components(spark, size):
+    """Products beyond doubles' whole numbers are exact; beyond 64 bits they count as the largest long."""
+    rng, clip = np.random.default_rng(7), lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    rows = [(i, (rng.normal(size=8) * size).tolist(), 0) for i in range(120)] + [(200, [0.5] * 8, 0), (250, [0.0] * 8, 0)]
+    whole = {i: [int(np.floor(min(max(256 * x, -1.7e308), 1.7e308))) for x in v] for i, v, _ in rows}
+    want = []
+    for q in whole:
+        if q % 50 == 0:
+            scored = sorted((-clip(sum(x * y for x, y in zip(whole[q], whole[i]))), i) for i in whole if i != q)[:5]
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
+    assert sorted(map(tuple, top_k(vectors(spark, rows, "double"), candidates=64, queries=2, longest=8).collect())) == sorted(want)
+
+
+def test_top_k_meets_fewer_bands_than_there_are(spark):
+    """Lengths that fall quickly: far fewer products than all pairs of blocks and bands would take."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (np.abs(rng.normal(size=8)) * 100 / (1 + i)).tolist(), 0) for i in range(1000)]
+    found = top_k(vectors(spark, rows, "double"), candidates=50, queries=5, longest=64)
+    plan = found._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and sorted(map(tuple, found.collect())) == brute_top([(i, v, lab) for i, v, lab in rows], exact=True)
+
+
 @pytest.mark.parametrize("most", [4096, 16])
 def test_near_vectors(spark, most):
     rng = np.random.default_rng(6)
