@@ -60,18 +60,20 @@ def shared_folder(spark: SparkSession) -> str:
 HOT = 10_000
 
 
-def join_unique(rows: DataFrame, table: DataFrame, key: str | list[str], total: int, n: str = "n", hot: int = HOT, least: int = 64) -> DataFrame:
-    """``rows`` joined with ``table``, which has each key once and in column ``n`` the number of its rows; ``n`` goes.
+def join_unique(rows: DataFrame, table: DataFrame, key: str, total: int, n: str = "n", hot: int = HOT, least: int = 64) -> DataFrame:
+    """``rows`` joined with the written ``table``, which has each key once and in column ``n`` the number of its rows; ``n`` goes.
 
     ``total`` rows have at most ``hot`` keys of more than ``total / hot`` rows
-    each.  What belongs to these keys is broadcast, so that none of them is
-    gathered in one task; the other rows are shuffled by key as ever.
+    each.  What belongs to such keys, if there are any, is broadcast, so that
+    none of them is gathered in one task; the other rows are shuffled by key as
+    ever.
     """
     most = max(least, total // hot)
+    if (table.agg(F.max(n)).first()[0] or 0) <= most:
+        return rows.join(table.drop(n), key)
     many = F.broadcast(table.where(F.col(n) > most).drop(n))
-    keys = [key] if isinstance(key, str) else key
-    few = rows.join(many.select(*keys), keys, "left_anti").join(table.where(F.col(n) <= most).drop(n), keys)
-    return rows.join(many, keys).unionByName(few)
+    few = rows.join(many.select(key), key, "left_anti").join(table.where(F.col(n) <= most).drop(n), key)
+    return rows.join(many, key).unionByName(few)
 
 
 class SharedTable:

@@ -8,23 +8,24 @@ from pyspark.sql import functions as F
 from .common import SharedTable, join_unique
 
 
-def _least(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame) -> SharedTable:
     """(u, m, n): the smallest v of each u and the number of its rows."""
-    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return SharedTable(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
 
 
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> tuple[DataFrame, SharedTable]:
     """Every larger neighbour of a node is tied to the smallest node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return join_unique(both, _least(both), "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    least = _least(both)
+    return join_unique(both, least.df, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), least
 
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> tuple[DataFrame, SharedTable]:
     """A node and its smaller neighbours are tied to the smallest of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     least = _least(down)
-    other = join_unique(down, least, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return other.union(least.select("u", F.col("m").alias("v"))).distinct()
+    other = join_unique(down, least.df, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return other.union(least.df.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,15 +35,22 @@ def components(edges: DataFrame) -> DataFrame:
     matter, rows with nulls are left out.  Alternating large-star and
     small-star steps, each written to the shared folder, end when the edges
     form stars.  The smallest neighbours of nodes with very many edges are
-    broadcast (join_unique), so no task gathers a node's edges.
+    broadcast (join_unique), so no task gathers a node's edges.  The result is
+    read from a written table.
     """
     edges = edges.where("u is not null and v is not null and u <> v")
     count = lambda df: df.agg(F.count("*"), F.sum(F.expr("xxhash64(u, v) % 1099511627776"))).first()
-    first = SharedTable(edges.select("u", "v").distinct(), "edges")
-    last, seen = SharedTable(_small_star(first.df, count(first.df)[0]), "components"), None
-    first.drop()
-    while (row := count(last.df)) != seen and row[0]:
-        seen, table = row, SharedTable(_small_star(_large_star(last.df, row[0]), 2 * row[0]), "components")
+
+    def step(star, last: SharedTable, n: int) -> SharedTable:
+        found, used = star(last.df, n)
+        table = SharedTable(found, "components")
         last.drop()
-        last = table
+        used.drop()
+        return table
+
+    last = SharedTable(edges.select("u", "v").distinct(), "edges")
+    last, seen = step(_small_star, last, count(last.df)[0]), None
+    while (row := count(last.df)) != seen and row[0]:
+        seen = row
+        last = step(_small_star, step(_large_star, last, row[0]), 2 * row[0])
     return last.df.select(F.col("u").alias("node"), F.col("v").alias("root")).union(last.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

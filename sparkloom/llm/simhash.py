@@ -1,10 +1,15 @@
 """SimHash near-duplicates, found through Golay-code keys.
 
-Texts become 64-bit SimHash fingerprints of word shingles.  Two fingerprints
-link when they differ in few bits.  The candidate search decodes fingerprint
-segments with the perfect binary Golay code (23,12): a segment gets as keys all
-codewords within distance 4 (one if the nearest codeword is at most 2 away,
-else six), and any two words that differ in at most 2 bits share a key.
+Texts become SimHash fingerprints of word shingles.  The candidate search
+decodes fingerprint segments with the perfect binary Golay code (23,12): a
+segment gets as keys all codewords within distance 4 (one if the nearest
+codeword is at most 2 away, else six), and any two words that differ in at most
+2 bits share a key.
+
+``near_duplicates`` links 64-bit fingerprints that differ in few bits, and
+finds all of these.  ``similar_documents`` links texts by the similarity of
+their sets of five-word shingles: longer fingerprints give candidates, which
+are verified exactly.
 """
 
 from __future__ import annotations
@@ -140,58 +145,69 @@ SHORT = 8
 BLOCK = 8192
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints: rows of arrays of 64-bit columns."""
+    return sum(np.bitwise_count(a[..., c] ^ b[..., c]).astype(np.int32) for c in range(a.shape[-1]))
+
+
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect all fingerprints which links within ``radius`` connect: one less than each tree has nodes."""
-    rest, edges = np.unique(fps), []
+    """Links, by first columns, that connect all fingerprints which links within ``radius`` connect: one less than each tree has nodes."""
+    rest, edges = np.unique(fps, axis=0) if fps.shape[1] > 1 else np.unique(fps)[:, None], []
     while len(rest):
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             node = front.pop()
-            near = np.bitwise_count(rest ^ node) <= radius
+            near = apart(rest, node) <= radius
             if near.any():
-                found = rest[near].tolist()
-                edges += [(int(node), x) for x in found]
-                front += [np.uint64(x) for x in found]
+                edges += [(int(node[0]), x) for x in rest[near, 0].tolist()]
+                front += list(rest[near])
                 rest = rest[~near]
     return edges
 
 
 def forest_between(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """As forest(), of the links between two sets."""
-    rest, edges = [np.unique(a), np.unique(b)], []
+    rest, edges = [np.unique(a, axis=0), np.unique(b, axis=0)], []
     while len(rest[0]) and len(rest[1]):
         front, rest[0] = [(0, rest[0][0])], rest[0][1:]
         while front:
             side, node = front.pop()
-            near = np.bitwise_count(rest[1 - side] ^ node) <= radius
+            near = apart(rest[1 - side], node) <= radius
             found = rest[1 - side][near]
-            edges += [(int(node), x) for x in found.tolist()]
+            edges += [(int(node[0]), x) for x in found[:, 0].tolist()]
             front += [(1 - side, x) for x in found]
             rest[1 - side] = rest[1 - side][~near]
     return edges
 
 
-def _signed(values) -> pa.Array:
-    return pa.array(np.asarray(values, np.uint64).view(np.int64))
+def _prints(table, columns) -> np.ndarray:
+    """Fingerprints as rows of 64-bit columns."""
+    return np.stack([table.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in columns], axis=1)
 
 
-LINKS = "key long, u long, v long"
+def _signed(values) -> pa.Array:
+    return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
-def _links(edges: list[tuple[int, int]], runs: list[tuple[int, np.ndarray]]) -> pa.RecordBatch | None:
-    """Links have no key; rows of long runs have a key and no v."""
+def _links(edges: list[tuple[int, int]], runs: list[tuple[int, np.ndarray]], width: int = 1) -> pa.RecordBatch | None:
+    """Links have no key; rows of long runs have a key and no v, and all columns of their fingerprints."""
     pairs = np.unique(np.array(edges, np.uint64).reshape(-1, 2), axis=0)
     keys = np.concatenate([np.full(len(f), k, np.int64) for k, f in runs]) if runs else np.empty(0, np.int64)
-    long = np.concatenate([f for _, f in runs]) if runs else np.empty(0, np.uint64)
+    long = np.concatenate([f for _, f in runs]) if runs else np.empty((0, width), np.uint64)
     if not len(pairs) + len(long):
         return None
-    none = pa.nulls(len(pairs), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([none, pa.array(keys)]), pa.concat_arrays([_signed(pairs[:, 0]), _signed(long)]), pa.concat_arrays([_signed(pairs[:, 1]), pa.nulls(len(long), pa.int64())])], ["key", "u", "v"])
+    none = lambda n: pa.nulls(n, pa.int64())
+    more = [pa.concat_arrays([none(len(pairs)), _signed(long[:, c])]) for c in range(1, width)]
+    columns = [pa.concat_arrays([none(len(pairs)), pa.array(keys)]), pa.concat_arrays([_signed(pairs[:, 0]), _signed(long[:, 0])]), pa.concat_arrays([_signed(pairs[:, 1]), none(len(long))])]
+    return pa.RecordBatch.from_arrays([*columns, *more], ["key", "u", "v", *(f"u{c}" for c in range(1, width))])
 
 
 def _scan(batches, radius: int, block: int):
-    """Links within each run of equal keys; rows come sorted by key.  Holds a batch and a block at most."""
-    key, fps, spilled = np.empty(0, np.int64), np.empty(0, np.uint64), None
+    """Links within each run of equal keys; rows come sorted by key.  Holds a batch and a block at most.
+
+    A fingerprint is one column of 64 bits or several; the first one names it.
+    """
+    key, fps, spilled = np.empty(0, np.int64), None, None
 
     def settle(key, fps, spilled):
         cuts = np.flatnonzero(np.diff(key)) + 1
@@ -203,25 +219,26 @@ def _scan(batches, radius: int, block: int):
         small = np.repeat(short, lengths)
         k, f = key[small], fps[small]
         for lag in range(1, SHORT):
-            near = (k[lag:] == k[:-lag]) & (np.bitwise_count(f[lag:] ^ f[:-lag]) <= radius)
-            edges += zip(f[:-lag][near].tolist(), f[lag:][near].tolist())
+            near = (k[lag:] == k[:-lag]) & (apart(f[lag:], f[:-lag]) <= radius)
+            edges += zip(f[:-lag, 0][near].tolist(), f[lag:, 0][near].tolist())
         for i in np.flatnonzero(~short):
             run = fps[starts[i] : ends[i]]
             if not whole[i] or len(run) > block:
                 runs.append((int(key[starts[i]]), run))
             else:
                 edges += forest(run, radius)
-        return _links(edges, runs)
+        return _links(edges, runs, fps.shape[1])
 
     for batch in batches:
-        key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
-        fps = np.concatenate([fps, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
+        key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
+        new = _prints(batch, range(1, batch.num_columns))
+        fps = new if fps is None else np.concatenate([fps, new])
         if not len(key):
             continue
         if key[0] == key[-1]:
             if len(key) > block or key[0] == spilled:  # a run that goes on: hand it over as it comes
                 spilled = int(key[0])
-                yield _links([], [(spilled, fps)])
+                yield _links([], [(spilled, fps)], fps.shape[1])
                 key, fps = key[:0], fps[:0]
             continue
         cut = np.searchsorted(key, key[-1])
@@ -244,26 +261,36 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, block: int = BLOCK) ->
                 rows, keys = fingerprint_keys(fps := all_fps[k : k + 4096])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), _signed(fps[rows])], ["key", "fp"])
 
+    return key_links(nodes.select("fp").mapInArrow(emit, "key long, fp long"), radius, block)
+
+
+def key_links(keyed: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) that connect the fingerprints of each key exactly as all links within ``radius`` bits do.
+
+    The columns after ``key`` are a fingerprint's; u and v are of the first one.
+    """
+    width, names = len(keyed.columns) - 1, keyed.columns[1:]
+
     def between(key, table):
-        fps, side = table.column("fp").to_numpy().view(np.uint64), table.column("side").to_numpy()
+        fps, side = _prints(table, names), table.column("side").to_numpy()
         i, j = key[1].as_py(), key[2].as_py()
         edges = forest(fps, radius) if i == j else forest_between(fps[side == 0], fps[side == 1], radius)
         pairs = np.array(edges, np.uint64).reshape(-1, 2)
         return pa.table({"u": _signed(pairs[:, 0]), "v": _signed(pairs[:, 1])})
 
-    spark = nodes.sparkSession
-    keyed = nodes.select("fp").mapInArrow(emit, "key long, fp long")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = SharedTable(keyed.repartition(width, "key").sortWithinPartitions("key").mapInArrow(lambda b: _scan(b, radius, block), LINKS), "links").df
+    more = [f"u{c}" for c in range(1, width)]
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = ", ".join(f"{c} long" for c in ["key", "u", "v", *more])
+    found = SharedTable(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda b: _scan(b, radius, block), schema), "links").df
     links = found.where("key is null").select("u", "v")
-    long = found.where("key is not null").select("key", F.col("u").alias("fp")).distinct()
+    long = found.where("key is not null").select("key", *[F.col(c).alias(name) for c, name in zip(["u", *more], names)]).distinct()
     if long.isEmpty():
         return links
     # Long runs: blocks by hash; every two blocks meet in a task of their own.
     n = long.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
-    dealt = long.join(n, "key").withColumn("own", F.expr("cast(pmod(xxhash64(fp, 7), n) as int)"))
-    cells = dealt.select("key", "fp", "own", F.explode(F.expr("sequence(0, n - 1)")).alias("other"))
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", F.expr("if(own <= other, 0, 1)").alias("side"))
+    dealt = long.join(n, "key").withColumn("own", F.pmod(F.xxhash64(names[0], F.lit(7)), F.col("n")).cast("int"))
+    cells = dealt.select("key", *names, "own", F.explode(F.expr("sequence(0, n - 1)")).alias("other"))
+    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *names, F.expr("if(own <= other, 0, 1)").alias("side"))
     return links.union(cells.groupBy("key", "i", "j").applyInArrow(between, "u long, v long"))
 
 
@@ -287,14 +314,221 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _least_ids(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     """(key, n, component_id) of each node: the smallest id, column ``least``, of its component."""
     rooted = nodes.join(roots, key, "left").withColumn("root", F.coalesce("root", key))
-    own = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    own = SharedTable(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "roots").df
+    return join_unique(rooted, own, "root", nodes.count(), n="members").select(key, "n", "component_id")
+
+
+# --- texts by the similarity of their sets of word shingles
+
+#: Segments of 23 bits of a long fingerprint; each two of them that follow make a key.
+PAIRS = 4
+#: Candidates differ in at most so many of the 128 bits that are compared: three standard deviations over what a similarity of 0.8 gives.
+WIDE_RADIUS = 24
+#: Shingles that one task compares at once, about.
+PIECE = 1 << 20
+
+
+def long_prints(text: str | None) -> np.ndarray:
+    """Three times 64 SimHash bits of the distinct two-word shingles of a text.
+
+    Texts that share most of their five-word shingles share more of their
+    two-word ones, so their fingerprints differ in fewer bits.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    pairs = {b" ".join(words[i : i + 2]) for i in range(max(1, len(words) - 1))} if words else set()
+    h = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in pairs), np.uint64, len(pairs))
+    out = np.zeros(3, np.uint64)
+    for c in range(3 if len(h) else 0):
+        mixed = (h + np.uint64(c)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(33)
+        ones = np.zeros(64, np.int64)
+        for k in range(0, len(h), 1 << 14):
+            ones += np.unpackbits(mixed[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        out[c] = int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+    return out
+
+
+def long_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all keys of long fingerprints: for each two segments that follow, each pair of their Golay keys."""
+    segments, rows, out = [], [], []
+    for k in range(2 * PAIRS):
+        word, shift = divmod(23 * k, 64)
+        bits = prints[:, word] >> np.uint64(shift)
+        if shift > 64 - 23:
+            bits = bits | prints[:, word + 1] << np.uint64(64 - shift)
+        segments.append(golay_keys((bits & np.uint64((1 << 23) - 1)).astype(np.int64)))
+    for k in range(PAIRS):
+        both = (k << 24 | segments[2 * k][:, :, None] << 12 | segments[2 * k + 1][:, None, :]).reshape(len(prints), 36)
+        both.sort(axis=1)
+        new = np.ones(both.shape, bool)
+        new[:, 1:] = both[:, 1:] != both[:, :-1]
+        row, at = np.nonzero(new)
+        rows.append(row)
+        out.append(both[row, at])
+    return np.concatenate(rows), np.concatenate(out)
+
+
+def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles; fewer words than ``size``: the whole sequence; none: empty."""
+    found: list[np.ndarray] = []
+    tail: list[bytes] = []
+    for words in word_pieces(text or ""):
+        words = tail + words
+        if len(words) >= size:
+            found.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), 42) for i in range(len(words) - size + 1)), np.uint64)))
+            tail = words[len(words) - size + 1 :]
+        else:
+            tail = words
+    if not found:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tail), 42)] if tail else [], np.uint64)
+    return np.unique(np.concatenate(found))
+
+
+def similar(sets: list[np.ndarray], sides: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Rows of sets that link: a spanning forest of all links between sets of one side each (all sides 0: among all)."""
+    crossed = bool(sides.any())
+    sizes = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    left, edges = sizes > 0, []
+    for start in range(len(sets)):
+        if not left[start]:
+            continue
+        left[start] = False
+        front = [start]
+        while front:
+            node = front.pop()
+            a, b = np.searchsorted(flat, sets[node]), np.searchsorted(flat, sets[node], "right")
+            n = b - a
+            at = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], minlength=len(sets))
+            near = left & (shared >= similarity * (sizes[node] + sizes - shared) - 1e-9)
+            if crossed:
+                near &= sides != sides[node]
+            found = np.flatnonzero(near).tolist()
+            edges += [(node, x) for x in found]
+            front += found
+            left[found] = False
+    return edges
+
+
+def _similar_runs(batches, similarity: float):
+    """Links (u, v) within each run of equal (root, i, j); rows (root, i, j, node, shingles, side) come sorted by these three."""
+    key, rows = None, []
+
+    def settle():
+        if len(rows) < 2:
+            return None
+        nodes, sets, sides = zip(*rows)
+        pairs = np.array(similar(list(sets), np.array(sides), similarity), np.int64).reshape(-1, 2)
+        nodes = np.array(nodes, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], ["u", "v"]) if len(pairs) else None
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+        nodes, sides, shingles = batch.column(3).to_pylist(), batch.column(5).to_pylist(), batch.column(4)
+        edges, flat = shingles.offsets.to_numpy(), shingles.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        for r, own in enumerate(keys):
+            if own != key:
+                if (out := settle()) is not None:
+                    yield out
+                key, rows = own, []
+            rows.append((nodes[r], flat[edges[r] : edges[r + 1]].copy(), sides[r]))
+    if (out := settle()) is not None:
+        yield out
+
+
+def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, similarity: float = 0.8, piece: int = PIECE) -> DataFrame:
+    """(node, n, first, component) of every distinct text.
+
+    A node is the hash of a text's words (ASCII-lower-cased, null as empty): n
+    rows have it, and ``first`` is their smallest (no id, doc_id, node).
+    ``component`` is the smallest ``first`` that links reach.  Texts link if
+    their sets of ``size``-word shingles have a Jaccard similarity of at least
+    ``similarity``; texts without words link with nothing.
+
+    Of the pairs with that similarity those are candidates that share a Golay
+    key of long fingerprints and differ in few bits; the groups that candidates
+    connect are compared in full.  A group with more than ``piece`` shingles is
+    split into pieces, each two of which meet in a task of their own.
+    """
+    bound_batches(docs.sparkSession)
+    spark, named = docs.sparkSession, docs.select(word_hash(F.col(text)).alias("node"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+
+    @F.pandas_udf("a long, b long, c long, words long")
+    def wide(texts):
+        import pandas as pd
+
+        rows = [(*long_prints(t).view(np.int64).tolist(), len((t or "").split())) for t in texts]
+        return pd.DataFrame(rows, columns=["a", "b", "c", "words"])
+
+    each = SharedTable(named.select("node", "doc_id", wide("text").alias("p")).select("node", "doc_id", "p.*"), "prints").df
+    nodes = SharedTable(each.groupBy("node").agg(F.count("*").alias("n"), F.min(order).alias("first"), *[F.first(c).alias(c) for c in ("a", "b", "c", "words")]), "nodes").df
+
+    def emit(batches):
+        for batch in batches:
+            prints = _prints(batch, range(3))
+            for k in range(0, len(prints), 4096):
+                rows, keys = long_keys(part := prints[k : k + 4096])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), _signed(part[rows, 0]), _signed(part[rows, 1])], ["key", "a", "b"])
+
+    candidates = components(key_links(nodes.where("words > 0").select("a", "b", "c").distinct().mapInArrow(emit, "key long, a long, b long"), WIDE_RADIUS))
+    # Different texts may have one fingerprint: they are candidates too.
+    grouped = nodes.where("words > 0").join(candidates.withColumnRenamed("node", "a"), "a", "left").select("node", "words", F.coalesce("root", "a").alias("root"))
+    groups = SharedTable(grouped.groupBy("root").agg(F.count("*").alias("members"), F.sum("words").alias("all")).where("members > 1"), "groups").df
     total = nodes.count()
-    return join_unique(rooted, own, "root", total, n="members").select(key, "n", "component_id")
+    members = SharedTable(join_unique(grouped, groups, "root", total, n="members").select("node", "root", F.ceil(F.col("all") / F.lit(piece)).cast("int").alias("pieces")), "members").df
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(t.as_py(), size).view(np.int64) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["node", "root", "pieces", "shingles"])
+
+    found = SharedTable(named.select("node", "text").join(_bounded(members, MEMBERS), "node").dropDuplicates(["node"]).select("node", "root", "pieces", "text").mapInArrow(sets, "node long, root long, pieces int, shingles array<long>"), "shingles").df
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("pieces")).cast("int")
+    met = found.withColumn("own", own).select("*", F.explode(F.expr("sequence(0, pieces - 1)")).alias("other"))
+    met = met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles", F.expr("if(own <= other, 0, 1)").alias("side"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = SharedTable(met.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(lambda b: _similar_runs(b, similarity), "u long, v long"), "similar").df
+    least = nodes.select("node", "n", F.col("first").alias("least"))
+    linked = _least_ids(least, components(links), "node")
+    return least.join(linked.select("node", F.col("component_id").alias("component")), "node").select("node", "n", F.col("least").alias("first"), "component")
 
 
-def keep_one(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
-    """One document of each component: that with the smallest doc_id; of rows that share it one, and null ids stay."""
-    groups = near_duplicates(docs, size=size, radius=radius)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+#: Texts of a table that is broadcast, at most (some ten bytes each); a larger one is joined by shuffle.
+MEMBERS = 1 << 20
+
+
+def _bounded(table: DataFrame, most: int) -> DataFrame:
+    """The written table, with leave to broadcast it where it has at most ``most`` rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def word_hash(text: Column) -> Column:
+    """64-bit hash of a text's words, ASCII-lower-cased; 0 for null and for no words."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
+    words = F.trim(F.regexp_replace(lower, " {2,}", " "))
+    return F.when(words == "", F.lit(0).cast("long")).otherwise(F.xxhash64(words))
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each component of similar_documents(), with all its columns: that with the smallest doc_id.
+
+    Null ids count as larger than all others; of rows that share text and id
+    one stays, whichever.  Texts without words are one group.
+    """
+    names = docs.columns
+    nodes = SharedTable(similar_documents(docs, size=size, similarity=similarity), "similar").df
+    # Texts that are the only row of their component need no decision.
+    node, other = "_node", "_decided"
+    while {node, other} & set(names):
+        node, other = "_" + node, "_" + other
+    stays = F.col("first") == F.col("component")
+    decided = SharedTable(nodes.where(~stays | (F.col("n") > 1)).select(F.col("node").alias(node), F.when(stays, F.col("first.doc_id")).alias("id"), stays.alias("stays")), "decided").df
+    rows = docs.withColumn(node, word_hash(F.col("text"))).join(_bounded(decided.select(node, F.struct("id", "stays").alias(other)), MEMBERS), node, "left")
+    alone = rows.where(F.col(other).isNull()).select(*names)
+    firsts = rows.where(F.col(f"{other}.stays") & F.col("doc_id").eqNullSafe(F.col(f"{other}.id"))).select(*names, node)
+    return alone.unionByName(firsts.dropDuplicates([node]).select(*names))

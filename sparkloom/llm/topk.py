@@ -146,6 +146,13 @@ def search_large(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
     return np.array(row, np.int64), np.array(found, np.int64), np.array(score, np.int64)
 
 
+def in_ranges(rows: DataFrame, n: int, name: str, *order) -> DataFrame:
+    """The rows with the number of their range by ``order``, column ``name``: at most ``n`` ranges of about equal size, however many tasks wrote them."""
+    table = SharedTable(rows.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id()), "ranges").df
+    tasks = (table.agg(F.max(name)).first()[0] or 0) + 1
+    return table.withColumn(name, F.floor(F.col(name) * min(n, tasks) / F.lit(tasks)).cast("int"))
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 256.0, candidates: int = CANDIDATES, queries: int = QUERIES, longest: int = LONGEST) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of every query, or all where fewer are.
 
@@ -191,8 +198,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
     # Small tables still make some sixteen tasks.
     n_c, n_q = max(parts(n, candidates), min(16, parts(n, 512))), parts(n_queries, queries)
     reach = F.try_divide("least", "length")
-    asks = SharedTable(asked.repartitionByRange(n_q, "d", reach, "vec_id").withColumn("q", F.spark_partition_id()), "queries").df
-    given = SharedTable(table.repartitionByRange(n_c, "d", F.desc("length"), "vec_id").withColumn("c", F.spark_partition_id()), "bands").df
+    asks = in_ranges(asked, n_q, "q", "d", reach, "vec_id")
+    given = in_ranges(table, n_c, "c", "d", F.desc("length"), "vec_id")
     bands = given.groupBy("d", "c").agg(F.max("length").alias("band"))
     may = F.col("least").isNull() | (F.col("length") * F.col("band") * (1 + 1e-9) >= F.col("least"))
     # One row for each band, that is for some thousands of vectors.

@@ -126,7 +126,89 @@ def test_near_duplicates_of_the_small_table(spark):
     want = {i: (f"{f:016x}", c) for i, f, c in zip(ids, fps, brute_components(fps, ids))}
     found = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in S.near_duplicates(docs).collect()}
     assert found == want
-    assert sorted(r["doc_id"] for r in S.keep_one(docs).collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+
+
+def brute_similar(rows, size=5, least=0.8):
+    """doc_ids that stay: the smallest of each component of texts whose shingle sets are similar, nulls last."""
+
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return frozenset(b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
+
+    order = {}
+    for i, t in rows:
+        order.setdefault(b" ".join((t or "").encode().lower().split()), []).append((i is None, i if i is not None else 0))
+    texts = sorted(order)
+    sets, first = [shingles(t.decode()) for t in texts], [min(order[t]) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    where = {}
+    for k, own in enumerate(sets):
+        for j in {j for x in own for j in where.get(x, ())}:
+            both = len(own & sets[j])
+            if both >= least * (len(own) + len(sets[j]) - both) - 1e-9:
+                root[find(k)] = find(j)
+        for x in own:
+            where.setdefault(x, []).append(k)
+    kept = {}
+    for k, f in enumerate(first):
+        kept[find(k)] = min(f, kept.get(find(k), f))
+    return sorted((None if none else i for none, i in kept.values()), key=repr)
+
+
+def changed(rng, words, share):
+    """Words with a share of them replaced, dropped or doubled."""
+    out = []
+    for w in words:
+        x = rng.random()
+        out += [w] if x >= share else [] if x < share / 3 else [w + "x"] if x < share * 2 / 3 else [w, w]
+    return out
+
+
+@pytest.mark.parametrize("piece", [S.PIECE, 600])
+def test_similar_texts_of_all_sizes(spark, piece):
+    """Groups of near copies, whole and in pieces, against all pairs that share a shingle."""
+    rng = random.Random(11)
+    vocabulary = [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("a", "en", "ing", "or", "ust", "el")]
+    rows = []
+    for size in (3, 12, 60, 250, 900):
+        for _ in range(6):
+            base = rng.choices(vocabulary, k=size)
+            rows += [" ".join(base)] * rng.choice([1, 2])
+            rows += [" ".join(changed(rng, base, share)) for share in (0.005, 0.01, 0.015, 0.02, 0.05, 0.2)]
+    base = rng.choices(vocabulary, k=200)
+    rows += [" ".join(changed(rng, base, 0.012)) for _ in range(80)]
+    rows = [(i if i % 17 else None, t) for i, t in enumerate(rows)] + [(5000, None), (5001, ""), (5002, " \n\t"), (4, rows[4].upper().replace(" ", "  ")), (4, rows[4]), (5003, "É é"), (5004, "é é")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    nodes = S.similar_documents(docs, piece=piece).collect()
+    assert sum(r["n"] for r in nodes) == len(rows)
+    found = {(r["component"]["none"], r["component"]["doc_id"], r["component"]["node"]) for r in nodes}
+    assert sorted((i for _, i, _ in found), key=repr) == brute_similar(rows)
+
+
+def test_keep_one_of_the_small_table(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert sorted((r["doc_id"] for r in S.keep_one(docs).collect()), key=repr) == brute_similar([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_long_fingerprints():
+    """Texts whose shingles are four fifths alike share a key and differ in few bits, but for one in twenty at most."""
+    rng = random.Random(12)
+    vocabulary, met = [f"w{i}" for i in range(3000)], []
+    for _ in range(300):
+        base = rng.choices(vocabulary, k=300)
+        other = list(base)
+        for at in rng.sample(range(300), 7):  # at most 35 of 296 shingles go: a similarity of about 0.8
+            other[at] = "new"
+        a, b = (S.long_prints(" ".join(x))[None, :] for x in (base, other))
+        met.append(bool(set(S.long_keys(a)[1]) & set(S.long_keys(b)[1])) and S.apart(a[:, :2], b[:, :2])[0] <= S.WIDE_RADIUS)
+    assert sum(met) >= 285
+    assert (S.long_prints(None) == 0).all() and (S.long_prints("a") == S.long_prints(" A ")).all()
 
 
 def test_near_duplicates_of_odd_rows(spark):
@@ -138,7 +220,10 @@ def test_near_duplicates_of_odd_rows(spark):
     found = sorted(((r["doc_id"], r["component_id"]) for r in S.near_duplicates(odd).collect()), key=repr)
     assert found == sorted([(1, 1), (2, 1), (2, 1), (None, 7), (9, 7), (7, 7)], key=repr)
     kept = S.keep_one(odd)
-    assert kept.columns == odd.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 7]
+    assert kept.columns == odd.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [1, 7]
+    assert S.keep_one(odd.limit(0)).count() == 0
+    twice = spark.createDataFrame([(3, "one text of some words", "en", "a", 1), (3, "another text that is not like it", "en", "a", 1), (None, "and one without an id", "en", "a", 1), (None, "and one without an id", "en", "a", 1)], DOCS)
+    assert sorted((r["doc_id"], r["text"][:3]) for r in S.keep_one(twice).collect() if r["doc_id"]) == [(3, "ano"), (3, "one")] and S.keep_one(twice).count() == 3
     assert S.near_duplicates(docs.limit(0)).count() == 0
 
 
