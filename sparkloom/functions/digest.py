@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 def ordered_digest(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """One row (items, digest): SHA-256 of all rows, sorted by their columns and written as text lines.
 
-    The lines meet in one group, so it is for bounded results; more rows than
-    ``most`` raise.
+    The lines meet in one group, so it is for bounded results: no more than
+    ``most`` rows and one are gathered, and more than ``most`` raise.
     """
+    df = df.limit(most + 1)
     row = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in df.columns])
     both = df.agg(F.count("*").alias("items"), F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in df.columns], row.alias("_line")))).alias("all"))
     bounded = F.when(F.col("items") > most, F.raise_error(F.lit("too many rows for an ordered digest"))).otherwise(F.col("items"))

@@ -47,7 +47,7 @@ def substr(x: Column, start: int, length: int) -> Column:
 
 def divide(a: Column, b: Column) -> Column:
     """Whole numbers divide without remainder, towards zero; by zero null."""
-    return F.when(b != 0, ((a - a % b) / b).cast("long"))
+    return F.call_function("div", a, F.nullif(b, F.lit(0)))
 
 
 def typeof(x: Column) -> Column:

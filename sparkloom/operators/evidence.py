@@ -48,6 +48,34 @@ def claim_matrix(spark: SparkSession) -> DataFrame:
     return status.crossJoin(scope).withColumn("allowed", measured_claim_allowed(F.col("status"), F.col("scope")))
 
 
+def _crossed(spark: SparkSession, **columns) -> DataFrame:
+    """Every combination of a few constant values."""
+    out = spark.range(0, 1, 1, 1).select()
+    for name, values in columns.items():
+        out = out.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
+    return out
+
+
+def transferable_matrix(spark: SparkSession) -> DataFrame:
+    """(status, measured, validated, bound, allowed) of all combinations."""
+    rows = _crossed(spark, status=STATUSES, measured=(True, False), validated=(True, False), bound=(True, False))
+    return rows.withColumn("allowed", transferable_claim_allowed(*map(F.col, ("status", "measured", "validated", "bound"))))
+
+
+def obligation_matrix(spark: SparkSession) -> DataFrame:
+    """(kind, met, of, admissible): a mechanism's seven obligations and an approximation's three, so many of them met and the rest missing."""
+    rows = _crossed(spark, kind=("mechanism", "approximation"), met=range(8)).withColumn("of", F.when(F.col("kind") == "mechanism", 7).otherwise(3)).where("met <= of")
+    met = lambda k: F.when(F.col("met") >= k, F.lit(True))
+    seven, three = all_of(*[met(k) for k in range(1, 8)]), all_of(*[met(k) for k in range(1, 4)])
+    return rows.withColumn("admissible", F.when(F.col("kind") == "mechanism", seven).otherwise(three))
+
+
+def trust_matrix(spark: SparkSession) -> DataFrame:
+    """(evidence, claim, supported) of all combinations."""
+    rows = _crossed(spark, evidence=("verifiedReuse", "coldReconstruction"), claim=("dependencyReuse", "coldReconstruction"))
+    return rows.withColumn("supported", trust_claim_supported(F.col("evidence"), F.col("claim")))
+
+
 def fits(need: str, capacity: str, resources: tuple[str, ...] = ("cpu", "memory", "io")) -> Column:
     out = F.lit(True)
     for r in resources:

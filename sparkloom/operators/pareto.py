@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import require, require_rows, require_unique
+from ..shared import SharedTable
+from .order import RANGE, in_ranges, with_ordinal
 
 
 def validated(ledger: DataFrame, metrics: Mapping[str, str], feasible: str = "feasible", key: str = "id") -> DataFrame:
@@ -102,7 +104,7 @@ def skyline(ledger: DataFrame, metrics: Mapping[str, str], feasible: str = "feas
     tenth of that beyond it.
     """
     rows = ledger.where(F.col(feasible))
-    small = (local_skyline(rows, metrics) if local else rows).persist()
+    small = SharedTable(local_skyline(rows, metrics) if local else rows, "skyline").df
     n = small.count()
     if n > most:
         return _by_blocks(small, metrics, max(2, -(-10 * n // most)))
@@ -110,22 +112,30 @@ def skyline(ledger: DataFrame, metrics: Mapping[str, str], feasible: str = "feas
     return small.alias("r").join(small.alias("o"), at_most & better, "left_anti")
 
 
-def skyline_two(ledger: DataFrame, metrics: Mapping[str, str], feasible: str = "feasible", cells: int = 64) -> DataFrame:
-    """The skyline for two metrics by sorting: in order of the first, the second must beat all before it.
+def skyline_two(ledger: DataFrame, metrics: Mapping[str, str], feasible: str = "feasible", rows: int = RANGE) -> DataFrame:
+    """The skyline for two metrics by sorting: in order of both, the second must beat all before it.  Nulls and NaN are refused.
 
-    Rows are dealt into ranges of the first metric; the best second metric of
-    earlier ranges comes from an aggregate of one row a range.
+    Distinct points are dealt into ranges of that order; the best second metric
+    of earlier ranges comes from one row a range.  Rows that have a point of the
+    skyline stay, equal ones all.
     """
     require(len(metrics) == 2, "two metrics")
     (m1, d1), (m2, d2) = metrics.items()
+    kinds = dict(ledger.dtypes)
+    require_rows(ledger, **{m: F.col(m).isNotNull() & (~F.isnan(m) if kinds[m] in ("double", "float") else F.lit(True)) for m in metrics}, feasible=F.col(feasible).isNotNull())
     sign = lambda m, d: F.col(m) if d == "minimize" else -F.col(m)
-    rows = ledger.where(F.col(feasible)).withColumns({"_x": sign(m1, d1), "_y": sign(m2, d2)})
-    edges = rows.agg(F.percentile_approx("_x", [i / cells for i in range(1, cells)], 1000).alias("edges"))
-    rows = rows.crossJoin(F.broadcast(edges)).withColumn("_cell", F.size(F.filter("edges", lambda e: e < F.col("_x")))).drop("edges")
-    earlier = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    best = rows.groupBy("_cell").agg(F.min("_y").alias("_least")).withColumn("_before", F.min("_least").over(earlier)).drop("_least")
-    # Least second metric up to and with the row's first one; a row that reaches it must be the first to do so.
-    here = Window.partitionBy("_cell").orderBy("_x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(F.broadcast(best), "_cell").withColumns({"_least": F.min("_y").over(here), "_first": F.min("_x").over(Window.partitionBy("_cell", "_y"))})
-    beats = F.col("_before").isNull() | (F.col("_y") < F.col("_before"))
-    return rows.where(beats & (F.col("_y") == F.col("_least")) & (F.col("_x") == F.col("_first"))).select(*ledger.columns)
+    points = ledger.where(F.col(feasible)).select(sign(m1, d1).alias("_x"), sign(m2, d2).alias("_y")).distinct()
+    ranged = in_ranges(points, "_x", "_y", rows=rows)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    best = ranged.groupBy("_range").agg(F.min("_y").alias("_least")).select("_range", F.min("_least").over(before).alias("_before"))
+    here = Window.partitionBy("_range").orderBy("_x", "_y").rowsBetween(Window.unboundedPreceding, -1)
+    judged = ranged.withColumn("_here", F.min("_y").over(here)).join(best, "_range")
+    stays = (F.col("_here").isNull() | (F.col("_y") < F.col("_here"))) & (F.col("_before").isNull() | (F.col("_y") < F.col("_before")))
+    front = judged.where(stays).select("_x", "_y")
+    own = ledger.where(F.col(feasible)).withColumns({"_x": sign(m1, d1), "_y": sign(m2, d2)})
+    return own.join(front, ["_x", "_y"], "left_semi").select(*ledger.columns)
+
+
+def frontier(ledger: DataFrame, metrics: Mapping[str, str], order: list[str], feasible: str = "feasible") -> DataFrame:
+    """The skyline in the order of the ledger, which ``order`` gives: all columns and ``ordinal``, the row's place in the whole ledger."""
+    return skyline(with_ordinal(ledger, order), metrics, feasible).orderBy("ordinal")

@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
+import json
+import sqlite3
+import string
+import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..contracts import ContractError
 from ..functions import sqlite
-from ..functions.digest import ordered_digest
-from ..functions.text import KEYWORDS, STEMS, keyword_hits
+from ..functions.digest import ordered_digest, typed_digest
+from ..functions.text import KEYWORDS, STEMS, escape_untrusted, keyword_hits
 from ..operators import approximate, bounds, evidence, pairs, pareto, sets
-from ..operators.order import with_ordinal
-from ..sources.archives import within_budget
-from ..streaming.replay import windowed_counts
-from .surface import SURFACE
+from ..operators.order import budgeted_best, with_ordinal
+from ..shared import SharedTable, shared_folder
+from ..sources.archives import archive_members, within_budget
+from ..sources.archives import summary as archive_totals
+from ..sources.paths import without_sidecars
+from ..sources.sqlite import inventory as sqlite_inventory
+from ..sources.sqlite import read_sqlite
+from ..streaming.replay import prefix, windowed_counts
+from . import workload
+from .reuse import Materialized, parity, regressions, signature
+from .surface import EXTENSIONS, SURFACE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -343,13 +359,320 @@ def frequency_join(spark, d):
     return a.join(b, "key").agg(F.sum(F.col("n") * F.col("k")).alias("matches"))
 
 
-def _surface(spark_sql: str):
-    import string
-
-    tables = sorted({name for _, name, _, _ in string.Formatter().parse(spark_sql) if name})
-    return lambda spark, d: spark.sql(spark_sql, **{t: read(spark, d, t) for t in tables})
+def _surface(name: str, spark_sql: str):
+    tables = sorted({t for _, t, _, _ in string.Formatter().parse(spark_sql) if t})
+    if name in EXTENSIONS:
+        return lambda spark, d: spark.sql(spark_sql, **{t: read(spark, d, t) for t in tables})
+    return lambda spark, d: workload.run_admitted(spark, spark_sql.replace("{", "").replace("}", ""), {t: read(spark, d, t) for t in tables})
 
 
 for _name, (_spark, _duck) in SURFACE.items():
-    QUERIES[_name] = _surface(_spark)
+    QUERIES[_name] = _surface(_name, _spark)
     ORACLE_SQL[_name] = (_duck or _spark).replace("{", "").replace("}", "")
+
+
+# --- workloads, sources, measurement and evidence
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    """SQL of constant rows."""
+    one = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else repr(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) v({names})"
+
+
+def _refused(run) -> bool:
+    try:
+        run()
+    except ContractError:
+        return True
+    return False
+
+
+# Statements and whether they are admitted.
+STATEMENTS = (
+    ("aggregate", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 2", True), ("window", "SELECT max(o_totalprice) OVER (PARTITION BY o_custkey) AS m FROM orders", True),
+    ("cte", "WITH t AS (SELECT o_custkey FROM orders) SELECT count(*) AS n FROM t", True), ("set", "SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer", True),
+    ("like", "SELECT o_custkey FROM orders WHERE o_orderstatus LIKE 'F%'", False), ("random", "SELECT random() AS r", False), ("other table", "SELECT * FROM elsewhere", False), ("file", "SELECT * FROM parquet.`/tmp/x`", False),
+    ("recursion", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 3) SELECT n FROM t", False), ("reflection", "SELECT reflect('java.lang.Runtime', 'x') AS x", False),
+    ("scalar max", "SELECT max(o_custkey, 3) AS m FROM orders", False), ("division", "SELECT o_custkey / 7 AS s FROM orders", False), ("whole division", "SELECT o_custkey div 7 AS s FROM orders", True), ("real division", "SELECT o_totalprice / 2 AS h FROM orders", True),
+)
+
+
+@query(_values([(n, ok) for n, _, ok in STATEMENTS], "name, admitted"))
+def workload_admission(spark, d):
+    tables = {t: read(spark, d, t) for t in ("orders", "customer")}
+    own = workload.session_of(spark, tables)
+    return spark.createDataFrame([(n, not _refused(lambda s=s: workload.prepare(own, s, tables))) for n, s, _ in STATEMENTS], "name string, admitted boolean")
+
+
+def _workload(*queries) -> bytes:
+    return json.dumps({"schema": workload.WORKLOAD, "queries": [{"name": n, "sql": s, "params": p} for n, s, p in queries]}).encode()
+
+
+# Workloads that are refused, but for the first.
+_ONE = ("q", "SELECT 1 AS x", [])
+FORMS = (
+    ("good", _workload(_ONE), False), ("no JSON", b"{", True), ("field twice", b'{"schema":"a","schema":"b","queries":[]}', True), ("no queries", _workload(), True), ("name twice", _workload(_ONE, _ONE), True), ("two statements", _workload(("q", "SELECT 1; SELECT 2", [])), True),
+    ("comment", _workload(("q", "SELECT 1 -- x", [])), True), ("no select", _workload(("q", "DELETE FROM orders", [])), True), ("long parameter", _workload(("q", "SELECT ? AS x", ["x" * 2000])), True), ("boolean parameter", _workload(("q", "SELECT ? AS x", [True])), True),
+)
+
+
+@query(_values([(n, bad) for n, _, bad in FORMS], "name, refused"))
+def workload_form(spark, d):
+    return spark.createDataFrame([(n, _refused(lambda raw=raw: workload.read_workload(raw))) for n, raw, _ in FORMS], "name string, refused boolean")
+
+
+@query("SELECT p_partkey, hex(p_size::VARCHAR) AS hexed, translate(p_name, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS up, translate(p_brand, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, substr(p_name, 1, 2) AS head, substr(p_name, 3) AS tail, round(p_retailprice::DOUBLE, 1) AS price, p_partkey // 7 AS seventh, trim(p_brand, 'B1') AS cut FROM part WHERE upper(p_name) <> 'X'")
+def workload_functions(spark, d):
+    """Functions in admitted statements have SQLite's meaning."""
+    sql = "SELECT p_partkey, hex(p_size) AS hexed, upper(p_name) AS up, lower(p_brand) AS low, substr(p_name, 0, 3) AS head, substr(p_name, 3) AS tail, round(p_retailprice, 1) AS price, p_partkey div 7 AS seventh, trim(p_brand, 'B1') AS cut FROM part WHERE upper(p_name) <> 'X'"
+    return workload.run_admitted(spark, sql, {"part": read(spark, d, "part")})
+
+
+@query("SELECT 'by_status' AS name, count(DISTINCT o_orderstatus)::BIGINT AS rows, true AS complete, 1::BIGINT AS full_scans, 64::BIGINT AS digest_length FROM orders UNION ALL SELECT 'dear', count(*)::BIGINT, true, 0, 64 FROM nation WHERE n_regionkey = 2")
+def workload_observe(spark, d):
+    raw = _workload(("by_status", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus", []), ("dear", "SELECT n_name FROM nation WHERE n_regionkey = ?", [2]))
+    report = workload.observe(spark, raw, {t: read(spark, d, t) for t in ("orders", "nation")}, samples=2, seconds=60.0)
+    return spark.createDataFrame([(q["name"], q["rows"], q["complete"], q["full_scans"], len(q["digest"].split(":")[1])) for q in report["queries"]], "name string, rows long, complete boolean, full_scans long, digest_length long")
+
+
+@query(_values([(24, True), (25, False), (26, False)], "cap, raised") + " WHERE (SELECT count(*) FROM nation) = 25")
+def workload_row_cap(spark, d):
+    """A cap on rows raises and never cuts."""
+    nations = read(spark, d, "nation")
+    return spark.createDataFrame([(n, _refused(lambda n=n: workload.bounded_run(spark, nations, n, 60.0))) for n in (24, 25, 26)], "cap int, raised boolean")
+
+
+@query(_values([("timely", False), ("late", True)], "name, raised"))
+def workload_time_limit(spark, d):
+    slow = spark.range(1 << 40).agg(F.sum(F.expr("id % 7"))).withColumnRenamed("sum((id % 7))", "s")
+    rows = [("timely", _refused(lambda: workload.bounded_run(spark, read(spark, d, "region"), 10, 60.0))), ("late", _refused(lambda: workload.bounded_run(spark, slow, 10, 0.5)))]
+    return spark.createDataFrame(rows, "name string, raised boolean")
+
+
+@query("SELECT '[\"queries\",\"schema\"]' AS keys, true AS same, true AS kept")
+def report_sink(spark, d):
+    """A report in canonical JSON, written once and never replaced."""
+    path = f"{tempfile.mkdtemp(prefix='report-')}/report.json"
+    digest = workload.save_report({"schema": "x", "queries": [1, 2]}, path)
+    raw = Path(path).read_bytes()
+    try:
+        workload.save_report({}, path)
+        kept = False
+    except FileExistsError:
+        kept = True
+    return spark.createDataFrame([(json.dumps(list(json.loads(raw)), separators=(",", ":")), digest == f"sha256:{hashlib.sha256(raw).hexdigest()}", kept)], "keys string, same boolean, kept boolean")
+
+
+def _sqlite_file(spark, d, table: str, create: str) -> str:
+    """A small table as a SQLite file, which Spark ships to the executors."""
+    rows = read(spark, d, table).collect()
+    path = f"{tempfile.mkdtemp(prefix='sqlite-')}/{table}.db"
+    with contextlib.closing(sqlite3.connect(path)) as db:
+        db.execute(create)
+        db.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(rows[0]))})", [tuple(r) for r in rows])
+        db.execute(f"CREATE INDEX by_name ON {table} ({rows[0].__fields__[1]} COLLATE NOCASE DESC)")
+        db.commit()
+    return path
+
+
+NATION_TABLE = "CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT, n_regionkey INTEGER)"
+
+
+def _nation_file(spark, d):
+    return _sqlite_file(spark, d, "nation", NATION_TABLE)
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def sqlite_scan(spark, d):
+    return read_sqlite(spark, _nation_file(spark, d), "nation")
+
+
+@query("SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
+def sqlite_scan_without_rowid(spark, d):
+    return read_sqlite(spark, _sqlite_file(spark, d, "region", "CREATE TABLE region (r_regionkey INTEGER PRIMARY KEY, r_name TEXT) WITHOUT ROWID"), "region")
+
+
+@query(_values([("table", "nation", 0, "n_nationkey", None, None), ("table", "nation", 1, "n_name", None, None), ("table", "nation", 2, "n_regionkey", None, None), ("index", "by_name", 0, "n_name", "NOCASE", True)], "kind, name, position, column_name, sorted_by, descending"))
+def sqlite_catalog(spark, d):
+    return sqlite_inventory(spark, _nation_file(spark, d)).where("name <> 'journal_mode'").select("kind", "name", "position", "column_name", F.col("collation").alias("sorted_by"), "descending")
+
+
+@query(_values([("plain", True), ("parent", False), ("link", False), ("missing", False), ("sidecar", False)], "name, accepted"))
+def snapshot_gate(spark, d):
+    """Only regular files without links, parent steps or write-ahead logs beside them are read."""
+    folder = Path(tempfile.mkdtemp(prefix="gate-"))
+    for name in ("a.db", "b.db", "b.db-wal"):
+        (folder / name).write_text("x")
+    (folder / "link.db").symlink_to(folder / "a.db")
+    paths = {"plain": folder / "a.db", "parent": f"{folder}/../{folder.name}/a.db", "link": folder / "link.db", "missing": folder / "none.db", "sidecar": folder / "b.db"}
+    return spark.createDataFrame([(n, not _refused(lambda p=p: without_sidecars(str(p)))) for n, p in paths.items()], "name string, accepted boolean")
+
+
+@query(_values([("unchanged", False), ("replaced", True)], "name, drift"))
+def data_drift(spark, d):
+    """Files replaced in place change the fingerprint of the tables."""
+    table = SharedTable(read(spark, d, "nation"), "drift")
+    prints = [workload.fingerprint({"n": table.df}), workload.fingerprint({"n": table.df})]
+    read(spark, d, "nation").limit(3).write.mode("overwrite").parquet(table.path)
+    prints.append(workload.fingerprint({"n": spark.read.parquet(table.path)}))
+    return spark.createDataFrame([("unchanged", prints[0] != prints[1]), ("replaced", prints[1] != prints[2])], "name string, drift boolean")
+
+
+def _archives(spark, d):
+    """A ZIP archive for each region, with a text member for each of its nations and an archive in it."""
+
+    @F.pandas_udf("binary")
+    def zipped(names):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        def one(members):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for n in sorted(members):
+                    z.writestr(f"{n.replace(' ', '_')}.txt", f"{n} cache line")
+                inner = io.BytesIO()
+                with zipfile.ZipFile(inner, "w") as y:
+                    y.writestr("deep.md", "inside")
+                z.writestr("in.zip", inner.getvalue())
+                z.writestr("../up.txt", "never read")
+            return out.getvalue()
+
+        return pd.Series([one(list(x)) for x in names])
+
+    own = read(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("names"))
+    return archive_members(own.select(F.format_string("r%s.zip", F.col("n_regionkey")).alias("path"), zipped("names").alias("content")))
+
+
+ARCHIVES = "SELECT DISTINCT 'r' || n_regionkey || '.zip' AS archive FROM nation"
+
+
+@query(f"""
+SELECT 'r' || n_regionkey || '.zip' AS archive, replace(n_name, ' ', '_') || '.txt' AS filename, 0 AS depth, n_name || ' cache line' AS content, NULL AS problem FROM nation
+UNION ALL SELECT archive, 'in.zip', 0, NULL, NULL FROM ({ARCHIVES}) UNION ALL SELECT archive || '!in.zip', 'deep.md', 1, 'inside', NULL FROM ({ARCHIVES}) UNION ALL SELECT archive, '../up.txt', 0, NULL, 'parent traversal' FROM ({ARCHIVES})""")
+def archive_inventory(spark, d):
+    return _archives(spark, d).select("archive", "filename", "depth", "content", "problem")
+
+
+@query(f"SELECT (SELECT count(*) FROM nation) + 3 * (SELECT count(*) FROM ({ARCHIVES})) AS members, 1 AS deepest, (SELECT count(*) FROM nation) + (SELECT count(*) FROM ({ARCHIVES})) AS text_members, (SELECT count(*) FROM ({ARCHIVES})) AS problems, false AS complete")
+def archive_summary(spark, d):
+    return archive_totals(_archives(spark, d)).select("members", "deepest", "text_members", "problems", "complete")
+
+
+@query("SELECT p_partkey, p_name || '\\x1b[0m' AS shown FROM part")
+def terminal_safe(spark, d):
+    return read(spark, d, "part").select("p_partkey", escape_untrusted(F.concat("p_name", F.lit("\x1b[0m"))).alias("shown"))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS lineno FROM documents),
+m AS (SELECT doc_id, lineno, string_split(text, chr(10))[lineno] AS line FROM l)
+SELECT doc_id AS key, lineno::INTEGER AS lineno, substr(line, greatest(1, strpos(line, regexp_extract(line, '(?i){SCANNED}')) - 200)::BIGINT, 400) AS context
+FROM m WHERE regexp_matches(line, '(?i){SCANNED}')""")
+def keyword_context(spark, d):
+    return keyword_hits(read(spark, d, "documents"), "doc_id", "text", SCANNED, stems=(*STEMS, "licen", "rights", "domain")).select("key", "lineno", "context")
+
+
+@query("""SELECT 'sha256:' || sha256(string_agg('[{"type":"integer","value":"' || n_nationkey || '"},{"type":"text","value":"' || n_name || '"}]' || chr(10), '' ORDER BY n_nationkey)) AS digest FROM nation""")
+def typed_stream_digest(spark, d):
+    """Digest of the typed cells of a bounded result, in its order."""
+    rows = workload.bounded_run(spark, read(spark, d, "nation").orderBy("n_nationkey").select("n_nationkey", "n_name"), workload.ROWS, 60.0)
+    return spark.createDataFrame([(typed_digest(rows),)], "digest string")
+
+
+@query("SELECT *, false AS complete FROM (SELECT r_regionkey, r_name FROM region ORDER BY ALL LIMIT 3)")
+def prefix_incomplete(spark, d):
+    return prefix(read(spark, d, "region").select("r_regionkey", "r_name"), 3)
+
+
+@query("SELECT r_regionkey, r_name, true AS complete FROM region")
+def prefix_complete(spark, d):
+    return prefix(read(spark, d, "region").select("r_regionkey", "r_name"), 50)
+
+
+FLAGS = "(VALUES (true), (false)) {0}({0})"
+
+
+@query(f"SELECT status, measured, validated, bound, status IN ({MEASURED}) AND measured AND validated AND bound AS allowed FROM (VALUES {', '.join(f"('{s}')" for s in evidence.STATUSES)}) s(status), {FLAGS.format('measured')}, {FLAGS.format('validated')}, {FLAGS.format('bound')}")
+def transferable_claims(spark, d):
+    return evidence.transferable_matrix(spark)
+
+
+@query("SELECT kind, met, of, met = of AS admissible FROM (VALUES ('mechanism', 7), ('approximation', 3)) k(kind, of), range(0, 8) r(met) WHERE met <= of")
+def admissible_claims(spark, d):
+    """A mechanism has seven obligations, an approximation three; all must be met, and one that is missing isn't."""
+    return evidence.obligation_matrix(spark)
+
+
+@query(_values([("verifiedReuse", "dependencyReuse", True), ("verifiedReuse", "coldReconstruction", False), ("coldReconstruction", "dependencyReuse", False), ("coldReconstruction", "coldReconstruction", True)], "evidence, claim, supported"))
+def trust_claims(spark, d):
+    return evidence.trust_matrix(spark)
+
+
+@query("""
+WITH b AS (SELECT n_nationkey, list_transform(range(1, length(n_name) + 1), lambda i: ord(substr(n_name, i, 1))::UBIGINT) AS bytes FROM nation)
+SELECT n_nationkey, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, x: list_reduce(list_prepend(xor(c, x), list_transform(range(8), lambda i: i::UBIGINT)), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384::UBIGINT) ELSE r // 2 END)), 4294967295::UBIGINT)::BIGINT AS crc FROM b""")
+def crc32_names(spark, d):
+    return read(spark, d, "nation").select("n_nationkey", F.crc32(F.col("n_name").cast("binary")).alias("crc"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n, 1 AS written FROM orders GROUP BY 1")
+def materialized_reuse(spark, d):
+    """One result for two calls at a time: written once, read by both."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = Materialized(spark, f"{shared_folder(spark)}/materialized-{uuid.uuid4().hex}")
+    plan = lambda _: store.get(read(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")))
+    with ThreadPoolExecutor(2) as pool:
+        first, _ = pool.map(plan, range(2))
+    return first.withColumn("written", F.lit(store.written))
+
+
+@query(_values([("again", True), ("other filter", False), ("other setting", False)], "name, same"))
+def input_signature(spark, d):
+    plan = lambda most: read(spark, d, "orders").where(F.col("o_totalprice") < most)
+    first = signature(plan(1000), tasks=4)
+    return spark.createDataFrame([("again", signature(plan(1000), tasks=4) == first), ("other filter", signature(plan(2000), tasks=4) == first), ("other setting", signature(plan(1000), tasks=8) == first)], "name string, same boolean")
+
+
+@query("SELECT tasks, (SELECT count(*) FROM supplier) * (SELECT count(*) FROM nation) AS items, true AS same FROM (VALUES (1), (2), (7), (32)) t(tasks)")
+def worker_parity(spark, d):
+    """The same result whatever the number of tasks."""
+    return parity(lambda n: pairs.pair_sums(_suppliers(spark, d).repartition(n), _nations(spark, d)), (1, 2, 7, 32))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, p_size, p_retailprice, sum(p_size) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM part)
+SELECT *, (SELECT max(used) FROM t) <= 500 AS complete FROM t WHERE used <= 500 ORDER BY p_retailprice, p_partkey LIMIT 1""")
+def budgeted_search(spark, d):
+    return budgeted_best(read(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_partkey"], "p_size", "p_retailprice", 500)
+
+
+@query(_values([("slower", 2.0)], "name, ratio"))
+def regression_budget(spark, d):
+    found = regressions({"slower": 1.0, "same": 1.0, "tiny": 0.01}, {"slower": 2.0, "same": 1.1, "tiny": 0.1})
+    return spark.createDataFrame(list(found.items()), "name string, ratio double")
+
+
+@query("SELECT mode, count(*) AS items, 2 AS plans FROM orders, (VALUES ('time'), ('memory')) m(mode) WHERE o_orderstatus = 'F' GROUP BY 1")
+def rotated_comparison(spark, d):
+    """Plans of one result, measured in turn by time and by memory; different rows or changed inputs raise."""
+    orders = read(spark, d, "orders").where("o_orderstatus = 'F'")
+    found = {mode: workload.compare({"plain": orders, "shuffled": orders.repartition(8)}, 2, mode) for mode in ("time", "memory")}
+    return spark.createDataFrame([(mode, next(iter(x.values()))["items"], len(x)) for mode, x in found.items()], "mode string, items long, plans int")
+
+
+@query(_values([("small", True), ("pairs", False), ("matches", False)], "name, admitted"))
+def fixture_admission(spark, d):
+    return spark.createDataFrame(list(workload.frozen_inputs({"small": 10, "pairs": 2000, "matches": 200}, 1_000_000, 100_000_000).items()), "name string, admitted boolean")
+
+
+@query("""
+WITH l AS (SELECT p_partkey AS id, p_retailprice AS price, p_size::DOUBLE AS size, p_size <> 13 AS feasible, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS ordinal FROM part)
+SELECT id, price, size, ordinal FROM l r WHERE feasible AND NOT EXISTS (SELECT 1 FROM l o WHERE o.feasible AND o.price <= r.price AND o.size >= r.size AND (o.price < r.price OR o.size > r.size)) ORDER BY ordinal""")
+def pareto_ledger_order(spark, d):
+    ledger = read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"), (F.col("p_size") != 13).alias("feasible"))
+    return pareto.frontier(ledger, TWO, ["p_name", "id"]).select("id", "price", "size", F.col("ordinal").cast("long"))

@@ -4,28 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import threading
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..contracts import require
+from ..functions.digest import multiset_digest
+from ..sources.paths import file_stats
 from .workload import compare
 
 
 def signature(df: DataFrame, **settings) -> str:
     """Digest of all a result depends on: the analysed plan, its input files with lengths and times, and settings."""
-    spark = df.sparkSession
-    jvm, hadoop = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    files = []
-    for name in sorted(df.inputFiles()):
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(hadoop).getFileStatus(path)
-        files.append((name, status.getLen(), status.getModificationTime()))
-    import re
-
     plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().analyzed().toString())
-    return hashlib.sha256(json.dumps([plan, files, sorted(settings.items())], default=str).encode()).hexdigest()
+    return hashlib.sha256(json.dumps([plan, file_stats(df), sorted(settings.items())], default=str).encode()).hexdigest()
 
 
 class Materialized:
@@ -49,6 +43,16 @@ class Materialized:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def parity(make: Callable[[int], DataFrame], tasks: tuple[int, ...]) -> DataFrame:
+    """(tasks, items, same): the result's rows by number of tasks, and whether they are those of the first."""
+    found = []
+    for n in tasks:
+        df = make(n)
+        found.append(multiset_digest(df.select(*sorted(df.columns))).first())
+    rows = [(n, row["items"], row == found[0]) for n, row in zip(tasks, found)]
+    return df.sparkSession.createDataFrame(rows, "tasks int, items long, same boolean")
+
+
 def fastest(plans: Mapping[str, Callable[[], DataFrame]], default: str, margin: float = 0.2, repeats: int = 3) -> str:
     """The name of the plan to use: another one than the default only if it gives the same rows and is faster by the margin."""
     require(default in plans, "the default is one of the plans")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+#: Beyond what workloads may use: these run as plain Spark SQL, the others through admission.
+EXTENSIONS = frozenset("sql_max_by sql_median sql_functions sql_sha256 sql_lateral sql_grouping_sets".split())
+
 SURFACE: dict[str, tuple[str, str | None]] = {
     "sql_comparisons": ("SELECT p_partkey FROM {part} WHERE p_size >= 10 AND p_size <= 40 AND p_size <> 13 AND NOT (p_retailprice < 950 OR p_brand = 'Brand#1')", None),
     "sql_between_in": ("SELECT p_partkey, p_size FROM {part} WHERE p_size BETWEEN 5 AND 15 AND p_size NOT IN (7, 9)", None),
@@ -10,7 +13,7 @@ SURFACE: dict[str, tuple[str, str | None]] = {
     "sql_case": ("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS class FROM {part}", None),
     "sql_row_values": ("SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE (l_orderkey, l_linenumber) IN (SELECT l_orderkey, max(l_linenumber) FROM {lineitem} GROUP BY l_orderkey)", None),
     "sql_concat_cast": ("SELECT p_partkey, p_brand || ':' || CAST(p_size AS STRING) AS tag FROM {part}", "SELECT p_partkey, p_brand || ':' || CAST(p_size AS VARCHAR) AS tag FROM part"),
-    "sql_bitwise": ("SELECT p_partkey, p_size & 12 AS low, p_size | 3 AS high, shiftleft(p_size, 2) AS four FROM {part}", "SELECT p_partkey, p_size & 12 AS low, p_size | 3 AS high, (p_size * 4)::INTEGER AS four FROM part"),
+    "sql_bitwise": ("SELECT p_partkey, p_size & 12 AS low, p_size | 3 AS high, p_size << 2 AS four, ~p_size AS inverse FROM {part}", "SELECT p_partkey, p_size & 12 AS low, p_size | 3 AS high, (p_size * 4)::INTEGER AS four, ~p_size AS inverse FROM part"),
     "sql_nocase": ("SELECT n_nationkey FROM {nation} WHERE lower(n_name) > 'f'", None),
     "sql_inner_join": ("SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey", None),
     "sql_left_join": ("SELECT c_custkey, coalesce(o_orderkey, -1) AS o_orderkey FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_orderstatus = 'F'", None),

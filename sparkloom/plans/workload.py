@@ -18,7 +18,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from ..contracts import ContractError, require
+from ..functions import sqlite
 from ..functions.digest import multiset_digest, typed_digest
+from ..sources.paths import file_stats
 
 WORKLOAD, OBSERVATION = "sparkloom.workload.v1", "sparkloom.observation.v1"
 #: Limits: bytes of a workload, queries, bytes of a statement, parameters, rows of a result, runs, seconds.
@@ -26,48 +28,94 @@ BYTES, QUERIES, SQL_BYTES, PARAMS, ROWS, SAMPLES, SECONDS = 32_768, 16, 2_048, 1
 
 # Functions that statements may call.
 FUNCTIONS = frozenset("abs avg coalesce count hex ifnull length lower max min round substr sum trim typeof upper".split())
+#: Functions whose SQLite meaning differs from Spark's: what stands for them.  round always gives a double.
+MEANING = {
+    "hex": "x STRING) RETURNS STRING RETURN hex(x)",
+    "lower": f"x STRING) RETURNS STRING RETURN translate(x, '{sqlite._UPPER}', '{sqlite._LOWER}')",
+    "upper": f"x STRING) RETURNS STRING RETURN translate(x, '{sqlite._LOWER}', '{sqlite._UPPER}')",
+    "round": f"x DOUBLE, n INT DEFAULT 0) RETURNS DOUBLE RETURN CASE greatest(n, 0) {' '.join(f'WHEN {n} THEN round(x, {n})' for n in range(16))} ELSE x END",
+    "substr": "x STRING, a INT, n INT DEFAULT 2147483647) RETURNS STRING RETURN CASE WHEN a = 0 THEN substring(x, 1, greatest(0, n - 1)) ELSE substring(x, a, n) END",
+    "trim": "x STRING, chars STRING DEFAULT ' ') RETURNS STRING RETURN btrim(x, chars)",
+}
+PREFIX = "sqlite_"
+#: Nodes of a plan that a report has, at most.
+PLAN_NODES = 128
 #: Operators that the parser writes as functions.
 OPERATORS = frozenset(["between"])
 #: Parser nodes and expressions that statements may contain.
 NODES = frozenset("Project Filter Join Aggregate UnresolvedHaving Sort GlobalLimit LocalLimit Offset Distinct Union Intersect Except SubqueryAlias UnresolvedWith UnresolvedSubqueryColumnAliases UnresolvedRelation OneRowRelation WithWindowDefinition UnresolvedInlineTable".split())
 EXPRESSIONS = frozenset(
-    "UnresolvedAttribute UnresolvedStar UnresolvedAlias Alias Literal UnresolvedFunction PosParameter EqualTo EqualNullSafe GreaterThan GreaterThanOrEqual LessThan LessThanOrEqual And Or Not In InSubquery ListQuery Exists ScalarSubquery IsNull IsNotNull CaseWhen If Cast Add Subtract Multiply Divide Remainder UnaryMinus UnaryPositive Concat BitwiseAnd BitwiseOr BitwiseNot ShiftLeft ShiftRight SortOrder UnresolvedOrdinal CreateStruct CreateNamedStruct Between UnresolvedBetween UnresolvedWindowExpression WindowExpression WindowSpecDefinition SpecifiedWindowFrame UnspecifiedFrame$ UnboundedPreceding$ UnboundedFollowing$ CurrentRow$ StringTrim StringTrimLeft StringTrimRight Collate UnresolvedCollation NamePlaceholder$ Substring".split()
+    "UnresolvedAttribute UnresolvedStar UnresolvedAlias Alias Literal UnresolvedFunction PosParameter EqualTo EqualNullSafe GreaterThan GreaterThanOrEqual LessThan LessThanOrEqual And Or Not In InSubquery ListQuery Exists ScalarSubquery IsNull IsNotNull CaseWhen If Cast Add Subtract Multiply Divide IntegralDivide Remainder UnaryMinus UnaryPositive Concat BitwiseAnd BitwiseOr BitwiseNot ShiftLeft ShiftRight SortOrder UnresolvedOrdinal CreateStruct CreateNamedStruct Between UnresolvedBetween UnresolvedWindowExpression WindowExpression WindowSpecDefinition SpecifiedWindowFrame UnspecifiedFrame$ UnboundedPreceding$ UnboundedFollowing$ CurrentRow$ StringTrim StringTrimLeft StringTrimRight Collate UnresolvedCollation NamePlaceholder$".split()
 )
 _NAME = re.compile(r"[A-Za-z][A-Za-z0-9_-]{0,63}\Z")
 
 
-def read_workload(raw: bytes) -> list[dict]:
-    """Queries of a workload; duplicate keys, unknown fields and anything beyond the limits are refused."""
+# --- the form of a workload: a dict has exactly its keys, a list one item form and its least and most items, a test says what it asks for
+
+
+def _statement(text: str) -> bool:
+    return bool(re.match(r"\s*(?:select|with)\b", text, re.IGNORECASE)) and not any(x in text for x in (";", "--", "/*"))
+
+
+def _parameter(x) -> bool:
+    if isinstance(x, str):
+        return len(x.encode()) <= 1024
+    if isinstance(x, int) and not isinstance(x, bool):
+        return -(2**63) <= x < 2**63
+    return x is None or (isinstance(x, float) and math.isfinite(x))
+
+
+FORM = {
+    "schema": [("is the workload's schema", lambda x: x == WORKLOAD)],
+    "queries": (
+        1, QUERIES,
+        {
+            "name": [("is a plain name", lambda x: isinstance(x, str) and bool(_NAME.match(x)))],
+            "sql": [("is a short text", lambda x: isinstance(x, str) and 0 < len(x.encode()) <= SQL_BYTES), ("is one statement that selects, without comments", _statement)],
+            "params": (0, PARAMS, [("is null, a 64-bit whole number, a finite number or a short text", _parameter)]),
+        },
+    ),
+}
+
 
-    def once(pairs):
-        keys = [k for k, _ in pairs]
-        require(len(keys) == len(set(keys)), "keys of an object are unique")
-        return dict(pairs)
+def conforms(value, form, at: str) -> None:
+    """Raises where ``value`` doesn't have the form."""
+    if isinstance(form, dict):
+        require(isinstance(value, dict) and value.keys() == form.keys(), f"{at} has the fields {', '.join(form)}")
+        for key, inner in form.items():
+            conforms(value[key], inner, f"{at}.{key}")
+    elif isinstance(form, tuple):
+        least, most, inner = form
+        require(isinstance(value, list) and least <= len(value) <= most, f"{at} has {least} to {most} items")
+        for item in value:
+            conforms(item, inner, at)
+    else:
+        for what, holds in form:
+            require(holds(value), f"{at} {what}")
 
+
+class _Fields(dict):
+    """A JSON object's fields, which must not come twice."""
+
+    def __init__(self, pairs):
+        super().__init__(pairs)
+        require(len(self) == len(pairs), "a field comes twice")
+
+
+def read_workload(raw: bytes) -> list[dict]:
+    """Queries of a workload in JSON; what doesn't have its FORM, or is beyond the limits, is refused."""
     require(len(raw) <= BYTES, "the workload is too long")
     try:
-        data = json.loads(raw.decode("utf-8"), object_pairs_hook=once, parse_constant=lambda x: require(False, f"{x} is not allowed"))
-    except (json.JSONDecodeError, UnicodeDecodeError) as error:
-        raise ContractError("the workload is not JSON") from error
-    require(isinstance(data, dict) and set(data) == {"schema", "queries"} and data["schema"] == WORKLOAD, "the workload has a schema and queries")
-    queries = data["queries"]
-    require(isinstance(queries, list) and 1 <= len(queries) <= QUERIES, "the number of queries is out of bounds")
-    for q in queries:
-        require(isinstance(q, dict) and set(q) == {"name", "sql", "params"}, "a query has a name, sql and params")
-        require(isinstance(q["name"], str) and bool(_NAME.match(q["name"])), "names are plain")
-        require(isinstance(q["sql"], str) and 0 < len(q["sql"].encode()) <= SQL_BYTES, "the statement is too long or empty")
-        require(re.match(r"\s*(?:select|with)\b", q["sql"], re.IGNORECASE) is not None, "statements select")
-        require(not any(x in q["sql"] for x in (";", "--", "/*")), "one statement, without comments")
-        require(isinstance(q["params"], list) and len(q["params"]) <= PARAMS, "too many parameters")
-        for p in q["params"]:
-            fine = p is None or (isinstance(p, str) and len(p.encode()) <= 1024) or (isinstance(p, int) and not isinstance(p, bool) and -(2**63) <= p < 2**63) or (isinstance(p, float) and math.isfinite(p))
-            require(fine, "a parameter is null, a 64-bit whole number, a finite number or a short string")
-    require(len({q["name"] for q in queries}) == len(queries), "names are unique")
-    return queries
-
-
-def admit(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> None:
-    """Refuses a statement whose parsed tree has anything that isn't known to be allowed."""
+        data = json.loads(raw.decode("utf-8"), object_pairs_hook=_Fields, parse_constant=lambda x: require(False, f"{x} is no number"))
+    except ValueError as error:
+        raise ContractError(f"not a workload: {error}") from error
+    conforms(data, FORM, "workload")
+    require(len({q["name"] for q in data["queries"]}) == len(data["queries"]), "names are different")
+    return data["queries"]
+
+
+def admit(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]):
+    """The parsed tree of a statement; anything in it that isn't known to be allowed is refused."""
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as error:  # noqa: BLE001  py4j wraps the parser's errors
@@ -109,6 +157,92 @@ def admit(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> Non
             look(child, ctes)
 
     visit(plan, frozenset())
+    return plan
+
+
+def _calls(plan) -> list:
+    """All function calls of a parsed statement."""
+    found = []
+
+    def walk(node):
+        for group in (node.expressions() if hasattr(node, "expressions") and "LogicalPlan" in _kinds(node) else None, node.children()):
+            for i in range(group.size() if group is not None else 0):
+                walk(group.apply(i))
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            found.append(node)
+        if kind in ("ScalarSubquery", "Exists", "ListQuery"):
+            walk(node.plan())
+        if kind == "InSubquery":
+            walk(node.query())
+        if kind == "UnresolvedWith":
+            relations = node.cteRelations()
+            for i in range(relations.size()):
+                walk(relations.apply(i)._2())
+
+    walk(plan)
+    return found
+
+
+def _kinds(node) -> set[str]:
+    out, kind = set(), node.getClass()
+    while kind is not None:
+        out.add(kind.getSimpleName())
+        kind = kind.getSuperclass()
+    return out
+
+
+def define_meaning(spark: SparkSession) -> None:
+    """Defines the functions of MEANING in the session, under names of their own."""
+    for name, body in MEANING.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {PREFIX}{name}({body}")
+
+
+def with_meaning(sql: str, plan) -> str:
+    """The admitted statement with the functions of MEANING in place of Spark's; the parser tells where calls begin."""
+    starts = set()
+    for call in _calls(plan):
+        name, n = call.nameParts().apply(0).lower(), call.arguments().size()
+        require(not (name in ("max", "min") and n > 1), f"{name} of several values is not allowed: use CASE")
+        require(name != "typeof", "typeof is not allowed: types here are the columns'")
+        if name in MEANING:
+            starts.add(call.origin().startIndex().get())
+    for at in sorted(starts, reverse=True):
+        sql = sql[:at] + PREFIX + sql[at:]
+    return sql
+
+
+def prepare(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], params: list | None = None) -> DataFrame:
+    """The DataFrame of an admitted statement with SQLite's meaning; the tables are views of the session, define_meaning() has run.
+
+    Whole numbers don't divide by ``/``, which would leave whole numbers here:
+    ``div`` does.  Overflow and division by zero raise.
+    """
+    df = spark.sql(with_meaning(sql, admit(spark, sql, tables)), args=params or None)
+    if "/" in sql:
+        _no_whole_division(df)
+    return df
+
+
+def _no_whole_division(df: DataFrame) -> None:
+    """Refuses divisions of two whole numbers, which the analysis has turned into doubles."""
+
+    def integral(e) -> bool:
+        if e.getClass().getSimpleName() == "Cast":
+            e = e.child()
+        return e.dataType().typeName() in ("byte", "short", "integer", "long")
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "Divide":
+            require(not (integral(node.left()) and integral(node.right())), "whole numbers divide by div")
+        plan = "LogicalPlan" in _kinds(node)
+        for group in (node.expressions() if plan else None, node.children()):
+            for i in range(group.size() if group is not None else 0):
+                walk(group.apply(i))
+        if "SubqueryExpression" in _kinds(node) or "PlanExpression" in _kinds(node):
+            walk(node.plan())
+
+    walk(df._jdf.queryExecution().analyzed())
 
 
 def bounded_run(spark: SparkSession, df: DataFrame, most: int, seconds: float) -> list[tuple]:
@@ -138,25 +272,39 @@ def inventory(tables: Mapping[str, DataFrame]) -> dict:
 
 
 def fingerprint(tables: Mapping[str, DataFrame]) -> str:
-    """Digest of the files behind the tables; it changes when data are added or replaced."""
-    return hashlib.sha256(json.dumps({n: sorted(df.inputFiles()) for n, df in sorted(tables.items())}).encode()).hexdigest()
+    """Digest of the files behind the tables with their lengths and times; it changes when data are added or replaced."""
+    return hashlib.sha256(json.dumps({n: file_stats(df) for n, df in sorted(tables.items())}).encode()).hexdigest()
 
 
-def observe(spark: SparkSession, raw: bytes, tables: Mapping[str, DataFrame], samples: int = 0, rows: int = ROWS, seconds: float = 3.0) -> dict:
-    """The report of a workload: plans, and with ``samples`` digests, counts and median times; no data and no SQL text."""
-    require(0 <= samples <= SAMPLES and 1 <= rows <= ROWS and 0 < seconds <= SECONDS, "limits are out of bounds")
-    queries, before, reports = read_workload(raw), fingerprint(tables), []
+def session_of(spark: SparkSession, tables: Mapping[str, DataFrame]) -> SparkSession:
+    """A session of its own that has the tables as views and the functions of MEANING."""
     own = spark.newSession()
     for name, df in tables.items():
         files = df.inputFiles()
         require(bool(files), "tables are read from files")
         own.read.schema(df.schema).parquet(*files).createOrReplaceTempView(name)
+    define_meaning(own)
+    return own
+
+
+def run_admitted(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], params: list | None = None) -> DataFrame:
+    """The DataFrame of one statement, after admission."""
+    return prepare(session_of(spark, tables), sql, tables, params)
+
+
+def observe(spark: SparkSession, raw: bytes, tables: Mapping[str, DataFrame], samples: int = 0, rows: int = ROWS, seconds: float = 3.0) -> dict:
+    """The report of a workload: plans, and with ``samples`` digests, counts and median times; no data and no SQL text."""
+    require(0 <= samples <= SAMPLES and 1 <= rows <= ROWS and 0 < seconds <= SECONDS, "limits are out of bounds")
+    queries, before, reports = read_workload(raw), fingerprint(tables), []
+    own = session_of(spark, tables)
     for q in queries:
-        admit(own, q["sql"], tables)
-        df = own.sql(q["sql"], args=q["params"])
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        scans = [line for line in plan.splitlines() if "FileScan" in line]
-        report = {"name": q["name"], "columns": [list(c) for c in df.dtypes], "scans": len(scans), "full_scans": sum("PushedFilters: []" in s for s in scans), "complete": samples > 0}
+        df = prepare(own, q["sql"], tables, q["params"])
+        nodes = [line for line in df._jdf.queryExecution().sparkPlan().toString().splitlines() if line.strip()]
+        require(len(nodes) <= PLAN_NODES, "the plan is too large for a report")
+        scans = [line for line in nodes if "FileScan" in line]
+        full = sum("PushedFilters: []" in s and "PartitionFilters: []" in s for s in scans)
+        report = {"name": q["name"], "columns": [list(c) for c in df.dtypes], "nodes": len(nodes), "scans": len(scans), "full_scans": full, "complete": samples > 0}
+        report |= {"advice": "a table is read whole: a filter on its columns would be pushed down"} if full else {}
         if samples:
             times, digests, counts = [], set(), set()
             for _ in range(samples):
@@ -185,15 +333,49 @@ def save_report(report: dict, path: str) -> str:
     return f"sha256:{hashlib.sha256(raw).hexdigest()}"
 
 
-def compare(plans: Mapping[str, DataFrame], repeats: int = 3) -> dict[str, dict]:
-    """Median seconds of several plans of the same result, run in rotation; different results raise."""
-    names, times, digests = list(plans), {n: [] for n in plans}, set()
+def peak_memory(spark: SparkSession, run) -> int:
+    """The most execution memory that the tasks of a stage held together while ``run()`` ran, in bytes."""
+    group, sc = f"peak-{time.monotonic_ns()}", spark.sparkContext
+    sc.setJobGroup(group, "peak memory")
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    store, most = sc._jsc.sc().statusStore(), 0
+    for job in sc.statusTracker().getJobIdsForGroup(group):
+        for stage in sc.statusTracker().getJobInfo(job).stageIds:
+            most = max(most, store.lastStageAttempt(stage).peakExecutionMemory())
+    return most
+
+
+def compare(plans: Mapping[str, DataFrame], repeats: int = 3, mode: str = "time") -> dict[str, dict]:
+    """Median seconds (or, by ``mode``, bytes of peak memory) of several plans of the same result, run in rotation.
+
+    Different results raise, and so do input files that change meanwhile.
+    """
+    require(mode in ("time", "memory"), "a comparison is of time or of memory")
+    names, taken, digests, rows = list(plans), {n: [] for n in plans}, set(), []
+    before = {n: file_stats(df) for n, df in plans.items()}
     for r in range(repeats):
         for k in range(len(names)):
             name = names[(k + r) % len(names)]
+            digest = multiset_digest(plans[name].select(*sorted(plans[name].columns)))
             began = time.perf_counter()
-            row = multiset_digest(plans[name].select(*sorted(plans[name].columns))).first()
-            times[name].append(time.perf_counter() - began)
-            digests.add((row["items"], row["digest"]))
+            if mode == "memory":
+                taken[name].append(peak_memory(digest.sparkSession, lambda digest=digest: rows.append(digest.first())))
+            else:
+                rows.append(digest.first())
+                taken[name].append(time.perf_counter() - began)
+            digests.add((rows[-1]["items"], rows[-1]["digest"]))
             require(len(digests) == 1, f"{name} gives other rows")
-    return {n: {"median_s": statistics.median(t), "items": next(iter(digests))[0]} for n, t in times.items()}
+    require({n: file_stats(df) for n, df in plans.items()} == before, "input files changed meanwhile")
+    return {n: {"median_s" if mode == "time" else "median_bytes": statistics.median(t), "items": next(iter(digests))[0]} for n, t in taken.items()}
+
+
+def frozen_inputs(sizes: Mapping[str, int], most_pairs: int, most_matches: int) -> dict[str, bool]:
+    """By name of a case of four arrays of equal size: whether its pairs (size squared) and matches (at most size to the fourth) are within bounds.
+
+    Checked before anything is built.
+    """
+    return {name: 0 <= n and n**2 <= most_pairs and n**4 <= most_matches for name, n in sizes.items()}

@@ -14,9 +14,11 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import with_running_sum
+
 MEMBERS = "archive string, ordinal long, depth int, filename string, file_size long, compress_size long, method int, flags int, crc long, problem string, content string"
 
 # Suffixes of text files; byte order marks, longest first.
@@ -154,7 +156,7 @@ def summary(members: DataFrame) -> DataFrame:
 def within_budget(rows: DataFrame, order: list[str], size: str, most: int, by: list[str] | None = None) -> DataFrame:
     """All columns, ``used`` and ``within``: the running sum in order, and whether it is still at most ``most``.
 
-    With ``by`` each group has a budget of its own and groups run in parallel.
+    With ``by`` each group has a budget of its own.  A group of any size is
+    summed by ranges.
     """
-    window = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("used", F.sum(size).over(window)).withColumn("within", F.col("used") <= most)
+    return with_running_sum(rows, order, size, "used", by).withColumn("within", F.col("used") <= most)

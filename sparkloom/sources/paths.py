@@ -6,6 +6,8 @@ import os
 import stat
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+
 from ..contracts import require
 
 
@@ -25,3 +27,14 @@ def without_sidecars(path: str) -> Path:
     beside = [s for s in ("-wal", "-shm", "-journal") if Path(f"{whole}{s}").exists()]
     require(not beside, f"the database has {', '.join(beside)} beside it")
     return whole
+
+
+def file_stats(df: DataFrame) -> list[tuple[str, int, int]]:
+    """(path, length, modification time) of the files behind a DataFrame."""
+    spark = df.sparkSession
+    jvm, hadoop, out = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(hadoop).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return out

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .paths import without_sidecars
+
 
 class SqliteDataSource(DataSource):
     """``spark.read.format("sqlite").option("path", file).option("table", name).schema(...)``; rowid ranges are partitions."""
@@ -28,6 +34,8 @@ class SqliteReader(DataSourceReader):
 
     def partitions(self):
         with connect(self.path) as db:
+            if not has_rowid(db, self.table):
+                return [InputPartition(None)]
             low, high = db.execute(f"select min(rowid), max(rowid) from {quoted(self.table)}").fetchone()
         if low is None:
             return []
@@ -35,9 +43,39 @@ class SqliteReader(DataSourceReader):
         return [InputPartition((at, min(at + step - 1, high))) for at in range(low, high + 1, step)]
 
     def read(self, partition):
-        low, high = partition.value
+        where, bounds = ("", ()) if partition.value is None else (" where rowid between ? and ?", partition.value)
         with connect(self.path) as db:
-            yield from db.execute(f"select {', '.join(map(quoted, self.columns))} from {quoted(self.table)} where rowid between ? and ?", (low, high))
+            yield from db.execute(f"select {', '.join(map(quoted, self.columns))} from {quoted(self.table)}{where}", bounds)
+
+
+def has_rowid(db, table: str) -> bool:
+    """False for tables made WITHOUT ROWID, which one task reads whole."""
+    import sqlite3
+
+    try:
+        db.execute(f"select rowid from {quoted(table)} limit 0")
+    except sqlite3.OperationalError:
+        return False
+    return True
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table of a SQLite file on the driver; Spark ships the file to the executors."""
+    spark.dataSource.register(SqliteDataSource)
+    spark.sparkContext.addFile(str(without_sidecars(path)))
+    return spark.read.format("sqlite").option("path", path).option("table", table).load()
+
+
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, name, position, column_name, type, collation, descending): columns of tables and of indexes, and the journal mode as a row."""
+    rows = []
+    with connect(path) as db:
+        for (table,) in db.execute("select name from sqlite_schema where type = 'table' order by name").fetchall():
+            rows += [("table", table, c[0], c[1], c[2], None, None) for c in db.execute(f"pragma table_info({quoted(table)})")]
+            for index in db.execute(f"pragma index_list({quoted(table)})").fetchall():
+                rows += [("index", index[1], c[0], c[2], None, c[4], bool(c[3])) for c in db.execute(f"pragma index_xinfo({quoted(index[1])})") if c[5]]
+        rows.append(("setting", "journal_mode", 0, None, db.execute("pragma journal_mode").fetchone()[0], None, None))
+    return spark.createDataFrame(rows, "kind string, name string, position int, column_name string, type string, collation string, descending boolean")
 
 
 def quoted(name: str) -> str:
@@ -49,8 +87,8 @@ def connect(path: str):
     import sqlite3
     from urllib.parse import quote
 
-    from .paths import without_sidecars
-
+    if not os.path.exists(path):  # on an executor: the file that the driver shipped
+        path = os.path.realpath(SparkFiles.get(os.path.basename(path)))
     db = sqlite3.connect(f"file:{quote(str(without_sidecars(path)))}?mode=ro&immutable=1", uri=True)
     db.execute("pragma query_only = on")
     db.execute("pragma trusted_schema = off")

@@ -1,11 +1,13 @@
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMALL
 from sparkloom.contracts import ContractError
-from sparkloom.operators.order import with_ordinal
-from sparkloom.plans.reuse import Materialized, fastest, regressions, signature
+from sparkloom.operators.order import budgeted_best, with_ordinal, with_running_sum
+from sparkloom.plans.reuse import Materialized, fastest, parity, regressions, signature
+from sparkloom.plans.workload import compare
 from sparkloom.sources.paths import safe_file, without_sidecars
 
 
@@ -39,7 +41,7 @@ def test_choice(spark):
 def test_ordinals(spark):
     rows = [(i * 7 % 50, i) for i in range(400)]
     df = spark.createDataFrame(rows, "a long, b long").repartition(6)
-    found = sorted((r["ordinal"], r["a"], r["b"]) for r in with_ordinal(df, ["a", "b"], cells=8).collect())
+    found = sorted((r["ordinal"], r["a"], r["b"]) for r in with_ordinal(df, ["a", "b"], rows=50).collect())
     assert found == [(k, a, b) for k, (a, b) in enumerate(sorted(rows))]
 
 
@@ -54,3 +56,30 @@ def test_paths(tmp_path):
     (tmp_path / "f.db-wal").write_text("")
     with pytest.raises(ContractError):
         without_sidecars(str(file))
+
+
+def test_running_sums_of_large_groups(spark):
+    """A group's rows in many ranges, null groups and ties of order with other groups."""
+    rows = [("big" if i % 3 else None if i % 2 else "small", i, i % 7) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, i long, n long").repartition(5)
+    found = sorted((r["i"], r["used"]) for r in with_running_sum(df, ["i"], "n", "used", ["g"], rows=60).collect())
+    sums, want = {}, []
+    for g, i, n in rows:
+        sums[g] = sums.get(g, 0) + n
+        want.append((i, sums[g]))
+    assert found == want
+    assert with_running_sum(df.limit(0), ["i"], "n", "used").count() == 0
+
+
+def test_budgeted_best(spark):
+    trials = spark.createDataFrame([(1, 5, 9.0), (2, 5, 3.0), (3, 5, 3.0), (4, 5, 1.0)], "id long, cost long, score double")
+    best = lambda budget: budgeted_best(trials, ["id"], "cost", "score", budget).select("id", "used", "complete").collect()
+    assert [tuple(r) for r in best(15)] == [(2, 10, False)] and [tuple(r) for r in best(20)] == [(4, 20, True)] and best(4) == []
+
+
+def test_parity_and_memory(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") % 7)
+    rows = parity(lambda n: df.repartition(n).groupBy("k").count(), (1, 3, 8)).collect()
+    assert [(r["tasks"], r["items"], r["same"]) for r in rows] == [(1, 7, True), (3, 7, True), (8, 7, True)]
+    found = compare({"a": df.groupBy("k").count(), "b": df.groupBy("k").count()}, 1, "memory")
+    assert all(x["median_bytes"] >= 0 for x in found.values())

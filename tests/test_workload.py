@@ -76,3 +76,30 @@ def test_compare(spark, tables):
     assert found["a"]["items"] == found["b"]["items"]
     with pytest.raises(ContractError):
         w.compare({"a": orders.select("o_custkey"), "b": orders.select("o_orderkey")}, 1)
+
+
+@pytest.mark.parametrize(
+    "sql, value",
+    [
+        ("select hex(12) as x", "3132"), ("select upper('é') as x", "é"), ("select substr('abc', 0, 2) as x", "a"), ("select 7 div 2 as x", 3), ("select round(2) as x", 2.0), ("select trim('xaxx', 'x') as x", "a"), ("select 7.0 / 2 as x", 3.5),
+        ("select (select upper(lower('Ab')) as y) || '😀' || hex('a') as x", "AB😀61"), ("with t as (select lower('A') as y) select max(y) as x from t where exists (select hex(1) as h)", "a"),
+    ],
+)
+def test_meaning(spark, tables, sql, value):
+    assert float(w.run_admitted(spark, sql, tables).first()["x"]) == value if isinstance(value, float) else w.run_admitted(spark, sql, tables).first()["x"] == value
+
+
+@pytest.mark.parametrize("sql", ["select 7 / 2 as x", "select max(1, 2) as x", "select typeof(1) as x", "select (select 7 / turn as y from conversations limit 1) as x", "select substring('abc' from 2 for 1) as x"])
+def test_other_meanings_are_refused(spark, tables, sql):
+    with pytest.raises(ContractError):
+        w.run_admitted(spark, sql, tables)
+
+
+def test_replaced_files_are_seen(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    before = w.fingerprint({"t": spark.read.parquet(path)})
+    assert w.fingerprint({"t": spark.read.parquet(path)}) == before
+    file = next((tmp_path / "t").glob("*.parquet"))
+    file.write_bytes(file.read_bytes() + b" ")
+    assert w.fingerprint({"t": spark.read.parquet(path)}) != before
