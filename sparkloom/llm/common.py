@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import math
-import re
-import tempfile
-import uuid
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import SharedTable, shared_folder  # noqa: F401  for the operators of this package
+
 #: Bytes of a batch of rows that goes to Python, about; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
 
@@ -42,20 +40,6 @@ def parts(n_rows: int, per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(n_rows / per_part))
 
 
-@lru_cache(None)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-shared-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder.  Where none is named, a single machine takes a temporary folder; a cluster can't share one."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own_folder()
-
-
 #: Keys that join_unique() broadcasts, at most.
 HOT = 10_000
 
@@ -74,17 +58,3 @@ def join_unique(rows: DataFrame, table: DataFrame, key: str, total: int, n: str
     many = F.broadcast(table.where(F.col(n) > most).drop(n))
     few = rows.join(many.select(key), key, "left_anti").join(table.where(F.col(n) <= most).drop(n), key)
     return rows.join(many, key).unionByName(few)
-
-
-class SharedTable:
-    """A table written once to the shared folder, so that what follows neither repeats nor depends on its lineage."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark, self.path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

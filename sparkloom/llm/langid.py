@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, hash_share, held_out
+from .common import HOT, bound_batches, held_out
 
 BUCKETS, WIDTH = 1 << 13, 16
-#: Documented bound of the training sample: expected documents.
-DOCUMENTS = 4_000
+#: Documented bound of the training sample: expected documents of all languages, and of each where there are many languages.
+DOCUMENTS, EACH = 4_000, 100
 #: Share of the texts kept back that a threshold may reject.
 REJECTED = 0.0005
 SLICE = 1 << 20
@@ -177,7 +177,13 @@ def training_rows(docs: DataFrame, documents: int = DOCUMENTS) -> tuple[list[tup
     """Counts of sampled texts, each whole and as a short passage of it, without held-out rows, null ids and null languages."""
     bound_batches(docs.sparkSession)
     own = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    share = documents / max(1, docs.count() * 0.75)
+    # As many documents of each language, however rare it is.
+    sizes = own.groupBy("lang").count()
+    k = sizes.count()
+    limit = F.least(F.lit(1.0), max(documents / max(1, k), EACH) / F.col("count")) * 2**31
+    sizes = sizes.select("lang", limit.cast("long").alias("limit"))
+    sizes = F.broadcast(sizes) if k <= HOT else sizes
+    chosen = own.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(2**31)) < F.col("limit"))
 
     def run(batches):
         for batch in batches:
@@ -192,7 +198,7 @@ def training_rows(docs: DataFrame, documents: int = DOCUMENTS) -> tuple[list[tup
                         langs.append(lang.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "counts"])
 
-    table = own.where(hash_share(F.col("doc_id"), share)).select("text", "lang").mapInArrow(run, "lang string, counts binary").toArrow()
+    table = chosen.select("text", "lang").mapInArrow(run, "lang string, counts binary").toArrow()
     pairs = sorted(zip(table.column("counts").to_pylist(), table.column("lang").to_pylist()))
     rows = [np.frombuffer(x, np.int32).reshape(2, -1) for x, _ in pairs]
     return [(x[0], x[1].astype(np.float64)) for x in rows], [lang for _, lang in pairs]

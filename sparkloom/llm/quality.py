@@ -113,13 +113,13 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, tail: float = 0
     Scores come from a positive-against-unlabelled scorer.  Above a threshold
     the share of unlabelled rows is p times that of positives plus what
     negatives add; the smallest ratio over thresholds that at least ``tail``
-    of the positives pass estimates p.
+    of the positives pass estimates p, from 0.001 to 0.999.
     """
     order = np.sort(positive)
     best = 1.0
     for t in np.quantile(order, np.linspace(0.0, 1 - tail, 60)):
         best = min(best, (unlabelled >= t).mean() / max((order >= t).mean(), 1e-9))
-    return float(np.clip(best, 0.05, 0.99))
+    return float(np.clip(best, 0.001, 0.999))
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, l2: float = 0.03) -> QualityModel:
@@ -166,6 +166,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES
     share_u = unlabelled / max(1, n_docs * 0.75)
     share_p = positives / max(1, n_known)
     chosen = known.where(hash_share(F.col("doc_id"), share_p)).select("doc_id", F.lit(True).alias("positive"))
+    # About ``positives`` ids: where that holds they are broadcast, and no text is shuffled.
+    chosen = F.broadcast(chosen) if chosen.count() <= 2 * positives + 1000 else chosen
     own = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.where(hash_share(F.col("doc_id"), max(share_u, share_p)))
     rows = own.join(chosen, "doc_id", "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive"), hash_share(F.col("doc_id"), share_u).alias("web"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTable
+from .common import SharedTable, join_unique
 from .components import components
 from .topk import rotation
 
@@ -57,6 +57,7 @@ class Subspaces:
 def unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
     x = flat.astype(np.float64).reshape(len(column), -1)
+    x = x / np.abs(x).max(axis=1, initial=0.0, keepdims=True)  # squares of very large or small components would leave doubles
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -150,7 +151,9 @@ def _runs(batches, spaces, cosine: float, most: int):
 
 def _links(reps: DataFrame, cosine: float, blocks: int, most: int) -> DataFrame:
     """(id, links, root) partial counts and trees of the distinct vectors ``reps`` (lab, d, embedding, id, many)."""
-    scaled = reps.select(F.expr("transform(embedding, x -> cast(x as double))").alias("e"))
+    # Squares of very large or small components would leave doubles.
+    scaled = reps.select(F.transform("embedding", lambda x: x.cast("double")).alias("e"), F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))).alias("most"))
+    scaled = scaled.select(F.transform("e", lambda x: x / F.col("most")).alias("e"))
     length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
     turns = rotation(scaled.select(F.transform("e", lambda x: x / length).alias("v")))
     spaces = {d: Subspaces(*t, 2 - 2 * cosine, blocks) for d, t in turns.items()}
@@ -216,15 +219,20 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
     whole = vectors.schema[label].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     lab = F.col("label").cast("long") if whole else F.xxhash64("label")
     clean = rows.where(fine).select("vec_id", "embedding", lab.alias("lab"))
+    # Equal vectors of a label have one key of 128 bits; a zero's sign doesn't count.
+    plain = F.transform("embedding", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))
+    keyed = lambda df: df.withColumn("key", F.concat(F.hex(F.xxhash64("lab", plain)), F.lit(":"), F.hex(F.xxhash64(plain, "lab", F.size("embedding")))))
     grouped = clean.groupBy("lab", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("many"))
-    reps = SharedTable(grouped.select("lab", F.size("embedding").alias("d"), "embedding", "id", "many"), "vectors").df
+    reps = SharedTable(keyed(grouped).select("lab", F.size("embedding").alias("d"), "embedding", "id", "many", "key"), "vectors").df
     parts = SharedTable(_links(reps, cosine, blocks, most), "near").df
     counts = parts.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(parts.select(F.col("id").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("id"), "root")
     known = reps.join(counts, "id", "left").join(roots, "id", "left")
-    known = known.select("lab", "embedding", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    known = known.select("key", "many", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    known = SharedTable(known, "known").df
+    total = known.agg(F.sum("many")).first()[0] or 0
     own = rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = clean.join(known, ["lab", "embedding"]).select("vec_id", "n_links", "component_id").union(own)
+    out = join_unique(keyed(clean).select("vec_id", "key"), known, "key", total, n="many").select("vec_id", "n_links", "component_id").union(own)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -314,6 +314,9 @@ def test_near_vectors(spark, most):
     for r in found:
         assert (r["n_links"], r["component_id"], r["kept"]) == want.get(r["vec_id"], (0, r["vec_id"], True)), r
     assert near_vectors(vectors(spark, [])).count() == 0
+    extreme = [(1, [1e-170, 2e-170], 1), (2, [1e200, 2e200], 1), (3, [3e200, 6e200], 1), (4, [-0.0, 1.0], 1), (5, [0.0, 1.0], 1), (6, [1e-320, 0.0], 1)]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(vectors(spark, extreme, "double")).collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
 
 
 @pytest.mark.parametrize("weights", [[1], [3, 2, 5], [1, 1, 1, 1], [97, 2, 1], [7, 11, 13, 29]])
