@@ -2,15 +2,20 @@
 
 A rolling hash of the last bytes cuts texts into chunks, so passages that
 documents share yield the same chunks wherever they stand.  What lies between
-a chunk's first and last white space is encoded once per worker and kept; a
+a chunk's first and last white space is encoded once per worker and kept.  A
 chunk's broken words at both ends are joined with those of its neighbours and
-encoded again, up to white space on both sides, where the two encodings agree
-exactly: the vocabulary's pre-tokenizer never joins text across white space.
+encoded again; then the joined word is encoded once more together with the
+words on both sides, and all ids must agree with those of the parts.  Where they
+don't, the whole text is encoded at one go.
+
+Chunks are reused for tokenizers whose parts are known never to join text across
+white space; with any other one every text is encoded at one go.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import unicodedata
@@ -33,6 +38,30 @@ _ENDS = re.compile(rb"([^ \t\n\r\v\f]*)([ \t\n\r\v\f](?:.*[ \t\n\r\v\f])?)([^ \t
 CHUNKS_KEPT, WORDS_KEPT = 4096, 400_000
 
 
+# The parts of a tokenizer whose chunks can be reused.
+PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"}
+
+
+def has_known_parts(path: str) -> bool:
+    """Whether the tokenizer's parts are those of PARTS and MODEL, and no token that was added to its vocabulary holds white space."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    model, added = found.get("model", {}), found.get("added_tokens") or ()
+    plain = not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in added)
+    return plain and all(found.get(k) == v for k, v in PARTS.items()) and all(model.get(k) == v for k, v in MODEL.items())
+
+
 def cuts(data: bytes) -> Iterator[int]:
     """Places where the rolling hash cuts, the end included; they depend on the bytes just before them alone."""
     for start in range(0, len(data), SLICE):
@@ -74,7 +103,7 @@ def _letters(text: str) -> bool:
 
 
 class ChunkEncoder:
-    """Encodes texts exactly as the tokenizer without special tokens added; pieces are (ids as bytes, tokens as text)."""
+    """Encodes texts exactly as the tokenizer without special tokens added; ids are bytes, four each."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -82,7 +111,10 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.chunked = has_known_parts(path)
         self.words, self.chunks = _Kept(WORDS_KEPT), _Kept(CHUNKS_KEPT)
+        #: Bytes of all texts, and of chunks that were found encoded.
+        self.seen = self.reused = 0
 
     def learn(self, words: set[bytes]) -> None:
         """Encodes all new words of letters at one go; each is one pre-token, whose last token ends the word."""
@@ -96,41 +128,45 @@ class ChunkEncoder:
         if new:
             new = list(new)
             found, at = self.tokenizer.encode(" ".join(new), add_special_tokens=False), 0
-            ids, tokens = found.ids, found.tokens
-            ends = [i for i, t in enumerate(tokens, 1) if t.endswith("</w>")]
+            ids = found.ids
+            ends = [i for i, t in enumerate(found.tokens, 1) if t.endswith("</w>")]
             for text, end in zip(new, ends, strict=True):
-                self.words.put(text.encode("utf-8"), (struct.pack(f"<{end - at}I", *ids[at:end]), " ".join(tokens[at:end])))
+                self.words.put(text.encode("utf-8"), struct.pack(f"<{end - at}I", *ids[at:end]))
                 at = end
 
-    def word(self, word: bytes) -> tuple[bytes, str]:
+    def word(self, word: bytes) -> bytes:
         """A run without ASCII white space."""
         if (known := self.words.get(word)) is not None:
             return known
         text = word.decode("utf-8")
         if len(word) > 1 and word[-1:] in b".," and _letters(text[:-1]):
-            a, b = self.word(word[:-1]), self.word(word[-1:])
-            return a[0] + b[0], f"{a[1]} {b[1]}"
+            return self.word(word[:-1]) + self.word(word[-1:])
         if text.isascii() and text.isalpha() and not text.islower():
             return self.word(word.lower())
         return self.words.put(word, self.encoded(text)) if len(word) <= 64 else self.encoded(text)
 
-    def encoded(self, text: str) -> tuple[bytes, str]:
-        found = self.tokenizer.encode(text, add_special_tokens=False)
-        return struct.pack(f"<{len(found.ids)}I", *found.ids), " ".join(found.tokens)
+    def encoded(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def body(self, body: bytes) -> tuple[bytes, str]:
+    def body(self, body: bytes) -> bytes:
         """A chunk between its first and last white space."""
         if (known := self.chunks.get(body)) is not None:
+            self.reused += len(body)
             return known
         words = body.split()
         self.learn(set(words).difference(self.words.new))
         get = self.words.new.get
-        pieces = [get(w) or self.word(w) for w in words]
-        piece = (b"".join([p[0] for p in pieces]), " ".join([p[1] for p in pieces if p[1]]))
+        piece = b"".join([get(w) or self.word(w) for w in words])
         return self.chunks.put(body, piece) if len(body) <= 16 * MEAN_CHUNK else piece
 
-    def pieces(self, text: str | None) -> Iterator[tuple[bytes, str]]:
-        data, last, open_word = (text or "").encode("utf-8"), 0, []
+    def agrees(self, before: bytes, word: bytes, after: bytes) -> bool:
+        """Whether a joined word has the same ids by itself as between the words on both sides."""
+        return self.encoded(b" ".join([before, word, after]).decode("utf-8")) == self.word(before) + self.word(word) + self.word(after)
+
+    def pieces(self, data: bytes) -> Iterator[bytes | None]:
+        """Ids of a text piece by piece; None once a join doesn't agree."""
+        last, open_word, before, joined = 0, [], b"", None
         for cut in cuts(data):
             chunk, last = data[last:cut], cut
             found = _ENDS.fullmatch(chunk)
@@ -138,28 +174,31 @@ class ChunkEncoder:
                 open_word.append(chunk)
                 continue
             head, middle, tail = found.groups()
-            joined = b"".join([*open_word, head])
-            if joined:
+            if joined := b"".join([*open_word, head]):
                 yield self.word(joined)
-            if not middle.isspace():
+            words = middle.split()
+            if joined and open_word and not self.agrees(before, joined, words[0] if words else b""):
+                yield None
+                return
+            if words:
                 yield self.body(middle)
-            open_word = [tail] if tail else []
+            before, open_word = words[-1] if words else joined, [tail] if tail else []
         if open_word:
-            yield self.word(b"".join(open_word))
+            yield self.word(joined := b"".join(open_word))
+            if len(open_word) > 1 and not self.agrees(before, joined, b""):
+                yield None
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(p[0] for p in self.pieces(text)), "<u4")
+        data = (text or "").encode("utf-8")
+        self.seen += len(data)
+        out = list(self.pieces(data)) if self.chunked else [None]
+        return np.frombuffer(b"".join(out) if None not in out else self.encoded(text or ""), "<u4")
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, digest of the ids, digest of the decoded text, without keeping either."""
-        n, ids, decoded, gap = 0, hashlib.sha256(), hashlib.sha256(), False
-        for piece, tokens in self.pieces(text):
-            n += len(piece) // 4
-            ids.update(piece)
-            if piece:
-                decoded.update((f" {tokens}" if gap else tokens).encode("utf-8"))
-                gap = True
-        return n, ids.hexdigest(), decoded.hexdigest()
+        """Number of ids, digest of the ids, digest of the text that the ids decode to."""
+        ids = self.encode(text)
+        decoded = self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
 
 
 @lru_cache(2)

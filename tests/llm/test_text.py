@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -53,6 +54,44 @@ def test_tokens_of_hostile_texts(tokenizer):
     assert [t for t in texts if own.digest(t) != reference_digest(tokenizer, t)] == []
 
 
+def test_other_tokenizers_encode_whole_texts():
+    """Any tokenizer file gives the library's ids; only one with known parts reuses chunks."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    folder, checked = Path(public_tokenizers.path("word_bpe_49k.json")).parent, 0
+    texts = ["Hello  wide\nWorld. " * 200, "x", "", None, " a\tb ", "É é 中文 😀 " * 50]
+    for path in sorted(folder.glob("*.json")):
+        try:
+            plain = Tokenizer.from_file(str(path))
+        except Exception:  # noqa: BLE001, S112  not a tokenizer
+            continue
+        plain.no_truncation()
+        plain.no_padding()
+        own = T.ChunkEncoder(str(path))
+        assert own.chunked == (path.name == "word_bpe_49k.json")
+        assert [own.encode(t).tolist() for t in texts] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        checked += 1
+    assert checked
+
+
+def test_a_join_that_disagrees_encodes_the_whole_text(tokenizer):
+    text = " ".join(random.Random(5).choices([f"word{chr(97 + i)}s" for i in range(26)], k=6000))
+    own = T.ChunkEncoder(tokenizer_path())
+    assert own.chunked and None not in list(own.pieces(text.encode()))
+    own.agrees = lambda *args: False
+    assert None in list(own.pieces(text.encode()))
+    assert own.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_shared_chunks_are_encoded_once():
+    passage = " ".join(random.Random(2).choices(["alpha", "beta", "gamma", "delta", "eps", "zeta"], k=6000))
+    own = T.ChunkEncoder(tokenizer_path())
+    own.encode(f"one beginning {passage}")
+    own.encode(f"quite another, longer beginning {passage}")
+    assert own.reused > 0.4 * own.seen
+
+
 def test_chunks_follow_content():
     rng = random.Random(2)
     passage = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)).encode()
