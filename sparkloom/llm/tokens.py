@@ -166,7 +166,7 @@ class ChunkEncoder:
 
     def pieces(self, data: bytes) -> Iterator[bytes | None]:
         """Ids of a text piece by piece; None once a join doesn't agree."""
-        last, open_word, before, joined = 0, [], b"", None
+        last, open_word, before = 0, [], b""
         for cut in cuts(data):
             chunk, last = data[last:cut], cut
             found = _ENDS.fullmatch(chunk)
@@ -177,15 +177,15 @@ class ChunkEncoder:
             if joined := b"".join([*open_word, head]):
                 yield self.word(joined)
             words = middle.split()
-            if joined and open_word and not self.agrees(before, joined, words[0] if words else b""):
+            if (before or open_word) and not self.agrees(before, joined, words[0] if words else b""):
                 yield None
                 return
             if words:
                 yield self.body(middle)
-            before, open_word = words[-1] if words else joined, [tail] if tail else []
+            before, open_word = words[-1] if words else joined or before, [tail] if tail else []
         if open_word:
             yield self.word(joined := b"".join(open_word))
-            if len(open_word) > 1 and not self.agrees(before, joined, b""):
+            if not self.agrees(before, joined, b""):
                 yield None
 
     def encode(self, text: str | None) -> np.ndarray:
