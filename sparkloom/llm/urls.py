@@ -14,9 +14,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The vocabulary and the rules.
-STRICT = ("porn", "porno", "xxx", "casino", "viagra", "cialis", "warez", "escort", "adult", "spam", "malware", "phishing")
-SOFT = {"bets": 1.0, "bet": 1.0, "free": 1.0, "cheap": 1.0, "pills": 1.0, "ads": 1.0, "track": 1.0, "tracking": 1.0, "win": 1.0, "winner": 1.0, "poker": 1.0, "bonus": 1.0, "loan": 1.0, "loans": 1.0, "farm": 0.5, "click": 1.0, "sexy": 1.0, "dating": 1.0, "crack": 1.0, "keygen": 1.0, "torrent": 1.0, "replica": 1.0, "discount": 0.5, "popup": 1.0, "banner": 0.5}
+# The vocabulary (a strict term rejects by itself, soft terms by their weights) and the rules.
+STRICT = (
+    "adult", "adultchat", "amateurporn", "blackjack", "brothel", "camgirl", "camgirls", "camsex", "casino", "casinos", "cialis", "cracked", "cybersex", "escort", "escorts", "fetish", "gambling",
+    "hentai", "keygens", "levitra", "malware", "milf", "nsfw", "nude", "nudes", "onlinecasino", "phishing", "porn", "porno", "pornography", "pornstar", "pornstars", "ransomware", "roulette", "sexcam",
+    "sexcams", "sexchat", "slotmachine", "slotmachines", "spam", "spyware", "sportsbook", "striptease", "tramadol", "trojan", "viagra", "warez", "webcamsex", "xanax", "xnxx", "xvideos", "xxx",
+)
+SOFT = {
+    "ads": 1.0, "affiliate": 0.5, "bargain": 0.5, "bet": 1.0, "bets": 1.0, "betting": 1.0, "bingo": 1.0, "bitcoin": 0.5, "bonus": 1.0, "cash": 0.5, "cashback": 1.0, "cheap": 1.0, "cheapest": 1.0, "click": 1.0, "clicks": 1.0,
+    "clearance": 0.5, "codec": 0.5, "coupon": 1.0, "coupons": 1.0, "crack": 1.0, "credit": 0.5, "crypto": 0.5, "dating": 1.0, "deal": 0.5, "deals": 0.5, "debt": 0.5, "discount": 0.5, "discounts": 0.5, "doorway": 1.0, "earn": 0.5,
+    "erotic": 1.0, "farm": 0.5, "flirt": 1.0, "forex": 1.0, "free": 1.0, "freebies": 1.0, "giveaway": 1.0, "giveaways": 1.0, "hack": 0.5, "hacks": 0.5, "hot": 0.5, "insurance": 0.5, "jackpot": 1.0, "keygen": 1.0, "kissing": 0.5,
+    "lender": 0.5, "loan": 1.0, "loans": 1.0, "lottery": 1.0, "lotto": 1.0, "meds": 1.0, "mortgage": 0.5, "nulled": 1.0, "offer": 0.5, "offers": 0.5, "payday": 1.0, "pharmacy": 1.0, "pill": 1.0, "pills": 1.0, "poker": 1.0, "popup": 1.0,
+    "popups": 1.0, "prize": 1.0, "prizes": 1.0, "promo": 0.5, "proxy": 0.5, "rebate": 0.5, "redirect": 0.5, "replica": 1.0, "replicas": 1.0, "rich": 0.5, "serial": 0.5, "sex": 1.0, "sexy": 1.0, "singles": 1.0, "slots": 1.0, "sponsored": 0.5,
+    "stream": 0.5, "sweepstakes": 1.0, "torrent": 1.0, "torrents": 1.0, "track": 1.0, "tracker": 0.5, "tracking": 1.0, "traffic": 0.5, "unlock": 0.5, "voucher": 0.5, "wager": 1.0, "weightloss": 1.0, "win": 1.0, "winner": 1.0, "winners": 1.0, "banner": 0.5,
+}
 SOFT_WEIGHT = 2.0
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
@@ -86,6 +97,19 @@ def _judge(rules: tuple, strict: tuple[str, ...], soft: tuple, soft_weight: floa
     return UrlJudge(dict(rules), strict, dict(soft), soft_weight)
 
 
+def vocabulary_of(table: DataFrame, most: int = 100_000) -> tuple[tuple[str, ...], dict[str, float]]:
+    """Strict and soft terms of a table (term, weight), for judge_urls(): a null weight makes a term strict.
+
+    Terms are lower-cased, nulls and empty ones left out; a term that comes
+    twice is strict if it is so once, else has its largest weight.  More than
+    ``most`` terms raise.
+    """
+    rows = table.select(F.lower("term").alias("term"), "weight").where("term <> ''").groupBy("term").agg(F.bool_or(F.col("weight").isNull()).alias("strict"), F.max("weight").alias("weight")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("the vocabulary has too many terms")
+    return tuple(sorted(r["term"] for r in rows if r["strict"])), {r["term"]: float(r["weight"]) for r in sorted(rows) if not r["strict"]}
+
+
 def judge_urls(pages: DataFrame, rules: Mapping[str, str] = RULES, strict: tuple[str, ...] = STRICT, soft: Mapping[str, float] = SOFT, soft_weight: float = SOFT_WEIGHT, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, n_strict, soft_weight) of every row.
 

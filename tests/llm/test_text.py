@@ -301,6 +301,19 @@ def test_rules_and_terms():
     assert verdict(None) == (None, "allow")
 
 
+def test_url_vocabulary_from_a_table_and_odd_tables(spark):
+    from pyspark.sql import functions as F
+
+    strict, soft = U.vocabulary_of(spark.createDataFrame([("Bad", None), ("bad", 1.0), ("so", 1.0), ("so", 2.0), ("", 1.0), (None, 1.0)], "term string, weight double"))
+    assert strict == ("bad",) and soft == {"so": 2.0}
+    with pytest.raises(ValueError):
+        U.vocabulary_of(spark.createDataFrame([("a", 1.0), ("b", 1.0)], "term string, weight double"), most=1)
+    pages = spark.createDataFrame([(1, "http://x.net/bad"), (1, "http://x.net/bad"), (2, "http://x.net/so-it-is"), (None, None), (3, "no scheme"), (4, "http://x.net/" + "sobad" * 50_000)], "page_id long, url string").withColumns({"host": F.lit(1), "verdict": F.lit(2), "rule": F.lit("x")})
+    found = sorted(((r["page_id"], r["verdict"]) for r in U.judge_urls(pages, strict=strict, soft=soft).collect()), key=repr)
+    assert found == sorted([(1, "block"), (1, "block"), (2, "block"), (None, "allow"), (3, "allow"), (4, "allow")], key=repr)
+    assert U.judge_urls(pages.limit(0)).count() == 0
+
+
 def test_url_sql(spark, duck, same):
     same(QUERIES["op4_url_vocabulary"](spark, SMALL), duck.sql(ORACLE_SQL["op4_url_vocabulary"]))
 
