@@ -92,7 +92,8 @@ def parse(page: str | None) -> list:
         own = f"{name}.{'.'.join(sorted(set(named.split())))}" if named else name
         _, path, outside, main = stack[-1]
         said = [] if name in ("html", "body") else [w for w in (set(_WORDS.findall(c)) for c in named.split()) if not w & FRAME_WORDS]
-        outside = outside or name in OUTSIDE or any(w & OUTSIDE_WORDS for w in said)
+        # A class that says article outweighs another that may mean a frame: class="story share-price".
+        outside = outside or name in OUTSIDE or (any(w & OUTSIDE_WORDS for w in said) and not any(w & MAIN_WORDS and not w & OUTSIDE_WORDS for w in said))
         main = max(main, MAIN.get(name, 0), 1 if any(w & MAIN_WORDS for w in said) else 0)
         path = xxhash.xxh64_intdigest(own.encode("utf-8", "surrogatepass"), path)
         out.append(path)
