@@ -14,6 +14,7 @@ are verified exactly.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -328,25 +329,32 @@ WIDE_RADIUS = 24
 PIECE = 1 << 20
 
 
-def long_prints(text: str | None) -> np.ndarray:
-    """Three times 64 SimHash bits of the distinct two-word shingles of a text.
+def long_prints(text: str | None) -> tuple[np.ndarray, int]:
+    """Three times 64 SimHash bits of the distinct two-word shingles of a text, and its number of words.
 
     Texts that share most of their five-word shingles share more of their
     two-word ones, so their fingerprints differ in fewer bits.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    pairs = {b" ".join(words[i : i + 2]) for i in range(max(1, len(words) - 1))} if words else set()
-    h = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in pairs), np.uint64, len(pairs))
-    out = np.zeros(3, np.uint64)
-    for c in range(3 if len(h) else 0):
-        mixed = (h + np.uint64(c)) * np.uint64(0x9E3779B97F4A7C15)
+    out, n, last, found = np.zeros(3, np.uint64), 0, [], []
+    for words in word_pieces(text or ""):
+        n += len(words)
+        h = np.fromiter(map(zlib.crc32, last + words), np.uint64, len(last) + len(words))
+        found.append(np.unique(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:]))
+        last = words[-1:] or last
+    if not n:
+        return out, 0
+    pairs = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+    if n == 1:
+        pairs = np.array([zlib.crc32(last[0])], np.uint64)
+    for c in range(3):
+        mixed = (pairs + np.uint64(c)) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(33)
         ones = np.zeros(64, np.int64)
-        for k in range(0, len(h), 1 << 14):
+        for k in range(0, len(pairs), 1 << 14):
             ones += np.unpackbits(mixed[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-        out[c] = int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
-    return out
+        out[c] = int.from_bytes(np.packbits(2 * ones > len(pairs), bitorder="little").tobytes(), "little")
+    return out, n
 
 
 def long_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -443,11 +451,11 @@ def _similar_runs(batches, similarity: float):
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, similarity: float = 0.8, piece: int = PIECE) -> DataFrame:
     """(node, n, first, component) of every distinct text.
 
-    A node is the hash of a text's words (ASCII-lower-cased, null as empty): n
-    rows have it, and ``first`` is their smallest (no id, doc_id, node).
+    A node is a text's hash, 0 for null and all texts without words: n rows
+    have it, and ``first`` is their smallest (no id, doc_id, node).
     ``component`` is the smallest ``first`` that links reach.  Texts link if
-    their sets of ``size``-word shingles have a Jaccard similarity of at least
-    ``similarity``; texts without words link with nothing.
+    their sets of ``size``-word shingles (ASCII-lower-cased) have a Jaccard
+    similarity of at least ``similarity``.
 
     Of the pairs with that similarity those are candidates that share a Golay
     key of long fingerprints and differ in few bits; the groups that candidates
@@ -455,14 +463,14 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     split into pieces, each two of which meet in a task of their own.
     """
     bound_batches(docs.sparkSession)
-    spark, named = docs.sparkSession, docs.select(word_hash(F.col(text)).alias("node"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    spark, named = docs.sparkSession, docs.select(text_hash(F.col(text)).alias("node"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
 
     @F.pandas_udf("a long, b long, c long, words long")
     def wide(texts):
         import pandas as pd
 
-        rows = [(*long_prints(t).view(np.int64).tolist(), len((t or "").split())) for t in texts]
+        rows = [(*prints.view(np.int64).tolist(), n) for prints, n in map(long_prints, texts)]
         return pd.DataFrame(rows, columns=["a", "b", "c", "words"])
 
     each = SharedTable(named.select("node", "doc_id", wide("text").alias("p")).select("node", "doc_id", "p.*"), "prints").df
@@ -507,11 +515,10 @@ def _bounded(table: DataFrame, most: int) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
-def word_hash(text: Column) -> Column:
-    """64-bit hash of a text's words, ASCII-lower-cased; 0 for null and for no words."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
-    words = F.trim(F.regexp_replace(lower, " {2,}", " "))
-    return F.when(words == "", F.lit(0).cast("long")).otherwise(F.xxhash64(words))
+def text_hash(text: Column) -> Column:
+    """64-bit hash of a text; 0 for null and for texts without words."""
+    words = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(words == "", F.lit(0).cast("long")).otherwise(F.xxhash64(text))
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -528,7 +535,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
         node, other = "_" + node, "_" + other
     stays = F.col("first") == F.col("component")
     decided = SharedTable(nodes.where(~stays | (F.col("n") > 1)).select(F.col("node").alias(node), F.when(stays, F.col("first.doc_id")).alias("id"), stays.alias("stays")), "decided").df
-    rows = docs.withColumn(node, word_hash(F.col("text"))).join(_bounded(decided.select(node, F.struct("id", "stays").alias(other)), MEMBERS), node, "left")
+    rows = docs.withColumn(node, text_hash(F.col("text"))).join(_bounded(decided.select(node, F.struct("id", "stays").alias(other)), MEMBERS), node, "left")
     alone = rows.where(F.col(other).isNull()).select(*names)
     firsts = rows.where(F.col(f"{other}.stays") & F.col("doc_id").eqNullSafe(F.col(f"{other}.id"))).select(*names, node)
     return alone.unionByName(firsts.dropDuplicates([node]).select(*names))

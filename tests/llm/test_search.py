@@ -205,10 +205,17 @@ def test_long_fingerprints():
         other = list(base)
         for at in rng.sample(range(300), 7):  # at most 35 of 296 shingles go: a similarity of about 0.8
             other[at] = "new"
-        a, b = (S.long_prints(" ".join(x))[None, :] for x in (base, other))
+        a, b = (S.long_prints(" ".join(x))[0][None, :] for x in (base, other))
         met.append(bool(set(S.long_keys(a)[1]) & set(S.long_keys(b)[1])) and S.apart(a[:, :2], b[:, :2])[0] <= S.WIDE_RADIUS)
     assert sum(met) >= 285
-    assert (S.long_prints(None) == 0).all() and (S.long_prints("a") == S.long_prints(" A ")).all()
+    assert (S.long_prints(None)[0] == 0).all() and (S.long_prints("a")[0] == S.long_prints(" A ")[0]).all() and S.long_prints("a B\nc")[1] == 3
+
+
+def test_long_fingerprints_in_pieces(monkeypatch):
+    text = " ".join(random.Random(13).choices([f"w{i}" for i in range(50)], k=700))
+    whole = S.long_prints(text)
+    monkeypatch.setattr(S.word_pieces, "__defaults__", (37,))
+    assert (S.long_prints(text)[0] == whole[0]).all() and S.long_prints(text)[1] == whole[1] == 700
 
 
 def test_near_duplicates_of_odd_rows(spark):
