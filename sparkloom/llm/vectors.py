@@ -6,12 +6,15 @@ few coordinates; each block gets a share of the squared distance proportional
 to the energy it holds, so near vectors are within the share of some block.
 Each block is joined by range: cells twice as wide as its radius over its first
 two coordinates, with copies in the cells below where a neighbour may lie.
-Candidates are verified exactly, each pair in the first block that finds it and
-in one cell only.
+Cells get the block's coordinates only; of vectors with a neighbour within the
+block's share the whole vector is fetched.  Candidates are then verified
+exactly, each pair in the first block that finds it and in one cell only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +31,10 @@ TILE = 1024
 EPS = 1e-9
 
 KEY = ["lab", "d", "block", "c1", "c2"]
+PLACE = "lab long, d int, block int, c1 long, c2 long, low1 int, low2 int, id long"
 FOUND = "id long, links long, root long"
+#: What rounding to four bytes may take from a squared distance of unit vectors.
+ROUNDED = 1e-5
 
 
 class Subspaces:
@@ -42,7 +48,7 @@ class Subspaces:
         self.budgets = budget * (kept / kept.sum() if len(kept) else np.ones(1)) + EPS
 
     def cells(self, turned: np.ndarray):
-        """(row, block, c1, c2, low1, low2): home cells, and cells below within the block's radius (low marks the axis)."""
+        """(row, block, c1, c2, low1, low2, coordinates): home cells, and cells below within the block's radius (low marks the axis)."""
         for k, (a, b) in enumerate(self.cuts):
             radius = np.sqrt(self.budgets[k])
             x = np.stack([turned[:, a], turned[:, a + 1] if b > a + 1 else np.zeros(len(turned))]) / (2 * radius)
@@ -51,7 +57,7 @@ class Subspaces:
             for low1 in (0, 1):
                 for low2 in (0, 1):
                     row = np.flatnonzero((near[0] | (low1 == 0)) & (near[1] | (low2 == 0)))
-                    yield row, k, home[0, row].astype(np.int64) - low1, home[1, row].astype(np.int64) - low2, low1, low2
+                    yield row, k, home[0, row].astype(np.int64) - low1, home[1, row].astype(np.int64) - low2, low1, low2, turned[row, a:b].astype(np.float32)
 
 
 def unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -61,6 +67,25 @@ def unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def cell_neighbours(group: pa.Table, spaces: dict[int, Subspaces], crossed: bool = False) -> pa.Table:
+    """Rows of a cell that have another one within the block's share; crossed: one of the other side."""
+    space, block = spaces[group.column("d")[0].as_py()], group.column("block")[0].as_py()
+    low1, low2 = group.column("low1").to_numpy(), group.column("low2").to_numpy()
+    side = group.column("side").to_numpy() if crossed else None
+    x = group.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(group), -1)
+    size, near = np.einsum("ij,ij->i", x, x), np.zeros(len(group), bool)
+    for i in range(0, len(group), TILE):
+        for j in range(i, len(group), TILE):
+            apart = size[i : i + TILE, None] + size[None, j : j + TILE] - 2 * x[i : i + TILE] @ x[j : j + TILE].T
+            u, v = np.nonzero(apart <= space.budgets[block] + ROUNDED)
+            u, v = u + i, v + j
+            ok = (u < v) & (low1[u] & low1[v] == 0) & (low2[u] & low2[v] == 0)
+            if crossed:
+                ok &= side[u] != side[v]
+            near[u[ok]] = near[v[ok]] = True
+    return group.filter(pa.array(near))
+
+
 def cell_links(group: pa.Table, spaces: dict[int, Subspaces], cosine: float, crossed: bool = False) -> pa.Table:
     """Links of a cell: for each vector how many it has there, and the smallest one of its tree; crossed: between sides 0 and 1 only."""
     space, block = spaces[group.column("d")[0].as_py()], group.column("block")[0].as_py()
@@ -109,97 +134,92 @@ def cell_links(group: pa.Table, spaces: dict[int, Subspaces], cosine: float, cro
     return pa.table({"id": ids[linked], "links": links[linked].astype(np.int64), "root": root[linked]})
 
 
-def _runs(batches, spaces, cosine: float, most: int):
-    """Cells of a sorted partition: links of short ones; rows of longer ones come out as they are."""
-    held, long_key = None, None
-
-    def keys(table):
-        return np.stack([table.column(c).to_numpy() for c in KEY])
-
-    def out(links=None, rows=None):
-        n, m = (0 if links is None else len(links)), (0 if rows is None else len(rows))
-        left = [pa.concat_arrays([*(links.column(c).chunks if n else []), pa.nulls(m, pa.int64())]) for c in ("id", "links", "root")]
-        kind = rows.schema if m else None
-        right = pa.StructArray.from_arrays([rows.column(c).combine_chunks() for c in kind.names], fields=list(kind)) if m else None
-        return left, right
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        if not len(held):
-            continue
-        k = keys(held)
-        cuts = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
-        starts = [0, *cuts.tolist()]
-        for s, e in zip(starts, starts[1:]):
-            here = tuple(k[:, s])
-            if here == long_key or e - s > most:
-                yield out(rows=held.slice(s, e - s))
-            elif e - s > 1:
-                yield out(links=cell_links(held.slice(s, e - s).combine_chunks(), spaces, cosine))
-        held, here = held.slice(starts[-1]), tuple(k[:, starts[-1]])
-        if here == long_key or len(held) > most:
-            long_key = here
-            yield out(rows=held)
-            held = held.slice(len(held))
-    if held is not None and len(held):
-        if tuple(keys(held)[:, 0]) == long_key:
-            yield out(rows=held)
-        elif len(held) > 1:
-            yield out(links=cell_links(held.combine_chunks(), spaces, cosine))
+def by_cells(rows: DataFrame, work: Callable[..., pa.Table], found: str, most: int) -> DataFrame:
+    """What ``work`` makes of the rows of each cell (equal KEY), columns ``found``.
+
+    Cells of more than ``most`` rows leave their task and are cut into pieces by
+    a hash of ``id``; every two pieces meet in a task of their own, where work
+    gets ``crossed`` and a column side.  The result is read from a written table.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    kinds = [to_arrow_type(StructType.fromDDL(found)), to_arrow_type(rows.schema)]
+
+    def both(made: pa.Table | None, left: pa.Table | None) -> pa.RecordBatch:
+        """Two struct columns, of which each row has one."""
+        n, columns = [0 if t is None else len(t) for t in (made, left)], []
+        for k, t in enumerate((made, left)):
+            own = pa.StructArray.from_arrays([pa.concat_arrays(t.column(f.name).chunks).cast(f.type) for f in kinds[k]], fields=list(kinds[k])) if n[k] else pa.nulls(0, kinds[k])
+            columns.append(pa.concat_arrays([own, pa.nulls(n[1], kinds[k])] if k == 0 else [pa.nulls(n[0], kinds[k]), own]))
+        return pa.RecordBatch.from_arrays(columns, ["made", "left"])
+
+    def scan(batches):
+        held, long_key = None, None
+        keys = lambda table: np.stack([table.column(c).to_numpy() for c in KEY])
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if not len(held):
+                continue
+            k = keys(held)
+            cuts = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+            starts = [0, *cuts.tolist()]
+            for s, e in zip(starts, starts[1:]):
+                if tuple(k[:, s]) == long_key or e - s > most:
+                    yield both(None, held.slice(s, e - s))
+                elif e - s > 1:
+                    yield both(work(held.slice(s, e - s).combine_chunks()), None)
+            held, here = held.slice(starts[-1]), tuple(k[:, starts[-1]])
+            if here == long_key or len(held) > most:
+                long_key = here
+                yield both(None, held)
+                held = held.slice(len(held))
+        if held is not None and len(held):
+            if tuple(keys(held)[:, 0]) == long_key:
+                yield both(None, held)
+            elif len(held) > 1:
+                yield both(work(held.combine_chunks()), None)
+
+    struct = lambda schema: f"struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in schema)}>"
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scanned = rows.repartition(width, *KEY).sortWithinPartitions(*KEY).mapInArrow(scan, f"made {struct(StructType.fromDDL(found))}, left {struct(rows.schema)}")
+    table = SharedTable(scanned, "cells").df
+    made, long = table.where("made is not null").select("made.*"), table.where("left is not null").select("left.*")
+    if long.isEmpty():
+        return made
+    n = long.groupBy(*KEY).agg(F.ceil(F.count("*") / F.lit(most / 2)).cast("int").alias("n"))
+    pieces = long.join(n, KEY).withColumn("own", F.expr("cast(pmod(xxhash64(id, 7), n) as int)"))
+    pieces = pieces.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("other"))
+    pieces = pieces.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", F.expr("if(own <= other, 0, 1)"))
+    meet = lambda key, group: work(group, crossed=key[-1].as_py() != key[-2].as_py()).select([f.name for f in kinds[0]])
+    return made.union(pieces.drop("own", "other", "n").repartition(width, *KEY, "i", "j").groupBy(*KEY, "i", "j").applyInArrow(meet, found))
 
 
 def _links(reps: DataFrame, cosine: float, blocks: int, most: int) -> DataFrame:
-    """(id, links, root) partial counts and trees of the distinct vectors ``reps`` (lab, d, embedding, id, many)."""
+    """(id, links, root) partial counts and trees of the distinct vectors ``reps`` (lab, d, embedding, id, many, key)."""
     # Squares of very large or small components would leave doubles.
     scaled = reps.select(F.transform("embedding", lambda x: x.cast("double")).alias("e"), F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))).alias("most"))
     scaled = scaled.select(F.transform("e", lambda x: x / F.col("most")).alias("e"))
     length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
     turns = rotation(scaled.select(F.transform("e", lambda x: x / length).alias("v")))
     spaces = {d: Subspaces(*t, 2 - 2 * cosine, blocks) for d, t in turns.items()}
-    number = reps.schema["embedding"].dataType.elementType.simpleString()
-    schema = f"lab long, d int, block int, c1 long, c2 long, low1 int, low2 int, id long, many long, embedding array<{number}>"
 
     def deal(batches):
         for batch in batches:
             sizes = batch.column("d").to_numpy(zero_copy_only=False)
             for d in np.unique(sizes).tolist():
                 own = batch.filter(pa.array(sizes == d))
-                for row, k, c1, c2, low1, low2 in spaces[d].cells(unit(own.column("embedding")) @ spaces[d].directions):
+                for row, k, c1, c2, low1, low2, x in spaces[d].cells(unit(own.column("embedding")) @ spaces[d].directions):
                     if len(row):
                         t, fill = own.take(pa.array(row)), lambda v: pa.array(np.full(len(row), v, np.int32))  # noqa: B023
-                        yield pa.RecordBatch.from_arrays([t.column("lab"), t.column("d"), fill(k), pa.array(c1), pa.array(c2), fill(low1), fill(low2), t.column("id"), t.column("many"), t.column("embedding")], ["lab", "d", "block", "c1", "c2", "low1", "low2", "id", "many", "embedding"])
-
-    row_type = f"struct<{schema.replace(' ', ':').replace(',:', ',')}>"
-
-    def scan(batches):
-        for left, right in _runs(batches, spaces, cosine, most):
-            n = len(left[0])
-            if n:
-                yield pa.RecordBatch.from_arrays([*left, right if right is not None else pa.nulls(n, row_arrow)], ["id", "links", "root", "row"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    width = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = reps.mapInArrow(deal, schema)
-    row_arrow = to_arrow_type(dealt.select(F.struct(*dealt.columns)).schema[0].dataType)
-    found = SharedTable(dealt.repartition(width, *KEY).sortWithinPartitions(*KEY).mapInArrow(scan, f"{FOUND}, row {row_type}"), "links").df
-    links = found.where("row is null").select("id", "links", "root")
-    long = found.where("row is not null").select("row.*")
-    if long.isEmpty():
-        return links
-    # Long cells: pieces by hash; every two pieces meet in a task of their own.
-    n = long.groupBy(*KEY).agg(F.ceil(F.count("*") / F.lit(most / 2)).cast("int").alias("n"))
-    pieces = long.join(n, KEY).withColumn("own", F.expr("cast(pmod(xxhash64(id, 7), n) as int)"))
-    pieces = pieces.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("other"))
-    pieces = pieces.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", F.expr("if(own <= other, 0, 1)"))
-
-    def between(key, group):
-        return cell_links(group, spaces, cosine, crossed=key[-1].as_py() != key[-2].as_py())
+                        coordinates = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                        yield pa.RecordBatch.from_arrays([t.column("lab"), t.column("d"), fill(k), pa.array(c1), pa.array(c2), fill(low1), fill(low2), t.column("id"), coordinates], [*KEY, "low1", "low2", "id", "x"])
 
-    width = max(width, 1)
-    split = pieces.drop("own", "other", "n").repartition(width, *KEY, "i", "j").groupBy(*KEY, "i", "j").applyInArrow(between, FOUND)
-    return links.union(split)
+    dealt = reps.select("lab", "d", "embedding", "id").mapInArrow(deal, f"{PLACE}, x array<float>")
+    near = by_cells(dealt, lambda group, crossed=False: cell_neighbours(group, spaces, crossed), PLACE, most).distinct()
+    whole = near.join(reps.select("id", "many", "embedding"), "id").select(*KEY, "low1", "low2", "id", "many", "embedding")
+    return by_cells(whole, lambda group, crossed=False: cell_links(group, spaces, cosine, crossed), FOUND, most)
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", blocks: int = BLOCKS, most: int = CELL) -> DataFrame:
