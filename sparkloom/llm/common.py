@@ -44,8 +44,8 @@ def parts(n_rows: int, per_part: int, least: int = 1) -> int:
 HOT = 10_000
 
 
-def join_unique(rows: DataFrame, table: DataFrame, key: str, total: int, n: str = "n", hot: int = HOT, least: int = 64) -> DataFrame:
-    """``rows`` joined with the written ``table``, which has each key once and in column ``n`` the number of its rows; ``n`` goes.
+def join_unique(rows: DataFrame, table: DataFrame, key: str, total: int, n: str = "n", hot: int = HOT, least: int = 64, largest: int | None = None) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once and in column ``n`` the number of its rows; ``n`` goes.
 
     ``total`` rows have at most ``hot`` keys of more than ``total / hot`` rows
     each.  What belongs to such keys, if there are any, is broadcast, so that
@@ -53,7 +53,8 @@ def join_unique(rows: DataFrame, table: DataFrame, key: str, total: int, n: str
     ever.
     """
     most = max(least, total // hot)
-    if (table.agg(F.max(n)).first()[0] or 0) <= most:
+    largest = table.agg(F.max(n)).first()[0] or 0 if largest is None else largest
+    if largest <= most:
         return rows.join(table.drop(n), key)
     many = F.broadcast(table.where(F.col(n) > most).drop(n))
     few = rows.join(many.select(key), key, "left_anti").join(table.where(F.col(n) <= most).drop(n), key)

@@ -8,49 +8,38 @@ from pyspark.sql import functions as F
 from .common import SharedTable, join_unique
 
 
-def _least(edges: DataFrame) -> SharedTable:
-    """(u, m, n): the smallest v of each u and the number of its rows."""
-    return SharedTable(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+def _least(edges: DataFrame) -> tuple[DataFrame, tuple[int, int, int]]:
+    """Edges with the smallest v of their u, column m; and their number, a hash of them all and the most that a node has.
 
-
-def _large_star(edges: DataFrame, n: int) -> tuple[DataFrame, SharedTable]:
-    """Every larger neighbour of a node is tied to the smallest node around it."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both)
-    return join_unique(both, least.df, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), least
-
-
-def _small_star(edges: DataFrame, n: int) -> tuple[DataFrame, SharedTable]:
-    """A node and its smaller neighbours are tied to the smallest of these."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = _least(down)
-    other = join_unique(down, least.df, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return other.union(least.df.select("u", F.col("m").alias("v"))).distinct(), least
+    Nodes with very many edges get theirs by broadcast (join_unique), so no
+    task gathers a node's edges.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"), F.sum(F.expr("xxhash64(u, v) % 1099511627776")).alias("h"))
+    total, mark, most = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first()
+    return join_unique(edges, least.drop("h"), "u", total, largest=most), (total, mark, most)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root is the smallest node that it reaches.
 
     ``edges`` has long columns u and v; order, repeats and self-links don't
-    matter, rows with nulls are left out.  Alternating large-star and
-    small-star steps, each written to the shared folder, end when the edges
-    form stars.  The smallest neighbours of nodes with very many edges are
-    broadcast (join_unique), so no task gathers a node's edges.  The result is
-    read from a written table.
+    matter, rows with nulls are left out.  Two steps alternate, each written to
+    the shared folder, until the edges form stars.  Large star: every larger
+    neighbour of a node is tied to the smallest node around it.  Small star: a
+    node and its smaller neighbours are tied to the smallest of these.  The
+    result is read from a written table.
     """
-    edges = edges.where("u is not null and v is not null and u <> v")
-    count = lambda df: df.agg(F.count("*"), F.sum(F.expr("xxhash64(u, v) % 1099511627776"))).first()
-
-    def step(star, last: SharedTable, n: int) -> SharedTable:
-        found, used = star(last.df, n)
-        table = SharedTable(found, "components")
+    edges = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    last, seen = SharedTable(edges, "components"), None
+    while True:
+        around, found = _least(last.df.union(last.df.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        if found == seen or not found[0]:
+            return last.df.select(F.col("u").alias("node"), F.col("v").alias("root")).union(last.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        seen = found
+        large = SharedTable(around.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "components")
+        below, _ = _least(large.df)
+        small = below.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        table = SharedTable(small.distinct(), "components")
         last.drop()
-        used.drop()
-        return table
-
-    last = SharedTable(edges.select("u", "v").distinct(), "edges")
-    last, seen = step(_small_star, last, count(last.df)[0]), None
-    while (row := count(last.df)) != seen and row[0]:
-        seen = row
-        last = step(_small_star, step(_large_star, last, row[0]), 2 * row[0])
-    return last.df.select(F.col("u").alias("node"), F.col("v").alias("root")).union(last.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        large.drop()
+        last = table
