@@ -19,3 +19,23 @@ def checked_quantile(df: DataFrame, value: str, *by: str, share: float = 0.5, ac
     ranks = joined.groupBy(*by).agg(F.count("*").alias("n"), F.count(value).alias("_m"), F.count_if(F.col(value) < F.col("_q")).alias("_below"), F.count_if(F.col(value) <= F.col("_q")).alias("_up_to"))
     goal, slack = share * F.col("_m"), F.greatest(F.lit(2.0), 2 * F.col("_m") / accuracy)
     return ranks.select(*by, "n", ((F.col("_below") <= goal + slack) & (F.col("_up_to") >= goal - slack)).alias("within"))
+
+
+def checked_top_k(df: DataFrame, column: str, k: int, tracked: int = 10_000) -> DataFrame:
+    """(item, n, within) of the ``k`` most frequent values by a sketch: the exact count, and whether the sketch's lies within rows / tracked of it.
+
+    A sketch that tracks ``tracked`` values is off by that at most; ties go to smaller values.
+    """
+    found = df.agg(F.expr(f"approx_top_k(`{column}`, {2 * k}, {tracked})").alias("top"), F.count("*").alias("rows")).select(F.explode("top").alias("t"), "rows")
+    exact = df.groupBy(F.col(column).alias("item")).agg(F.count("*").alias("n"))
+    both = found.select(F.col("t.item").alias("item"), F.col("t.count").alias("estimate"), "rows").join(exact, "item")
+    within = F.abs(F.col("estimate") - F.col("n")) <= F.col("rows") / F.lit(tracked)
+    return both.select("item", "n", within.alias("within")).orderBy(F.desc("n"), "item").limit(k)
+
+
+def merged_distinct(df: DataFrame, column: str, group: str, error: float = 0.05) -> DataFrame:
+    """(exact, within): distinct values of the whole table, and whether the merged sketches of the groups are within ``error`` of it."""
+    sketches = df.groupBy(group).agg(F.hll_sketch_agg(column, F.lit(14)).alias("sketch"))
+    merged = sketches.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+    exact = df.agg(F.count_distinct(column).alias("exact"))
+    return exact.crossJoin(F.broadcast(merged)).select("exact", (F.abs(F.col("estimate") - F.col("exact")) <= error * F.col("exact")).alias("within"))

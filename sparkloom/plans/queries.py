@@ -338,6 +338,16 @@ def approx_quantile(spark, d):
     return approximate.checked_quantile(read(spark, d, "events"), "value", "event_type")
 
 
+@query("SELECT o_custkey AS item, count(*) AS n, true AS \"within\" FROM orders GROUP BY 1 ORDER BY n DESC, item LIMIT 5")
+def approx_topk(spark, d):
+    return approximate.checked_top_k(read(spark, d, "orders"), "o_custkey", 5, 500_000)
+
+
+@query("SELECT count(DISTINCT l_partkey) AS exact, true AS \"within\" FROM lineitem")
+def approx_merged(spark, d):
+    return approximate.merged_distinct(read(spark, d, "lineitem"), "l_partkey", "l_returnflag")
+
+
 @query(f"SELECT record, status, status IN ({MEASURED}) AS historical FROM (VALUES {', '.join(f"('{r}', '{s}')" for r, s in evidence.FROZEN.items())}) f(record, status)")
 def frozen_records(spark, d):
     df = spark.createDataFrame(list(evidence.FROZEN.items()), "record string, status string")

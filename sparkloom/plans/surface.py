@@ -15,6 +15,7 @@ SURFACE: dict[str, tuple[str, str | None]] = {
     "sql_concat_cast": ("SELECT p_partkey, p_brand || ':' || CAST(p_size AS STRING) AS tag FROM {part}", "SELECT p_partkey, p_brand || ':' || CAST(p_size AS VARCHAR) AS tag FROM part"),
     "sql_bitwise": ("SELECT p_partkey, p_size & 12 AS low, p_size | 3 AS high, p_size << 2 AS four, ~p_size AS inverse FROM {part}", "SELECT p_partkey, p_size & 12 AS low, p_size | 3 AS high, (p_size * 4)::INTEGER AS four, ~p_size AS inverse FROM part"),
     "sql_nocase": ("SELECT n_nationkey FROM {nation} WHERE lower(n_name) > 'f'", None),
+    "sql_collate": ("SELECT n_nationkey FROM {nation} WHERE n_name COLLATE UTF8_LCASE = 'nation_11' OR n_name COLLATE UTF8_LCASE > 'nation_5'", "SELECT n_nationkey FROM nation WHERE n_name COLLATE NOCASE = 'nation_11' OR n_name COLLATE NOCASE > 'nation_5'"),
     "sql_inner_join": ("SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey", None),
     "sql_left_join": ("SELECT c_custkey, coalesce(o_orderkey, -1) AS o_orderkey FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_orderstatus = 'F'", None),
     "sql_right_join": ("SELECT s_suppkey, n_name FROM {supplier} RIGHT JOIN {nation} ON s_nationkey = n_nationkey AND s_acctbal > 0", None),

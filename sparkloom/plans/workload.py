@@ -15,6 +15,7 @@ import threading
 import time
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..contracts import ContractError, require
@@ -345,7 +346,10 @@ def peak_memory(spark: SparkSession, run) -> int:
     store, most = sc._jsc.sc().statusStore(), 0
     for job in sc.statusTracker().getJobIdsForGroup(group):
         for stage in sc.statusTracker().getJobInfo(job).stageIds:
-            most = max(most, store.lastStageAttempt(stage).peakExecutionMemory())
+            try:
+                most = max(most, store.lastStageAttempt(stage).peakExecutionMemory())
+            except Py4JJavaError:  # a stage that was skipped, its output being there
+                continue
     return most
 
 
