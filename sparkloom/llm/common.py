@@ -31,7 +31,8 @@ def hash_share(col: Column, share: float) -> Column:
 def bound_batches(spark: SparkSession) -> None:
     """Batches of long texts stay small: lowers the session's bound on bytes, which no result depends on."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
