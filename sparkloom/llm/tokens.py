@@ -140,9 +140,9 @@ class ChunkEncoder:
             return known
         text = word.decode("utf-8")
         if len(word) > 1 and word[-1:] in b".," and _letters(text[:-1]):
-            return self.word(word[:-1]) + self.word(word[-1:])
+            return self.words.put(word, self.word(word[:-1]) + self.word(word[-1:]))
         if text.isascii() and text.isalpha() and not text.islower():
-            return self.word(word.lower())
+            return self.words.put(word, self.word(word.lower()))
         return self.words.put(word, self.encoded(text)) if len(word) <= 64 else self.encoded(text)
 
     def encoded(self, text: str) -> bytes:
