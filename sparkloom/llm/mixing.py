@@ -18,7 +18,7 @@ import heapq
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SharedTable
@@ -104,6 +104,11 @@ def _starts(counts: DataFrame, key: str, cell: str, first: str) -> DataFrame:
     return own.join(spans, [key, "span"]).select(key, cell, (F.col("own") + F.col("base")).alias(first))
 
 
+def hash_of(doc_id: Column) -> Column:
+    """60 bits of the MD5 of an id's text; 0 for null."""
+    return F.coalesce(F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(0))
+
+
 def schedule(docs: DataFrame, weights: Mapping[str | None, int] | None = None, block: int = BLOCK, doc_id: str = "doc_id", source: str = "source", prefix: str = "mix_", broadcast: int = BROADCAST) -> tuple[DataFrame, list[str]]:
     """All rows and columns of ``docs`` with the block's number within its source, its slot and the row's place in the block; and the names of these three.
 
@@ -122,7 +127,7 @@ def schedule(docs: DataFrame, weights: Mapping[str | None, int] | None = None, b
     total, slots = docs.count(), plan.agg(F.sum(F.size("slots"))).first()[0] or 0
 
     cells = max(1, -(-total // CELL))
-    dealt = docs.withColumns({key: named, mixed: F.xxhash64(F.col(doc_id))}).withColumn(cell, F.pmod(F.col(mixed), F.lit(cells)))
+    dealt = docs.withColumns({key: named, mixed: hash_of(F.col(doc_id))}).withColumn(cell, F.pmod(F.col(mixed), F.lit(cells)))
     starts = _starts(dealt.groupBy(key, cell).count(), key, cell, first)
     ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(key, cell).orderBy(mixed, doc_id)) - 1).join(starts, [key, cell])
     ranked = ranked.withColumn(rank, F.col(rank) + F.col(first)).withColumns({n_block: F.floor(F.col(rank) / block).cast("long"), place: (F.col(rank) % block).cast("int")})
@@ -151,3 +156,26 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, int] | None = None, bloc
     found, (_, slot, place) = schedule(docs, weights, block)
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return found.repartitionByRange(width, slot, place).sortWithinPartitions(slot, place).select(*docs.columns)
+
+
+def mixing_sql(block: int = BLOCK, period: int = PERIOD, cell: int = CELL) -> str:
+    """DuckDB SQL of mixing_order() with default weights: earliest deadline first, one slot at a time."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('s:' || source, 'null') AS key, coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, 0) AS h FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY h % (SELECT greatest(1, ceil(count(*) / {cell}.0))::BIGINT FROM d), h, doc_id) - 1 AS rank FROM d),
+sizes AS (SELECT key, count(*) AS n FROM d GROUP BY key),
+sources AS (SELECT key, ceil(n / {block}.0)::BIGINT AS blocks, greatest(1, round(sqrt(n) * {period} / (SELECT sum(sqrt(n)) FROM sizes)))::BIGINT AS weight FROM sizes),
+all_sources AS (SELECT list(key ORDER BY key) AS keys, list(blocks ORDER BY key) AS blocks, list(weight ORDER BY key) AS weights FROM sources),
+run AS (
+  SELECT -1::BIGINT AS slot, 0::BIGINT AS step, 0::HUGEINT AS period, blocks AS remaining, list_transform(blocks, lambda x: 0::BIGINT) AS had, list_transform(blocks, lambda x: 0::BIGINT) AS own, 0::BIGINT AS pick, 0::BIGINT AS block FROM all_sources WHERE len(keys) > 0
+  UNION ALL
+  SELECT slot + 1, step + 1, period, remaining, list_transform(had, lambda x, i: x + (i = picked)::BIGINT), own, picked, blocks[picked] - remaining[picked] + had[picked]
+  FROM (SELECT *, list_position(due, list_min(due))::BIGINT AS picked FROM (
+    SELECT *, list_transform(own, lambda o, i: CASE WHEN o > 0 AND had[i] < o AND had[i] * period // greatest(o, 1) <= step THEN ((had[i] + 1) * period + o - 1) // greatest(o, 1) END) AS due FROM (
+      SELECT slot, blocks, CASE WHEN fresh THEN 0 ELSE step END AS step, CASE WHEN fresh THEN list_sum(next_own) ELSE period END AS period, CASE WHEN fresh THEN next_left ELSE remaining END AS remaining,
+        CASE WHEN fresh THEN list_transform(had, lambda x: 0::BIGINT) ELSE had END AS had, CASE WHEN fresh THEN next_own ELSE own END AS own FROM (
+        SELECT *, list_transform(next_left, lambda x, i: least(x, weights[i])) AS next_own FROM (
+          SELECT run.*, blocks, weights, step = period AS fresh, list_transform(remaining, lambda x, i: x - had[i]) AS next_left FROM run, all_sources)))
+    WHERE period > 0))
+)
+SELECT doc_id, source, block, slot, (rank % {block})::INTEGER AS place FROM ranked JOIN (SELECT keys[pick] AS key, block, slot FROM run, all_sources WHERE slot >= 0) USING (key) WHERE block = rank // {block}"""

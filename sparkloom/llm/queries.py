@@ -10,7 +10,7 @@ from .common import read
 from .html import extract_pages
 from .langid import language_scores
 from .licenses import license_scan, license_sql
-from .mixing import mixing_order
+from .mixing import mixing_order, mixing_sql
 from .quality import quality_scores
 from .simhash import near_duplicates
 from .tokens import token_digests
@@ -72,4 +72,4 @@ _ALL = (
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {"op4_url_vocabulary": verdict_sql(), "op5_norm_sorted_topk": top_k_sql(), "op9_subspace_near_dedup": near_vectors_sql(), "op10_license_rules": license_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_url_vocabulary": verdict_sql(), "op5_norm_sorted_topk": top_k_sql(), "op7_pfair_mixing": mixing_sql(), "op9_subspace_near_dedup": near_vectors_sql(), "op10_license_rules": license_sql()}

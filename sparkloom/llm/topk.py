@@ -13,6 +13,8 @@ whose partial sum plus bound reaches its k-th best.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,13 +39,14 @@ def whole(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     return vectors.where(fine).select(F.col(vec_id).alias("vec_id"), F.transform(x, lambda a: F.when(F.abs(a * scale) < EXACT, F.floor(a * scale).cast("double")).otherwise(a * scale)).alias("v"))
 
 
-def rotation(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By dimension: singular directions of the rows of ``v`` and the squared singular values, from sums of products that tasks add up."""
+def rotation(vectors: DataFrame, prepare: Callable[[np.ndarray], np.ndarray] | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By dimension: singular directions of the rows of ``v`` and the squared singular values, from sums of products that tasks add up; prepare: what is done to rows before."""
 
     def products(batches):
         total: dict = {}
         for batch in batches:
             for d, _, x in matrices(batch.column(0)):
+                x = prepare(x) if prepare else x
                 total[d] = x.T @ x + total.get(d, 0)
         for d, t in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([t.ravel()], pa.list_(pa.float64()))], ["d", "products"])

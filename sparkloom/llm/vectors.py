@@ -62,7 +62,11 @@ class Subspaces:
 
 def unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
-    x = flat.astype(np.float64).reshape(len(column), -1)
+    return unit_rows(flat.reshape(len(column), -1))
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, initial=0.0, keepdims=True)  # squares of very large or small components would leave doubles
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
@@ -198,11 +202,7 @@ def by_cells(rows: DataFrame, work: Callable[..., pa.Table], found: str, most: i
 
 def _links(reps: DataFrame, cosine: float, blocks: int, most: int) -> DataFrame:
     """(id, links, root) partial counts and trees of the distinct vectors ``reps`` (lab, d, embedding, id, many, key)."""
-    # Squares of very large or small components would leave doubles.
-    scaled = reps.select(F.transform("embedding", lambda x: x.cast("double")).alias("e"), F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))).alias("most"))
-    scaled = scaled.select(F.transform("e", lambda x: x / F.col("most")).alias("e"))
-    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
-    turns = rotation(scaled.select(F.transform("e", lambda x: x / length).alias("v")))
+    turns = rotation(reps.select(F.col("embedding").alias("v")), unit_rows)
     spaces = {d: Subspaces(*t, 2 - 2 * cosine, blocks) for d, t in turns.items()}
 
     def deal(batches):

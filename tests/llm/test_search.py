@@ -11,6 +11,7 @@ from conftest import SMALL
 from sparkloom.llm import components as C
 from sparkloom.llm import mixing as M
 from sparkloom.llm import simhash as S
+from sparkloom.llm.queries import ORACLE_SQL, QUERIES
 from sparkloom.llm.topk import top_k
 from sparkloom.llm.vectors import near_vectors
 
@@ -405,6 +406,11 @@ def test_a_thousand_sources_keep_to_their_weights(spark):
     assert done == {s: 2 * w for s, w in weights.items()}
 
 
+@pytest.mark.parametrize("name", ["op5_norm_sorted_topk", "op7_pfair_mixing", "op9_subspace_near_dedup"])
+def test_queries_match_sql(name, spark, duck, same):
+    same(QUERIES[name](spark, SMALL), duck.sql(ORACLE_SQL[name]))
+
+
 def test_mixing_keeps_rows_and_columns(spark):
     from pyspark.sql import functions as F
 
