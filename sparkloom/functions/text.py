@@ -27,12 +27,16 @@ def keyword_hits(docs: DataFrame, key: str, text: str, keywords: str = KEYWORDS,
     ``stems`` are literals of which every match has one; texts without any are
     not split.  Pass () with keywords of your own that have none.
     """
-    if stems:
-        # The four letters beyond ASCII that fold to one in it.
-        folded = F.lower(F.translate(F.col(text), "\u017f\u212a\u0130\u0131", "skii"))
-        # As a lambda's argument the folded text is made once, not for each stem.
-        docs = docs.where(F.exists(F.array(folded), lambda t: reduce(Column.__or__, [F.contains(t, F.lit(s)) for s in stems])))
+
+    def may(c: Column) -> Column:
+        # As a lambda's argument the lower-case text is made once, not for each stem.  Four letters beyond ASCII fold to one in it.
+        literal = F.exists(F.array(F.lower(c)), lambda t: reduce(Column.__or__, [F.contains(t, F.lit(s)) for s in stems]))
+        return literal | reduce(Column.__or__, [F.contains(c, F.lit(x)) for x in "\u017f\u212a\u0130\u0131"])
+
+    docs = docs.where(may(F.col(text))) if stems else docs
     rows = docs.select(F.col(key).alias("key"), F.posexplode(lines(F.col(text))).alias("at", "line"))
+    # A search for literals costs a fraction of the pattern's.
+    rows = rows.where(may(F.col("line"))) if stems else rows
     pattern = f"(?iu){keywords}"
     found = rows.where(F.rlike("line", F.lit(pattern)))
     start = F.regexp_instr("line", F.lit(pattern))

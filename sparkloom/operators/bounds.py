@@ -156,7 +156,9 @@ def certify_rows(problems: DataFrame, max_splits: int = 16) -> DataFrame:
             rows.append((leaves, proved and domain_ok, domain_ok, *points))
         return pd.DataFrame(rows, columns=["leaves", "proved", "domain", "invalid", "violation"])
 
-    found = checked(problems).withColumn("_found", solve(*FIELDS))
+    # The work is in the rows, few as their bytes may be: they are dealt out before.
+    width = int(problems.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = checked(problems).repartition(width).withColumn("_found", solve(*FIELDS))
     f = lambda name: F.col(f"_found.{name}")
     status = F.when(f("invalid").isNotNull(), "invalid_domain").when(f("violation").isNotNull() & f("domain"), "violated").when(f("proved"), "certified").otherwise("inconclusive")
     point = F.when(status == "invalid_domain", f("invalid")).when(status == "violated", f("violation"))
@@ -167,17 +169,19 @@ def certify_rows(problems: DataFrame, max_splits: int = 16) -> DataFrame:
 
 
 def _same(powers: list[Fraction], left: Fraction, width: Fraction, claimed: list[Fraction]) -> bool:
-    """Whether claimed Bernstein coefficients are those of a polynomial: both agree at degree + 1 points."""
-    if len(claimed) != len(powers):
+    """Whether claimed Bernstein coefficients are those of a polynomial: both agree at degree + 1 points, in whole numbers."""
+    n = len(powers) - 1
+    if len(claimed) != n + 1:
         return False
-    for t in range(len(powers)):
-        row = claimed
+    (b, b_scale), (p, p_scale), ((start, step), unit) = scaled(claimed), scaled(powers), scaled([left, width])
+    for t in range(n + 1):
+        row = b
         while len(row) > 1:
             row = [(1 - t) * x + t * y for x, y in pairwise(row)]
-        x, total = left + width * t, Fraction(0)
-        for c in reversed(powers):
-            total = total * x + c
-        if total != row[0]:
+        x, total, power = start + step * t, 0, 1
+        for c in reversed(p):
+            total, power = total * x + c * power, power * unit
+        if total * b_scale * unit != row[0] * p_scale * power:
             return False
     return True
 
