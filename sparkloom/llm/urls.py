@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 # The vocabulary (a strict term rejects by itself, soft terms by their weights) and the rules.
 STRICT = (
-    "adult", "adultchat", "amateurporn", "blackjack", "brothel", "camgirl", "camgirls", "camsex", "casino", "casinos", "cialis", "cracked", "cybersex", "escort", "escorts", "fetish", "gambling",
+    "adult", "adultchat", "amateurporn", "blackjack", "brothel", "camgirl", "camgirls", "camsex", "casino", "cialis", "cracked", "cybersex", "escort", "escorts", "fetish", "gambling",
     "hentai", "keygens", "levitra", "malware", "milf", "nsfw", "nude", "nudes", "onlinecasino", "phishing", "porn", "porno", "pornography", "pornstar", "pornstars", "ransomware", "roulette", "sexcam",
     "sexcams", "sexchat", "slotmachine", "slotmachines", "spam", "spyware", "sportsbook", "striptease", "tramadol", "trojan", "viagra", "warez", "webcamsex", "xanax", "xnxx", "xvideos", "xxx",
 )
