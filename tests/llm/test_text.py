@@ -429,7 +429,8 @@ def test_last_stage_restores_the_order(spark, tmp_path):
     rows = out.select("doc_id", "source").collect()
     assert [r["doc_id"] for r in rows] == want
     sizes = {s: sum(r["source"] == s for r in rows) for s in {r["source"] for r in rows}}
-    weights = M.default_weights({f"s:{s}" if s is not None else "null": n for s, n in sizes.items()})
+    counts = spark.createDataFrame([(f"s:{s}" if s is not None else "null", n) for s, n in sizes.items()], "key string, count long")
+    weights = {r["key"]: r["weight"] for r in M.source_weights(counts, None, M.BLOCK).collect()}
     blocks = {s: -(-n // M.BLOCK) for s, n in sizes.items()}
     own = {s: min(weights[f"s:{s}" if s is not None else "null"], blocks[s]) for s in sizes}
     times, period = min(blocks[s] // own[s] for s in sizes), sum(own.values())
