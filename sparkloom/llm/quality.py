@@ -107,6 +107,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _products(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (x @ w.astype(np.float32)).astype(np.float64)
+
+
+def _sums(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    return (by.astype(np.float32) @ x).astype(np.float64)
+
+
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, tail: float = 0.5) -> float:
     """Share of positives among unlabelled rows.
 
@@ -126,9 +134,16 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
     """Non-negative PU learning of a linear model with the logistic loss."""
     if not len(positive) or not len(unlabelled):
         return QualityModel(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 4.0, 1.0)
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    ones = lambda x: np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
+    # Sums in doubles, rows in four bytes: the driver holds the sample and one copy of it.
+    n = len(positive) + len(unlabelled)
+    mean = (positive.sum(axis=0, dtype=np.float64) + unlabelled.sum(axis=0, dtype=np.float64)) / n
+    scale = np.sqrt((((positive - mean.astype(np.float32)) ** 2).sum(axis=0, dtype=np.float64) + ((unlabelled - mean.astype(np.float32)) ** 2).sum(axis=0, dtype=np.float64)) / n) + 1e-3
+
+    def ones(x):
+        out = np.ones((len(x), FEATURES + 1), np.float32)
+        np.clip((x - mean.astype(np.float32)) / scale.astype(np.float32), -8, 8, out=out[:, :-1])
+        return out
+
     p, u = ones(positive), ones(unlabelled)
     shrink = np.append(np.full(FEATURES, l2), 0.0)
     if prior is None:
@@ -136,18 +151,18 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
         scores = []
         for k in (0, 1):
             pk, uk = p[k::2], u[k::2]
-            contrast = _descend(lambda w, pk=pk, uk=uk: -pk.T @ _sigmoid(-pk @ w) / max(1, len(pk)) + uk.T @ _sigmoid(uk @ w) / max(1, len(uk)) + shrink * w, FEATURES + 1, 150)
-            scores.append((p[1 - k :: 2] @ contrast, u[1 - k :: 2] @ contrast))
+            contrast = _descend(lambda w, pk=pk, uk=uk: -_sums(pk, _sigmoid(-_products(pk, w))) / max(1, len(pk)) + _sums(uk, _sigmoid(_products(uk, w))) / max(1, len(uk)) + shrink * w, FEATURES + 1, 150)
+            scores.append((_products(p[1 - k :: 2], contrast), _products(u[1 - k :: 2], contrast)))
         prior = float(np.mean([estimate_prior(*x) for x in scores if len(x[0]) and len(x[1])] or [0.9]))
 
     def gradient(w):
-        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+        sp, su = _sigmoid(_products(p, w)), _sigmoid(_products(u, w))
         # Logistic losses: log(1 + exp(-z)) for the positive class, log(1 + exp(z)) for the negative one.
         negative = np.mean(-np.log(1 - su + 1e-12)) - prior * np.mean(-np.log(1 - sp + 1e-12))
-        against = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
+        against = _sums(u, su) / len(u) - prior * _sums(p, sp) / len(p)
         if negative < 0:  # the risk of negatives can't be below zero: step back from it
             return -against + shrink * w
-        return -prior * (p.T @ (1 - sp)) / len(p) + against + shrink * w
+        return -prior * _sums(p, 1 - sp) / len(p) + against + shrink * w
 
     w = _descend(gradient, FEATURES + 1)
     return QualityModel(mean, scale, w[:-1], float(w[-1]), prior)
@@ -178,7 +193,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary())], ["positive", "web", "features"])
 
     table = rows.where("positive or web").mapInArrow(run, "positive boolean, web boolean, features binary").toArrow()
-    all_rows = np.frombuffer(b"".join(x.as_py() for x in table.column("features")), np.float32).reshape(-1, FEATURES)
+    chunks = [c for c in table.column("features").chunks if len(c)]
+    parts = [np.frombuffer(c.buffers()[2], np.float32)[c.offset * FEATURES : (c.offset + len(c)) * FEATURES] for c in chunks]
+    all_rows = np.concatenate([*parts, np.empty(0, np.float32)]).reshape(-1, FEATURES)
     pick = lambda name: all_rows[table.column(name).to_numpy(zero_copy_only=False).astype(bool)]
     order = lambda x: x[np.lexsort(x.T[:8])]  # noqa: E731  the same sums whatever order rows come in
     return order(pick("positive")), order(pick("web"))
