@@ -30,16 +30,21 @@ def components(edges: DataFrame) -> DataFrame:
     result is read from a written table.
     """
     edges = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    last, seen = SharedTable(edges, "components"), None
+
+    def small(table: SharedTable) -> SharedTable:
+        below, _ = _least(table.df)
+        tied = below.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        done = SharedTable(tied.distinct(), "components")
+        table.drop()
+        return done
+
+    # A small star first: it joins each edge once, a large star twice.
+    last, seen = small(SharedTable(edges, "edges")), None
     while True:
         around, found = _least(last.df.union(last.df.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         if found == seen or not found[0]:
             return last.df.select(F.col("u").alias("node"), F.col("v").alias("root")).union(last.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = found
         large = SharedTable(around.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "components")
-        below, _ = _least(large.df)
-        small = below.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        table = SharedTable(small.distinct(), "components")
         last.drop()
-        large.drop()
-        last = table
+        last = small(large)
