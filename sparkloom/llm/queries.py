@@ -14,6 +14,7 @@ from .mixing import mixing_order, mixing_sql
 from .quality import quality_scores
 from .resample import importance_scores, importance_sql
 from .simhash import near_duplicates
+from .tokenfiles import id_checksums
 from .tokens import token_digests
 from .topk import top_k, top_k_sql
 from .trie import trie_nodes, trie_sql
@@ -75,10 +76,14 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_checksums(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 _ALL = (
     op1_pu_quality, op2_subword_language, op3_template_extraction, op4_url_vocabulary, op5_norm_sorted_topk,
     op6_simhash_near_dedup, op7_pfair_mixing, op8_bpe_chunk_reuse, op9_subspace_near_dedup, op10_license_rules,
-    op11_prefix_trie, op12_importance_resampling,
+    op11_prefix_trie, op12_importance_resampling, op13_token_files,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
