@@ -8,6 +8,11 @@ nest in each other's slots.  What the template leaves is main text or not by
 the elements that hold it: menus, notices, comments and the like go, and of
 article elements, main elements and elements named like them those with the
 most text stay; on pages without any of these all the rest counts.
+
+Pages also share text that is their own: revisions, near copies, refrains.  So
+shared text is the frame's only where it surrounds what differs; among or
+between a page's own text, and in elements named like articles, many different pages must have it
+too.  A page of which most would go is a copy of others and keeps its text.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from .common import SharedTable, bound_batches, join_unique
 
 #: A class is frequent if at least this share of a host's pages, and two of them, hold it.
 SUPPORT, LEAST_TOKENS = 0.5, 2
+#: Different pages that must share a text among a page's own text, their share of all, and what the frame may take of a page at most.
+MANY, NEARLY_ALL, LARGEST_FRAME = 5, 0.9, 2 / 3
 #: Hosts with more than one in so many of all pages have their templates broadcast; there are at most so many of them.
 HOT_HOSTS = 1000
 
@@ -32,6 +39,8 @@ HOT_HOSTS = 1000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg xmp noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
+#: Elements that hold a line or paragraph and not a part of the page.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre figcaption caption summary".split())
 OUTSIDE = RAW | frozenset("head nav header footer aside form button select option label fieldset menu dialog object canvas audio video map".split())
 MAIN = {"article": 3, "main": 2}
 OUTSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner popup modal overlay nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer bottombar sidebar aside widget cookie cookies consent gdpr notice notices alert comment comments respond reply replies disqus discussion share sharing social related recommended newsletter subscribe subscription signup login search form pagination pager toolbar skip contentinfo complementary".split())
@@ -49,22 +58,22 @@ _SPACE = re.compile(r"\s+")
 
 
 class Run:
-    """A run of text: the hash of its path, the block it stands in, whether its elements are outside the article, and how surely inside (3 to 0)."""
+    """A run of text: the hash of its path, the block it stands in, whether its elements are outside the article, how surely inside (3 to 0), and the part of the page."""
 
-    __slots__ = ("text", "path", "block", "outside", "main")
+    __slots__ = ("text", "path", "block", "outside", "main", "part")
 
-    def __init__(self, text, path, block, outside, main):
-        self.text, self.path, self.block, self.outside, self.main = text, path, block, outside, main
+    def __init__(self, text, path, block, outside, main, part):
+        self.text, self.path, self.block, self.outside, self.main, self.part = text, path, block, outside, main, part
 
 
 def parse(page: str | None) -> list:
     """Opening tags (as hashes of their paths) and runs of text (as Run), in page order."""
-    page, out, stack, at, block = page or "", [], [("", 0, False, 0)], 0, 0
+    page, out, stack, at, block, parts = page or "", [], [("", 0, False, 0, 0)], 0, 0, 0
 
     def text(start, end):
         if start < end and not (raw := page[start:end]).isspace():
-            _, path, outside, main = stack[-1]
-            out.append(Run(references.unescape(raw), path, block, outside, main))
+            _, path, outside, main, part = stack[-1]
+            out.append(Run(references.unescape(raw), path, block, outside, main, part))
 
     pos = 0
     while found := _PIECE.search(page, pos):
@@ -90,7 +99,7 @@ def parse(page: str | None) -> list:
                 break
         named = " ".join("".join(x) for x in _NAMED.findall(attributes)).lower() if "=" in attributes else ""
         own = f"{name}.{'.'.join(sorted(set(named.split())))}" if named else name
-        _, path, outside, main = stack[-1]
+        _, path, outside, main, part = stack[-1]
         said = [] if name in ("html", "body") else [w for w in (set(_WORDS.findall(c)) for c in named.split()) if not w & FRAME_WORDS]
         # A class that says article outweighs another that may mean a frame: class="story share-price".
         outside = outside or name in OUTSIDE or (any(w & OUTSIDE_WORDS for w in said) and not any(w & MAIN_WORDS and not w & OUTSIDE_WORDS for w in said))
@@ -103,7 +112,9 @@ def parse(page: str | None) -> list:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>|\Z", re.IGNORECASE).search(page, pos)
             at = pos = end.end()
             continue
-        stack.append((name, path, outside, main))
+        if name not in LINES and name not in INLINE:
+            part = parts = parts + 1
+        stack.append((name, path, outside, main, part))
     text(at, len(page))
     return out
 
@@ -166,8 +177,30 @@ def nested_template(tokens: list[int], classes: dict[int, int]) -> tuple[set[int
     return good, slots
 
 
-def main_text(page: str | None, classes: dict[int, int] | None = None) -> str:
-    """Main text of a page, given the classes of its host's frequent tokens.
+def without_frame(runs: list[tuple[Run, tuple | None, bool, bool]]) -> list[tuple[Run, tuple | None]]:
+    """The (run, slot) that aren't frame, of all runs (run, slot, whether the template has it, whether nearly all of many pages do).
+
+    Template text that few pages share goes where its part of the page has none
+    of the page's own text and lies before or after all of that; in elements
+    named like articles, and among own text, only text of many pages goes.
+    """
+    own = [i for i, (r, _, shared, _) in enumerate(runs) if not shared and not r.outside]
+    if not own:
+        return [x[:2] for x in runs]
+    parts, inside = {runs[i][0].part for i in own}, any(r.main > 1 and not r.outside for r, *_ in runs)
+    left, gone, all_text = [], 0, 0
+    for i, (r, slot, shared, many) in enumerate(runs):
+        among = r.main > 0 if inside else r.part in parts or own[0] < i < own[-1]
+        goes = shared and (many or not among)
+        all_text += 0 if r.outside else len(r.text)
+        gone += len(r.text) if goes and not r.outside and (among or not inside) else 0
+        if not goes:
+            left.append((r, slot))
+    return left if gone <= LARGEST_FRAME * all_text else [x[:2] for x in runs]
+
+
+def main_text(page: str | None, classes: dict[int, int] | None = None, many: frozenset[int] = frozenset()) -> str:
+    """Main text of a page, given the classes of its host's frequent tokens and those tokens that nearly all of many pages have.
 
     The template's own text goes first.  Of the slots that are left, elements
     tell which hold main text: those of the kind (article, main and, where
@@ -178,9 +211,7 @@ def main_text(page: str | None, classes: dict[int, int] | None = None) -> str:
     if classes:
         tokens = [token(p) for p in pieces]
         template, slots = nested_template(tokens, classes)
-        left = [(p, s) for p, t, s in zip(pieces, tokens, slots) if isinstance(p, Run) and t not in template]
-        # A page whose text is all shared is a copy, not a frame.
-        runs = left if any(not p.outside for p, _ in left) else runs
+        runs = without_frame([(p, s, t in template, t in many) for p, t, s in zip(pieces, tokens, slots) if isinstance(p, Run)])
     runs = [(r, s) for r, s in runs if not r.outside]
     # A slot is of the kind that most of its text has.
     held: dict = defaultdict(Counter)
@@ -205,7 +236,7 @@ def host_column(url):
 
 
 def host_templates(pages: DataFrame, support: float = SUPPORT, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, n, tokens) of every host: its rows, and its frequent tokens, each with its class; null where it has one page only.
+    """(host, n, tokens) of every host: its rows, and its frequent tokens, each with its class and whether nearly all of many pages have it; null where it has one page only.
 
     Pages with the same HTML count once.  A class is named by its occurrence vector's hash.  A host has at most
     1/support times as many frequent tokens as its pages have on average.
@@ -224,7 +255,8 @@ def host_templates(pages: DataFrame, support: float = SUPPORT, url: str = "url",
     counts = each.groupBy("host", "token").agg(F.count("*").alias("on"), F.bit_xor(F.xxhash64("key", "n")).alias("class")).where("on > 1")
     hosts = keyed.groupBy("host", "key").agg(F.count("*").alias("n")).groupBy("host").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
     frequent = counts.join(hosts.select("host", "pages"), "host").where(F.col("on") >= support * F.col("pages"))
-    return hosts.select("host", "n").join(frequent.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("tokens")), "host", "left")
+    frequent = frequent.withColumn("many", (F.col("on") >= MANY) & (F.col("on") >= NEARLY_ALL * F.col("pages")))
+    return hosts.select("host", "n").join(frequent.groupBy("host").agg(F.collect_list(F.struct("token", "class", "many")).alias("tokens")), "host", "left")
 
 
 def extract_pages(pages: DataFrame, support: float = SUPPORT, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -247,11 +279,12 @@ def extract_pages(pages: DataFrame, support: float = SUPPORT, page_id: str = "pa
         for batch in batches:
             texts = []
             for page, tokens, host in zip(batch.column(2), batch.column(3), batch.column(4)):
-                if (classes := known.get(host := host.as_py())) is None:
+                if (found := known.get(host := host.as_py())) is None:
                     if len(known) >= 64:
                         known.pop(next(iter(known)))
-                    classes = known[host] = {t["token"]: t["class"] for t in tokens.as_py() or ()}
-                texts.append(main_text(page.as_py(), classes))
+                    rows = tokens.as_py() or ()
+                    found = known[host] = ({t["token"]: t["class"] for t in rows}, frozenset(t["token"] for t in rows if t["many"]))
+                texts.append(main_text(page.as_py(), *found))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema[page_id].dataType.simpleString()

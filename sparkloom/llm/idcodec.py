@@ -31,7 +31,8 @@ ID_BITS, MOST = 24, 255
 IDS, SEEN_ONCE, TWICE, FULL = (np.uint32(x) for x in ((1 << ID_BITS) - 1, 1 << ID_BITS, 2 << ID_BITS, MOST << ID_BITS))
 #: Classes of sightings: 8 of an order's first candidate, 4 of order 1's second.
 KINDS = 8 * 8 * 4
-HEADER = struct.Struct("<4sIIIIII")
+#: Magic, bytes that follow, ids, vocabulary, checksum of the ids and of all the rest.
+HEADER = struct.Struct("<4sIIIII")
 MAGIC = b"TIDB"
 
 
@@ -114,6 +115,10 @@ def _active(n: int, steps: int, t: int) -> int:
     return (n - 1 - t) // steps + 1
 
 
+def _crc(n: int, vocabulary: int, crc_ids: int, payload: bytes) -> int:
+    return zlib.crc32(payload, zlib.crc32(struct.pack("<III", n, vocabulary, crc_ids)))
+
+
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     """A block of 1 to BLOCK ids below ``vocabulary``."""
     n = len(ids)
@@ -173,16 +178,17 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     words = out[np.arange(out.shape[1]) < at[:, None]]
     body = zlib.compress(np.diff(at, prepend=0).astype("<i4").tobytes(), 1)
     payload = struct.pack("<I", len(body)) + body + words.astype("<u2").tobytes()
-    return HEADER.pack(MAGIC, len(payload), n, vocabulary, zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()), zlib.crc32(payload), 0) + payload
+    crc_ids = zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
+    return HEADER.pack(MAGIC, len(payload), n, vocabulary, crc_ids, _crc(n, vocabulary, crc_ids, payload)) + payload
 
 
 def decode(block: bytes) -> np.ndarray:
     """Ids of a block; one that was changed or cut short raises."""
     if len(block) < HEADER.size:
         raise CodecError("a block ends in its header")
-    magic, size, n, vocabulary, crc_ids, crc_payload, _ = HEADER.unpack_from(block)
+    magic, size, n, vocabulary, crc_ids, crc_all = HEADER.unpack_from(block)
     payload = block[HEADER.size : HEADER.size + size]
-    if magic != MAGIC or len(payload) != size or zlib.crc32(payload) != crc_payload or not 0 < n <= BLOCK or not 0 < vocabulary < 1 << TOTAL:
+    if magic != MAGIC or len(payload) != size or _crc(n, vocabulary, crc_ids, payload) != crc_all or not 0 < n <= BLOCK or not 0 < vocabulary < 1 << TOTAL:
         raise CodecError("a block's bytes aren't those that were written")
     lanes, steps = _shape(n)
     (at_words,) = struct.unpack_from("<I", payload)

@@ -484,10 +484,12 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
                 yield pa.RecordBatch.from_arrays([pa.array(keys), _signed(part[rows, 0]), _signed(part[rows, 1])], ["key", "a", "b"])
 
     candidates = components(key_links(nodes.where("words > 0").select("a", "b", "c").distinct().mapInArrow(emit, "key long, a long, b long"), WIDE_RADIUS))
-    # Different texts may have one fingerprint: they are candidates too.
-    grouped = nodes.where("words > 0").join(candidates.withColumnRenamed("node", "a"), "a", "left").select("node", "words", F.coalesce("root", "a").alias("root"))
-    groups = SharedTable(grouped.groupBy("root").agg(F.count("*").alias("members"), F.sum("words").alias("all")).where("members > 1"), "groups").df
+    # Different texts may have one fingerprint: they are candidates too.  Each fingerprint is one row of the table that all its texts meet.
+    sized = nodes.where("words > 0").groupBy("a").agg(F.count("*").alias("texts"))
+    rooted = SharedTable(sized.join(candidates.withColumnRenamed("node", "a"), "a", "left").select("a", "texts", F.coalesce("root", "a").alias("root")), "rooted").df
     total = nodes.count()
+    grouped = join_unique(nodes.where("words > 0").select("a", "node", "words"), rooted, "a", total, n="texts").select("node", "words", "root")
+    groups = SharedTable(grouped.groupBy("root").agg(F.count("*").alias("members"), F.sum("words").alias("all")).where("members > 1"), "groups").df
     members = SharedTable(join_unique(grouped, groups, "root", total, n="members").select("node", "root", F.ceil(F.col("all") / F.lit(piece)).cast("int").alias("pieces")), "members").df
 
     def sets(batches):
@@ -495,7 +497,9 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
             found = [shingle_set(t.as_py(), size).view(np.int64) for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["node", "root", "pieces", "shingles"])
 
-    found = SharedTable(named.select("node", "text").join(_bounded(members, MEMBERS), "node").dropDuplicates(["node"]).select("node", "root", "pieces", "text").mapInArrow(sets, "node long, root long, pieces int, shingles array<long>"), "shingles").df
+    wanted = members.join(nodes.select("node", "n", F.col("first.doc_id").alias("id")), "node")
+    texts = _rows_of(named, "node", F.col("doc_id"), wanted, members.count(), each.count())
+    found = SharedTable(texts.dropDuplicates(["node"]).select("node", "root", "pieces", "text").mapInArrow(sets, "node long, root long, pieces int, shingles array<long>"), "shingles").df
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("pieces")).cast("int")
     met = found.withColumn("own", own).select("*", F.explode(F.expr("sequence(0, pieces - 1)")).alias("other"))
     met = met.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles", F.expr("if(own <= other, 0, 1)").alias("side"))
@@ -510,9 +514,18 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 MEMBERS = 1 << 20
 
 
-def _bounded(table: DataFrame, most: int) -> DataFrame:
-    """The written table, with leave to broadcast it where it has at most ``most`` rows."""
-    return F.broadcast(table) if table.count() <= most else table
+def _rows_of(rows: DataFrame, node: str, doc_id: Column, wanted: DataFrame, n_wanted: int, total: int) -> DataFrame:
+    """Rows with the text and the id of a row of ``wanted`` (node, id, n and other columns), with these columns; n goes.
+
+    There is one row of ``wanted`` a text.  Up to MEMBERS of them are broadcast.  More are joined by text and
+    id, so that copies of one text, of which one is wanted, don't meet in a task.
+    """
+    if n_wanted <= MEMBERS:
+        named = wanted.withColumnRenamed("node", node).withColumnRenamed("id", "_id").drop("n")
+        return rows.join(F.broadcast(named), node).where(doc_id.eqNullSafe(F.col("_id"))).drop("_id")
+    key = lambda text, own: F.struct(text.alias("text"), own.isNull().alias("none"), F.coalesce(own.cast("string"), F.lit("")).alias("id"))
+    keyed = wanted.select(key(F.col("node"), F.col("id")).alias("_key"), *[c for c in wanted.columns if c not in ("node", "id")])
+    return join_unique(rows.withColumn("_key", key(F.col(node), doc_id)), keyed, "_key", total).drop("_key")
 
 
 def text_hash(text: Column) -> Column:
@@ -530,12 +543,16 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     names = docs.columns
     nodes = SharedTable(similar_documents(docs, size=size, similarity=similarity), "similar").df
     # Texts that are the only row of their component need no decision.
-    node, other = "_node", "_decided"
-    while {node, other} & set(names):
-        node, other = "_" + node, "_" + other
+    node = "_node"
+    while node in names:
+        node = "_" + node
     stays = F.col("first") == F.col("component")
-    decided = SharedTable(nodes.where(~stays | (F.col("n") > 1)).select(F.col("node").alias(node), F.when(stays, F.col("first.doc_id")).alias("id"), stays.alias("stays")), "decided").df
-    rows = docs.withColumn(node, text_hash(F.col("text"))).join(_bounded(decided.select(node, F.struct("id", "stays").alias(other)), MEMBERS), node, "left")
-    alone = rows.where(F.col(other).isNull()).select(*names)
-    firsts = rows.where(F.col(f"{other}.stays") & F.col("doc_id").eqNullSafe(F.col(f"{other}.id"))).select(*names, node)
-    return alone.unionByName(firsts.dropDuplicates([node]).select(*names))
+    rows = docs.withColumn(node, text_hash(F.col("text")))
+    total, n_decided = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(~stays | (F.col("n") > 1))).first()
+    firsts = nodes.where(stays).select("node", F.col("first.doc_id").alias("id"), "n")
+    if n_decided > MEMBERS:  # every text that stays is looked up by text and id
+        return _rows_of(rows, node, F.col("doc_id"), firsts, n_decided, total).dropDuplicates([node]).select(*names)
+    decided = SharedTable(nodes.where(~stays | (F.col("n") > 1)).select(F.col("node").alias(node)), "decided").df
+    alone = rows.join(F.broadcast(decided), node, "left_anti").select(*names)
+    several = firsts.where("n > 1")
+    return alone.unionByName(_rows_of(rows, node, F.col("doc_id"), several, n_decided, total).dropDuplicates([node]).select(*names))

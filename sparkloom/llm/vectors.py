@@ -229,8 +229,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
     least ``cosine``.  Vectors that are null, empty, zero or hold null or
     non-finite components, and rows with a null id or label, link with nothing
     and are their own component.  Equal vectors are compared once and counted
-    each; repeated ids are separate vectors of one component.  Other columns
-    are ignored.
+    each.  Repeated ids are separate rows: each has the links and the component
+    of its own vector.  Other columns are ignored.
     """
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"), F.col(label).alias("label"))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()
@@ -242,13 +242,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
     # Equal vectors of a label have one key of 128 bits; a zero's sign doesn't count.
     plain = F.transform("embedding", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))
     keyed = lambda df: df.withColumn("key", F.concat(F.hex(F.xxhash64("lab", plain)), F.lit(":"), F.hex(F.xxhash64(plain, "lab", F.size("embedding")))))
-    grouped = clean.groupBy("lab", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("many"))
-    reps = SharedTable(keyed(grouped).select("lab", F.size("embedding").alias("d"), "embedding", "id", "many", "key"), "vectors").df
+    # A distinct vector is named by a number of its own, for an id may have several vectors.
+    grouped = clean.groupBy("lab", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("many"))
+    reps = SharedTable(keyed(grouped).select("lab", F.size("embedding").alias("d"), "embedding", F.monotonically_increasing_id().alias("id"), "least", "many", "key"), "vectors").df
     parts = SharedTable(_links(reps, cosine, blocks, most), "near").df
     counts = parts.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = components(parts.select(F.col("id").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("id"), "root")
+    linked = reps.select("id", "least").join(components(parts.select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "id"), "id")
+    linked = SharedTable(linked, "linked").df
+    firsts = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    roots = join_unique(linked.select("id", "root"), firsts, "root", linked.count()).select("id", "component_id")
     known = reps.join(counts, "id", "left").join(roots, "id", "left")
-    known = known.select("key", "many", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    known = known.select("key", "many", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     known = SharedTable(known, "known").df
     total = known.agg(F.sum("many")).first()[0] or 0
     own = rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

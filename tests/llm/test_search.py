@@ -197,6 +197,20 @@ def test_keep_one_of_the_small_table(spark):
     assert sorted((r["doc_id"] for r in S.keep_one(docs).collect()), key=repr) == brute_similar([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("members", [S.MEMBERS, 1])
+def test_a_third_of_all_rows_are_one_text(spark, monkeypatch, members):
+    monkeypatch.setattr(S, "MEMBERS", members)
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(500)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    hot, near = text(60), text(50)
+    rows = [(i, hot) for i in range(100)] + [(200 + i, near + f" end{i}") for i in range(50)] + [(300 + i, text(40)) for i in range(50)] + [(400, None), (401, ""), (402, " \n"), (None, hot), (403, "twice said"), (403, "twice said")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": S.F.lit(1), "id": S.F.lit("own"), "_node": S.F.lit(2)})
+    kept = sorted(r["doc_id"] for r in S.keep_one(docs.repartition(4)).collect())
+    assert kept == [0, 200, *range(300, 350), 400, 403]
+    assert S.keep_one(docs).columns == docs.columns
+
+
 def test_long_fingerprints():
     """Texts whose shingles are four fifths alike share a key and differ in few bits, but for one in twenty at most."""
     rng = random.Random(12)
@@ -327,6 +341,12 @@ def test_near_vectors(spark, most):
     assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
 
 
+def test_near_vectors_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0, 0.0, 0.0], 1), (0, [0.0, 1.0, 0.0, 0.0], 1), (1, [1.0, 0.01, 0.0, 0.0], 1), (5, [0.0, 0.0, 1.0, 0.0], 1), (5, [0.0, 0.0, 1.0, 0.0], 1), (7, [0.0, 1.0, 0.01, 0.0], 2)]
+    found = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(vectors(spark, rows, "double")).collect())
+    assert found == [(0, 0, 0, True), (0, 1, 0, True), (1, 1, 0, False), (5, 1, 5, True), (5, 1, 5, True), (7, 0, 7, True)]
+
+
 @pytest.mark.parametrize("weights", [[1], [3, 2, 5], [1, 1, 1, 1], [97, 2, 1], [7, 11, 13, 29]])
 def test_pfair_deviation(weights):
     slots, period = M.pfair_slots(weights), sum(weights)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -248,6 +249,49 @@ def test_templates_decide_within_articles(spark):
     assert extracted(spark, [(i, page % (7, 7)) for i in range(2)]) == ["Head 7 We value your trust Text 7 of its own Written by staff"] * 2
 
 
+WRAPS = {"article": ("<nav>Menu</nav><article><h1>Head</h1>", "</article><footer>End of it</footer>"), "div": ("<div><p>Site</p></div><div><h1>Head</h1>", "</div><div><p>End</p></div>"), "plain": ("", "")}
+
+
+@pytest.mark.parametrize("wrap", list(WRAPS))
+@pytest.mark.parametrize("pages", [2, 3, 8])
+def test_near_copies_keep_their_text(spark, wrap, pages):
+    before, after = WRAPS[wrap]
+    shared = [f"Paragraph number {k} that all the copies have" for k in range(7)]
+    rows = [(i, before + "".join(f"<p>{t}</p>" for t in [*shared[:4], f"Wording {i} is here", *shared[4:]]) + after) for i in range(pages)]
+    for i, text in enumerate(extracted(spark, rows)):
+        assert " ".join([*shared[:4], f"Wording {i} is here", *shared[4:]]) in text and "Menu" not in text
+
+
+@pytest.mark.parametrize("wrap", ["article", "div"])
+def test_refrains_stay(spark, wrap):
+    before, after = WRAPS[wrap]
+    verse = "<p>Verse one of song %d, which is its own</p><p>And so we sing</p><p>Verse two of song %d, its own too</p><p>And so we sing</p>"
+    for i, text in enumerate(extracted(spark, [(i, before + verse % (i, i) + after) for i in range(4)])):
+        assert f"Verse one of song {i}, which is its own And so we sing Verse two of song {i}, its own too And so we sing" in text
+
+
+def test_frames_of_two_pages_go(spark):
+    page = "<body><div><p>Site name</p><ul><li>News</li></ul></div><div><h1>Head of %d</h1><p>A text of its own, number %d, long enough</p></div><div><p>All rights reserved</p></div></body>"
+    assert extracted(spark, [(i, page % (i, i)) for i in range(2)]) == [f"Head of {i} A text of its own, number {i}, long enough" for i in range(2)]
+
+
+def test_classes_by_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    frame = ["<div class=top><p>Site</p></div>", "<div><p>More</p></div>", "<ul><li>One</li><li>One</li></ul>", "<div class=end><p>End</p></div>"]
+    pages = ["".join(f for f in frame if rng.random() < 0.9) + "".join(f"<p>{rng.choice('abcdef')}</p>" for _ in range(rng.randint(0, 4))) for _ in range(12)]
+    df = spark.createDataFrame([(i, "http://h.example/%d" % i, p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    (row,) = H.host_templates(df).collect()
+    counts = [Counter(H.token(x) for x in H.parse(p)) for p in dict.fromkeys(pages)]
+    vectors = {t: tuple(c[t] for c in counts) for t in set().union(*counts)}
+    frequent = {t: v for t, v in vectors.items() if sum(x > 0 for x in v) >= max(2, H.SUPPORT * len(counts))}
+    assert {t["token"] for t in row["tokens"]} == set(frequent)
+    assert {t["token"] for t in row["tokens"] if t["many"]} == {t for t, v in frequent.items() if sum(x > 0 for x in v) >= max(H.MANY, H.NEARLY_ALL * len(counts))}
+    classes = {t["token"]: t["class"] for t in row["tokens"]}
+    assert all((classes[a] == classes[b]) == (frequent[a] == frequent[b]) for a in frequent for b in frequent)
+
+
 def test_repeated_pages_keep_their_template(spark):
     page = "<html><body><div><p>Always here</p><p>Site name</p></div><div><p>Text %d of its own</p></div></body></html>"
     assert extracted(spark, [(i // 2, page % (i // 2)) for i in range(8)]) == [f"Text {i // 2} of its own" for i in range(8)]
