@@ -19,7 +19,7 @@ from ..contracts import ContractError
 from ..functions import sqlite
 from ..functions.digest import ordered_digest, typed_digest
 from ..functions.text import KEYWORDS, STEMS, escape_untrusted, keyword_hits
-from ..operators import approximate, bounds, evidence, pairs, pareto, sets
+from ..operators import approximate, blocks, bounds, compact, evidence, pairs, pareto, sets
 from ..operators.order import budgeted_best, with_ordinal
 from ..shared import SharedTable, shared_folder
 from ..sources.archives import archive_members, within_budget
@@ -182,6 +182,19 @@ def pareto_three(spark, d):
     return pareto.skyline(rows, THREE)
 
 
+FOUR = {"price": "maximize", "quantity": "minimize", "discount": "minimize", "tax": "minimize"}
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS price, l_quantity AS quantity, l_discount AS discount, l_tax AS tax, l_returnflag <> 'R' AS feasible FROM lineitem),
+b AS (SELECT quantity, discount, tax, max(price) AS price FROM l WHERE feasible GROUP BY ALL)
+SELECT * FROM l r WHERE feasible AND NOT EXISTS (SELECT 1 FROM b o WHERE o.price >= r.price AND o.quantity <= r.quantity AND o.discount <= r.discount AND o.tax <= r.tax AND (o.price > r.price OR o.quantity < r.quantity OR o.discount < r.discount OR o.tax < r.tax))""")
+def pareto_lattice(spark, d):
+    """Prices grow with quantities, so many lines are on the front: all points meet in the lattice."""
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), (F.col("l_returnflag") != "R").alias("feasible"))
+    return pareto.skyline(rows, FOUR, most=0)
+
+
 @query("""
 WITH p AS (SELECT p_partkey, (p_size - 20)::BIGINT AS c0, (p_partkey % 41 - 30)::BIGINT AS c1, (p_partkey % 17)::BIGINT AS c2 FROM part)
 SELECT *, least(2 * c0, 2 * c0 + c1, 2 * (c0 + c1 + c2)) >= 0 AS certified FROM p""")
@@ -293,6 +306,85 @@ def bitmap_membership(spark, d):
     return sets.contains(sets.bitmaps(_by_status(spark, d, "O"), "o_custkey"), read(spark, d, "customer"), "c_custkey")
 
 
+CUST_AND_PART = "(SELECT DISTINCT o_custkey AS value FROM orders) {0} (SELECT DISTINCT l_partkey AS value FROM lineitem)"
+
+
+def _keysets(spark, d):
+    return compact.compact(read(spark, d, "orders"), "o_custkey"), compact.compact(read(spark, d, "lineitem"), "l_partkey")
+
+
+@query(CUST_AND_PART.format("UNION"))
+def compact_union(spark, d):
+    return compact.members(compact.union(*_keysets(spark, d)))
+
+
+@query(CUST_AND_PART.format("INTERSECT"))
+def compact_intersection(spark, d):
+    return compact.members(compact.intersection(*_keysets(spark, d)))
+
+
+@query("SELECT DISTINCT l_returnflag, l_partkey AS value FROM lineitem WHERE l_quantity > 49 EXCEPT SELECT DISTINCT l_returnflag, l_partkey FROM lineitem WHERE l_linestatus = 'F' AND l_quantity < 25")
+def compact_difference(spark, d):
+    """Parts by flag: sparse sets less dense ones."""
+    lines = read(spark, d, "lineitem")
+    few, many = lines.where("l_quantity > 49"), lines.where("l_linestatus = 'F' and l_quantity < 25")
+    return compact.members(compact.difference(*(compact.compact(x, "l_partkey", "l_returnflag") for x in (few, many)), "l_returnflag"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def compact_contains(spark, d):
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return compact.contained(lines, "l_partkey", compact.compact(_by_status(spark, d, "P"), "o_custkey"))
+
+
+@query("""
+WITH v AS (SELECT DISTINCT l_shipdate::DATE AS day, l_partkey // 32768 AS bucket, l_partkey % 32768 AS place FROM lineitem),
+r AS (SELECT *, coalesce(place <> lag(place) OVER (PARTITION BY day, bucket ORDER BY place) + 1, true) AS starts FROM v),
+c AS (SELECT day, bucket, count(*) AS n, count(*) FILTER (starts) AS runs FROM r GROUP BY 1, 2),
+k AS (SELECT n, CASE WHEN 4 * runs < 2 * n AND 4 * runs < 4096 THEN 'runs' WHEN 2 * n < 4096 THEN 'array' ELSE 'words' END AS kind, runs FROM c
+  UNION ALL SELECT n, CASE WHEN 4 * runs < 2 * n AND 4 * runs < 4096 THEN 'runs' WHEN 2 * n < 4096 THEN 'array' ELSE 'words' END, runs FROM (
+    SELECT count(*) AS n, count(*) FILTER (starts) AS runs FROM (SELECT bucket, place, coalesce(place <> lag(place) OVER (PARTITION BY bucket ORDER BY place) + 1, true) AS starts FROM (SELECT DISTINCT l_orderkey // 32768 AS bucket, l_orderkey % 32768 AS place FROM lineitem)) GROUP BY bucket))
+SELECT kind, count(*) AS containers, sum(n)::BIGINT AS numbers, sum(CASE kind WHEN 'runs' THEN 4 * runs WHEN 'array' THEN 2 * n ELSE 4096 END)::BIGINT AS bytes FROM k GROUP BY 1""")
+def compact_sizes(spark, d):
+    """Bytes by form: the parts of each day, and all orders."""
+    lines = read(spark, d, "lineitem").withColumn("day", F.to_date("l_shipdate"))
+    return compact.sizes(compact.compact(lines, "l_partkey", "day").drop("day").union(compact.compact(lines, "l_orderkey")))
+
+
+BETWEEN = "SELECT o_orderkey + c_custkey AS key, o_orderkey AS left, c_custkey AS right FROM orders, customer WHERE o_orderkey + c_custkey BETWEEN 200 AND 320"
+
+
+@query(BETWEEN)
+def pairs_between(spark, d):
+    """Orders and customers whose keys add up to little: most blocks of orders are skipped."""
+    return blocks.sums_between(_array(spark, d, "orders", "o_orderkey", "o_orderkey"), _array(spark, d, "customer", "c_custkey", "c_custkey"), 200, 320, 64)
+
+
+APART = "SELECT l.key, l_left, l_right, r_left, r_right FROM (SELECT p_partkey + r_regionkey AS key, p_partkey AS l_left, r_regionkey AS l_right FROM part, region) l JOIN (SELECT s_suppkey + n_nationkey + 150 AS key, s_suppkey AS r_left, n_nationkey AS r_right FROM supplier, nation) r ON l.key = r.key"
+
+
+def _apart(spark, d):
+    nations = pairs.indexed(read(spark, d, "nation").withColumn("v", F.col("n_nationkey") + 150), "n_nationkey", "v")
+    return _array(spark, d, "part", "p_partkey", "p_partkey"), _array(spark, d, "region", "r_regionkey", "r_regionkey"), _array(spark, d, "supplier", "s_suppkey", "s_suppkey"), nations
+
+
+@query(APART)
+def pruned_equal_sums(spark, d):
+    return blocks.pruned_equal_sums(*_apart(spark, d), size=32)
+
+
+@query("""
+WITH p AS (SELECT (row_number() OVER (ORDER BY p_partkey) - 1) // 32 AS i, p_partkey AS v FROM part), s AS (SELECT (row_number() OVER (ORDER BY s_suppkey) - 1) // 32 AS i, s_suppkey AS v FROM supplier),
+l AS (SELECT i, min(v) + (SELECT min(r_regionkey) FROM region) AS low, max(v) + (SELECT max(r_regionkey) FROM region) AS high, count(*) * (SELECT count(*) FROM region) AS pairs FROM p GROUP BY i),
+r AS (SELECT i, min(v) + 150 + (SELECT min(n_nationkey) FROM nation) AS low, max(v) + 150 + (SELECT max(n_nationkey) FROM nation) AS high, count(*) * (SELECT count(*) FROM nation) AS pairs FROM s GROUP BY i),
+lk AS (SELECT * FROM l WHERE EXISTS (SELECT 1 FROM r WHERE l.low <= r.high AND r.low <= l.high)), rk AS (SELECT * FROM r WHERE EXISTS (SELECT 1 FROM l WHERE l.low <= r.high AND r.low <= l.high))
+SELECT 'left' AS side, (SELECT count(*) FROM l) AS blocks, (SELECT count(*) FROM lk) AS kept, (SELECT sum(pairs)::BIGINT FROM l) AS pairs, (SELECT coalesce(sum(pairs), 0)::BIGINT FROM lk) AS kept_pairs
+UNION ALL SELECT 'right', (SELECT count(*) FROM r), (SELECT count(*) FROM rk), (SELECT sum(pairs)::BIGINT FROM r), (SELECT coalesce(sum(pairs), 0)::BIGINT FROM rk)""")
+def pruned_blocks(spark, d):
+    """How many blocks and pairs the pruned join looks at."""
+    return blocks.pruned_share(*_apart(spark, d), size=32)
+
+
 #: Besides the performance terms, those of rights notices, which the tables have.
 SCANNED = f"{KEYWORDS}|licen[sc]e|all[- ]rights|public[- ]domain"
 

@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 
 from sparkloom.contracts import ContractError
-from sparkloom.operators import pairs
+from sparkloom.operators import blocks, pairs
 
 
 def array(spark, values, kind="long"):
@@ -104,3 +104,28 @@ def test_numbers_of_any_length(spark):
     for residue in (0, sum(brute(a, b)[3][:1]) - 2 * m):
         got = sorted((int(r[0]), r[1], r[2]) for r in pairs.wide_pair_sums(first, second, m, residue).collect())
         assert got == [p for p in brute(a, b) if (p[0] - residue) % m == 0]
+
+
+@pytest.mark.parametrize("size", [3, 100])
+def test_blocks_skip_nothing_that_counts(spark, size):
+    rng = random.Random(size)
+    a, b, c, d = ([rng.choice([rng.randint(-20, 20), rng.randint(-500, 500), 7]) for _ in range(n)] for n in (20, 13, 9, 11))
+    A, B, C, D = (array(spark, x) for x in (a, b, c, d))
+    for low, high in ((-10, 10), (900, 2000), (-5000, 5000)):
+        assert sorted(rows(blocks.sums_between(A, B, low, high, size))) == [x for x in brute(a, b) if low <= x[0] <= high]
+    want = sorted((k, i, j, m, n) for k, i, j in brute(a, b) for q, m, n in brute(c, d) if k == q)
+    assert sorted(rows(blocks.pruned_equal_sums(A, B, C, D, size).select("key", "l_left", "l_right", "r_left", "r_right"))) == want
+
+
+def test_blocks_of_other_ranges_are_skipped(spark):
+    A, B = array(spark, range(200)), array(spark, range(0, 2000, 10))
+    C, D = array(spark, range(1900, 2000)), array(spark, range(100))
+    share = {r["side"]: r for r in blocks.pruned_share(A, B, C, D, 10).collect()}
+    assert share["left"]["blocks"] == 400 and share["left"]["kept"] < 60 and share["right"]["kept"] == share["right"]["blocks"] == 100
+    assert blocks.pruned_equal_sums(A, B, C, D, 10).count() == pairs.equal_sum_join(A, B, C, D).count()
+    apart = array(spark, [10**6])
+    assert blocks.pruned_share(A, B, apart, D, 10).where("kept > 0").count() == 0 and blocks.pruned_equal_sums(A, B, apart, D, 10).count() == 0
+    empty = array(spark, [])
+    assert blocks.pruned_equal_sums(A, empty, C, D).count() == 0 and blocks.sums_between(empty, B, 0, 9).count() == 0
+    wide = array(spark, [Decimal(10**37), Decimal(-(10**37))], "decimal(38,0)")
+    assert blocks.sums_between(wide, array(spark, [Decimal(1)], "decimal(38,0)"), Decimal(0), Decimal(2 * 10**37)).count() == 1

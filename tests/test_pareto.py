@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 
 import pytest
 
@@ -38,6 +39,34 @@ def test_random_ledgers(spark, seed):
         assert sorted(r["id"] for r in pareto.skyline_two(df2, two, rows=30).collect()) == brute(flat, two)
 
 
+@pytest.mark.parametrize("k,cells", [(2, 1024), (3, 64), (4, 1), (8, 1024)])
+def test_lattice_by_brute_force(spark, k, cells):
+    rng = random.Random(k)
+    metrics = {f"m{i}": ("minimize" if i % 2 else "maximize") for i in range(k)}
+    rows = [(f"r{i}", *(rng.choice([rng.randint(0, 5), rng.randint(0, 100)]) for _ in range(k)), rng.random() < 0.9) for i in range(250)]
+    df = spark.createDataFrame(rows, f"id string, {', '.join(f'm{i} long' for i in range(k))}, feasible boolean")
+    found = pareto.skyline(df.union(df), metrics, local=False, most=0, piece=7, cells=cells)
+    assert sorted(r["id"] for r in found.collect()) == sorted(brute(rows, metrics) * 2)
+
+
+def test_anticorrelated_points_meet_few_cells(spark):
+    # Every point of this plane is on the front.
+    df = spark.range(30_000).selectExpr("cast(id as string) id", "cast(xxhash64(id) % 1000000 as double) a", "cast(xxhash64(id, 1) % 1000000 as double) b", "true feasible").selectExpr("id", "a", "b", "a + b as c", "feasible")
+    points = pareto.skyline_points(df, DIRECTIONS)
+    report = pareto.lattice_copies(points)
+    assert report["points"] == 30_000 and report["copies"] < 2 * 0.25 * report["points"] * report["cells"]
+    assert pareto.skyline(df, DIRECTIONS).count() == 30_000
+    worse = df.selectExpr("id || 'x' id", "a + 5 as a", "b + 5 as b", "c - 5 as c", "feasible")
+    assert pareto.skyline(df.union(worse), DIRECTIONS).where("id not like '%x'").count() == 30_000
+
+
+def test_lattice_of_decimals_and_ties(spark):
+    rows = [(f"r{i}", Decimal(10**30 + i % 7), Decimal(10**30 - i % 5), Decimal(i % 3), True) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, a decimal(38,0), b decimal(38,0), c decimal(38,0), feasible boolean")
+    assert sorted(r["id"] for r in pareto.skyline(df, DIRECTIONS, most=0).collect()) == brute(rows, DIRECTIONS)
+    assert pareto.skyline(df.limit(0), DIRECTIONS, most=-1).count() == 0
+
+
 def test_refusals(spark):
     good = [("x", 1.0, 2.0, True)]
     schema = "id string, a double, b double, feasible boolean"
