@@ -28,6 +28,7 @@ from ..sources.paths import without_sidecars
 from ..sources.sqlite import inventory as sqlite_inventory
 from ..sources.sqlite import read_sqlite
 from ..streaming.replay import prefix, windowed_counts
+from ..streaming.snapshot import Snapshot
 from . import workload
 from .reuse import Materialized, parity, regressions, signature
 from .surface import EXTENSIONS, SURFACE
@@ -432,7 +433,7 @@ def approx_quantile(spark, d):
 
 @query("SELECT o_custkey AS item, count(*) AS n, true AS \"within\" FROM orders GROUP BY 1 ORDER BY n DESC, item LIMIT 5")
 def approx_topk(spark, d):
-    return approximate.checked_top_k(read(spark, d, "orders"), "o_custkey", 5, 500_000)
+    return approximate.checked_top_k(read(spark, d, "orders"), "o_custkey", 5, 1_000)
 
 
 @query("SELECT count(DISTINCT l_partkey) AS exact, true AS \"within\" FROM lineitem")
@@ -531,6 +532,28 @@ def workload_functions(spark, d):
     return workload.run_admitted(spark, sql, {"part": read(spark, d, "part")})
 
 
+@query("SELECT o_custkey, max(o_orderkey) AS latest, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY o_custkey")
+def workload_bare_columns(spark, d):
+    """Columns beside a maximum come from its row."""
+    sql = "SELECT o_custkey, max(o_orderkey) AS latest, o_orderstatus, o_totalprice AS price FROM orders GROUP BY o_custkey"
+    return workload.run_admitted(spark, sql, {"orders": read(spark, d, "orders")})
+
+
+@query("SELECT p_partkey, p_partkey // 7 AS seventh, CASE WHEN p_size <> 20 THEN p_partkey // (p_size - 20) END AS share, greatest(p_size, 9) AS most, 'integer' AS kind, CASE WHEN p_size <> 20 THEN 'integer' ELSE 'null' END AS of_share, CASE WHEN length(p_brand) >= 2 THEN substr(p_brand, length(p_brand) - 1, 1) ELSE '' END AS before_last, '' AS none FROM part")
+def workload_sqlite_meaning(spark, d):
+    """Whole division, division by zero, the larger of two, types and lengths below zero, as SQLite has them."""
+    sql = "SELECT p_partkey, p_partkey / 7 AS seventh, p_partkey / (p_size - 20) AS share, max(p_size, 9) AS most, typeof(p_size) AS kind, typeof(p_partkey / (p_size - 20)) AS of_share, substr(p_brand, -1, -1) AS before_last, hex(NULL) AS none FROM part"
+    return workload.run_admitted(spark, sql, {"part": read(spark, d, "part")})
+
+
+@query("SELECT n_regionkey AS region, count(*) AS nations, count(DISTINCT s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey WHERE n_regionkey = 2 GROUP BY 1")
+def workload_derived_tables(spark, d):
+    """Statements read the tables that were passed: filtered, renamed and joined ones."""
+    nation = read(spark, d, "nation").where("n_regionkey = 2").withColumnRenamed("n_regionkey", "region")
+    joined = nation.join(read(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    return workload.run_admitted(spark, "SELECT region, count(*) AS nations, count(DISTINCT s_suppkey) AS suppliers FROM t GROUP BY region", {"t": joined})
+
+
 @query("SELECT 'by_status' AS name, count(DISTINCT o_orderstatus)::BIGINT AS rows, true AS complete, 1::BIGINT AS full_scans, 64::BIGINT AS digest_length FROM orders UNION ALL SELECT 'dear', count(*)::BIGINT, true, 0, 64 FROM nation WHERE n_regionkey = 2")
 def workload_observe(spark, d):
     raw = _workload(("by_status", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus", []), ("dear", "SELECT n_name FROM nation WHERE n_regionkey = ?", [2]))
@@ -695,6 +718,38 @@ def prefix_complete(spark, d):
     return prefix(read(spark, d, "region").select("r_regionkey", "r_name"), 50)
 
 
+def _eighths(spark, d):
+    events = read(spark, d, "events").select("event_id", "ts", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return Snapshot(events, ["ts", "event_id"], max(1, -(-events.count() // 8)))
+
+
+@query("SELECT event_id, ordinal, false AS complete FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS ordinal FROM events) WHERE ordinal < 2 * ceil((SELECT count(*) FROM events) / 8.0)")
+def replay_interrupted(spark, d):
+    """Events in order, an eighth of them in each batch, broken off after two."""
+    branch = _eighths(spark, d).branch({"rows": lambda batch: batch.select("event_id", "ordinal")})
+    branch.run(most=2)
+    return branch.results()
+
+
+@query("SELECT event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents, true AS complete, true AS other_sink FROM events GROUP BY 1")
+def replay_resumed(spark, d):
+    """Broken off between two sinks, taken up again: both have everything once, as a batch would."""
+    total = lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+    branch, failed = _eighths(spark, d).branch({"totals": total, "rows": lambda batch: batch.select("event_type", "cents")}, ranges=3), []
+
+    def lose_one(sink, number):
+        if (sink, number) == ("totals", 1) and not failed:
+            failed.append(number)
+            raise OSError("lost between two sinks")
+
+    with contextlib.suppress(Exception):
+        branch.run(after=lose_one)
+    branch.run(after=lose_one)
+    merged = branch.results("totals").groupBy("event_type", "complete").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
+    rows = total(branch.results("rows").drop("complete")).select("event_type", F.col("n").alias("_n"), F.col("cents").alias("_cents"))
+    return merged.join(rows, "event_type").select("event_type", "n", "cents", "complete", ((F.col("n") == F.col("_n")) & (F.col("cents") == F.col("_cents"))).alias("other_sink"))
+
+
 FLAGS = "(VALUES (true), (false)) {0}({0})"
 
 

@@ -13,6 +13,7 @@ import re
 import statistics
 import threading
 import time
+import uuid
 from collections.abc import Mapping
 
 from py4j.protocol import Py4JJavaError
@@ -31,14 +32,25 @@ BYTES, QUERIES, SQL_BYTES, PARAMS, ROWS, SAMPLES, SECONDS = 32_768, 16, 2_048, 1
 FUNCTIONS = frozenset("abs avg coalesce count hex ifnull length lower max min round substr sum trim typeof upper".split())
 #: Functions whose SQLite meaning differs from Spark's: what stands for them.  round always gives a double.
 MEANING = {
-    "hex": "x STRING) RETURNS STRING RETURN hex(x)",
+    "hex": "x STRING) RETURNS STRING RETURN coalesce(hex(x), '')",
     "lower": f"x STRING) RETURNS STRING RETURN translate(x, '{sqlite._UPPER}', '{sqlite._LOWER}')",
     "upper": f"x STRING) RETURNS STRING RETURN translate(x, '{sqlite._LOWER}', '{sqlite._UPPER}')",
     "round": f"x DOUBLE, n INT DEFAULT 0) RETURNS DOUBLE RETURN CASE greatest(n, 0) {' '.join(f'WHEN {n} THEN round(x, {n})' for n in range(16))} ELSE x END",
-    "substr": "x STRING, a INT, n INT DEFAULT 2147483647) RETURNS STRING RETURN CASE WHEN a = 0 THEN substring(x, 1, greatest(0, n - 1)) ELSE substring(x, a, n) END",
+    # A negative length takes what stands before the place; places before the text use up length.
+    "substr": """x STRING, a BIGINT, n BIGINT DEFAULT 2147483647) RETURNS STRING RETURN CASE WHEN x IS NOT NULL AND a IS NOT NULL AND n IS NOT NULL THEN element_at(transform(array(named_struct(
+      'p', CASE WHEN a < 0 THEN greatest(a + length(x), 0) WHEN a > 0 THEN a - 1 ELSE 0 END,
+      'm', CASE WHEN a < 0 AND a + length(x) < 0 THEN greatest(abs(n) + a + length(x), 0) WHEN a = 0 AND n <> 0 THEN abs(n) - 1 ELSE abs(n) END)),
+      v -> substring(x, cast(least(if(n < 0, greatest(v.p - v.m, 0), v.p) + 1, 2147483647) AS INT), cast(least(if(n < 0, least(v.m, v.p), v.m), 2147483647) AS INT))), 1) END""",
     "trim": "x STRING, chars STRING DEFAULT ' ') RETURNS STRING RETURN btrim(x, chars)",
 }
 PREFIX = "sqlite_"
+_WHOLE, _REAL = "'tinyint', 'smallint', 'int', 'bigint', 'boolean'", "'float', 'double'"
+#: Calls that are put into others: what stands in the name's place, and what follows the arguments.
+WRAPPED = {
+    "max": ("element_at(transform(array(array", "), v -> if(exists(v, e -> e IS NULL), NULL, array_max(v))), 1)"),
+    "min": ("element_at(transform(array(array", "), v -> if(exists(v, e -> e IS NULL), NULL, array_min(v))), 1)"),
+    "typeof": ("element_at(transform(array(array", f"), v -> CASE WHEN v[0] IS NULL THEN 'null' WHEN typeof(v[0]) IN ({_WHOLE}) THEN 'integer' WHEN typeof(v[0]) IN ({_REAL}) OR substring(typeof(v[0]), 1, 7) = 'decimal' THEN 'real' WHEN typeof(v[0]) = 'binary' THEN 'blob' ELSE 'text' END), 1)"),
+}
 #: Nodes of a plan that a report has, at most.
 PLAN_NODES = 128
 #: Operators that the parser writes as functions.
@@ -161,19 +173,19 @@ def admit(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]):
     return plan
 
 
-def _calls(plan) -> list:
-    """All function calls of a parsed statement."""
+def _nodes(plan) -> list:
+    """All nodes and expressions of a plan, those of subqueries too."""
     found = []
 
     def walk(node):
-        for group in (node.expressions() if hasattr(node, "expressions") and "LogicalPlan" in _kinds(node) else None, node.children()):
+        kinds = _kinds(node)
+        found.append(node)
+        for group in (node.expressions() if "LogicalPlan" in kinds else None, node.children()):
             for i in range(group.size() if group is not None else 0):
                 walk(group.apply(i))
-        kind = node.getClass().getSimpleName()
-        if kind == "UnresolvedFunction":
-            found.append(node)
-        if kind in ("ScalarSubquery", "Exists", "ListQuery"):
+        if "SubqueryExpression" in kinds or "PlanExpression" in kinds:
             walk(node.plan())
+        kind = node.getClass().getSimpleName()
         if kind == "InSubquery":
             walk(node.query())
         if kind == "UnresolvedWith":
@@ -185,6 +197,19 @@ def _calls(plan) -> list:
     return found
 
 
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _span(node) -> tuple[int, int]:
+    """First and last place of a node's text."""
+    return node.origin().startIndex().get(), node.origin().stopIndex().get()
+
+
+def _calls(plan) -> list:
+    return [n for n in _nodes(plan) if _kind(n) == "UnresolvedFunction"]
+
+
 def _kinds(node) -> set[str]:
     out, kind = set(), node.getClass()
     while kind is not None:
@@ -199,51 +224,105 @@ def define_meaning(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {PREFIX}{name}({body}")
 
 
+def _items(group) -> list:
+    return [group.apply(i) for i in range(group.size())]
+
+
+def _called(call) -> tuple[str, int]:
+    return call.nameParts().apply(0).lower(), call.arguments().size()
+
+
+def _bare_columns(plan, sql: str) -> list[tuple[int, int, str]]:
+    """Edits that give columns beside a single max or min, which are neither grouped nor aggregated, the value of its row."""
+    edits = []
+    for node in _nodes(plan):
+        if _kind(node) not in ("Aggregate", "Project"):
+            continue
+        outputs = _items(node.aggregateExpressions() if _kind(node) == "Aggregate" else node.projectList())
+        grouped = {sql[slice(*_span(g))] + sql[_span(g)[1]] for g in _items(node.groupingExpressions())} if _kind(node) == "Aggregate" else set()
+        inner = [n for e in outputs for n in _nodes(e)]
+        if any(_kind(n) == "UnresolvedWindowExpression" or _kind(n) == "WindowExpression" for n in inner):
+            continue
+        extreme = [c for c in inner if _kind(c) == "UnresolvedFunction" and _called(c)[0] in ("max", "min") and _called(c)[1] == 1]
+        if len(extreme) != 1:
+            continue
+        name, (start, stop) = _called(extreme[0])[0], _span(extreme[0].arguments().apply(0))
+        for e in outputs:
+            named = _kind(e) == "Alias"
+            column = e.child() if named or _kind(e) == "UnresolvedAlias" else e
+            if _kind(column) != "UnresolvedAttribute":
+                continue
+            at, end = _span(column)
+            text = sql[at : end + 1]
+            if text not in grouped and not {p.lower() for p in _items(column.nameParts())} & {g.split(".")[-1].lower() for g in grouped}:
+                edits.append((at, end + 1, f"{name}_by({text}, {sql[start : stop + 1]})" + ("" if named else f" AS {text.split('.')[-1]}")))
+    return edits
+
+
 def with_meaning(sql: str, plan) -> str:
-    """The admitted statement with the functions of MEANING in place of Spark's; the parser tells where calls begin."""
-    starts = set()
+    """The admitted statement with SQLite's functions in place of Spark's; the parser tells where calls and columns stand."""
+    edits = _bare_columns(plan, sql)
     for call in _calls(plan):
-        name, n = call.nameParts().apply(0).lower(), call.arguments().size()
-        require(not (name in ("max", "min") and n > 1), f"{name} of several values is not allowed: use CASE")
-        require(name != "typeof", "typeof is not allowed: types here are the columns'")
+        (name, n), (start, stop) = _called(call), _span(call)
+        if name not in FUNCTIONS:
+            continue
+        require(sql[start : start + len(name)].lower() == name, "a function's name is plain")
         if name in MEANING:
-            starts.add(call.origin().startIndex().get())
-    for at in sorted(starts, reverse=True):
-        sql = sql[:at] + PREFIX + sql[at:]
+            edits.append((start, start, PREFIX))
+        elif name == "typeof" or (name in ("max", "min") and n > 1):
+            require(name != "typeof" or n == 1, "typeof has one argument")
+            before, after = WRAPPED[name]
+            edits += [(start, start + len(name), before), (stop + 1, stop + 1, after)]
+    return _edited(sql, edits)
+
+
+def _edited(sql: str, edits: list[tuple[int, int, str]]) -> str:
+    """The text with parts replaced; of two edits at one place the one that ends first is written first."""
+    for start, end, text in sorted(dict.fromkeys(edits), key=lambda x: (x[0], x[1]), reverse=True):
+        sql = sql[:start] + text + sql[end:]
     return sql
 
 
-def prepare(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], params: list | None = None) -> DataFrame:
-    """The DataFrame of an admitted statement with SQLite's meaning; the tables are views of the session, define_meaning() has run.
+DIVIDING = ("Divide", "Remainder", "IntegralDivide")
 
-    Whole numbers don't divide by ``/``, which would leave whole numbers here:
-    ``div`` does.  Overflow and division by zero raise.
-    """
-    df = spark.sql(with_meaning(sql, admit(spark, sql, tables)), args=params or None)
-    if "/" in sql:
-        _no_whole_division(df)
-    return df
 
+def _whole_divisions(analysed) -> set[tuple[int, int]]:
+    """Where whole numbers are divided by ``/``; the analysis has turned them into doubles."""
+    found = set()
+    for node in _nodes(analysed):
+        if _kind(node) == "Divide" and node.origin().startIndex().isDefined():
+            sides = [x.child() if _kind(x) == "Cast" else x for x in (node.left(), node.right())]
+            if all(x.dataType().typeName() in ("byte", "short", "integer", "long") for x in sides):
+                found.add(_span(node))
+    return found
 
-def _no_whole_division(df: DataFrame) -> None:
-    """Refuses divisions of two whole numbers, which the analysis has turned into doubles."""
 
-    def integral(e) -> bool:
-        if e.getClass().getSimpleName() == "Cast":
-            e = e.child()
-        return e.dataType().typeName() in ("byte", "short", "integer", "long")
+def with_division(spark: SparkSession, sql: str, args: list | None) -> str:
+    """Dividing by zero gives null, and ``/`` of whole numbers becomes ``div``, inner divisions first, for outer ones may become whole by them."""
+    tree = lambda text: spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    edits = []
+    for node in _nodes(tree(sql)):
+        if _kind(node) in DIVIDING:
+            start, end = _span(node.right())
+            edits += [(start, start, "nullif("), (end + 1, end + 1, ", 0)")]
+    sql = _edited(sql, edits)
+    while edits:
+        whole, edits = _whole_divisions(spark.sql(sql, args=args)._jdf.queryExecution().analyzed()), []
+        for node in _nodes(tree(sql)):
+            if _kind(node) == "Divide" and _span(node) in whole:
+                at = sql.index("/", _span(node.left())[1] + 1)
+                edits.append((at, at + 1, " div "))
+        sql = _edited(sql, edits)
+    return sql
 
-    def walk(node):
-        if node.getClass().getSimpleName() == "Divide":
-            require(not (integral(node.left()) and integral(node.right())), "whole numbers divide by div")
-        plan = "LogicalPlan" in _kinds(node)
-        for group in (node.expressions() if plan else None, node.children()):
-            for i in range(group.size() if group is not None else 0):
-                walk(group.apply(i))
-        if "SubqueryExpression" in _kinds(node) or "PlanExpression" in _kinds(node):
-            walk(node.plan())
 
-    walk(df._jdf.queryExecution().analyzed())
+def prepare(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], params: list | None = None) -> DataFrame:
+    """The DataFrame of an admitted statement with SQLite's meaning; the tables are views of the session, define_meaning() has run.
+
+    Overflow raises.
+    """
+    sql, args = with_meaning(sql, admit(spark, sql, tables)), params or None
+    return spark.sql(with_division(spark, sql, args), args=args)
 
 
 def bounded_run(spark: SparkSession, df: DataFrame, most: int, seconds: float) -> list[tuple]:
@@ -278,12 +357,14 @@ def fingerprint(tables: Mapping[str, DataFrame]) -> str:
 
 
 def session_of(spark: SparkSession, tables: Mapping[str, DataFrame]) -> SparkSession:
-    """A session of its own that has the tables as views and the functions of MEANING."""
+    """A session of its own that has the tables, whatever they are made of, as views and the functions of MEANING."""
     own = spark.newSession()
     for name, df in tables.items():
-        files = df.inputFiles()
-        require(bool(files), "tables are read from files")
-        own.read.schema(df.schema).parquet(*files).createOrReplaceTempView(name)
+        # Sessions share global views; the own view keeps the plan, so the shared one can go.
+        private = f"workload_{uuid.uuid4().hex}"
+        df.createGlobalTempView(private)
+        own.table(f"global_temp.{private}").createOrReplaceTempView(name)
+        spark.catalog.dropGlobalTempView(private)
     define_meaning(own)
     return own
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions.digest import multiset_digest, ordered_digest
@@ -48,3 +49,21 @@ def test_stream_counts_like_a_batch(spark, tmp_path):
     q.awaitTermination(120)
     key = lambda r: (r["start"], r["event_type"])
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, windowed_counts(df).collect()))
+
+
+@pytest.mark.parametrize("kind", ["skewed", "flat", "few"])
+@pytest.mark.parametrize("tracked", [16, 64])
+def test_top_k_is_whole_with_sketches_smaller_than_the_domain(spark, kind, tracked):
+    import random
+    from collections import Counter
+
+    from sparkloom.operators.approximate import checked_top_k, proven_top_k
+
+    rng = random.Random(tracked)
+    values = {"skewed": [int(rng.paretovariate(0.9)) for _ in range(20_000)], "flat": [x % 3000 for x in range(12_000)] + [7], "few": [1, 1, 2]}[kind]
+    df = spark.createDataFrame([(v,) for v in [*values, None, None]], "v long").repartition(3)
+    want = sorted(Counter(values).items(), key=lambda x: (-x[1], x[0]))[:5]
+    found, proven = proven_top_k(df, "v", 5, tracked, buckets=512)
+    assert sorted(((r["item"], r["n"]) for r in found.collect()), key=lambda x: (-x[1], x[0])) == want
+    assert not (kind == "flat" and proven)
+    assert [(r["item"], r["n"]) for r in checked_top_k(df, "v", 5, tracked).collect()] == want
