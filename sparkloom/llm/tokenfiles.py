@@ -13,6 +13,7 @@ and stray files change nothing.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -21,7 +22,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ from .common import SharedTable, bound_batches, shared_folder
 from .idcodec import BLOCK, HEADER, CodecError, decode, encode
 
 #: Id that ends a document; pieces of text whose ids a worker keeps.
-END, KEPT = 0, 500_000
+END, KEPT = 0, 1_000_000
 FILE, GROUP = struct.Struct("<8sII"), struct.Struct("<4sIQIII")
 MAGIC, GROUP_MAGIC = b"TOKIDS01", b"TIDG"
 MANIFEST = "part int, place int, file string, at long, size long, n_docs long, n_ids long"
@@ -40,13 +43,28 @@ PARTS = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_
 MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None}
 
 
+#: How byte-level tokenizers split texts into words, and characters that all versions of Unicode class alike.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+MARKS = "!\"#$%&'()*+,-./:;=?@[]^_`{}~"
+PLAIN = re.compile("[\n !-~\u00a1-\u00ac\u00ae-\u024f]*")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: itself where it is printable, else the next from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class PieceEncoder:
     """Encodes texts exactly as the tokenizer without special tokens added.
 
     With a byte-level tokenizer of known parts, a space before anything but
-    white space begins a new word, so what stands between two spaces is encoded once
-    and kept.  Texts with other white space after a space, and other
-    tokenizers' texts, are encoded at one go.
+    white space begins a new word.  So what stands between two spaces is encoded once
+    and kept, and so are its words, which the library's model encodes.
+    Pieces with unusual characters or added tokens go through the whole
+    library, and so do texts with other white space after a space, and all
+    texts of other tokenizers.
     """
 
     def __init__(self, path: str):
@@ -55,42 +73,90 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         with open(path, encoding="utf-8") as file:
             found = json.load(file)
+        self.added = [t["content"] for t in found.get("added_tokens") or ()]
+        # No added token lies within letters and marks.
+        self.marked = any(all(c.isalpha() or c in MARKS for c in t) for t in self.added)
         plain = not any(any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] for t in found.get("added_tokens") or ())
         self.pieces = plain and all(found.get(k) == v for k, v in PARTS.items()) and all(found["model"].get(k) == v for k, v in MODEL.items())
+        self.letters = byte_letters()
+        #: Ids of pieces, each with the space before it, and of words without one.
         self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Ids of pieces with a space before them.  A last comma or full stop is a word of its own after letters."""
-        known, bases = self.known, {}
-        for p in pieces:
-            base = p[:-1]
-            if p[-1] in ",." and base.isalpha() and max(base) < "\u0250":
-                bases[p] = base
-        new = [p for p in {bases.get(p, p) for p in pieces} if p not in known]
-        known.update(zip(new, self.whole([" " + p for p in new]), strict=True))
-        marks = dict(zip(",.", self.whole([",", "."]), strict=True))
-        for p, base in bases.items():
-            known[p] = known[base] + marks[p[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, four bytes each."""
-        if not self.pieces:
-            return self.whole(texts)
-        if len(self.known) > KEPT:
-            self.known.clear()
-        split = [t.split(" ") for t in texts]
-        new = set().union(*(s[1:] for s in split)).difference(self.known)
-        other = {p for p in new if not p or p[0].isspace()}
-        self.learn(new - other)
-        get = self.known.__getitem__
-        heads = self.whole([s[0] for s in split])
-        return [self.whole([t])[0] if other and not other.isdisjoint(s[1:]) else h + b"".join(map(get, s[1:])) for t, s, h in zip(texts, split, heads, strict=True)]
+        self.words: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def model_ids(self, word: str) -> bytes:
+        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def word(self, word: str) -> bytes:
+        if (ids := self.words.get(word)) is None:
+            ids = self.words[word] = self.model_ids(word)
+        return ids
+
+    def text(self, text: str) -> bytes:
+        """A text whose words don't depend on what stands around it."""
+        if not PLAIN.fullmatch(text) or any(a in text for a in self.added):
+            return self.whole(text)
+        return b"".join([self.word(w) if w[0] != " " else self.spaced(w[1:]) for w in WORDS.findall(text)])
+
+    def spaced(self, word: str) -> bytes:
+        """A word with a space before it."""
+        if (ids := self.known.get(word)) is None:
+            ids = self.known[word] = self.model_ids(" " + word)
+        return ids
+
+    def learn(self, piece: str) -> None:
+        """Ids of what stands between two spaces: letters, letters and marks, or anything else."""
+        base = piece.rstrip(MARKS)
+        if not base.isalpha() or not PLAIN.fullmatch(base) or self.marked:
+            self.known[piece] = self.text(" " + piece)
+        elif base is piece or base == piece:
+            self.spaced(piece)
+        else:
+            self.known[piece] = self.spaced(base) + self.word(piece[len(base) :])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has."""
+        if not self.pieces or not len(texts):
+            found = [self.whole(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy()
+        words = split.values.dictionary_encode()
+        codes, named = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary.to_pylist()
+        if len(self.known) > KEPT:  # what this batch has is what is used most
+            self.known = {p: self.known[p] for p in named if p in self.known}
+        if len(self.words) > KEPT:
+            self.words.clear()
+        other = [i for i, p in enumerate(named) if not p or p[0].isspace()]
+        for i in other:
+            named[i] = ""
+        self.known[""] = b""
+        for p in named:
+            if p not in self.known:
+                self.learn(p)
+        ids = list(map(self.known.__getitem__, named))
+        # First pieces have no space before them: each text has one of its own, which is the whole text where others are unusual.
+        first = bounds[:-1]
+        heads = [self.text(named[c]) if named[c] else None for c in codes[first].tolist()]
+        unusual = np.isin(codes, other)
+        unusual[first] &= np.array([h is None for h in heads])
+        whole = np.unique(np.searchsorted(bounds, np.flatnonzero(unusual), "right") - 1)
+        for i in whole.tolist():
+            codes[bounds[i] : bounds[i + 1]] = len(ids)
+            heads[i] = self.whole(texts[i].as_py())
+        codes[first] = len(ids) + 1 + np.arange(len(first))
+        ids += [b"", *heads]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts, n = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths, lengths[codes]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        return flat[np.repeat(starts[codes] - upto[:-1], n) + np.arange(upto[-1])], np.diff(upto[bounds])
 
 
 @lru_cache(2)
@@ -107,12 +173,12 @@ def file_head(vocabulary: int, end: int) -> bytes:
     return FILE.pack(MAGIC, vocabulary, end)
 
 
-def pack_group(docs: list[tuple[int | None, bytes]], vocabulary: int) -> bytes:
-    """Whole documents (id, bytes of token ids) as a group."""
+def pack_group(docs: list[tuple[int | None, np.ndarray]], vocabulary: int) -> bytes:
+    """Whole documents (id, token ids) as a group."""
     named = np.array([d is not None for d, _ in docs], np.uint8)
-    table = named.tobytes() + np.array([d or 0 for d, _ in docs], "<i8").tobytes() + np.array([len(b) // 4 for _, b in docs], "<u8").tobytes()
+    table = named.tobytes() + np.array([d or 0 for d, _ in docs], "<i8").tobytes() + np.array([len(x) for _, x in docs], "<u8").tobytes()
     table = zlib.compress(table, 1)
-    ids = np.frombuffer(b"".join(b for _, b in docs), "<u4")
+    ids = np.concatenate([x for _, x in docs])
     blocks = [encode(ids[at : at + BLOCK], vocabulary) for at in range(0, len(ids), BLOCK)]
     return b"".join([GROUP.pack(GROUP_MAGIC, len(docs), len(ids), len(blocks), len(table), zlib.crc32(table)), table, *blocks])
 
@@ -154,7 +220,7 @@ def write_ids(docs: DataFrame, path: str, folder: str | None = None, end: int =
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, file, at, rows, held, size, mark = encoder(path), None, 0, [], [], 0, struct.pack("<I", end)
+        tokens, file, at, rows, held, size = encoder(path), None, 0, [], [], 0
         part = TaskContext.get().partitionId()
         system, root = open_folder(folder)
         name = f"{part:06d}-{uuid.uuid4().hex}.tokids"
@@ -171,11 +237,14 @@ def write_ids(docs: DataFrame, path: str, folder: str | None = None, end: int =
             at, held, size = at + len(group), [], 0
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):
-                n = len(ids) // 4 + 1
+            ids, lengths = tokens.encode(batch.column(1))
+            ends = np.cumsum(lengths)
+            ids = np.insert(ids, ends, np.uint32(end))
+            ends += np.arange(1, len(ends) + 1)
+            for doc, upto, n in zip(batch.column(0).to_pylist(), ends.tolist(), (lengths + 1).tolist(), strict=True):
                 if held and size + n > BLOCK:
                     flush()
-                held.append((doc, ids + mark))
+                held.append((doc, ids[upto - n : upto]))
                 size += n
         if held:
             flush()
