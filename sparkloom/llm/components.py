@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,42 @@ def _least(edges: DataFrame) -> tuple[DataFrame, tuple[int, int, int]]:
     return join_unique(edges, least.drop("h"), "u", total, largest=most), (total, mark, most)
 
 
+#: Nodes that a task remembers while it drops edges.
+REMEMBERED = 500_000
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the same components: each task, as many as run at once, drops those that its earlier ones already imply.
+
+    Where groups are linked through many keys that leaves an edge a node and
+    task instead of one a node and key.  A task that has met REMEMBERED nodes
+    forgets them, which costs edges and nothing else.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := above.setdefault(x, x)) != x:
+                above[x] = above[up]
+                x = up
+            return x
+
+        for batch in batches:
+            kept: tuple[list[int], list[int]] = ([], [])
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = top(u), top(v)
+                if a != b:
+                    above[max(a, b)] = min(a, b)
+                    kept[0].append(u), kept[1].append(v)
+                if len(above) > REMEMBERED:
+                    above.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in kept], ["u", "v"])
+
+    known = edges.where("u is not null and v is not null").select("u", "v")
+    return known.coalesce(edges.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root is the smallest node that it reaches.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SharedTable, bound_batches, join_unique
-from .components import components
+from .components import components, spanning_forest
 
 CHUNK = 1 << 20
 
@@ -483,7 +483,8 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
                 rows, keys = long_keys(part := prints[k : k + 4096])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), _signed(part[rows, 0]), _signed(part[rows, 1])], ["key", "a", "b"])
 
-    candidates = components(key_links(nodes.where("words > 0").select("a", "b", "c").distinct().mapInArrow(emit, "key long, a long, b long"), WIDE_RADIUS))
+    keyed = nodes.where("words > 0").select("a", "b", "c").distinct().mapInArrow(emit, "key long, a long, b long")
+    candidates = components(spanning_forest(key_links(keyed, WIDE_RADIUS)))
     # Different texts may have one fingerprint: they are candidates too.  Each fingerprint is one row of the table that all its texts meet.
     sized = nodes.where("words > 0").groupBy("a").agg(F.count("*").alias("texts"))
     rooted = SharedTable(sized.join(candidates.withColumnRenamed("node", "a"), "a", "left").select("a", "texts", F.coalesce("root", "a").alias("root")), "rooted").df

@@ -211,6 +211,18 @@ def test_a_third_of_all_rows_are_one_text(spark, monkeypatch, members):
     assert S.keep_one(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("remembered", [500_000, 5])
+def test_forests_keep_components(spark, monkeypatch, remembered):
+    import sparkloom.llm.components as K
+
+    monkeypatch.setattr(K, "REMEMBERED", remembered)
+    rng = np.random.default_rng(3)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(100 + i, 100 + j) for i in range(20) for j in range(20)] + [(None, 1), (7, 7)], "u long, v long").repartition(3)
+    forest = K.spanning_forest(edges)
+    assert sorted(map(tuple, K.components(forest).collect())) == sorted(map(tuple, K.components(edges).collect()))
+    assert remembered == 5 or forest.where("u >= 100").count() <= 19 * forest.rdd.getNumPartitions()
+
+
 def test_long_fingerprints():
     """Texts whose shingles are four fifths alike share a key and differ in few bits, but for one in twenty at most."""
     rng = random.Random(12)
