@@ -589,10 +589,10 @@ def report_sink(spark, d):
     return spark.createDataFrame([(json.dumps(list(json.loads(raw)), separators=(",", ":")), digest == f"sha256:{hashlib.sha256(raw).hexdigest()}", kept)], "keys string, same boolean, kept boolean")
 
 
-def _sqlite_file(spark, d, table: str, create: str) -> str:
+def _sqlite_file(df: DataFrame, table: str, create: str) -> str:
     """A small table as a SQLite file, which Spark ships to the executors."""
-    rows = read(spark, d, table).collect()
-    path = f"{tempfile.mkdtemp(prefix='sqlite-')}/{table}.db"
+    rows = df.collect()
+    path = f"{tempfile.mkdtemp(prefix='sqlite-')}/{table}-{uuid.uuid4().hex}.db"  # Spark ships files by name
     with contextlib.closing(sqlite3.connect(path)) as db:
         db.execute(create)
         db.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(rows[0]))})", [tuple(r) for r in rows])
@@ -605,7 +605,7 @@ NATION_TABLE = "CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEX
 
 
 def _nation_file(spark, d):
-    return _sqlite_file(spark, d, "nation", NATION_TABLE)
+    return _sqlite_file(read(spark, d, "nation"), "nation", NATION_TABLE)
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
@@ -615,7 +615,15 @@ def sqlite_scan(spark, d):
 
 @query("SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
 def sqlite_scan_without_rowid(spark, d):
-    return read_sqlite(spark, _sqlite_file(spark, d, "region", "CREATE TABLE region (r_regionkey INTEGER PRIMARY KEY, r_name TEXT) WITHOUT ROWID"), "region")
+    return read_sqlite(spark, _sqlite_file(read(spark, d, "region"), "region", "CREATE TABLE region (r_regionkey INTEGER PRIMARY KEY, r_name TEXT) WITHOUT ROWID"), "region")
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, CASE WHEN n_regionkey <> 3 THEN n_regionkey::BIGINT END AS n_regionkey, CASE WHEN n_regionkey = 3 THEN '{\"n_regionkey\": [\"str\", \"' || n_name || '\"]}' END AS _misfits FROM nation WHERE n_nationkey > 4 AND n_name >= 'C'")
+def sqlite_scan_filtered(spark, d):
+    """Filters go into the file's own scan; cells that don't fit their column are told apart, not lost."""
+    create = "CREATE TABLE nation (n_nationkey BIGINT, n_name VARCHAR(25) COLLATE NOCASE, n_regionkey INT)"
+    nations = read(spark, d, "nation").select("n_nationkey", "n_name", F.when(F.col("n_regionkey") == 3, F.col("n_name")).otherwise(F.col("n_regionkey").cast("string")).alias("n_regionkey"))
+    return read_sqlite(spark, _sqlite_file(nations, "nation", create), "nation", misfits="collect").where("n_nationkey > 4 AND n_name >= 'C'")
 
 
 @query(_values([("table", "nation", 0, "n_nationkey", None, None), ("table", "nation", 1, "n_name", None, None), ("table", "nation", 2, "n_regionkey", None, None), ("index", "by_name", 0, "n_name", "NOCASE", True)], "kind, name, position, column_name, sorted_by, descending"))

@@ -4,7 +4,7 @@ import zipfile
 
 from sparkloom.functions.text import escape_untrusted, keyword_hits
 from sparkloom.sources.archives import Limits, archive_members, read_archives, summary
-from sparkloom.sources.sqlite import SqliteDataSource
+from sparkloom.sources.sqlite import FilteringReader, SqliteDataSource, column_type, read_sqlite
 
 
 def archive(files, prefix=b""):
@@ -73,3 +73,75 @@ def test_sqlite(spark, tmp_path):
     df = spark.read.format("sqlite").option("path", path).option("table", "m").load()
     assert df.dtypes == [("id", "bigint"), ("name", "string"), ("score", "double")]
     assert df.count() == 100 and df.selectExpr("sum(score)").first()[0] == sum(i / 2 for i in range(100))
+
+
+def made(path, *statements):
+    db = sqlite3.connect(str(path))
+    for sql, *rows in statements:
+        db.executemany(sql, rows) if rows else db.execute(sql)
+    db.commit()
+    db.close()
+    return str(path)
+
+
+def test_sqlite_affinities(tmp_path):
+    """Types are those that SQLite itself gives: what it turns text, numbers and reals into tells the affinity."""
+    names = "INT BIGINT INTEGER TINYINT VARCHAR(25) NCHAR(5) CLOB TEXT BLOB REAL DOUBLE FLOAT DECIMAL(12,2) NUMERIC CHARINT".split()
+    db = sqlite3.connect(":memory:")
+    for name in names:
+        db.execute("drop table if exists t")
+        db.execute(f"create table t (c {name})")
+        db.execute("insert into t values ('7')")
+        db.execute("insert into t values (7)")
+        a, b = (r[0] for r in db.execute("select typeof(c) from t order by rowid"))
+        want = {("integer", "integer"): ("bigint", "double"), ("text", "text"): ("string",), ("real", "real"): ("double",), ("text", "integer"): ("binary",)}[a, b]
+        assert column_type(name) in want, name
+    assert [column_type(x) for x in ("DATE", "BOOLEAN", "", "INT", "decimal(5,1)")] == ["string", "string", "string", "bigint", "double"]
+
+
+def test_sqlite_odd_cells(spark, tmp_path):
+    rows = [(1, "a", 1.5, b"x", "2020-01-01", 7), (None, None, None, None, None, None), ("seven", b"\x01", "y", "z", 5, "n/a"), (2**62, "", 3, b"", 2.5, 2**60)]
+    path = made(tmp_path / "odd.db", ("create table `o d` (i INT, t VARCHAR(9), r REAL, b BLOB, d DATE, n DECIMAL(9,2))",), ("insert into `o d` values (?, ?, ?, ?, ?, ?)", *rows))
+    df = read_sqlite(spark, path, "o d", misfits="collect", partitions="3")
+    assert [t for _, t in df.dtypes] == ["bigint", "string", "double", "binary", "string", "double", "string"]
+    found = [tuple(r) for r in df.collect()]
+    assert found[0] == (1, "a", 1.5, bytearray(b"x"), "2020-01-01", 7.0, None) and found[1] == (None,) * 7
+    assert found[2][:6] == (None, None, None, None, "5", None)
+    assert found[2][6] == '{"b": ["str", "z"], "i": ["str", "seven"], "n": ["str", "n/a"], "r": ["str", "y"], "t": ["bytes", "01"]}'
+    assert found[3][0] == 2**62 and found[3][5] is None and '"n": ["int", "1152921504606846976"]' in found[3][6]
+    for columns in ("i", "n"):
+        try:
+            read_sqlite(spark, path, "o d").select(columns).collect()
+            raise AssertionError("a cell that doesn't fit")
+        except Exception as error:  # noqa: BLE001  Spark wraps the task's error
+            assert "of o d is" in str(error)
+
+
+def test_sqlite_pushdown(spark, tmp_path):
+    """Each filter gives the rows that Spark keeps of the unfiltered scan, with cells of other types among them."""
+    rows = [(i if i % 5 else f"t{i}", f"N{i % 7}" if i % 3 else None, i / 4) for i in range(200)]
+    path = made(tmp_path / "p.db", ("create table p (i INTEGER, t TEXT COLLATE NOCASE, r REAL)",), ("insert into p values (?, ?, ?)", *rows), ("create index by_i on p (i)",))
+    df = read_sqlite(spark, path, "p", misfits="collect")
+    whole = spark.createDataFrame(df.collect(), df.schema)
+    for test in ("i > 190", "i <= 3", "i = 7", "i in (1, 5, 6)", "t = 'n3'", "t = 'N3'", "t >= 'N5'", "t in ('n1', 'N2')", "r < 2.25", "r = 5", "i is null", "t is not null and i > 100", "not i = 7", "i < 3 or r > 48"):
+        assert sorted(map(str, df.where(test).collect())) == sorted(map(str, whole.where(test).collect())), test
+    reader = FilteringReader({"path": path, "table": "p", "misfits": "collect"}, df.schema)
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    left = reader.pushFilters([GreaterThan(("i",), 190), EqualTo(("t",), "N3"), EqualTo(("r",), "x")])
+    assert len(left) == 3 and [sql for sql, _ in reader.where] == ['"i" > ? collate binary', '"t" = ? collate binary']
+    # Of 200 rows SQLite hands on the 8 whole numbers beyond 190 (and text, which it orders after numbers) that have the name.
+    read = [r for p in reader.partitions() for r in reader.read(p)]
+    assert 0 < len(read) < 20
+
+
+def test_sqlite_cell_bound(spark, tmp_path):
+    path = made(tmp_path / "c.db", ("create table c (t TEXT)",), ("insert into c values (?)", ("x" * 70_000,)))
+    assert read_sqlite(spark, path, "c", cell_bytes="80000").selectExpr("length(t)").first()[0] == 70_000
+    try:
+        read_sqlite(spark, path, "c").collect()
+        raise AssertionError("a cell beyond the bound")
+    except Exception as error:  # noqa: BLE001  Spark wraps the task's error
+        assert "too big" in str(error)
+    path = made(tmp_path / "w.db", ("create table w (a TEXT, b TEXT)",), ("insert into w values (?, ?)", ("x" * 40_000, "y" * 40_000)))
+    assert [len(x) for x in read_sqlite(spark, path, "w").first()] == [40_000, 40_000]
