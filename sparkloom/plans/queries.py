@@ -22,7 +22,7 @@ from ..functions.text import KEYWORDS, STEMS, escape_untrusted, keyword_hits
 from ..operators import approximate, blocks, bounds, compact, evidence, pairs, pareto, sets
 from ..operators.order import budgeted_best, with_ordinal
 from ..shared import SharedTable, shared_folder
-from ..sources.archives import archive_members, within_budget
+from ..sources.archives import archive_members, read_split_archives, within_budget
 from ..sources.archives import summary as archive_totals
 from ..sources.paths import without_sidecars
 from ..sources.sqlite import inventory as sqlite_inventory
@@ -695,6 +695,44 @@ def archive_summary(spark, d):
     return archive_totals(_archives(spark, d)).select("members", "deepest", "text_members", "problems", "complete")
 
 
+def _part_archives(spark, d) -> str:
+    """A folder with an archive of each brand's parts, behind a line of script."""
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    spark.createDataFrame([], "x int").write.parquet(folder)  # makes the folder, whatever its file system
+
+    def write(parts):
+        import re
+        import zipfile
+
+        import pandas as pd
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(folder) if re.match(r"[a-z][a-z0-9+.-]+://", folder) else (fs.LocalFileSystem(), re.sub("^file:", "", folder))
+        own = parts.sort_values("p_partkey")
+        with system.open_output_stream(f"{inner}/{own['brand'].iloc[0]}.zip") as out:
+            out.write(b"#!/bin/sh\n")
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for key, name in zip(own["p_partkey"], own["p_name"]):
+                    z.writestr(f"{key}.txt", name)
+        return pd.DataFrame({"n": [len(own)]})
+
+    named = read(spark, d, "part").select(F.translate("p_brand", "#", "").alias("brand"), "p_partkey", "p_name")
+    named.groupBy("brand").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+PART_ARCHIVES = "SELECT replace(p_brand, '#', '') || '.zip' AS archive, p_partkey, p_name FROM part"
+
+
+@query(f"""
+SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY p_partkey) AS ordinal, p_partkey || '.txt' AS filename, p_name AS content, NULL AS problem FROM ({PART_ARCHIVES})
+UNION ALL SELECT DISTINCT archive, 0, NULL, '#!/bin/sh' || chr(10), 'prefix before the first member' FROM ({PART_ARCHIVES})""")
+def archive_split(spark, d):
+    """Archives read by runs of their members, some kilobyte each, with the text before the first member."""
+    members = read_split_archives(spark, _part_archives(spark, d), run_bytes=1_000)
+    return members.select(F.regexp_extract("archive", "[^/]+$", 0).alias("archive"), "ordinal", "filename", "content", "problem")
+
+
 @query("SELECT p_partkey, p_name || '\\x1b[0m' AS shown FROM part")
 def terminal_safe(spark, d):
     return read(spark, d, "part").select("p_partkey", escape_untrusted(F.concat("p_name", F.lit("\x1b[0m"))).alias("shown"))

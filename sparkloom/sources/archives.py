@@ -1,8 +1,10 @@
 """Inventory of ZIP archives, nested ones too, as rows; text members can then be scanned as DataFrames.
 
-Archives come from Spark's binaryFile source.  One archive is one row and is
-walked inside one task, under limits on members, depth and decompressed bytes;
-what a limit or damage stops is a row with a problem, never left out silently.
+Small archives come from Spark's binaryFile source: one archive is one row and
+is walked inside one task.  Large ones are split: a task reads an archive's
+directory only, and runs of its members are dealt to tasks of their own, which
+seek to them.  Limits hold for members, depth and decompressed bytes; what a
+limit or damage stops is a row with a problem, never left out silently.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.order import with_running_sum
+from ..shared import SharedTable
 
 MEMBERS = "archive string, ordinal long, depth int, filename string, file_size long, compress_size long, method int, flags int, crc long, problem string, content string"
 
@@ -59,70 +62,94 @@ def unsafe(name: str) -> str | None:
     return "parent traversal" if ".." in plain.split("/") else None
 
 
-def walk(label: str, raw: bytes, limits: Limits) -> Iterator[tuple]:
-    """Rows of MEMBERS of an archive and of those in it, depth first."""
-    used = {"members": 0, "bytes": 0}
+class Walk:
+    """Rows of MEMBERS of an archive and of those in it, depth first, with what the walk has used of its limits."""
 
-    def rows(label, raw, depth):
-        def row(info, problem, content=None):
-            used["members"] += 1
-            name = info.filename if info else None
-            numbers = (info.file_size, info.compress_size, info.compress_type, info.flag_bits, info.CRC) if info else (None,) * 5
-            return (label, used["members"] - 1, depth, name, *numbers, problem, content)
+    def __init__(self, limits: Limits):
+        self.limits, self.members, self.bytes = limits, 0, 0
 
-        try:
-            opened = zipfile.ZipFile(io.BytesIO(raw))
-            infos = opened.infolist()
-        except (zipfile.BadZipFile, ValueError, NotImplementedError, EOFError) as error:
-            yield row(None, f"invalid archive: {type(error).__name__}")
+    def row(self, label, depth, info, problem, content=None) -> tuple:
+        self.members += 1
+        name = info.filename if info else None
+        numbers = (info.file_size, info.compress_size, info.compress_type, info.flag_bits, info.CRC) if info else (None,) * 5
+        return (label, self.members - 1, depth, name, *numbers, problem, content)
+
+    def archive(self, label: str, file, depth: int = 0) -> Iterator[tuple]:
+        opened, problem = directory(file)
+        if problem:
+            yield self.row(label, depth, None, problem)
             return
-        prefix = min((i.header_offset for i in infos), default=0)
-        if prefix > 0 and textual(raw[:prefix]):
-            yield row(None, "prefix before the first member", raw[: min(prefix, limits.text_bytes)].decode("utf-8", "replace"))
-        for info in infos:
-            if used["members"] >= limits.members:
-                yield row(info, "member limit")
+        if (text := prefix_text(file, opened, self.limits)) is not None:
+            yield self.row(label, depth, None, "prefix before the first member", text)
+        for info in opened.infolist():
+            if self.members >= self.limits.members:
+                yield self.row(label, depth, info, "member limit")
                 return
-            if why := unsafe(info.filename):
-                yield row(info, why)
-                continue
-            if info.is_dir():
-                yield row(info, "directory with content" if info.file_size else None)
-                continue
-            if info.flag_bits & 1:
-                yield row(info, "encrypted")
-                continue
-            if info.file_size > limits.member_bytes or used["bytes"] + info.file_size > limits.total_bytes:
-                yield row(info, "byte limit")
-                continue
+            yield from self.member(label, opened, info, depth)
+
+    def member(self, label: str, opened: zipfile.ZipFile, info: zipfile.ZipInfo, depth: int) -> Iterator[tuple]:
+        limits = self.limits
+        if not readable(info):
+            yield self.row(label, depth, info, refusal(info))
+            return
+        if info.file_size > limits.member_bytes or self.bytes + info.file_size > limits.total_bytes:
+            yield self.row(label, depth, info, "byte limit")
+            return
+        try:
+            with opened.open(info) as member:
+                data = member.read(info.file_size + 1)
+        except Exception as error:  # noqa: BLE001  damaged streams raise all kinds of errors
+            yield self.row(label, depth, info, f"unreadable: {type(error).__name__}")
+            return
+        if len(data) != info.file_size:
+            yield self.row(label, depth, info, "wrong size")
+            return
+        self.bytes += len(data)
+        suffix = "." + info.filename.rpartition(".")[2].lower() if "." in info.filename else ""
+        if data[:4] in (b"PK\x03\x04", b"PK\x05\x06") or suffix == ".zip":
+            yield self.row(label, depth, info, None if depth < limits.depth else "depth limit")
+            if depth < limits.depth:
+                yield from self.archive(f"{label}!{info.filename}", io.BytesIO(data), depth + 1)
+        elif suffix not in TEXT_SUFFIXES and not textual(data):
+            yield self.row(label, depth, info, None)
+        elif len(data) > limits.text_bytes:
+            yield self.row(label, depth, info, "text limit")
+        else:
             try:
-                with opened.open(info) as member:
-                    data = member.read(info.file_size + 1)
-            except Exception as error:  # noqa: BLE001  damaged streams raise all kinds of errors
-                yield row(info, f"unreadable: {type(error).__name__}")
-                continue
-            if len(data) != info.file_size:
-                yield row(info, "wrong size")
-                continue
-            used["bytes"] += len(data)
-            suffix = "." + info.filename.rpartition(".")[2].lower() if "." in info.filename else ""
-            if data[:4] in (b"PK\x03\x04", b"PK\x05\x06") or suffix == ".zip":
-                yield row(info, None if depth < limits.depth else "depth limit")
-                if depth < limits.depth:
-                    yield from rows(f"{label}!{info.filename}", data, depth + 1)
-                continue
-            if suffix in TEXT_SUFFIXES or textual(data):
-                if len(data) > limits.text_bytes:
-                    yield row(info, "text limit")
-                    continue
-                try:
-                    yield row(info, None, decode(data))
-                except (UnicodeDecodeError, LookupError) as error:
-                    yield row(info, f"undecodable: {type(error).__name__}")
-                continue
-            yield row(info, None)
+                yield self.row(label, depth, info, None, decode(data))
+            except (UnicodeDecodeError, LookupError) as error:
+                yield self.row(label, depth, info, f"undecodable: {type(error).__name__}")
+
+
+def directory(file) -> tuple[zipfile.ZipFile | None, str | None]:
+    """The archive with its directory read, or why there is none."""
+    try:
+        return zipfile.ZipFile(file), None
+    except (zipfile.BadZipFile, ValueError, NotImplementedError, EOFError) as error:
+        return None, f"invalid archive: {type(error).__name__}"
+
 
-    yield from rows(label, raw, 0)
+def prefix_text(file, opened: zipfile.ZipFile, limits: Limits) -> str | None:
+    """Text before the first member, such as a script that unpacks the archive."""
+    prefix = min((i.header_offset for i in opened.infolist()), default=0)
+    if prefix == 0:
+        return None
+    file.seek(0)
+    raw = file.read(min(prefix, max(limits.text_bytes, 4096)))
+    return raw[: limits.text_bytes].decode("utf-8", "replace") if textual(raw) else None
+
+
+def refusal(info: zipfile.ZipInfo) -> str | None:
+    """Why a member isn't read, as far as the directory tells."""
+    if why := unsafe(info.filename):
+        return why
+    if info.is_dir():
+        return "directory with content" if info.file_size else None
+    return "encrypted" if info.flag_bits & 1 else None
+
+
+def readable(info: zipfile.ZipInfo) -> bool:
+    return refusal(info) is None and not info.is_dir()
 
 
 def archive_members(files: DataFrame, limits: Limits | None = None) -> DataFrame:
@@ -135,12 +162,139 @@ def archive_members(files: DataFrame, limits: Limits | None = None) -> DataFrame
         names = [c.split(" ")[0] for c in MEMBERS.split(", ")]
         for batch in batches:
             for path, raw in zip(batch["path"], batch["content"]):
-                found = list(walk(path, bytes(raw), limits)) if raw is not None else []
+                found = list(Walk(limits).archive(path, io.BytesIO(raw))) if raw is not None else []
                 yield pd.DataFrame(found, columns=names).astype({n: "Int64" for n in ("ordinal", "depth", "file_size", "compress_size", "method", "flags", "crc")})
 
     return files.select("path", "content").mapInPandas(run, MEMBERS)
 
 
+class Sought(io.RawIOBase):
+    """Arrow's file as Python's readers know one: seeking before its start is an OSError."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def readable(self):
+        return True
+
+    def seekable(self):
+        return True
+
+    def tell(self):
+        return self.file.tell()
+
+    def seek(self, offset, whence=0):
+        at = offset + (0, self.file.tell() if whence == 1 else 0, self.file.size() if whence == 2 else 0)[whence]
+        if at < 0:
+            raise OSError("before the start of the file")
+        return self.file.seek(at)
+
+    def readinto(self, into):
+        return self.file.readinto(into)
+
+    def close(self):
+        self.file.close()
+        super().close()
+
+
+def opened_at(path: str):
+    """A file that can be sought in, on any file system that Arrow knows; a path without a scheme is local."""
+    from pyarrow import fs
+
+    path = re.sub(r"^file:/+", "/", path)
+    system, inner = fs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]+:", path) else (fs.LocalFileSystem(), path)
+    return io.BufferedReader(Sought(system.open_input_file(inner)), 1 << 16)
+
+
+#: Decompressed bytes of the members that a task reads, about; a larger member has a task of its own.
+RUN_BYTES = 64 << 20
+
+
+def archive_runs(paths: DataFrame, limits: Limits | None = None, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """(archive, run, first, members, bytes, problem): runs of neighbouring members of each archive in ``path``, from the directories alone.
+
+    An archive that can't be opened is a row with the problem.
+    """
+    limits = limits or Limits()
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for path in batch["path"].dropna():
+                try:
+                    file = opened_at(path)
+                except OSError as error:
+                    yield pd.DataFrame({"archive": [path], "run": [0], "first": [0], "members": [0], "bytes": [0], "problem": [f"invalid archive: {type(error).__name__}"]})
+                    continue
+                with file:
+                    opened, problem = directory(file)
+                    sizes = [min(i.file_size, limits.member_bytes) if readable(i) else 0 for i in opened.infolist()] if opened else []
+                runs = [[0, 0, 0]]
+                for at, size in enumerate(sizes):
+                    if runs[-1][1] and runs[-1][2] + size > run_bytes:
+                        runs.append([at, 0, 0])
+                    runs[-1][1] += 1
+                    runs[-1][2] += size
+                first, members, total = zip(*runs)
+                yield pd.DataFrame({"archive": path, "run": range(len(runs)), "first": first, "members": members, "bytes": total, "problem": problem})
+
+    return paths.select("path").distinct().mapInPandas(run, "archive string, run long, first long, members long, bytes long, problem string")
+
+
+def split_archive_members(paths: DataFrame, limits: Limits | None = None, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """The rows of archive_members() of archives at ``path`` (no contents): each run of members is read by seeking, in any task.
+
+    ``ordinal`` is the place in the whole archive.  ``depth`` and the limits of
+    members and total bytes hold within a member of the archive and all that it
+    contains; for the archive as a whole, members past ``members`` and bytes past ``total_bytes`` are
+    left unread by the directory's sizes and have rows that say so.
+    """
+    limits = limits or Limits()
+    names = [c.split(" ")[0] for c in MEMBERS.split(", ")]
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for path, number, first, members, problem in zip(*(batch[c] for c in ("archive", "run", "first", "members", "problem"))):
+                found = []
+                if problem is not None:
+                    found.append((-1, *Walk(limits).row(path, 0, None, problem)))
+                else:
+                    with opened_at(path) as file:
+                        opened, _ = directory(file)
+                        infos = opened.infolist()
+                        if number == 0 and (text := prefix_text(file, opened, limits)) is not None:
+                            found.append((-1, *Walk(limits).row(path, 0, None, "prefix before the first member", text)))
+                        before = sum(i.file_size for i in infos[: min(first, limits.members)] if readable(i) and i.file_size <= limits.member_bytes)
+                        for at in range(first, min(first + members, limits.members)):
+                            walk, info = Walk(limits), infos[at]
+                            counts = readable(info) and info.file_size <= limits.member_bytes
+                            before += info.file_size if counts else 0
+                            rows = [walk.row(path, 0, info, "byte limit")] if counts and before > limits.total_bytes else walk.member(path, opened, info, 0)
+                            found += [(at, *r) for r in rows]
+                        if first <= limits.members < first + members:
+                            found.append((limits.members, *Walk(limits).row(path, 0, infos[limits.members], "member limit")))
+                table = pd.DataFrame(found, columns=["_at", *names])
+                table["_archive"] = path
+                yield table.astype({n: "Int64" for n in ("_at", "ordinal", "depth", "file_size", "compress_size", "method", "flags", "crc")})
+
+    runs = archive_runs(paths, limits, run_bytes)
+    read = runs.repartition(F.col("archive"), F.col("run")).mapInPandas(run, f"_at long, {MEMBERS}, _archive string")
+    # One narrow row a member's tree gives the places; contents don't pass through the window.
+    read = SharedTable(read, "members").df
+    trees = read.groupBy("_archive", "_at").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_archive").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = trees.select("_archive", "_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    return read.join(starts, ["_archive", "_at"]).withColumn("ordinal", F.col("ordinal") + F.col("_start")).select(*names)
+
+
+def read_split_archives(spark: SparkSession, path: str, limits: Limits | None = None, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """split_archive_members() of the archives in a folder, of which Spark only lists the names."""
+    return split_archive_members(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path"), limits, run_bytes)
+
+
 def read_archives(spark: SparkSession, path: str, limits: Limits | None = None) -> DataFrame:
     return archive_members(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path), limits)
 

@@ -3,7 +3,7 @@ import sqlite3
 import zipfile
 
 from sparkloom.functions.text import escape_untrusted, keyword_hits
-from sparkloom.sources.archives import Limits, archive_members, read_archives, summary
+from sparkloom.sources.archives import Limits, archive_members, archive_runs, read_archives, split_archive_members, summary
 from sparkloom.sources.sqlite import FilteringReader, SqliteDataSource, column_type, read_sqlite
 
 
@@ -145,3 +145,32 @@ def test_sqlite_cell_bound(spark, tmp_path):
         assert "too big" in str(error)
     path = made(tmp_path / "w.db", ("create table w (a TEXT, b TEXT)",), ("insert into w values (?, ?)", ("x" * 40_000, "y" * 40_000)))
     assert [len(x) for x in read_sqlite(spark, path, "w").first()] == [40_000, 40_000]
+
+
+def test_split_archives(spark, tmp_path):
+    """Members dealt to tasks give the rows of one walk: nested archives, prefixes, refused names, damage, other files."""
+    files = {f"d/{i:04}.txt": f"text {i} " * (i % 9) for i in range(1000)} | {"../up": "x", "in.zip": archive({"deep.md": "a", "er.zip": archive({"t.txt": "b"})}), "last.bin": bytes(range(256))}
+    (tmp_path / "large.zip").write_bytes(archive(files, b"#!/bin/sh\nexit\n"))
+    damaged = bytearray(archive({f"{i}.txt": "hello world " * 50 for i in range(5)}))
+    damaged[40] ^= 0xFF
+    (tmp_path / "damaged.zip").write_bytes(damaged)
+    (tmp_path / "none.zip").write_bytes(b"no archive")
+    (tmp_path / "empty.zip").write_bytes(archive({}))
+    paths = spark.createDataFrame([(str(x),) for x in sorted(tmp_path.iterdir())] + [(str(tmp_path / "large.zip"),), (None,)], "path string")
+    runs = archive_runs(paths, run_bytes=4_000)
+    assert runs.where("archive like '%large.zip'").count() >= 10 and runs.agg({"bytes": "max"}).first()[0] <= 4_000
+    rows = [(str(x), bytearray(x.read_bytes())) for x in tmp_path.iterdir()]
+    whole = archive_members(spark.createDataFrame(rows, "path string, content binary"))
+    split = split_archive_members(paths, run_bytes=4_000)
+    assert split.schema == whole.schema and split.count() > 1000
+    assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_split_archives_keep_limits(spark, tmp_path):
+    (tmp_path / "a.zip").write_bytes(archive({f"{i}.txt": "x" * 10 for i in range(20)}))
+    paths = spark.createDataFrame([(str(tmp_path / "a.zip"),), (str(tmp_path / "missing.zip"),)], "path string")
+    found = lambda **limits: {r["ordinal"]: r["problem"] for r in split_archive_members(paths, Limits(**limits), 30).where("archive like '%a.zip'").collect()}
+    assert found(members=7) == {i: None for i in range(7)} | {7: "member limit"}
+    assert found(total_bytes=55) == {i: None if i < 5 else "byte limit" for i in range(20)}
+    assert set(found(member_bytes=9).values()) == {"byte limit"}
+    assert split_archive_members(paths).where("problem like 'invalid archive%'").count() == 1
