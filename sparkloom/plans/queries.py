@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import ContractError
@@ -21,6 +21,7 @@ from ..functions.digest import ordered_digest, typed_digest
 from ..functions.text import KEYWORDS, STEMS, escape_untrusted, keyword_hits
 from ..operators import approximate, blocks, bounds, compact, evidence, pairs, pareto, sets
 from ..operators.order import budgeted_best, with_ordinal
+from ..operators.search import LEDGER, successive_halving
 from ..shared import SharedTable, shared_folder
 from ..sources.archives import archive_members, read_split_archives, within_budget
 from ..sources.archives import summary as archive_totals
@@ -854,6 +855,36 @@ def budgeted_search(spark, d):
     return budgeted_best(read(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_partkey"], "p_size", "p_retailprice", 500)
 
 
+SEARCH_ROUNDS, TRIAL_COST, SEARCH_BUDGET = 12, 50, 130
+
+
+def _search_sql() -> str:
+    """The rounds of the search, one after the other."""
+    rounds = range(SEARCH_ROUNDS)
+    parts = ["t AS (SELECT l_suppkey AS candidate, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS trial, l_quantity::BIGINT AS cost, round(l_extendedprice * 100)::BIGINT AS score FROM lineitem)", "s0 AS (SELECT s_suppkey AS candidate FROM supplier)"]
+    for r in rounds:
+        low, high = 2**r - 1, 2 ** (r + 1) - 1
+        spent = " + ".join([f"(SELECT coalesce(sum(cost), 0) FROM m{q})" for q in range(r)] or ["0"])
+        several = "true" if r == 0 else f"(SELECT count(*) FROM s{r}) > 1"
+        parts.append(f"m{r} AS (SELECT {r} AS round, candidate, count(trial) AS trials, coalesce(sum(cost) FILTER (trial >= {low}), 0)::BIGINT AS cost, sum(score)::DOUBLE / nullif(count(trial), 0) AS mean FROM s{r} LEFT JOIN (SELECT * FROM t WHERE trial < {high}) USING (candidate) "
+                     f"WHERE {several} AND {spent} + (SELECT count(*) FROM s{r}) * {2**r * TRIAL_COST} <= {SEARCH_BUDGET} * (SELECT count(*) FROM supplier) AND EXISTS (SELECT 1 FROM s{r} JOIN t USING (candidate) WHERE trial >= {low} AND trial < {high}) GROUP BY candidate)")
+        parts.append(f"k{r} AS (SELECT *, row_number() OVER (ORDER BY mean NULLS LAST, candidate) <= ceil((SELECT count(*) FROM m{r}) / 2.0) AS kept FROM m{r})")
+        parts.append(f"s{r + 1} AS (SELECT candidate FROM k{r} WHERE kept)")
+    return f"WITH {', '.join(p.replace(' AS (', ' AS MATERIALIZED (', 1) for p in parts)} {' UNION ALL '.join(f'SELECT * FROM k{r}' for r in rounds)}"
+
+
+@query(_search_sql())
+def adaptive_search(spark, d):
+    """The supplier of the cheapest lines, by rounds of twice as many lines of half as many suppliers; a line costs its quantity."""
+    number = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")) - 1
+    trials = SharedTable(read(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("candidate"), number.alias("trial"), F.col("l_quantity").cast("long").alias("cost"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("score")
+    ), "trials").df
+    measure = lambda alive, low, high: trials.where((F.col("trial") >= low) & (F.col("trial") < high)).join(alive, "candidate", "left_semi").select("candidate", "cost", "score")
+    suppliers = read(spark, d, "supplier").select(F.col("s_suppkey").alias("candidate"))
+    return successive_halving(suppliers, measure, TRIAL_COST, SEARCH_BUDGET * suppliers.count(), rounds=SEARCH_ROUNDS).ledger.select(*LEDGER)
+
+
 @query(_values([("slower", 2.0)], "name, ratio"))
 def regression_budget(spark, d):
     found = regressions({"slower": 1.0, "same": 1.0, "tiny": 0.01}, {"slower": 2.0, "same": 1.1, "tiny": 0.1})
