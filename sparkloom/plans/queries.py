@@ -20,6 +20,7 @@ from ..functions import sqlite
 from ..functions.digest import ordered_digest, typed_digest
 from ..functions.text import KEYWORDS, STEMS, escape_untrusted, keyword_hits
 from ..operators import approximate, blocks, bounds, compact, evidence, pairs, pareto, sets
+from ..operators.coordination import IdLedger, salted_join
 from ..operators.order import budgeted_best, with_ordinal
 from ..operators.search import LEDGER, successive_halving
 from ..shared import SharedTable, shared_folder
@@ -885,6 +886,29 @@ def adaptive_search(spark, d):
     return successive_halving(suppliers, measure, TRIAL_COST, SEARCH_BUDGET * suppliers.count(), rounds=SEARCH_ROUNDS).ledger.select(*LEDGER)
 
 
+@query("SELECT o_orderstatus = 'F' AS finished, count(*) AS rows, count(*) AS ids, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') END AS low, true AS gapless, true AS repeated FROM orders GROUP BY 1, 4")
+def reserved_ids(spark, d):
+    """Ids of two batches from ranges reserved by file; the second batch is asked for again by another ledger of the folder."""
+    folder, orders = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}", read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    ledger, finished = IdLedger(spark, folder), F.col("o_orderstatus") == "F"
+    both = ledger.assign(orders.where(finished), "finished").union(ledger.assign(orders.where(~finished), "open"))
+    again = IdLedger(spark, folder).assign(orders.where(~finished).repartition(3), "open").select("o_orderkey", F.col("id").alias("_id"))
+    joined = both.join(again, "o_orderkey", "left").withColumn("same", F.col("_id").isNull() | (F.col("_id") == F.col("id")))
+    return joined.groupBy(finished.alias("finished")).agg(
+        F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.min("id").alias("low"), (F.max("id") - F.min("id") + 1 == F.count("*")).alias("gapless"), F.min("same").alias("repeated")
+    )
+
+
+@query("WITH m AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2), f AS (SELECT l_returnflag, sum(n) AS n FROM m GROUP BY 1) SELECT l_returnflag, l_linestatus, sum(m.n)::BIGINT AS rows, CASE WHEN f.n > 5000 THEN ceil(f.n / 5000.0)::INTEGER ELSE 1 END AS parts FROM f JOIN m USING (l_returnflag) GROUP BY 1, 2, f.n")
+def salted_keys(spark, d):
+    """Lines meet the states of their flag in parts of some 5,000 rows of a flag."""
+    lines = read(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", F.col("l_linestatus").alias("_own"))
+    states = read(spark, d, "lineitem").select("l_returnflag", "l_linestatus").distinct()
+    met = salted_join(lines, states, "l_returnflag", 5_000, F.struct("l_orderkey", "l_linenumber"))
+    sums = met.groupBy("l_returnflag", "l_linestatus", "_part").agg(F.count_if(F.col("_own") == F.col("l_linestatus")).alias("_n"))
+    return sums.groupBy("l_returnflag", "l_linestatus").agg(F.sum("_n").alias("rows"), F.count("*").cast("int").alias("parts"))
+
+
 @query(_values([("slower", 2.0)], "name, ratio"))
 def regression_budget(spark, d):
     found = regressions({"slower": 1.0, "same": 1.0, "tiny": 0.01}, {"slower": 2.0, "same": 1.1, "tiny": 0.1})
