@@ -32,6 +32,7 @@ from ..sources.sqlite import read_sqlite
 from ..streaming.replay import prefix, windowed_counts
 from ..streaming.snapshot import Snapshot
 from . import workload
+from .choice import Calibrated, Route
 from .reuse import Materialized, parity, regressions, signature
 from .surface import EXTENSIONS, SURFACE
 
@@ -909,6 +910,35 @@ def salted_keys(spark, d):
     return sums.groupBy("l_returnflag", "l_linestatus").agg(F.sum("_n").alias("rows"), F.count("*").cast("int").alias("parts"))
 
 
+SHUFFLE_ROWS = 400
+_SIZES = "(SELECT 'small' AS size, (SELECT count(*) FROM region) AS a, (SELECT count(*) FROM region) AS b, (SELECT count(*) FROM region x, region y WHERE (x.r_regionkey + y.r_regionkey) % 7 = 3) AS matches UNION ALL SELECT 'large', (SELECT count(*) FROM customer), (SELECT count(*) FROM nation), (SELECT count(*) FROM customer x, nation y WHERE (x.c_nationkey + y.n_regionkey) % 7 = 3))"
+
+
+@query(f"SELECT size, CASE WHEN a * b <= {SHUFFLE_ROWS} + a + b THEN 'every pair' ELSE 'frequencies' END AS route, matches FROM {_SIZES}")
+def calibrated_choice(spark, d):
+    """Pairs of a residue counted from every pair or from frequencies, whichever the fitted costs choose for the size; both give the same on what they are fitted to.
+
+    The cost is counted in rows, with a fixed number for a shuffle, so that the choice can be held against SQL; by default it is seconds.
+    """
+    routes = {
+        "every pair": Route(lambda x: pairs.pairs_by_filter(*x, 7, 3).agg(F.count("*").alias("matches")), lambda x: x[0].count() * x[1].count()),
+        "frequencies": Route(lambda x: pairs.residue_count(*x, 7, 3).select(F.col("matches").cast("long").alias("matches")), lambda x: SHUFFLE_ROWS + x[0].count() + x[1].count()),
+    }
+    store = Calibrated(spark, f"{shared_folder(spark)}/costs-{uuid.uuid4().hex}")
+
+    def rows(run, work):
+        run()
+        return work
+
+    regions, nations = _regions(spark, d), _nations(spark, d)
+    store.calibrate(routes, [(regions, regions), (nations, regions), (nations, nations)], rows)
+    found = []
+    for size, own in {"small": (regions, regions), "large": (_customers(spark, d), nations)}.items():
+        route = store.choose(routes, own, "every pair", 1e-9)
+        found.append(routes[route].plan(own).select(F.lit(size).alias("size"), F.lit(route).alias("route"), "matches"))
+    return found[0].union(found[1])
+
+
 @query(_values([("slower", 2.0)], "name, ratio"))
 def regression_budget(spark, d):
     found = regressions({"slower": 1.0, "same": 1.0, "tiny": 0.01}, {"slower": 2.0, "same": 1.1, "tiny": 0.1})
