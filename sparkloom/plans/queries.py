@@ -863,7 +863,7 @@ SEARCH_ROUNDS, TRIAL_COST, SEARCH_BUDGET = 12, 50, 130
 def _search_sql() -> str:
     """The rounds of the search, one after the other."""
     rounds = range(SEARCH_ROUNDS)
-    parts = ["t AS (SELECT l_suppkey AS candidate, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS trial, l_quantity::BIGINT AS cost, round(l_extendedprice * 100)::BIGINT AS score FROM lineitem)", "s0 AS (SELECT s_suppkey AS candidate FROM supplier)"]
+    parts = ["t AS (SELECT l_suppkey AS candidate, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity) - 1 AS trial, l_quantity::BIGINT AS cost, round(l_extendedprice * 100)::BIGINT AS score FROM lineitem)", "s0 AS (SELECT s_suppkey AS candidate FROM supplier)"]
     for r in rounds:
         low, high = 2**r - 1, 2 ** (r + 1) - 1
         spent = " + ".join([f"(SELECT coalesce(sum(cost), 0) FROM m{q})" for q in range(r)] or ["0"])
@@ -877,8 +877,8 @@ def _search_sql() -> str:
 
 @query(_search_sql())
 def adaptive_search(spark, d):
-    """The supplier of the cheapest lines, by rounds of twice as many lines of half as many suppliers; a line costs its quantity."""
-    number = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")) - 1
+    """The supplier of the cheapest lines, by rounds of twice as many lines of half as many suppliers; a line costs its quantity.  Lines of one number are told apart by price and quantity."""
+    number = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")) - 1
     trials = SharedTable(read(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("candidate"), number.alias("trial"), F.col("l_quantity").cast("long").alias("cost"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("score")
     ), "trials").df
