@@ -102,6 +102,80 @@ def leaves_of(residual: list[int], denominator: list[int], strict: bool, splits:
     return out, seen
 
 
+def _value(p: list[Fraction], x: Fraction) -> Fraction:
+    total = Fraction(0)
+    for c in reversed(p):
+        total = total * x + c
+    return total
+
+
+def _divided(p: list[Fraction], q: list[Fraction]) -> tuple[list[Fraction], list[Fraction]]:
+    """Quotient and remainder; zero is the empty list."""
+    p, out = list(p), [Fraction(0)] * max(len(p) - len(q) + 1, 0)
+    while len(p) >= len(q):
+        k, c = len(p) - len(q), p[-1] / q[-1]
+        out[k] = c
+        p = [a - c * q[i - k] if i >= k else a for i, a in enumerate(p[:-1])]
+        while p and not p[-1]:
+            p.pop()
+    return out, p
+
+
+def _slope(p: list[Fraction]) -> list[Fraction]:
+    return [k * c for k, c in enumerate(p)][1:]
+
+
+def _common(p: list[Fraction], q: list[Fraction]) -> list[Fraction]:
+    while q:
+        p, q = q, _divided(p, q)[1]
+    return [c / p[-1] for c in p]
+
+
+def once(p: list[Fraction]) -> list[Fraction]:
+    """The polynomial with each of its roots once."""
+    return _divided(p, _common(p, _slope(p)))[0]
+
+
+def odd_part(p: list[Fraction]) -> list[Fraction]:
+    """The roots of odd multiplicity, once each, with the polynomial's leading coefficient: what is left out is a square."""
+    lead, rest, odd, at = p[-1], p, [Fraction(1)], 1
+    while len(rest) > 1:
+        common = _common(rest, _slope(rest))
+        all_of, deeper = _divided(rest, common)[0], common
+        # Roots of exactly this multiplicity: those of the rest that its common factor with the slope lacks.
+        own = _divided(all_of, _common(all_of, deeper))[0]
+        if at % 2:
+            odd = [sum(odd[i] * own[k - i] for i in range(len(odd)) if 0 <= k - i < len(own)) for k in range(len(odd) + len(own) - 1)]
+        rest, at = common, at + 1
+    return [c * lead / odd[-1] for c in odd]
+
+
+def roots_within(p: list[Fraction], left: Fraction, right: Fraction) -> int:
+    """Roots in (left, right] of a polynomial without multiple roots, by Sturm's chain."""
+    chain = [p, _slope(p)]
+    while chain[-1]:
+        chain.append([-c for c in _divided(chain[-2], chain[-1])[1]])
+    changes = []
+    for x in (left, right):
+        signs = [v > 0 for v in (_value(q, x) for q in chain[:-1]) if v]
+        changes.append(sum(a != b for a, b in pairwise(signs)))
+    return changes[0] - changes[1]
+
+
+def exact_status(residual: list[Fraction], denominator: list[Fraction], left: Fraction, right: Fraction, strict: bool) -> str:
+    """certified, violated or invalid_domain, from roots instead of leaves: also where the bound is only touched, between all halves."""
+    middle = (left + right) / 2
+    if _value(denominator, left) <= 0 or roots_within(once(denominator), left, right):
+        return "invalid_domain"
+    if not any(residual):
+        return "violated" if strict else "certified"
+    if strict:
+        return "certified" if _value(residual, left) > 0 and not roots_within(once(residual), left, right) else "violated"
+    h = odd_part(residual)
+    inside = roots_within(h, left, right) - (_value(h, right) == 0)
+    return "certified" if not inside and _value(h, middle) > 0 else "violated"
+
+
 class Parsed:
     """A problem's numbers: residual = numerator - lower * denominator, without leading zeros."""
 
@@ -241,6 +315,28 @@ def verify_rows(certified: DataFrame) -> DataFrame:
     return rows.withColumn("verified", F.when(F.col("_sound") & again("ok") & (follows == c("status")), c("status"))).drop("_sound", "_again")
 
 
+def settle_rows(verified: DataFrame) -> DataFrame:
+    """All columns of verify_rows() and ``settled``: the verified status, and the exact one where a sound certificate leaves it inconclusive.
+
+    A bound that is touched at a point which no halving meets (a third, say) has
+    no certificate of any number of splits.
+    """
+
+    @F.pandas_udf("string")
+    def exact(numerator, denominator, domain, lower, strict, status):
+        import pandas as pd
+
+        out = []
+        for *fields, is_strict, known in zip(numerator, denominator, domain, lower, strict, status):
+            if known == "inconclusive":
+                p = Parsed(*fields)
+                known = exact_status(p.residual, p.denominator, p.left, p.right, bool(is_strict))
+            out.append(known)
+        return pd.Series(out, dtype=object)
+
+    return verified.withColumn("settled", exact(*FIELDS, "verified"))
+
+
 def replay(problems: DataFrame, frozen: DataFrame, max_splits: int = 16, key: str = "name") -> DataFrame:
     """(key, expected, status, verified, agrees) of every problem and every frozen status, by key, also where one of them lacks."""
     found = verify_rows(certify_rows(problems, max_splits)).select(key, F.col("certificate.status").alias("status"), "verified")

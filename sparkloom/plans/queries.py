@@ -213,14 +213,14 @@ WITH p AS (SELECT p_partkey, (p_size - 20)::BIGINT AS c0, (p_partkey % 41 - 30):
 m AS (SELECT *, CASE WHEN c2 = 0 THEN least(c0, c0 + c1)::DOUBLE WHEN -c1 <= 0 OR -c1 >= 2 * c2 THEN least(c0, c0 + c1 + c2)::DOUBLE ELSE c0 - (c1 * c1)::DOUBLE / (4 * c2) END AS least_value FROM p)
 SELECT p_partkey, CASE WHEN least_value < 0 THEN 'negative' ELSE 'nonnegative' END AS sign FROM m""")
 def certified_quadratic(spark, d):
-    """Sign of the quadratics by certificates of up to 64 splits; any that stay open count by exact minimum in the SQL alone."""
+    """Sign of the quadratics by certificates of up to 64 splits; those that stay open, touching zero between all halves, by their roots."""
     k = F.col("p_partkey")
     rows = read(spark, d, "part").select(k, (F.col("p_size") - 20).alias("c0"), (k % 41 - 30).alias("c1"), (k % 17).alias("c2"))
     text = lambda *cs: F.array(*[F.col(c).cast("string") for c in cs])
     top = F.when(F.col("c2") != 0, text("c0", "c1", "c2")).when(F.col("c1") != 0, text("c0", "c1")).otherwise(text("c0"))
     problem = rows.select("p_partkey", top.alias("numerator"), F.array(F.lit("1")).alias("denominator"), F.array(F.lit("0"), F.lit("1")).alias("domain"), F.lit("0").alias("lower"), F.lit(False).alias("strict"))
-    checked = bounds.verify_rows(bounds.certify_rows(problem, 64))
-    return checked.select("p_partkey", F.when(F.col("verified") == "certified", "nonnegative").when(F.col("verified") == "violated", "negative").otherwise("open").alias("sign"))
+    checked = bounds.settle_rows(bounds.verify_rows(bounds.certify_rows(problem, 64)))
+    return checked.select("p_partkey", F.when(F.col("settled") == "certified", "nonnegative").when(F.col("settled") == "violated", "negative").otherwise("open").alias("sign"))
 
 
 # Problems with the status that each must get (name, numerator, denominator, lower, strict, status).

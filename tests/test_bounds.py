@@ -88,3 +88,45 @@ def test_replay(spark):
     frozen = spark.createDataFrame([("direct", "certified"), ("violation", "certified"), ("gone", "violated")], "name string, status string")
     found = {r["name"]: (r["status"], r["agrees"]) for r in bounds.replay(frame(spark, [CASES[0], CASES[3], CASES[4]]), frozen).collect()}
     assert found == {"direct": ("certified", True), "violation": ("violated", False), "boundary": ("certified", False), "gone": (None, False)}
+
+
+TOUCHING = [
+    # name, numerator, denominator, lower, strict, status of the certificate, settled
+    ("third", "1,-6,9", "1", "0", False, "inconclusive", "certified"), ("third strict", "1,-6,9", "1", "0", True, "inconclusive", "violated"), ("two thirds", "4,-12,9", "1", "0", False, "inconclusive", "certified"),
+    ("half", "1,-4,4", "1", "0", False, "certified", "certified"), ("outside", "16,-24,9", "1", "0", True, "certified", "certified"), ("below", "1,-7,9", "1", "0", False, "violated", "violated"),
+    ("denominator", "1", "1,-6,9", "0", False, "inconclusive", "invalid_domain"), ("fourth power", "1,-12,54,-108,81", "1", "0", False, "inconclusive", "certified"),
+]
+
+
+def test_bounds_touched_between_halves_are_settled(spark):
+    rows = bounds.settle_rows(bounds.verify_rows(bounds.certify_rows(frame(spark, TOUCHING), 64))).collect()
+    assert {r["name"]: (r["verified"], r["settled"]) for r in rows} == {c[0]: (c[5], c[6]) for c in TOUCHING}
+
+
+def test_exact_status_is_that_of_the_factors():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(400):
+        roots = [Fraction(rng.randint(-2, 8), rng.choice([3, 5, 6])) for _ in range(rng.randint(0, 4))]
+        lead = Fraction(rng.choice([-2, -1, 1, 3]))
+        p = [lead]
+        for r in roots:
+            p = [(p[k - 1] if k else 0) - r * (p[k] if k < len(p) else 0) for k in range(len(p) + 1)]
+        points = sorted({Fraction(0), Fraction(1), *(r for r in roots if 0 <= r <= 1)})
+        points += [(a + b) / 2 for a, b in zip(points, points[1:])]
+        values = [bounds._value(p, x) for x in points]
+        for strict in (False, True):
+            expected = "violated" if min(values) < 0 or (strict and min(values) == 0) else "certified"
+            assert bounds.exact_status(p, [Fraction(1)], Fraction(0), Fraction(1), strict) == expected, (roots, lead, strict)
+        expected = "certified" if min(values) > 0 else "invalid_domain"
+        assert bounds.exact_status([Fraction(1)], p, Fraction(0), Fraction(1), False) == expected, (roots, lead)
+
+
+def test_quadratics_of_all_sizes_have_a_sign(spark, duck, tmp_path):
+    from sparkloom.plans.queries import ORACLE_SQL, QUERIES
+
+    path = f"{tmp_path}/part.parquet"
+    duck.sql(f"copy (select p_name, p_brand, p_type, p_retailprice, k::bigint as p_partkey, s::int as p_size from (select * from part limit 1), (values (15071, 21), (16992, 24), (15072, 21), (9, 20)) v(k, s)) to '{path}' (format parquet)")
+    found = {tuple(r) for r in QUERIES["certified_quadratic"](spark, str(tmp_path)).collect()}
+    assert found == set(duck.sql(ORACLE_SQL["certified_quadratic"].replace("FROM part)", f"FROM '{path}')")).fetchall())
