@@ -300,11 +300,10 @@ def _whole_divisions(analysed) -> set[tuple[int, int]]:
 def with_division(spark: SparkSession, sql: str, args: list | None) -> str:
     """Dividing by zero gives null, and ``/`` of whole numbers becomes ``div``, inner divisions first, for outer ones may become whole by them."""
     tree = lambda text: spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    edits = []
-    for node in _nodes(tree(sql)):
-        if _kind(node) in DIVIDING:
-            start, end = _span(node.right())
-            edits += [(start, start, "nullif("), (end + 1, end + 1, ", 0)")]
+    # Divisors may end at one place, as in a / (b / c); subqueries may be met twice.
+    divisors = sorted({_span(n.right()) for n in _nodes(tree(sql)) if _kind(n) in DIVIDING})
+    edits = [(start, start, "nullif(") for start, _ in divisors]
+    edits += [(end + 1, end + 1, ", 0)" * sum(e == end for _, e in divisors)) for end in {e for _, e in divisors}]
     sql = _edited(sql, edits)
     while edits:
         whole, edits = _whole_divisions(spark.sql(sql, args=args)._jdf.queryExecution().analyzed()), []
@@ -316,12 +315,26 @@ def with_division(spark: SparkSession, sql: str, args: list | None) -> str:
     return sql
 
 
-def prepare(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], params: list | None = None) -> DataFrame:
+def _no_rewriting(plan, sql: str) -> None:
+    """Refuses what has another meaning in Spark, where only other constructs in its place would mend it."""
+    require(not _bare_columns(plan, sql), "columns beside an extreme are not grouped")
+    for name, n in map(_called, _calls(plan)):
+        require(name not in WRAPPED or (name != "typeof" and n == 1), f"{name} of {n} values has another meaning")
+
+
+def prepare(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], params: list | None = None, as_written: bool = False) -> DataFrame:
     """The DataFrame of an admitted statement with SQLite's meaning; the tables are views of the session, define_meaning() has run.
 
-    Overflow raises.
+    With ``as_written`` only statements are admitted whose operators Spark reads
+    as SQLite does: ``/`` of whole numbers, max and min of several values,
+    typeof and bare columns are refused instead of rewritten.  Overflow raises.
     """
-    sql, args = with_meaning(sql, admit(spark, sql, tables)), params or None
+    plan, args = admit(spark, sql, tables), params or None
+    if as_written:
+        _no_rewriting(plan, sql)
+    sql = with_meaning(sql, plan)
+    if as_written:
+        require(not _whole_divisions(spark.sql(sql, args=args)._jdf.queryExecution().analyzed()), "whole numbers divide by div")
     return spark.sql(with_division(spark, sql, args), args=args)
 
 

@@ -112,7 +112,7 @@ STATEMENTS = [
 ]
 
 
-@pytest.mark.parametrize("sql", STATEMENTS)
+@pytest.mark.parametrize("sql", [*STATEMENTS, "select r / (a / b) as x, a / (b / (g + 1)) as y from t"])
 def test_statements_give_the_rows_of_sqlite(spark, sql):
     import sqlite3
 
@@ -151,3 +151,21 @@ def test_replaced_files_are_seen(spark, tmp_path):
     assert w.fingerprint({"t": spark.read.parquet(path)}) == before
     os.utime(next((tmp_path / "t").glob("*.parquet")), (1, 1))
     assert w.fingerprint({"t": spark.read.parquet(path)}) != before
+
+
+@pytest.mark.parametrize(
+    "sql, as_written",
+    [
+        ("select a / b as x from t", False), ("select r / (a / b) as x from t", False), ("select (select a / 2 as y from t limit 1) as x", False), ("select max(a, 3) as x from t", False), ("select typeof(a) as x from t", False), ("select max(a) as x, s from t", False),
+        ("select a div b as x from t", True), ("select r / 2 as x from t", True), ("select max(a) as x from t", True), ("select g, max(a) as x from t group by g", True), ("select hex(s) as x from t", True),
+    ],
+)
+def test_statements_admitted_as_written(spark, sql, as_written):
+    tables = {"t": spark.createDataFrame(ROWS, "g long, a long, b long, r double, s string")}
+    own = w.session_of(spark, tables)
+    w.prepare(own, sql, tables)
+    if as_written:
+        w.prepare(own, sql, tables, as_written=True)
+    else:
+        with pytest.raises(ContractError):
+            w.prepare(own, sql, tables, as_written=True)
