@@ -24,7 +24,7 @@ from ..operators.coordination import IdLedger, salted_join
 from ..operators.order import budgeted_best, with_ordinal
 from ..operators.search import LEDGER, successive_halving
 from ..shared import SharedTable, shared_folder
-from ..sources.archives import archive_members, read_split_archives, within_budget
+from ..sources.archives import Limits, archive_members, read_split_archives, within_budget
 from ..sources.archives import summary as archive_totals
 from ..sources.paths import without_sidecars
 from ..sources.sqlite import inventory as sqlite_inventory
@@ -721,7 +721,9 @@ def _part_archives(spark, d) -> str:
         return pd.DataFrame({"n": [len(own)]})
 
     named = read(spark, d, "part").select(F.translate("p_brand", "#", "").alias("brand"), "p_partkey", "p_name")
-    named.groupBy("brand").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    # Few bytes and much work: Spark would put the brands together by their bytes.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named.repartition(width, "brand").groupBy("brand").applyInPandas(write, "n long").agg(F.sum("n")).collect()
     return folder
 
 
@@ -732,8 +734,11 @@ PART_ARCHIVES = "SELECT replace(p_brand, '#', '') || '.zip' AS archive, p_partke
 SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY p_partkey) AS ordinal, p_partkey || '.txt' AS filename, p_name AS content, NULL AS problem FROM ({PART_ARCHIVES})
 UNION ALL SELECT DISTINCT archive, 0, NULL, '#!/bin/sh' || chr(10), 'prefix before the first member' FROM ({PART_ARCHIVES})""")
 def archive_split(spark, d):
-    """Archives read by runs of their members, some kilobyte each, with the text before the first member."""
-    members = read_split_archives(spark, _part_archives(spark, d), run_bytes=1_000)
+    """Archives read by runs of their members, some kilobyte each, with the text before the first member.
+
+    These archives were written here: no number of members is too many.
+    """
+    members = read_split_archives(spark, _part_archives(spark, d), Limits(members=1 << 62, total_bytes=1 << 62), run_bytes=1_000)
     return members.select(F.regexp_extract("archive", "[^/]+$", 0).alias("archive"), "ordinal", "filename", "content", "problem")
 
 

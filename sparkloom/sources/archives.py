@@ -79,7 +79,7 @@ class Walk:
         if problem:
             yield self.row(label, depth, None, problem)
             return
-        if (text := prefix_text(file, opened, self.limits)) is not None:
+        if (text := prefix_text(file, first_offset(opened.infolist()), self.limits)) is not None:
             yield self.row(label, depth, None, "prefix before the first member", text)
         for info in opened.infolist():
             if self.members >= self.limits.members:
@@ -129,9 +129,12 @@ def directory(file) -> tuple[zipfile.ZipFile | None, str | None]:
         return None, f"invalid archive: {type(error).__name__}"
 
 
-def prefix_text(file, opened: zipfile.ZipFile, limits: Limits) -> str | None:
+def first_offset(infos: list[zipfile.ZipInfo]) -> int:
+    return min((i.header_offset for i in infos), default=0)
+
+
+def prefix_text(file, prefix: int, limits: Limits) -> str | None:
     """Text before the first member, such as a script that unpacks the archive."""
-    prefix = min((i.header_offset for i in opened.infolist()), default=0)
     if prefix == 0:
         return None
     file.seek(0)
@@ -206,40 +209,92 @@ def opened_at(path: str):
     return io.BufferedReader(Sought(system.open_input_file(inner)), 1 << 16)
 
 
-#: Decompressed bytes of the members that a task reads, about; a larger member has a task of its own.
-RUN_BYTES = 64 << 20
+#: Decompressed bytes and number of the members that are read together, about; a larger member is read by itself.
+RUN_BYTES, RUN_MEMBERS = 64 << 20, 10_000
+#: Members and bytes of the rows that are passed on together.
+ROWS_TOGETHER, BYTES_TOGETHER = 10_000, 8 << 20
+#: What a member's directory entry says beside its names: ``numbers`` has so many for each member.
+NUMBERS = ("header_offset", "_end_offset", "file_size", "compress_size", "compress_type", "flag_bits", "CRC")
+RUNS = "archive string, run long, first long, members long, bytes long, problem string"
+#: What readers of a run need of the directory, so that they don't read it again.
+ENTRIES = "prefix long, before long, names array<string>, originals array<string>, numbers array<long>"
+UNKNOWN = -(1 << 63)
+#: An archive without members.
+EMPTY = b"PK\x05\x06" + bytes(18)
+
+
+def _entries(infos: list[zipfile.ZipInfo]) -> tuple[list[str], list[str], list[int]]:
+    numbers = [UNKNOWN if (n := getattr(i, field, None)) is None else n for i in infos for field in NUMBERS]
+    return [i.filename for i in infos], [i.orig_filename for i in infos], numbers
+
+
+def _infos(names, originals, numbers) -> list[zipfile.ZipInfo]:
+    infos = []
+    for at, (name, original) in enumerate(zip(names, originals)):
+        info = zipfile.ZipInfo(original)
+        info.filename = name
+        for field, n in zip(NUMBERS, numbers[at * len(NUMBERS) : (at + 1) * len(NUMBERS)]):
+            if n != UNKNOWN:
+                setattr(info, field, int(n))
+        infos.append(info)
+    return infos
 
 
 def archive_runs(paths: DataFrame, limits: Limits | None = None, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """(archive, run, first, members, bytes, problem): runs of neighbouring members of each archive in ``path``, from the directories alone.
+    """RUNS and ENTRIES: runs of neighbouring members of each archive in ``path``, from the directories alone, each of which is read once.
 
     An archive that can't be opened is a row with the problem.
     """
     limits = limits or Limits()
+    columns = [c.split(" ")[0] for c in f"{RUNS}, {ENTRIES}".split(", ")]
+
+    def runs_of(path):
+        try:
+            file = opened_at(path)
+        except OSError as error:
+            yield path, 0, 0, 0, 0, f"invalid archive: {type(error).__name__}", 0, 0, [], [], []
+            return
+        with file:
+            opened, problem = directory(file)
+            infos = opened.infolist() if opened else []
+        runs = [[0, 0, 0]]
+        for at, i in enumerate(infos):
+            size = min(i.file_size, limits.member_bytes) if readable(i) else 0
+            if runs[-1][1] and (runs[-1][2] + size > run_bytes or runs[-1][1] == RUN_MEMBERS):
+                runs.append([at, 0, 0])
+            runs[-1][1] += 1
+            runs[-1][2] += size
+        prefix, before = first_offset(infos), 0
+        for number, (first, members, size) in enumerate(runs):
+            yield path, number, first, members, size, problem, prefix, before, *_entries(infos[first : min(first + members, limits.members + 1)])
+            before += sum(i.file_size for i in infos[first : min(first + members, limits.members)] if counted(i, limits))
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
             for path in batch["path"].dropna():
-                try:
-                    file = opened_at(path)
-                except OSError as error:
-                    yield pd.DataFrame({"archive": [path], "run": [0], "first": [0], "members": [0], "bytes": [0], "problem": [f"invalid archive: {type(error).__name__}"]})
-                    continue
-                with file:
-                    opened, problem = directory(file)
-                    sizes = [min(i.file_size, limits.member_bytes) if readable(i) else 0 for i in opened.infolist()] if opened else []
-                runs = [[0, 0, 0]]
-                for at, size in enumerate(sizes):
-                    if runs[-1][1] and runs[-1][2] + size > run_bytes:
-                        runs.append([at, 0, 0])
-                    runs[-1][1] += 1
-                    runs[-1][2] += size
-                first, members, total = zip(*runs)
-                yield pd.DataFrame({"archive": path, "run": range(len(runs)), "first": first, "members": members, "bytes": total, "problem": problem})
-
-    return paths.select("path").distinct().mapInPandas(run, "archive string, run long, first long, members long, bytes long, problem string")
+                held, members = [], 0
+                for row in runs_of(path):
+                    held.append(row)
+                    members += row[3]
+                    if members >= ROWS_TOGETHER:
+                        yield pd.DataFrame(held, columns=columns)
+                        held, members = [], 0
+                if held:
+                    yield pd.DataFrame(held, columns=columns)
+
+    return paths.select("path").repartition(_width(paths), "path").distinct().mapInPandas(run, f"{RUNS}, {ENTRIES}")
+
+
+def _width(df: DataFrame) -> int:
+    """Partitions of rows that are few bytes and much work; Spark would put them together by their bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def counted(info: zipfile.ZipInfo, limits: Limits) -> bool:
+    """Whether a member counts towards the bytes of the whole archive."""
+    return readable(info) and info.file_size <= limits.member_bytes
 
 
 def split_archive_members(paths: DataFrame, limits: Limits | None = None, run_bytes: int = RUN_BYTES) -> DataFrame:
@@ -253,35 +308,57 @@ def split_archive_members(paths: DataFrame, limits: Limits | None = None, run_by
     limits = limits or Limits()
     names = [c.split(" ")[0] for c in MEMBERS.split(", ")]
 
+    def members_of(file, run):
+        """Rows of a run's members, with their places in the archive."""
+        path, first = run["archive"], run["first"]
+        if run["run"] == 0 and (text := prefix_text(file, run["prefix"], limits)) is not None:
+            yield -1, *Walk(limits).row(path, 0, None, "prefix before the first member", text)
+        # The entries have been read: an empty archive is given the file, and opens members by their entries.
+        opened, before = zipfile.ZipFile(io.BytesIO(EMPTY)), run["before"]
+        opened.fp = file
+        for at, info in enumerate(_infos(run["names"], run["originals"], run["numbers"]), first):
+            if at == limits.members:
+                yield at, *Walk(limits).row(path, 0, info, "member limit")
+                return
+            walk = Walk(limits)
+            before += info.file_size if counted(info, limits) else 0
+            rows = [walk.row(path, 0, info, "byte limit")] if counted(info, limits) and before > limits.total_bytes else walk.member(path, opened, info, 0)
+            for r in rows:
+                yield at, *r
+
     def run(batches):
         import pandas as pd
 
-        for batch in batches:
-            for path, number, first, members, problem in zip(*(batch[c] for c in ("archive", "run", "first", "members", "problem"))):
-                found = []
-                if problem is not None:
-                    found.append((-1, *Walk(limits).row(path, 0, None, problem)))
-                else:
-                    with opened_at(path) as file:
-                        opened, _ = directory(file)
-                        infos = opened.infolist()
-                        if number == 0 and (text := prefix_text(file, opened, limits)) is not None:
-                            found.append((-1, *Walk(limits).row(path, 0, None, "prefix before the first member", text)))
-                        before = sum(i.file_size for i in infos[: min(first, limits.members)] if readable(i) and i.file_size <= limits.member_bytes)
-                        for at in range(first, min(first + members, limits.members)):
-                            walk, info = Walk(limits), infos[at]
-                            counts = readable(info) and info.file_size <= limits.member_bytes
-                            before += info.file_size if counts else 0
-                            rows = [walk.row(path, 0, info, "byte limit")] if counts and before > limits.total_bytes else walk.member(path, opened, info, 0)
-                            found += [(at, *r) for r in rows]
-                        if first <= limits.members < first + members:
-                            found.append((limits.members, *Walk(limits).row(path, 0, infos[limits.members], "member limit")))
-                table = pd.DataFrame(found, columns=["_at", *names])
-                table["_archive"] = path
-                yield table.astype({n: "Int64" for n in ("_at", "ordinal", "depth", "file_size", "compress_size", "method", "flags", "crc")})
+        def table(found):
+            out = pd.DataFrame([r for _, r in found], columns=["_at", *names])
+            out["_archive"] = [path for path, _ in found]
+            return out.astype({n: "Int64" for n in ("_at", "ordinal", "depth", "file_size", "compress_size", "method", "flags", "crc")})
+
+        found, size, path, file = [], 0, None, None
+        try:
+            for batch in batches:
+                for own in batch.to_dict("records"):
+                    if own["problem"] is not None:
+                        found.append((own["archive"], (-1, *Walk(limits).row(own["archive"], 0, None, own["problem"]))))
+                        continue
+                    if own["archive"] != path:
+                        if file is not None:
+                            file.close()
+                        path, file = own["archive"], opened_at(own["archive"])
+                    for row in members_of(file, own):
+                        found.append((path, row))
+                        size += len(row[-1] or "")
+                        if len(found) >= ROWS_TOGETHER or size >= BYTES_TOGETHER:
+                            yield table(found)
+                            found, size = [], 0
+            if found:
+                yield table(found)
+        finally:
+            if file is not None:
+                file.close()
 
     runs = archive_runs(paths, limits, run_bytes)
-    read = runs.repartition(F.col("archive"), F.col("run")).mapInPandas(run, f"_at long, {MEMBERS}, _archive string")
+    read = runs.repartition(_width(paths), "archive", "run").mapInPandas(run, f"_at long, {MEMBERS}, _archive string")
     # One narrow row a member's tree gives the places; contents don't pass through the window.
     read = SharedTable(read, "members").df
     trees = read.groupBy("_archive", "_at").agg(F.count("*").alias("_n"))

@@ -174,3 +174,24 @@ def test_split_archives_keep_limits(spark, tmp_path):
     assert found(total_bytes=55) == {i: None if i < 5 else "byte limit" for i in range(20)}
     assert set(found(member_bytes=9).values()) == {"byte limit"}
     assert split_archive_members(paths).where("problem like 'invalid archive%'").count() == 1
+
+
+def test_directories_are_read_once_and_not_by_run(spark, tmp_path):
+    """Readers of runs get their entries: names, offsets and sizes are those of the directory, and of each only the run's own."""
+    files = {f"{i:03}.txt": f"text {i}" for i in range(200)}
+    (tmp_path / "a.zip").write_bytes(archive(files, b"#!/bin/sh\n"))
+    paths = spark.createDataFrame([(str(tmp_path / "a.zip"),)], "path string")
+    runs = archive_runs(paths, run_bytes=60).orderBy("run").collect()
+    assert [n for r in runs for n in r["names"]] == list(files) and all(len(r["names"]) == r["members"] <= 10 for r in runs)
+    assert [r["before"] for r in runs] == [sum(map(len, list(files.values())[: r["first"]])) for r in runs] and {r["prefix"] for r in runs} == {10}
+
+
+def test_archive_split_has_all_members_of_large_archives(spark, duck, tmp_path):
+    """More members than archives of strangers may have."""
+    from sparkloom.plans.queries import ORACLE_SQL, QUERIES
+
+    path = f"{tmp_path}/part.parquet"
+    duck.sql(f"copy (select * replace ('Brand#1' as p_brand, k::bigint as p_partkey) from (select * from part limit 1), range({Limits().members + 5}) r(k)) to '{path}' (format parquet)")
+    sql = ORACLE_SQL["archive_split"].replace("FROM part", f"FROM '{path}'")
+    found = QUERIES["archive_split"](spark, str(tmp_path)).select("archive", "ordinal", "filename", "content", "problem").collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(duck.sql(sql).fetchall(), key=repr)
