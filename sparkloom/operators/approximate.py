@@ -10,8 +10,13 @@ from ..shared import SharedTable
 
 def checked_distinct(df: DataFrame, value: str, *by: str, error: float = 0.05) -> DataFrame:
     """(by..., exact, within): distinct values, and whether the sketch's count is within five declared errors."""
-    found = df.groupBy(*by).agg(F.countDistinct(value).alias("exact"), F.approx_count_distinct(value, error).alias("_sketch"))
-    return found.withColumn("within", F.abs(F.col("_sketch") - F.col("exact")) <= F.greatest(F.lit(1.0), 5 * error * F.col("exact"))).drop("_sketch")
+    # Apart: beside a distinct count Spark would keep a sketch for each group and value.
+    value_of = df.select(*by, F.col(value).alias("_value"))
+    exact = value_of.distinct().groupBy(*by).agg(F.count("_value").alias("exact"))
+    sketch = value_of.groupBy(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)]).agg(F.approx_count_distinct("_value", error).alias("_sketch"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)]
+    found = exact.join(sketch, same) if by else exact.crossJoin(sketch)
+    return found.select(*by, "exact", (F.abs(F.col("_sketch") - F.col("exact")) <= F.greatest(F.lit(1.0), 5 * error * F.col("exact"))).alias("within"))
 
 
 def checked_quantile(df: DataFrame, value: str, *by: str, share: float = 0.5, accuracy: int = 1000) -> DataFrame:
