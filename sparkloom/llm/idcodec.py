@@ -66,11 +66,21 @@ class Model:
         self.starts, self.fresh = np.zeros(self.n + 1, np.uint32), self.seen
         np.cumsum(parts, out=self.starts[1:])
         self.starts[-1] = 1 << TOTAL
+        self.upto = None
+
+    def find(self, parts: np.ndarray) -> np.ndarray:
+        """Ids to which parts of order 0 belong: mostly the last one that starts in or before their stretch of 64 parts, else searched for."""
+        if self.upto is None:
+            self.upto = np.cumsum(np.bincount(self.starts[:-1] >> np.uint32(6), minlength=1 << TOTAL - 6)) - 1
+        found = self.upto.take(parts >> np.uint32(6))
+        late = np.flatnonzero(self.starts.take(found) > parts)
+        found[late] = np.searchsorted(self.starts[:-1], parts.take(late), "right") - 1
+        return found
 
     def look(self, before: np.ndarray, last: np.ndarray) -> None:
         """Candidates (ids and one) of each lane, and the kind of their sightings."""
-        self.at1 = (last * np.uint32(0x9E3779B1)) >> np.uint32(32 - ROWS_ONE)
-        self.at2 = ((last * np.uint32(0x85EBCA6B)) ^ (before * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - ROWS_TWO)
+        self.at1 = ((last * np.uint32(0x9E3779B1)) >> np.uint32(32 - ROWS_ONE)).astype(np.intp)
+        self.at2 = (((last * np.uint32(0x85EBCA6B)) ^ (before * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - ROWS_TWO)).astype(np.intp)
         pair = self.one.take(self.at1, mode="clip").view(np.uint32)
         self.rows = [self.two.take(self.at2, mode="clip"), pair[0::2], pair[1::2]]
         self.candidates = [r & IDS for r in self.rows]
@@ -100,7 +110,7 @@ class Model:
         np.maximum(first, second, out=pair[0::2])
         np.minimum(first, second, out=pair[1::2])
         self.one[self.at1] = pair.view(np.uint64)
-        if self.seen - self.fresh >= min(self.fresh >> 3, 1 << 15):
+        if self.seen - self.fresh >= min(self.fresh >> 3, 1 << 16):
             self.refresh()
 
 
@@ -147,12 +157,16 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     def narrow(lane, start: np.ndarray, end: np.ndarray, total: int) -> None:
         r = wide[lane] >> np.uint64(total)
         low[lane] += r * start
-        wide[lane] = r * (end - start)
+        own = r * (end - start)
+        wide[lane] = own
         if len(over := np.flatnonzero(low > MASK)):
             carry(over)
-        while len(few := np.flatnonzero(wide < LEAST)):
+        few = np.flatnonzero(own < LEAST) if isinstance(lane, slice) else lane[own < LEAST]
+        while len(few):
             emit(few)
-            wide[few] <<= WORD
+            own = wide.take(few) << WORD
+            wide[few] = own
+            few = few[own < LEAST]
 
     model = Model(vocabulary)
     before, last = np.full(lanes, vocabulary, np.uint32), np.full(lanes, vocabulary, np.uint32)
@@ -193,20 +207,25 @@ def decode(block: bytes) -> np.ndarray:
     lanes, steps = _shape(n)
     (at_words,) = struct.unpack_from("<I", payload)
     lengths = np.cumsum(np.frombuffer(zlib.decompress(payload[4 : 4 + at_words]), "<i4"))
-    words = np.zeros((lanes, int(lengths.max()) + 8), np.uint64)
+    words = np.zeros((lanes, int(lengths.max()) + 8), np.uint16)
     words[np.arange(words.shape[1]) < lengths[:, None]] = np.frombuffer(payload, "<u2", offset=4 + at_words)
-    code = (words[:, 0] << np.uint64(32)) | (words[:, 1] << WORD) | words[:, 2]
+    code = (words[:, 0].astype(np.uint64) << np.uint64(32)) | (words[:, 1].astype(np.uint64) << WORD) | words[:, 2]
     wide, at, words, row = np.full(lanes, MASK, np.uint64), np.full(lanes, 3, np.intp), words.ravel(), words.shape[1]
-    base, last_word = np.arange(lanes) * row, row - 1
-    out = np.zeros((steps, lanes), np.uint32)
+    at += np.arange(lanes) * row
+    most, lane_numbers = np.arange(1, lanes + 1) * row - 1, np.arange(lanes)
+    out, ones = np.zeros((steps, lanes), np.uint32), np.ones(lanes, np.uint32)
 
     def narrow(lane, r: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         code[lane] -= r * start
-        wide[lane] = r * (end - start)
-        while len(few := np.flatnonzero(wide < LEAST)):
-            wide[few] <<= WORD
-            code[few] = (code[few] << WORD) | words[base[few] + np.minimum(at[few], last_word)]
-            at[few] += 1
+        own = r * (end - start)
+        wide[lane] = own
+        few = np.flatnonzero(own < LEAST) if isinstance(lane, slice) else lane[own < LEAST]
+        while len(few):
+            own, to = wide.take(few) << WORD, at.take(few)
+            wide[few] = own
+            code[few] = (code.take(few) << WORD) | words.take(to)
+            at[few] = np.minimum(to + 1, most.take(few))
+            few = few[own < LEAST]
 
     model = Model(vocabulary)
     before, last = np.full(lanes, vocabulary, np.uint32), np.full(lanes, vocabulary, np.uint32)
@@ -218,10 +237,10 @@ def decode(block: bytes) -> np.ndarray:
         v = (code[:a] // r).astype(np.uint32)
         choice = sum((v >= bound.take(model.kind, mode="clip")).view(np.uint8) for bound in model.bounds).astype(np.uint32)
         narrow(slice(0, a), r, *model.share(choice))
-        now = np.choose(choice, [*model.candidates, np.uint32(1)]) - np.uint32(1)
+        now = np.concatenate([*model.candidates, ones[:a]]).take(choice * np.uint32(a) + lane_numbers[:a]) - np.uint32(1)
         if len(none := np.flatnonzero(choice == 3)):
             r = wide.take(none) >> np.uint64(TOTAL)
-            found = np.searchsorted(model.starts[:-1], (code.take(none) // r).astype(np.uint32), "right") - 1
+            found = model.find(np.minimum(code.take(none) // r, np.uint64((1 << TOTAL) - 1)).astype(np.uint32))
             now[none] = found
             narrow(none, r, model.starts.take(found), model.starts.take(found + 1))
         if now.max() >= vocabulary:

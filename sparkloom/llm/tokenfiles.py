@@ -13,18 +13,19 @@ and stray files change nothing.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import SharedTable, bound_batches, shared_folder
 from .idcodec import BLOCK, HEADER, CodecError, decode, encode
 
-#: Id that ends a document; pieces of text whose ids a worker keeps.
-END, KEPT = 0, 1_000_000
+#: Id that ends a document; pieces of text whose ids a worker keeps; words that the model gets at a call.
+END, KEPT, JOINED = 0, 1_000_000, 256
 FILE, GROUP = struct.Struct("<8sII"), struct.Struct("<4sIQIII")
 MAGIC, GROUP_MAGIC = b"TOKIDS01", b"TIDG"
 MANIFEST = "part int, place int, file string, at long, size long, n_docs long, n_ids long"
@@ -43,10 +44,10 @@ PARTS = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_
 MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None}
 
 
-#: How byte-level tokenizers split texts into words, and characters that all versions of Unicode class alike.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-MARKS = "!\"#$%&'()*+,-./:;=?@[]^_`{}~"
+# Characters that all versions of Unicode class alike, and how byte-level tokenizers split texts of them into words.
 PLAIN = re.compile("[\n !-~\u00a1-\u00ac\u00ae-\u024f]*")
+LETTER, NUMBER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+WORDS = re.compile(rf" ?[{LETTER}]+| ?[{NUMBER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -56,12 +57,30 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def runs(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Stretches of ``ids``, one after the other."""
+    upto = np.cumsum(lengths)
+    at = np.repeat(starts - upto + lengths, lengths)
+    at += np.arange(len(at))
+    return ids.take(at)
+
+
+def with_room(kept: np.ndarray, used: int, more: int) -> np.ndarray:
+    """``kept`` with room for ``more`` behind the first ``used``."""
+    if used + more <= len(kept):
+        return kept
+    grown = np.zeros(2 * used + more, kept.dtype)
+    grown[:used] = kept[:used]
+    return grown
+
+
 class PieceEncoder:
     """Encodes texts exactly as the tokenizer without special tokens added.
 
     With a byte-level tokenizer of known parts, a space before anything but
     white space begins a new word.  So what stands between two spaces is encoded once
-    and kept, and so are its words, which the library's model encodes.
+    and kept.  The library's model gets the words of new pieces many at a call,
+    with a letter between them that it never merges.
     Pieces with unusual characters or added tokens go through the whole
     library, and so do texts with other white space after a space, and all
     texts of other tokenizers.
@@ -70,56 +89,113 @@ class PieceEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
+        self.model = Tokenizer(self.tokenizer.model)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         with open(path, encoding="utf-8") as file:
             found = json.load(file)
         self.added = [t["content"] for t in found.get("added_tokens") or ()]
-        # No added token lies within letters and marks.
-        self.marked = any(all(c.isalpha() or c in MARKS for c in t) for t in self.added)
         plain = not any(any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] for t in found.get("added_tokens") or ())
-        self.pieces = plain and all(found.get(k) == v for k, v in PARTS.items()) and all(found["model"].get(k) == v for k, v in MODEL.items())
-        self.letters = byte_letters()
-        #: Ids of pieces, each with the space before it, and of words without one.
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        letters, tokens = byte_letters(), self.tokenizer.get_vocab(with_added_tokens=False)
+        self.letters = np.array([ord(letters[b]) for b in range(256)], "<u4")
+        # A control character, which no usual text has, whose letter is in no longer token and so in no merge.
+        merged = set("".join(t for t in tokens if len(t) > 1))
+        self.between = next((chr(b) for b in range(9) if letters[b] in tokens and letters[b] not in merged), None)
+        self.mark = None if self.between is None else tokens[letters[ord(self.between)]]
+        known = all(found.get(k) == v for k, v in PARTS.items()) and all(found["model"].get(k) == v for k, v in MODEL.items()) and not found["model"].get("ignore_merges")
+        self.pieces = plain and known and self.between is not None
+        #: Places of pieces, with the space before them, and of other words, each named with a space; place 0 is that of unknown ones.
+        self.known: dict[str, int] = {}
+        #: Kept ids, how many there are, where those of each place are, and in how many batches it was a piece.
+        self.ids, self.used = np.zeros(0, "<u4"), 0
+        self.starts, self.lengths, self.uses = (np.zeros(1, np.int64) for _ in range(3))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def model_ids(self, word: str) -> bytes:
-        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
-
-    def word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            ids = self.words[word] = self.model_ids(word)
-        return ids
-
-    def text(self, text: str) -> bytes:
-        """A text whose words don't depend on what stands around it."""
-        if not PLAIN.fullmatch(text) or any(a in text for a in self.added):
-            return self.whole(text)
-        return b"".join([self.word(w) if w[0] != " " else self.spaced(w[1:]) for w in WORDS.findall(text)])
-
-    def spaced(self, word: str) -> bytes:
-        """A word with a space before it."""
-        if (ids := self.known.get(word)) is None:
-            ids = self.known[word] = self.model_ids(" " + word)
-        return ids
-
-    def learn(self, piece: str) -> None:
-        """Ids of what stands between two spaces: letters, letters and marks, or anything else."""
-        base = piece.rstrip(MARKS)
-        if not base.isalpha() or not PLAIN.fullmatch(base) or self.marked:
-            self.known[piece] = self.text(" " + piece)
-        elif base is piece or base == piece:
-            self.spaced(piece)
-        else:
-            self.known[piece] = self.spaced(base) + self.word(piece[len(base) :])
+    def model_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has."""
+        found = []
+        for at in range(0, len(words), JOINED):
+            data = np.frombuffer((self.between.join(words[at : at + JOINED]) + self.between).encode(), np.uint8)
+            (own,) = self.model.encode_batch_fast([self.letters[data].tobytes().decode("utf-32-le")], add_special_tokens=False)
+            found.append(np.array(own.ids, "<u4"))
+        ids = np.concatenate(found)
+        is_mark = ids == self.mark
+        return ids[~is_mark], np.diff(np.flatnonzero(is_mark), prepend=-1) - 1
+
+    def usual(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)
+
+    def places(self, named: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, named, repeat(0)), np.int64, len(named))
+
+    def word_places(self, words: list[str]) -> np.ndarray:
+        """Places of words of usual texts; those not met before are kept."""
+        names = [w[1:] if w[0] == " " else " " + w for w in words]
+        at = self.places(names)
+        if len(missing := np.flatnonzero(at == 0)):
+            new: dict[str, int] = {}
+            at[missing] = [new.setdefault(names[i], len(new)) for i in missing.tolist()]
+            at[missing] += self.keep(new, *self.model_ids([w[1:] if w[0] == " " else " " + w for w in new]))
+        return at
+
+    def heads(self, texts: list[str]) -> list[bytes]:
+        """Ids of first pieces, which have no space before them."""
+        words = [WORDS.findall(t) if self.usual(t) else None for t in texts]
+        at = self.word_places([w for own in words if own for w in own])
+        n = self.lengths[at]
+        data, upto = runs(self.ids, self.starts[at], n).tobytes(), [0, *(4 * np.cumsum(n)).tolist()]
+        ends = np.cumsum([len(own or ()) for own in words]).tolist()
+        return [self.whole(t) if own is None else data[upto[end - len(own)] : upto[end]] for t, own, end in zip(texts, words, ends, strict=True)]
+
+    def learn(self, pieces: list[str]) -> np.ndarray:
+        """Places of new pieces, none of which is empty or begins with white space; they are kept."""
+        places = np.zeros(len(pieces), np.int64)
+        usual = np.ones(len(pieces), bool) if self.usual(" ".join(pieces)) else np.fromiter(map(self.usual, pieces), bool, len(pieces))
+        if len(rest := np.flatnonzero(~usual)):
+            own = [pieces[i] for i in rest.tolist()]
+            found = [self.whole(" " + p) for p in own]
+            places[rest] = self.keep(own, np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found])) + np.arange(len(own))
+        if len(rest := np.flatnonzero(usual)):
+            # Pieces have no spaces, so words that begin with one are the first of each.
+            words = WORDS.findall(" " + " ".join([pieces[i] for i in rest.tolist()]))
+            at = self.word_places(words)
+            first = np.array([i for i, w in enumerate(words) if w[0] == " "])
+            count = np.diff(first, append=len(words))
+            places[rest] = at[first]
+            if len(several := np.flatnonzero(count > 1)):
+                at = at[np.repeat(count > 1, count)]
+                n, count, rest = self.lengths[at], count[several], rest[several]
+                lengths = np.add.reduceat(n, np.cumsum(count) - count)
+                places[rest] = self.keep([pieces[i] for i in rest.tolist()], runs(self.ids, self.starts[at], n), lengths) + np.arange(len(rest))
+        return places
+
+    def keep(self, pieces: Collection[str], ids: np.ndarray, lengths: np.ndarray) -> int:
+        """Keeps the ids of pieces that are not known; gives the first one's place."""
+        at, upto = len(self.known) + 1, np.cumsum(lengths)
+        self.starts, self.lengths, self.uses = (with_room(x, at, len(pieces)) for x in (self.starts, self.lengths, self.uses))
+        self.starts[at : at + len(pieces)], self.lengths[at : at + len(pieces)], self.uses[at : at + len(pieces)] = self.used + upto - lengths, lengths, 0
+        self.ids = with_room(self.ids, self.used, len(ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.known.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+        return at
+
+    def forget(self) -> None:
+        """Pieces of more than one batch stay, at most half of KEPT: those of most batches."""
+        names, uses = list(self.known), self.uses[1 : len(self.known) + 1]
+        half = len(uses) - KEPT // 2 - 1
+        most = max(1, int(np.partition(uses, half)[half]))
+        stay = np.flatnonzero(uses > most)
+        n, uses = self.lengths[stay + 1], uses[stay] >> 1
+        ids = runs(self.ids, self.starts[stay + 1], n)
+        self.known, self.used = {}, 0
+        self.keep([names[i] for i in stay.tolist()], ids, n)
+        self.uses[1 : len(uses) + 1] = uses
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
@@ -129,34 +205,39 @@ class PieceEncoder:
         split = pc.split_pattern(texts, " ")
         bounds = split.offsets.to_numpy()
         words = split.values.dictionary_encode()
-        codes, named = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary.to_pylist()
-        if len(self.known) > KEPT:  # what this batch has is what is used most
-            self.known = {p: self.known[p] for p in named if p in self.known}
-        if len(self.words) > KEPT:
-            self.words.clear()
-        other = [i for i, p in enumerate(named) if not p or p[0].isspace()]
-        for i in other:
-            named[i] = ""
-        self.known[""] = b""
-        for p in named:
-            if p not in self.known:
-                self.learn(p)
-        ids = list(map(self.known.__getitem__, named))
-        # First pieces have no space before them: each text has one of its own, which is the whole text where others are unusual.
+        codes, named = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > KEPT:
+            self.forget()
+        at = self.places(named)
+        new = np.flatnonzero(at == 0).tolist()
+        other = [i for i in new if not named[i] or named[i][0].isspace()]
+        if len(other) < len(new):
+            odd = set(other)
+            new = [i for i in new if i not in odd]
+            at[new] = self.learn([named[i] for i in new])
+        self.uses[at] += 1
+        # Where others than first pieces are unusual, or the first one is, the whole text is encoded; it then counts as its first piece.
         first = bounds[:-1]
-        heads = [self.text(named[c]) if named[c] else None for c in codes[first].tolist()]
-        unusual = np.isin(codes, other)
-        unusual[first] &= np.array([h is None for h in heads])
-        whole = np.unique(np.searchsorted(bounds, np.flatnonzero(unusual), "right") - 1)
-        for i in whole.tolist():
-            codes[bounds[i] : bounds[i + 1]] = len(ids)
+        whole = np.zeros(len(first), bool)
+        if other:
+            whole[np.searchsorted(bounds, np.flatnonzero(np.isin(codes, other)), "right") - 1] = True
+        usual = np.flatnonzero(~whole)
+        heads = [b""] * len(first)
+        for i, ids in zip(usual.tolist(), self.heads([named[c] for c in codes[first[usual]].tolist()]), strict=True):
+            heads[i] = ids
+        for i in np.flatnonzero(whole).tolist():
             heads[i] = self.whole(texts[i].as_py())
-        codes[first] = len(ids) + 1 + np.arange(len(first))
-        ids += [b"", *heads]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, starts, n = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths, lengths[codes]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        return flat[np.repeat(starts[codes] - upto[:-1], n) + np.arange(upto[-1])], np.diff(upto[bounds])
+        # Unusual pieces have place 0 and no ids of their own.  First pieces' ids stand behind what is kept, until something else does.
+        of = at.take(codes)
+        starts, n = self.starts.take(of), self.lengths.take(of)
+        n[np.repeat(whole, np.diff(bounds))] = 0
+        n[first] = np.fromiter(map(len, heads), np.int64, len(heads)) // 4
+        starts[first] = self.used + np.cumsum(n[first]) - n[first]
+        own = np.frombuffer(b"".join(heads), "<u4")
+        self.ids = with_room(self.ids, self.used, len(own))
+        self.ids[self.used : self.used + len(own)] = own
+        ids = runs(self.ids, starts, n)
+        return ids, np.add.reduceat(n, first)
 
 
 @lru_cache(2)

@@ -256,3 +256,28 @@ def test_token_file_query(spark):
         ids = np.array([*tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def test_new_words_are_encoded_many_at_a_call(monkeypatch):
+    own = T.PieceEncoder(tokenizer_path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeéß", k=rng.randint(2, 9))) + rng.choice(["", ".", "'s", ",\nNext", "7²"]) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(300)]
+    calls = []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self.inner, name)
+
+    own.model = Counted(own.model)
+    wanted = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for kept in (10**6, 500, 0):  # what is kept goes again and again
+        monkeypatch.setattr(T, "KEPT", kept)
+        for at in range(0, 300, 100):
+            ids, n = own.encode(pa.array(texts[at : at + 100]))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == wanted[at : at + 100]
+    assert len(calls) < 200  # 3,000 words and more, with up to three in a piece, again and again
